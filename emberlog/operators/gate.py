@@ -20,7 +20,7 @@ from emberlog.functions.clock import SECOND
 from emberlog.functions.keys import class_head, class_key, gate_fingerprint, short_key
 from emberlog.functions.severity import false_error_info, grade
 from emberlog.functions.text import cut as cut_text
-from emberlog.operators.slices import SLICE_US, mark_gaps, run_positions
+from emberlog.operators.slices import SLICE_US, by_slice, mark_gaps, run_positions
 from emberlog.operators.throttle import throttle
 from emberlog.session import cut
 
@@ -126,7 +126,7 @@ def gate_keys(events: DataFrame, rules: GateRules = GateRules()) -> DataFrame:
 
 def storm_runs(keys: DataFrame, slice_us: int = SLICE_US) -> DataFrame:
     """Position of each row in its run of gaps up to 60 s, and the gap before it."""
-    marked = cut(mark_gaps(keys, "fingerprint", V.STORM_GAP_S * SECOND, slice_us))
+    marked = cut(mark_gaps(keys, "fingerprint", V.STORM_GAP_S * SECOND, slice_us), keep_layout=True)
     return run_positions(marked, "fingerprint", V.STORM_GAP_S * SECOND)
 
 
@@ -168,16 +168,22 @@ def class_gate(rows: DataFrame, slice_us: int = SLICE_US) -> DataFrame:
     A class forgotten after 24 h needs no reset: every one of these waits is shorter.
     """
     forget = V.STATE_RETENTION_S * SECOND
-    marked = cut(mark_gaps(rows.filter(F.col("class_key").isNotNull()), "class_key", forget, slice_us))
+    rows = rows.filter(F.col("class_key").isNotNull())
+    marked = cut(mark_gaps(rows, "class_key", forget, slice_us), keep_layout=True)
     lives = run_positions(marked, "class_key", forget).withColumnRenamed("position", "events_total")
+
+    def relay(df: DataFrame) -> DataFrame:
+        """Python output has no known layout: lay it out once for both reads of the next step."""
+        return cut(by_slice(df, "class_key", slice_us), keep_layout=True)
+
     # a window holds 300 s inclusive, so the next one can start one microsecond later
-    windows = cut(
+    windows = relay(
         throttle(lives, "class_key", V.CLASS_STORM_WINDOW_S * SECOND + 1)
         .withColumnRenamed("position", "events_window")
         .withColumnRenamed("anchor_us", "window_us")
     )
     crowded = F.col("events_window") >= V.CLASS_STORM_N
-    bursts = cut(
+    bursts = relay(
         throttle(windows, "class_key", V.CLASS_STORM_COOLDOWN_S * SECOND, inert=~crowded)
         .withColumnRenamed("accepted", "burst")
         .withColumnRenamed("anchor_us", "storm_us")

@@ -18,6 +18,7 @@ def build_session(app: str = "emberlog", master: str | None = None, **settings)
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+        "spark.checkpoint.compress": "true",
     }
     for name, value in {**defaults, **settings}.items():
         builder = builder.config(name, str(value))
@@ -42,14 +43,23 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, keep_layout: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and go on from there.
 
     A frame that is read several times is computed once, and a lost executor costs a re-read,
-    not a recomputation.  The partitioning and order of the rows are kept.
+    not a recomputation.  With ``keep_layout`` the plan is fixed before it runs, so Spark goes on
+    knowing how the rows are partitioned and sorted and does not shuffle them again.
     """
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    shared_folder(spark)
+    if not keep_layout:
+        return df.checkpoint(eager=True)
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
 
 
 def work_path(spark: SparkSession, name: str) -> str:
