@@ -69,24 +69,6 @@ def fingerprinted(events: DataFrame, rules: GateRules = GateRules()) -> DataFram
     )
 
 
-def early_exits(events: DataFrame, rules: GateRules = GateRules()) -> DataFrame:
-    """Rows that touch no state: the line's own level or a zero counter says it is no fault."""
-    rows = fingerprinted(events, rules).filter(F.col("exit").isNotNull())
-    by_level = F.col("exit") == V.BODY_LEVEL_EXIT
-    label = F.when(F.col("label") == "", "unknown").otherwise(F.col("label"))
-    return rows.select(
-        *AUDIT_INPUT,
-        "fingerprint",
-        F.lit(1).cast("bigint").alias("storm_count"),
-        F.col("exit").alias("storm_status"),
-        F.lit(0).alias("llm_dispatched"),
-        F.when(by_level, F.col("body")).otherwise("warning").alias("effective_severity"),
-        F.when(by_level, F.concat(F.lit("body_tag_"), F.col("body"), F.lit("_collector_"), label))
-        .otherwise(V.COUNTER_REASON)
-        .alias("suppression_reason"),
-    )
-
-
 AUDIT_INPUT = ["id", "received_us", "incident_id", "host", "source", "severity", "timestamp", "message"]
 
 AUDIT_COLUMNS = [
@@ -96,14 +78,19 @@ AUDIT_COLUMNS = [
 ]
 
 
-def gate_keys(events: DataFrame, rules: GateRules = GateRules()) -> DataFrame:
-    """The narrow rows the state rules work on: keys as 32 bytes, and no text."""
-    rows = fingerprinted(events, rules).filter(F.col("exit").isNull())
-    in_class_layer = ~F.col("collect_only") & F.col("effective").isin(V.CLASS_LAYER_SEVERITIES)
-    return (
-        rows.withColumn(
-            "head", F.when(in_class_layer, class_head(F.col("message"), rules.collapse_iso_t))
-        )
+def verdict_rows(events: DataFrame, rules: GateRules = GateRules()) -> DataFrame:
+    """What the gate needs of every event, without its text: keys as 32 bytes, and the early exit.
+
+    The frame is cut before anything filters on a computed column.  A filter would otherwise be
+    pushed below the projections and evaluate the regular expressions again.
+    """
+    in_class_layer = (
+        F.col("exit").isNull() & ~F.col("collect_only") & F.col("effective").isin(V.CLASS_LAYER_SEVERITIES)
+    )
+    label = F.when(F.col("label") == "", "unknown").otherwise(F.col("label"))
+    rows = (
+        fingerprinted(events, rules)
+        .withColumn("head", F.when(in_class_layer, class_head(F.col("message"), rules.collapse_iso_t)))
         .withColumn(
             "class_key",
             F.when(
@@ -119,9 +106,35 @@ def gate_keys(events: DataFrame, rules: GateRules = GateRules()) -> DataFrame:
             F.unhex("fingerprint").alias("fingerprint"),
             F.unhex("class_key").alias("class_key"),
             "collect_only",
-            "effective",
+            F.when(F.col("exit") == V.COUNTER_EXIT, "warning").otherwise(F.col("effective")).alias("effective"),
+            "exit",
+            F.when(
+                F.col("exit") == V.BODY_LEVEL_EXIT,
+                F.concat(F.lit("body_tag_"), F.col("body"), F.lit("_collector_"), label),
+            )
+            .when(F.col("exit").isNotNull(), V.COUNTER_REASON)
+            .alias("exit_reason"),
         )
     )
+    return cut(rows)
+
+
+def gate_keys(verdicts: DataFrame) -> DataFrame:
+    """The rows the state rules work on: those without an early exit."""
+    return verdicts.filter(F.col("exit").isNull()).drop("exit", "exit_reason")
+
+
+def early_exits(verdicts: DataFrame) -> DataFrame:
+    """Rows that touch no state: the line's own level or a zero counter says it is no fault."""
+    return verdicts.filter(F.col("exit").isNotNull()).select(
+        "id",
+        F.lower(F.hex("fingerprint")).alias("fingerprint"),
+        F.lit(1).cast("bigint").alias("storm_count"),
+        F.col("exit").alias("storm_status"),
+        F.lit(0).alias("llm_dispatched"),
+        F.col("effective").alias("effective_severity"),
+        F.col("exit_reason").alias("suppression_reason"),
+    )
 
 
 def storm_runs(keys: DataFrame, slice_us: int = SLICE_US) -> DataFrame:
@@ -207,9 +220,9 @@ def class_gate(rows: DataFrame, slice_us: int = SLICE_US) -> DataFrame:
     )
 
 
-def gate_layers(events: DataFrame, rules: GateRules = GateRules()) -> tuple[DataFrame, DataFrame]:
-    """Verdicts of the fingerprint layer and of the class layer, both narrow and cut."""
-    storm = cut(storm_gate(gate_keys(events, rules), rules.slice_us))
+def gate_layers(verdicts: DataFrame, rules: GateRules = GateRules()) -> tuple[DataFrame, DataFrame | None]:
+    """Verdicts of the fingerprint layer (cut) and of the class layer, both narrow."""
+    storm = cut(storm_gate(gate_keys(verdicts), rules.slice_us))
     if not rules.class_layer:
         return storm, None
     reaching = storm.filter(F.col("survives") & ~F.col("collect_only"))
@@ -217,15 +230,17 @@ def gate_layers(events: DataFrame, rules: GateRules = GateRules()) -> tuple[Data
 
 
 def decide(events: DataFrame, rules: GateRules = GateRules()) -> DataFrame:
-    """One audit row per event, dispatched or not."""
-    storm, classes = gate_layers(events, rules)
+    """One audit row per event, dispatched or not.
+
+    The verdicts stay narrow all the way; the text of an event is shuffled once, to meet them.
+    """
+    verdicts = verdict_rows(events, rules)
+    storm, classes = gate_layers(verdicts, rules)
     if classes is None:
-        verdicts = storm.withColumn("note", F.lit(None).cast("string")).withColumn(
-            "paged", F.lit(True)
-        )
+        layered = storm.withColumn("note", F.lit(None).cast("string")).withColumn("paged", F.lit(True))
     else:
-        verdicts = storm.join(classes.select("id", "note", "paged"), "id", "left")
-    verdicts = verdicts.select(
+        layered = storm.join(classes.select("id", "note", "paged"), "id", "left")
+    stateful = layered.select(
         "id",
         F.lower(F.hex("fingerprint")).alias("fingerprint"),
         "storm_count",
@@ -242,10 +257,10 @@ def decide(events: DataFrame, rules: GateRules = GateRules()) -> DataFrame:
         .otherwise("")
         .alias("suppression_reason"),
     )
-    stateful = normalise(events).join(verdicts, "id")
-    both = stateful.unionByName(early_exits(events, rules))
     return (
-        both.withColumnRenamed("timestamp", "event_timestamp")
+        normalise(events)
+        .join(stateful.unionByName(early_exits(verdicts)), "id")
+        .withColumnRenamed("timestamp", "event_timestamp")
         .withColumn("storm_window_seconds", F.lit(V.STORM_GAP_S))
         .select(AUDIT_COLUMNS)
     )

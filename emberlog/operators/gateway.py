@@ -118,13 +118,26 @@ def keyed_events(events: DataFrame) -> DataFrame:
     )
 
 
-def gateway_throttle(keyed: DataFrame, slice_us: int = 8 * SLICE_US) -> DataFrame:
+def receive(raw: DataFrame, allow: DataFrame) -> DataFrame:
+    """Every body parsed, placed, graded and keyed, with ``ok`` and ``enabled``; nothing dropped."""
+    placed = with_context(parse_envelope(raw), allow)
+    return keyed_events(placed.withColumn("ok", acceptable(F.col("raw"), F.col("message"))))
+
+
+def receipts(received: DataFrame) -> DataFrame:
+    """The narrow part of received rows, cut before anything filters on ``ok``."""
+    return cut(
+        received.select("id", "us", F.unhex("fingerprint").alias("fingerprint"), "severity", "ok", "enabled")
+    )
+
+
+def gateway_throttle(narrow: DataFrame, slice_us: int = 8 * SLICE_US) -> DataFrame:
     """(id, us, fingerprint, accepted, accepted_id): the event each row is counted under.
 
     A critical event is always accepted: its cooldown is zero, and a zero cooldown is forced.
     """
-    narrow = keyed.select("id", "us", F.unhex("fingerprint").alias("fingerprint"), "severity")
-    laid_out = cut(by_slice(narrow, "fingerprint", slice_us), keep_layout=True)
+    rows = narrow.filter(F.col("ok") & F.col("enabled")).drop("ok", "enabled")
+    laid_out = cut(by_slice(rows, "fingerprint", slice_us), keep_layout=True)
     judged = throttle(laid_out, "fingerprint", cooldown_us(F.col("severity")))
     return judged.select(
         "id", "us", F.lower(F.hex("fingerprint")).alias("fingerprint"), "severity", "accepted",
@@ -137,23 +150,20 @@ def ingest(raw: DataFrame, allow: DataFrame) -> DataFrame:
 
     Input: id, received_us, raw.  Rejected and disabled rows never reach the throttle's shuffle.
     """
-    parsed = with_context(parse_envelope(raw), allow).withColumn(
-        "ok", acceptable(F.col("raw"), F.col("message"))
-    )
-    stopped = parsed.filter(~F.col("ok") | ~F.col("enabled")).select(
+    narrow = receipts(receive(raw, allow))
+    stopped = narrow.filter(~F.col("ok") | ~F.col("enabled")).select(
         "id", F.when(F.col("ok"), "disabled").otherwise("rejected").alias("verdict"),
         F.lit(None).cast("bigint").alias("accepted_id"),
     )
-    judged = gateway_throttle(keyed_events(parsed.filter(F.col("ok") & F.col("enabled"))))
     return stopped.unionByName(
-        judged.select(
+        gateway_throttle(narrow).select(
             "id", F.when(F.col("accepted"), "accepted").otherwise("duplicate").alias("verdict"),
             "accepted_id",
         )
     )
 
 
-def accepted_events(keyed: DataFrame, judged: DataFrame) -> DataFrame:
+def accepted_events(received: DataFrame, judged: DataFrame) -> DataFrame:
     """The stored events with the number of rows each one stands for.
 
     Duplicates are counted per accepted id with a map-side combine; the accepted id then meets
@@ -162,12 +172,12 @@ def accepted_events(keyed: DataFrame, judged: DataFrame) -> DataFrame:
     counts = judged.groupBy(F.col("accepted_id").alias("id")).agg(
         F.count(F.lit(1)).alias("occurrences")
     )
-    return keyed.join(counts, "id").select(
+    return received.join(counts, "id").select(
         "id",
         incident_id(F.col("source"), F.col("us"), F.col("id")).alias("incident_id"),
         F.col("us").alias("created_us"),
         "source", "severity", "message", "fingerprint", "occurrences",
-        *[c for c in ("project", "program", "dll", "enabled") if c in keyed.columns],
+        *[c for c in ("project", "program", "dll", "enabled", "host") if c in received.columns],
     )
 
 

@@ -63,12 +63,13 @@ def allowlist_join(spark, sf):
 
 @query("allowlist_filter", "SELECT id, program FROM placed WHERE ok AND enabled", "placed")
 def allowlist_filter(spark, sf):
-    return tb.parsed_events(spark, sf).select("id", "program")
+    rows = tb.received(spark, sf)
+    return rows.filter("ok AND enabled").select("id", "program")
 
 
 @query("gateway_throttle", "SELECT id, fp AS fingerprint, accepted, acc_id AS accepted_id FROM gateway_fold", "gateway_fold")
 def gateway_throttle(spark, sf):
-    judged = gateway.gateway_throttle(gateway.keyed_events(tb.parsed_events(spark, sf)))
+    judged = gateway.gateway_throttle(gateway.receipts(tb.received(spark, sf)))
     return judged.select("id", "fingerprint", "accepted", "accepted_id")
 
 
@@ -77,7 +78,7 @@ def gateway_throttle(spark, sf):
     "SELECT f.id, f.acc_id AS accepted_id, f.us - f.acc_us AS age_us FROM gateway_fold f WHERE NOT f.accepted", "gateway_fold",
 )
 def throttle_lookup(spark, sf):
-    judged = gateway.gateway_throttle(gateway.keyed_events(tb.parsed_events(spark, sf)))
+    judged = gateway.gateway_throttle(gateway.receipts(tb.received(spark, sf)))
     return judged.filter(~F.col("accepted")).select("id", "accepted_id", (F.col("us") - F.col("accepted_us")).alias("age_us"))
 
 

@@ -37,6 +37,11 @@ def stored(spark: SparkSession, sf: str, name: str, build: Callable[[], DataFram
 
 
 def log_events(spark: SparkSession, sf: str) -> DataFrame:
+    """Log events, as a stored table."""
+    return stored(spark, sf, "log", lambda: derive_log_events(spark, sf))
+
+
+def derive_log_events(spark: SparkSession, sf: str) -> DataFrame:
     """The events table as log events; see FIXTURES.md, part B.
 
     ``received_us`` squeezes each day into its first five minutes, ``gateway_us`` into its first
@@ -180,21 +185,17 @@ def allowlist(spark: SparkSession, sf: str) -> DataFrame:
     return load_allowlist(spark, _stored[key])
 
 
-def parsed_events(spark: SparkSession, sf: str) -> DataFrame:
-    """Bodies parsed, placed in their project and found acceptable and enabled."""
-    raw = raw_bodies(spark, sf)
-    rows = gateway.with_context(gateway.parse_envelope(raw), allowlist(spark, sf))
-    return rows.filter(gateway.acceptable(F.col("raw"), F.col("message")) & F.col("enabled"))
+def received(spark: SparkSession, sf: str) -> DataFrame:
+    """Every body parsed, placed, graded and keyed."""
+    return gateway.receive(raw_bodies(spark, sf), allowlist(spark, sf))
 
 
 def accepted(spark: SparkSession, sf: str) -> DataFrame:
     """The gateway's stored events."""
 
     def build() -> DataFrame:
-        keyed = gateway.keyed_events(parsed_events(spark, sf))
-        return gateway.accepted_events(keyed, gateway.gateway_throttle(keyed)).join(
-            keyed.select("id", "host"), "id"
-        )
+        rows = received(spark, sf)
+        return gateway.accepted_events(rows, gateway.gateway_throttle(gateway.receipts(rows)))
 
     return stored(spark, sf, "accepted", build)
 
@@ -212,6 +213,11 @@ def audit(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def signed(spark: SparkSession, sf: str) -> DataFrame:
+    """Signed events as received, as a stored table."""
+    return stored(spark, sf, "signed", lambda: derive_signed(spark, sf))
+
+
+def derive_signed(spark: SparkSession, sf: str) -> DataFrame:
     """Signed events as received, with the faults the receiver has to find."""
     e = log_events(spark, sf)
     svix_id = F.concat(F.lit("evt-"), (F.col("id") - F.when(F.col("id") % 10 == 3, 1).otherwise(0)).cast("string"))
