@@ -1 +1,8 @@
 """emberlog: log-event triage analytics on Spark DataFrames."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of this package travel to Python workers by value, so a cluster needs no copy of it.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -1,4 +1,8 @@
-"""Grouping keys: hashes of the parts that identify a fault."""
+"""Grouping keys: hashes of the parts that identify a fault.
+
+The text is lower-cased before the patterns run, so they need not ignore case; only the time
+pattern has capitals of its own.
+"""
 
 from __future__ import annotations
 
@@ -6,12 +10,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from emberlog import fixed_values as V
-from emberlog.functions.source import class_component, stable_source
+from emberlog.functions.source import class_component
 from emberlog.functions.text import UNI, UNI_I, collapse_spaces, cut, rewrite
 
 
 def _timestamp(collapse_iso_t: bool) -> str:
-    """The text is lower case by then, so 'T' and 'Z' match only where case is ignored."""
+    """'T' and 'Z' match lower-cased text only where case is ignored."""
     return (UNI_I if collapse_iso_t else UNI) + V.TIMESTAMP
 
 
@@ -21,8 +25,8 @@ def gate_message(message: Column, collapse_iso_t: bool = False) -> Column:
         rewrite(
             F.lower(cut(message, V.MAX_KEY_MESSAGE)),
             [
-                (UNI_I + V.UUID, "<uuid>"),
-                (UNI_I + V.HEX, "<hex>"),
+                (UNI + V.UUID, "<uuid>"),
+                (UNI + V.HEX, "<hex>"),
                 (_timestamp(collapse_iso_t), "<ts>"),
                 (UNI + V.CLOCK, "<clock>"),
                 (UNI + V.LONG_DIGITS, "<n>"),
@@ -36,11 +40,12 @@ def _digest(*parts: Column) -> Column:
 
 
 def gate_fingerprint(
-    host: Column, source: Column, severity: Column, message: Column, collapse_iso_t: bool = False
+    host: Column, stable: Column, severity: Column, message: Column, collapse_iso_t: bool = False
 ) -> Column:
+    """``stable`` is ``stable_source(source)``, passed in so that it is computed once."""
     return _digest(
         cut(host, V.MAX_HOST),
-        stable_source(source),
+        stable,
         F.lower(cut(severity, V.MAX_SEVERITY)),
         gate_message(message, collapse_iso_t),
     )
@@ -55,8 +60,8 @@ def class_head(message: Column, collapse_iso_t: bool = False) -> Column:
                 (V.BRACKETED, " "),
                 (_timestamp(collapse_iso_t), "<ts>"),
                 (UNI + V.CLOCK, "<clock>"),
-                (UNI_I + V.UUID, "<uuid>"),
-                (UNI_I + V.HEX, "<hex>"),
+                (UNI + V.UUID, "<uuid>"),
+                (UNI + V.HEX, "<hex>"),
                 (UNI + V.URL, "<url>"),
                 (UNI + V.LONG_DIGITS, "<n>"),
                 (V.SKELETON_OTHER, " "),
@@ -66,11 +71,11 @@ def class_head(message: Column, collapse_iso_t: bool = False) -> Column:
     return F.array_join(F.slice(F.split(words, " "), 1, V.CLASS_HEAD_WORDS), " ")
 
 
-def class_key(host: Column, source: Column, effective: Column, message: Column, head: Column) -> Column:
-    """``head`` is ``class_head(message)``, passed in so that it is computed once."""
+def class_key(host: Column, stable: Column, effective: Column, message: Column, head: Column) -> Column:
+    """``stable`` is ``stable_source(source)`` and ``head`` is ``class_head(message)``."""
     return _digest(
         cut(host, V.MAX_HOST),
-        stable_source(source),
+        stable,
         cut(effective, V.MAX_SEVERITY),
         class_component(message, head),
         cut(head, V.CLASS_HEAD),

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from emberlog import fixed_values as V
-from emberlog.functions.text import UNI, UNI_I, collapse_spaces, cut, first_match, rewrite, strip
+from emberlog.functions.text import UNI, UNI_I, cut, first_match, rewrite, strip
 
 # A match counts only inside a log_file segment.  The look-ahead keeps the look-behind off
 # every position that does not start with four digits; a source holds at most 500 characters.
@@ -100,18 +100,14 @@ def log_file_of(message: Column) -> Column:
     )
 
 
-def class_component(message: Column, head: Column) -> Column:
-    """Logger named in the first 400 characters, else the head of the skeleton."""
-    tags = F.regexp_extract_all(cut(message, V.LOGGER_HEAD), F.lit(V.LOGGER_TAG), F.lit(1))
-    loggers = F.filter(
-        F.transform(tags, F.lower),
-        lambda t: ~t.isin(V.BARE_LEVEL_WORDS) & (t.contains(".") | (F.length(t) >= 12)),
-    )
-    return F.coalesce(F.try_element_at(loggers, F.lit(1)), cut(head, V.CLASS_COMPONENT))
+# A logger tag that names a component: a dot in it, or at least twelve characters.  Every bare
+# level word is shorter and has no dot, so none of them can match.
+_COMPONENT_TAG = (
+    r"\[(?=[A-Za-z0-9_.]{4,}\])([A-Za-z](?:[A-Za-z0-9_]*\.[A-Za-z0-9_.]*|[A-Za-z0-9_.]{11,}))\]"
+)
 
 
-__all__ = [
-    "stable_source", "stable_file", "source_field", "format_source", "clean_path",
-    "program_from_source", "detect_dll", "component_of", "log_file_of", "class_component",
-    "collapse_spaces",
-]
+def class_component(message: Column, head: Column) -> Column:
+    """Logger named in the first 400 characters, else the head of the skeleton."""
+    logger = first_match(cut(message, V.LOGGER_HEAD), _COMPONENT_TAG, 1)
+    return F.coalesce(F.lower(logger), cut(head, V.CLASS_COMPONENT))

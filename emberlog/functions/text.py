@@ -65,7 +65,7 @@ def template_key(message: Column) -> Column:
     return collapse_spaces(
         rewrite(
             F.lower(cut(message, V.MAX_KEY_MESSAGE)),
-            [(UNI_I + V.UUID, "<uuid>"), (UNI_I + V.HEX, "<hex>"), (UNI + V.ANY_DIGITS, "<n>")],
+            [(UNI + V.UUID, "<uuid>"), (UNI + V.HEX, "<hex>"), (UNI + V.ANY_DIGITS, "<n>")],
         )
     )
 

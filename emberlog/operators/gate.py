@@ -19,6 +19,7 @@ from emberlog import fixed_values as V
 from emberlog.functions.clock import SECOND
 from emberlog.functions.keys import class_head, class_key, gate_fingerprint, short_key
 from emberlog.functions.severity import false_error_info, grade
+from emberlog.functions.source import stable_source
 from emberlog.functions.text import cut as cut_text
 from emberlog.operators.slices import SLICE_US, by_slice, mark_gaps, run_positions
 from emberlog.operators.throttle import throttle
@@ -61,10 +62,11 @@ def graded_events(events: DataFrame) -> DataFrame:
 
 
 def fingerprinted(events: DataFrame, rules: GateRules = GateRules()) -> DataFrame:
-    return graded_events(events).withColumn(
+    rows = graded_events(events).withColumn("stable", stable_source(F.col("source")))
+    return rows.withColumn(
         "fingerprint",
         gate_fingerprint(
-            F.col("host"), F.col("source"), F.col("effective"), F.col("message"), rules.collapse_iso_t
+            F.col("host"), F.col("stable"), F.col("effective"), F.col("message"), rules.collapse_iso_t
         ),
     )
 
@@ -81,9 +83,11 @@ AUDIT_COLUMNS = [
 def verdict_rows(events: DataFrame, rules: GateRules = GateRules()) -> DataFrame:
     """What the gate needs of every event, without its text: keys as 32 bytes, and the early exit.
 
-    The frame is cut before anything filters on a computed column.  A filter would otherwise be
-    pushed below the projections and evaluate the regular expressions again.
+    Nothing may filter on these columns before they are stored: the filter would be pushed below
+    the projections and evaluate the regular expressions again.  So rows with an early exit stay
+    in, under a key of their own (one byte longer), until the rows are laid out and cut.
     """
+    key = F.unhex("fingerprint")
     in_class_layer = (
         F.col("exit").isNull() & ~F.col("collect_only") & F.col("effective").isin(V.CLASS_LAYER_SEVERITIES)
     )
@@ -96,14 +100,14 @@ def verdict_rows(events: DataFrame, rules: GateRules = GateRules()) -> DataFrame
             F.when(
                 F.col("head").isNotNull(),
                 class_key(
-                    F.col("host"), F.col("source"), F.col("effective"), F.col("message"), F.col("head")
+                    F.col("host"), F.col("stable"), F.col("effective"), F.col("message"), F.col("head")
                 ),
             ),
         )
         .select(
             "id",
             F.col("received_us").alias("us"),
-            F.unhex("fingerprint").alias("fingerprint"),
+            F.when(F.col("exit").isNull(), key).otherwise(F.concat(key, F.lit(b"\x01"))).alias("fingerprint"),
             F.unhex("class_key").alias("class_key"),
             "collect_only",
             F.when(F.col("exit") == V.COUNTER_EXIT, "warning").otherwise(F.col("effective")).alias("effective"),
@@ -116,19 +120,19 @@ def verdict_rows(events: DataFrame, rules: GateRules = GateRules()) -> DataFrame
             .alias("exit_reason"),
         )
     )
-    return cut(rows)
+    return rows
 
 
-def gate_keys(verdicts: DataFrame) -> DataFrame:
-    """The rows the state rules work on: those without an early exit."""
-    return verdicts.filter(F.col("exit").isNull()).drop("exit", "exit_reason")
+def laid_out(verdicts: DataFrame, slice_us: int = SLICE_US) -> DataFrame:
+    """Verdict rows spread by fingerprint and time slice, with the gaps inside a slice; cut."""
+    return cut(mark_gaps(verdicts, "fingerprint", V.STORM_GAP_S * SECOND, slice_us), keep_layout=True)
 
 
-def early_exits(verdicts: DataFrame) -> DataFrame:
+def early_exits(marked: DataFrame) -> DataFrame:
     """Rows that touch no state: the line's own level or a zero counter says it is no fault."""
-    return verdicts.filter(F.col("exit").isNotNull()).select(
+    return marked.filter(F.col("exit").isNotNull()).select(
         "id",
-        F.lower(F.hex("fingerprint")).alias("fingerprint"),
+        F.lower(F.hex(F.substring("fingerprint", 1, 32))).alias("fingerprint"),
         F.lit(1).cast("bigint").alias("storm_count"),
         F.col("exit").alias("storm_status"),
         F.lit(0).alias("llm_dispatched"),
@@ -137,20 +141,20 @@ def early_exits(verdicts: DataFrame) -> DataFrame:
     )
 
 
-def storm_runs(keys: DataFrame, slice_us: int = SLICE_US) -> DataFrame:
+def storm_runs(marked: DataFrame) -> DataFrame:
     """Position of each row in its run of gaps up to 60 s, and the gap before it."""
-    marked = cut(mark_gaps(keys, "fingerprint", V.STORM_GAP_S * SECOND, slice_us), keep_layout=True)
-    return run_positions(marked, "fingerprint", V.STORM_GAP_S * SECOND)
+    rows = marked.filter(F.col("exit").isNull()).drop("exit", "exit_reason")
+    return run_positions(rows, "fingerprint", V.STORM_GAP_S * SECOND)
 
 
-def storm_gate(keys: DataFrame, slice_us: int = SLICE_US) -> DataFrame:
+def storm_gate(marked: DataFrame) -> DataFrame:
     """Fingerprint layer: storm_status, storm_count and whether the event would be sent.
 
     In a run, the fifth row is always sent and from there on the 120 s rule applies; the first
     four rows follow the 300 s rule.  Both measure from the last event sent, so the layer is one
     throttle whose cooldown depends on the position, with the fifth row of a run forced.
     """
-    runs = storm_runs(keys, slice_us).withColumnRenamed("position", "storm_count")
+    runs = storm_runs(marked).withColumnRenamed("position", "storm_count")
     in_storm = F.col("storm_count") >= V.STORM_THRESHOLD
     fresh = F.col("gap").isNull() | (F.col("gap") > V.STATE_RETENTION_S * SECOND)
     judged = throttle(
@@ -220,9 +224,9 @@ def class_gate(rows: DataFrame, slice_us: int = SLICE_US) -> DataFrame:
     )
 
 
-def gate_layers(verdicts: DataFrame, rules: GateRules = GateRules()) -> tuple[DataFrame, DataFrame | None]:
+def gate_layers(marked: DataFrame, rules: GateRules = GateRules()) -> tuple[DataFrame, DataFrame | None]:
     """Verdicts of the fingerprint layer (cut) and of the class layer, both narrow."""
-    storm = cut(storm_gate(gate_keys(verdicts), rules.slice_us))
+    storm = cut(storm_gate(marked))
     if not rules.class_layer:
         return storm, None
     reaching = storm.filter(F.col("survives") & ~F.col("collect_only"))
@@ -234,8 +238,8 @@ def decide(events: DataFrame, rules: GateRules = GateRules()) -> DataFrame:
 
     The verdicts stay narrow all the way; the text of an event is shuffled once, to meet them.
     """
-    verdicts = verdict_rows(events, rules)
-    storm, classes = gate_layers(verdicts, rules)
+    marked = laid_out(verdict_rows(events, rules), rules.slice_us)
+    storm, classes = gate_layers(marked, rules)
     if classes is None:
         layered = storm.withColumn("note", F.lit(None).cast("string")).withColumn("paged", F.lit(True))
     else:
@@ -259,7 +263,7 @@ def decide(events: DataFrame, rules: GateRules = GateRules()) -> DataFrame:
     )
     return (
         normalise(events)
-        .join(stateful.unionByName(early_exits(verdicts)), "id")
+        .join(stateful.unionByName(early_exits(marked)), "id")
         .withColumnRenamed("timestamp", "event_timestamp")
         .withColumn("storm_window_seconds", F.lit(V.STORM_GAP_S))
         .select(AUDIT_COLUMNS)

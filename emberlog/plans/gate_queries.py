@@ -17,6 +17,10 @@ from emberlog.session import cut
 AUDIT = ", ".join(gate.AUDIT_COLUMNS)
 
 
+def _marked(spark, sf):
+    return gate.laid_out(gate.verdict_rows(tb.gate_input(spark, sf)))
+
+
 @query("gate_decisions", f"SELECT {AUDIT} FROM audit", "audit")
 def gate_decisions(spark, sf):
     return gate.decide(tb.gate_input(spark, sf))
@@ -24,17 +28,17 @@ def gate_decisions(spark, sf):
 
 @query("storm_sessions", "SELECT id, cnt AS position FROM storm", "storm")
 def storm_sessions(spark, sf):
-    return gate.storm_runs(gate.gate_keys(gate.verdict_rows(tb.gate_input(spark, sf)))).select("id", "position")
+    return gate.storm_runs(_marked(spark, sf)).select("id", "position")
 
 
 @query("storm_gate", "SELECT id, cnt AS storm_count, status AS storm_status, send AS survives FROM storm", "storm")
 def storm_gate(spark, sf):
-    return gate.storm_gate(gate.gate_keys(gate.verdict_rows(tb.gate_input(spark, sf)))).select("id", "storm_count", "storm_status", "survives")
+    return gate.storm_gate(_marked(spark, sf)).select("id", "storm_count", "storm_status", "survives")
 
 
 @query("class_gate", "SELECT id, note, paged, cnt AS events_window, total AS events_total FROM class_fold", "class_fold")
 def class_gate(spark, sf):
-    _, classes = gate.gate_layers(gate.verdict_rows(tb.gate_input(spark, sf)))
+    _, classes = gate.gate_layers(_marked(spark, sf))
     return classes.select("id", "note", "paged", "events_window", "events_total")
 
 
@@ -57,7 +61,7 @@ def _now(spark, sf) -> int:
     f"""SELECT id, row_number() OVER (PARTITION BY fp ORDER BY us, id) = 1 AS first_ever, status = 'first_seen' AS first_seen FROM storm""", "storm",
 )
 def state_ttl(spark, sf):
-    runs = gate.storm_runs(gate.gate_keys(gate.verdict_rows(tb.gate_input(spark, sf))))
+    runs = gate.storm_runs(_marked(spark, sf))
     forgotten = F.col("gap").isNull() | (F.col("gap") > V.STATE_RETENTION_S * SECOND)
     return runs.select("id", F.col("gap").isNull().alias("first_ever"), forgotten.alias("first_seen"))
 
@@ -73,7 +77,7 @@ def state_ttl(spark, sf):
 )
 def state_snapshot(spark, sf):
     events = tb.gate_input(spark, sf)
-    storm, classes = gate.gate_layers(gate.verdict_rows(events))
+    storm, classes = gate.gate_layers(_marked(spark, sf))
     now = _now(spark, sf)
     fine = gate.storm_state(events, storm, now).select(
         F.lit("fingerprint").alias("layer"), F.col("fingerprint").alias("key"), "window_started_us", "last_seen_us",
@@ -97,7 +101,7 @@ def state_lookup(spark, sf):
     """Every stateful event meets the state of its key: one row per key, so a skewed key is split
     by Spark's skew join on the event side."""
     events = tb.gate_input(spark, sf)
-    storm = cut(gate.storm_gate(gate.gate_keys(gate.verdict_rows(events))))
+    storm = cut(gate.storm_gate(_marked(spark, sf)))
     state = gate.storm_state(events, storm, _now(spark, sf))
     rows = storm.select("id", F.lower(F.hex("fingerprint")).alias("fingerprint"))
     return rows.join(state, "fingerprint").select("id", "last_seen_us", "events_in_window", "last_agent_sent_us")
@@ -111,7 +115,7 @@ def state_lookup(spark, sf):
 )
 def replay_regression(spark, sf):
     """Every class the older gate paged must still be paged; lost must be 0."""
-    storm, classes = gate.gate_layers(gate.verdict_rows(tb.gate_input(spark, sf)))
+    storm, classes = gate.gate_layers(_marked(spark, sf))
     old = storm.filter(F.col("survives") & ~F.col("collect_only") & F.col("class_key").isNotNull()).select(
         "class_key", F.lit(1).alias("llm_dispatched")
     )

@@ -76,9 +76,9 @@ def class_component(spark, sf):
 
 @query("class_key", "SELECT id, ck AS class_key FROM keyed", "keyed")
 def class_key(spark, sf):
-    rows = severity.grade(gate.normalise(tb.gate_input(spark, sf))).withColumn("head", keys.class_head(F.col("message")))
+    rows = gate.fingerprinted(tb.gate_input(spark, sf)).withColumn("head", keys.class_head(F.col("message")))
     return rows.select(
-        "id", keys.class_key(*[F.col(c) for c in ("host", "source", "effective", "message", "head")]).alias("class_key")
+        "id", keys.class_key(*[F.col(c) for c in ("host", "stable", "effective", "message", "head")]).alias("class_key")
     )
 
 
@@ -168,7 +168,7 @@ def rfc3339_time(spark, sf):
 )
 def short_key(spark, sf):
     rows = gate.fingerprinted(tb.gate_input(spark, sf)).withColumn("head", keys.class_head(F.col("message")))
-    key = keys.class_key(*[F.col(c) for c in ("host", "source", "effective", "message", "head")])
+    key = keys.class_key(*[F.col(c) for c in ("host", "stable", "effective", "message", "head")])
     return rows.select(
         "id", keys.short_key(F.col("fingerprint")).alias("short_fingerprint"),
         F.concat(F.lit("class_new:"), keys.short_key(key)).alias("reason"),
