@@ -51,8 +51,8 @@ def first_match(col: Column, pattern: str, group: int = 0) -> Column:
 
 def lookup(col: Column, table: dict) -> Column:
     """Value of a small fixed table, null where the key is missing."""
-    pairs = [F.lit(x) for kv in table.items() for x in kv]
-    return F.try_element_at(F.create_map(*pairs), col)
+    pairs = ", ".join(f"'{k}', {v!r}" for k, v in table.items())
+    return F.try_element_at(F.expr(f"map({pairs})"), col)
 
 
 def ascii_lower(col: Column) -> Column:

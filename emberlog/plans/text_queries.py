@@ -10,11 +10,14 @@ from emberlog.operators import alerts, gate
 from emberlog.plans import oracle as O
 from emberlog.plans import testbed as tb
 from emberlog.plans.registry import query
+from emberlog.session import spread
 
 
 def _texts(spark, sf):
     """Every log message and every document, whole."""
-    docs = tb.table(spark, sf, "documents").select((F.col("doc_id") + 10**12).alias("id"), F.col("text").alias("message"))
+    docs = spread(tb.table(spark, sf, "documents")).select(
+        (F.col("doc_id") + 10**12).alias("id"), F.col("text").alias("message")
+    )
     return tb.log_events(spark, sf).select("id", "message").unionByName(docs)
 
 

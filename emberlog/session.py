@@ -69,3 +69,12 @@ def work_path(spark: SparkSession, name: str) -> str:
 
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core a share of an input that came in fewer splits than there are cores.
+
+    For costly per-row work on a few unsplittable files; an input of many splits is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

@@ -187,10 +187,10 @@ def stream_dedupe(signed: DataFrame, horizon: str = "24 hours") -> DataFrame:
 def stream_sessions(keys: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """Closed storm runs: rows of a key with gaps up to 60 s, with their start and size.
 
-    The session window closes before its end, so its gap is one microsecond above 60 s.
+    A row exactly 60 s after the last one still joins a session window, as the rule wants.
     """
     rows = keys.withColumn("received_at", utc_timestamp(F.col("us"))).withWatermark("received_at", delay)
-    gap = f"{V.STORM_GAP_S} seconds 1 microsecond"
+    gap = f"{V.STORM_GAP_S} seconds"
     return (
         rows.groupBy("fingerprint", F.session_window("received_at", gap).alias("run"))
         .agg(F.count(F.lit(1)).alias("n"), F.min("us").alias("first_us"), F.max("us").alias("last_us"))
