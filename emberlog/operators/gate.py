@@ -21,7 +21,7 @@ from emberlog.functions.keys import class_head, class_key, gate_fingerprint, sho
 from emberlog.functions.severity import false_error_info, grade
 from emberlog.functions.source import stable_source
 from emberlog.functions.text import cut as cut_text
-from emberlog.operators.slices import SLICE_US, by_slice, mark_gaps, run_positions
+from emberlog.operators.slices import Heat, Laid, again, lay_out, mark_gaps, run_positions
 from emberlog.operators.throttle import throttle
 from emberlog.session import cut
 
@@ -32,7 +32,7 @@ class GateRules:
 
     collapse_iso_t: bool = False   # also collapse 2024-01-02T03:04:05Z, which lower-casing hides
     class_layer: bool = True       # False: the older gate, without per-class cooldowns
-    slice_us: int = SLICE_US
+    heat: Heat = Heat()            # when a key is split over several tasks
 
 
 def normalise(events: DataFrame) -> DataFrame:
@@ -83,9 +83,9 @@ AUDIT_COLUMNS = [
 def verdict_rows(events: DataFrame, rules: GateRules = GateRules()) -> DataFrame:
     """What the gate needs of every event, without its text: keys as 32 bytes, and the early exit.
 
-    Nothing may filter on these columns before they are stored: the filter would be pushed below
-    the projections and evaluate the regular expressions again.  So rows with an early exit stay
-    in, under a key of their own (one byte longer), until the rows are laid out and cut.
+    Nothing filters on these columns before they are stored: the filter would be pushed below
+    the projections and evaluate the regular expressions again.  Rows with an early exit stay in,
+    under a key of their own (one byte longer) that no run or throttle shares.
     """
     key = F.unhex("fingerprint")
     in_class_layer = (
@@ -123,14 +123,14 @@ def verdict_rows(events: DataFrame, rules: GateRules = GateRules()) -> DataFrame
     return rows
 
 
-def laid_out(verdicts: DataFrame, slice_us: int = SLICE_US) -> DataFrame:
-    """Verdict rows spread by fingerprint and time slice, with the gaps inside a slice; cut."""
-    return cut(mark_gaps(verdicts, "fingerprint", V.STORM_GAP_S * SECOND, slice_us), keep_layout=True)
+def laid_out(verdicts: DataFrame, heat: Heat = Heat()) -> Laid:
+    """Verdict rows spread by fingerprint, hot ones by time slice too, with the gaps known."""
+    return mark_gaps(lay_out(cut(verdicts), "fingerprint", heat), V.STORM_GAP_S * SECOND)
 
 
-def early_exits(marked: DataFrame) -> DataFrame:
+def early_exits(marked: Laid) -> DataFrame:
     """Rows that touch no state: the line's own level or a zero counter says it is no fault."""
-    return marked.filter(F.col("exit").isNotNull()).select(
+    return marked.rows.filter(F.col("exit").isNotNull()).select(
         "id",
         F.lower(F.hex(F.substring("fingerprint", 1, 32))).alias("fingerprint"),
         F.lit(1).cast("bigint").alias("storm_count"),
@@ -141,13 +141,13 @@ def early_exits(marked: DataFrame) -> DataFrame:
     )
 
 
-def storm_runs(marked: DataFrame) -> DataFrame:
+def storm_runs(marked: Laid) -> DataFrame:
     """Position of each row in its run of gaps up to 60 s, and the gap before it."""
-    rows = marked.filter(F.col("exit").isNull()).drop("exit", "exit_reason")
-    return run_positions(rows, "fingerprint", V.STORM_GAP_S * SECOND)
+    rows = marked.rows.filter(F.col("exit").isNull()).drop("exit", "exit_reason")
+    return run_positions(marked.over(rows), V.STORM_GAP_S * SECOND)
 
 
-def storm_gate(marked: DataFrame) -> DataFrame:
+def storm_gate(marked: Laid) -> DataFrame:
     """Fingerprint layer: storm_status, storm_count and whether the event would be sent.
 
     In a run, the fifth row is always sent and from there on the 120 s rule applies; the first
@@ -158,8 +158,7 @@ def storm_gate(marked: DataFrame) -> DataFrame:
     in_storm = F.col("storm_count") >= V.STORM_THRESHOLD
     fresh = F.col("gap").isNull() | (F.col("gap") > V.STATE_RETENTION_S * SECOND)
     judged = throttle(
-        runs,
-        "fingerprint",
+        marked.over(runs),
         F.when(in_storm, V.STORM_SUMMARY_S * SECOND).otherwise(V.REPEAT_SUMMARY_S * SECOND),
         forced=fresh | (F.col("storm_count") == V.STORM_THRESHOLD),
     )
@@ -176,7 +175,7 @@ def storm_gate(marked: DataFrame) -> DataFrame:
     )
 
 
-def class_gate(rows: DataFrame, slice_us: int = SLICE_US) -> DataFrame:
+def class_gate(rows: DataFrame, heat: Heat = Heat()) -> DataFrame:
     """Class layer over rows (id, us, class_key): what each event does to its class.
 
     Three throttles in a row: anchored windows of 300 s number the events; from the fifth of a
@@ -185,29 +184,27 @@ def class_gate(rows: DataFrame, slice_us: int = SLICE_US) -> DataFrame:
     A class forgotten after 24 h needs no reset: every one of these waits is shorter.
     """
     forget = V.STATE_RETENTION_S * SECOND
-    rows = rows.filter(F.col("class_key").isNotNull())
-    marked = cut(mark_gaps(rows, "class_key", forget, slice_us), keep_layout=True)
-    lives = run_positions(marked, "class_key", forget).withColumnRenamed("position", "events_total")
+    marked = mark_gaps(lay_out(rows, "class_key", heat), forget)
+    lives = run_positions(marked, forget).withColumnRenamed("position", "events_total")
 
-    def relay(df: DataFrame) -> DataFrame:
-        """Python output has no known layout: lay it out once for both reads of the next step."""
-        return cut(by_slice(df, "class_key", slice_us), keep_layout=True)
+    def relay(df: DataFrame) -> Laid:
+        laid = again(marked.over(df))
+        return laid.over(cut(laid.rows, keep_layout=True))
 
     # a window holds 300 s inclusive, so the next one can start one microsecond later
     windows = relay(
-        throttle(lives, "class_key", V.CLASS_STORM_WINDOW_S * SECOND + 1)
+        throttle(marked.over(lives), V.CLASS_STORM_WINDOW_S * SECOND + 1)
         .withColumnRenamed("position", "events_window")
         .withColumnRenamed("anchor_us", "window_us")
     )
     crowded = F.col("events_window") >= V.CLASS_STORM_N
     bursts = relay(
-        throttle(windows, "class_key", V.CLASS_STORM_COOLDOWN_S * SECOND, inert=~crowded)
+        throttle(windows, V.CLASS_STORM_COOLDOWN_S * SECOND, inert=~crowded)
         .withColumnRenamed("accepted", "burst")
         .withColumnRenamed("anchor_us", "storm_us")
     )
     pages = throttle(
         bursts,
-        "class_key",
         V.CLASS_COOLDOWN_S * SECOND,
         forced=F.col("burst"),
         inert=crowded & ~F.col("burst"),
@@ -224,13 +221,15 @@ def class_gate(rows: DataFrame, slice_us: int = SLICE_US) -> DataFrame:
     )
 
 
-def gate_layers(marked: DataFrame, rules: GateRules = GateRules()) -> tuple[DataFrame, DataFrame | None]:
+def gate_layers(marked: Laid, rules: GateRules = GateRules()) -> tuple[DataFrame, DataFrame | None]:
     """Verdicts of the fingerprint layer (cut) and of the class layer, both narrow."""
     storm = cut(storm_gate(marked))
     if not rules.class_layer:
         return storm, None
-    reaching = storm.filter(F.col("survives") & ~F.col("collect_only"))
-    return storm, class_gate(reaching.select("id", "us", "class_key"), rules.slice_us)
+    reaching = storm.filter(
+        F.col("survives") & ~F.col("collect_only") & F.col("class_key").isNotNull()
+    )
+    return storm, class_gate(reaching.select("id", "us", "class_key"), rules.heat)
 
 
 def decide(events: DataFrame, rules: GateRules = GateRules()) -> DataFrame:
@@ -238,7 +237,7 @@ def decide(events: DataFrame, rules: GateRules = GateRules()) -> DataFrame:
 
     The verdicts stay narrow all the way; the text of an event is shuffled once, to meet them.
     """
-    marked = laid_out(verdict_rows(events, rules), rules.slice_us)
+    marked = laid_out(verdict_rows(events, rules), rules.heat)
     storm, classes = gate_layers(marked, rules)
     if classes is None:
         layered = storm.withColumn("note", F.lit(None).cast("string")).withColumn("paged", F.lit(True))

@@ -12,7 +12,7 @@ from emberlog.functions.severity import collector_severity
 from emberlog.functions.signing import incident_id, signature
 from emberlog.functions.source import detect_dll, format_source, program_from_source
 from emberlog.functions.text import ascii_lower, cut_bytes, strip
-from emberlog.operators.slices import SLICE_US, by_slice
+from emberlog.operators.slices import Heat, lay_out
 from emberlog.operators.throttle import throttle
 from emberlog.session import cut
 
@@ -131,14 +131,20 @@ def receipts(received: DataFrame) -> DataFrame:
     )
 
 
-def gateway_throttle(narrow: DataFrame, slice_us: int = 8 * SLICE_US) -> DataFrame:
+# times are whole seconds here, so a two-hour slice hands on 1800 steps at most
+GATEWAY_HEAT = Heat(floor_us=7200 * SECOND)
+
+
+def gateway_throttle(narrow: DataFrame, heat: Heat = GATEWAY_HEAT) -> DataFrame:
     """(id, us, fingerprint, accepted, accepted_id): the event each row is counted under.
 
     A critical event is always accepted: its cooldown is zero, and a zero cooldown is forced.
     """
     rows = narrow.filter(F.col("ok") & F.col("enabled")).drop("ok", "enabled")
-    laid_out = cut(by_slice(rows, "fingerprint", slice_us), keep_layout=True)
-    judged = throttle(laid_out, "fingerprint", cooldown_us(F.col("severity")))
+    laid = lay_out(rows, "fingerprint", heat)
+    if laid.split:
+        laid = laid.over(cut(laid.rows, keep_layout=True))
+    judged = throttle(laid, cooldown_us(F.col("severity")))
     return judged.select(
         "id", "us", F.lower(F.hex("fingerprint")).alias("fingerprint"), "severity", "accepted",
         F.col("anchor_id").alias("accepted_id"), F.col("anchor_us").alias("accepted_us"),

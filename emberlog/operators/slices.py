@@ -1,62 +1,163 @@
-"""Order-dependent work on hot keys: rows are spread by (key, time slice).
+"""Order-dependent work on hot keys: a key with very many rows is split into time slices.
 
-A key that holds a third of all rows is split over as many tasks as it has time slices.  What a
-slice needs from the slices before it is a small summary per slice; only those summaries are
-brought together per key, never the rows.
+Rows are spread by (key, slice).  A key with few rows is one slice and needs nothing else.  A hot
+key, which may hold a third of all rows, is split over as many tasks as its rows need; what a slice
+has to know of the slices before it is a small summary per slice, and only the summaries of hot
+keys are brought together, never rows.  Any split gives the same results, so what counts as hot
+is a matter of speed alone.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass, replace
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from emberlog.functions.clock import SECOND
+from emberlog.session import cut, shuffle_parts
+
+WHOLE = -1  # slice number of a key that is not split
+
+
+@dataclass(frozen=True)
+class Heat:
+    """When a key is split, and how finely."""
 
-from emberlog.functions.clock import SECOND, whole
-from emberlog.session import shuffle_parts
+    rows: int = 1_000_000            # rows a task may hold of one key
+    keys: int = 10_000               # hottest keys that are split; bounds the list sent around
+    floor_us: int = 1200 * SECOND    # no slice is shorter: it should span several cooldowns
 
-SLICE_US = 3600 * SECOND
 
+@dataclass(frozen=True)
+class Laid:
+    """Rows (us, id, slice, key) partitioned by key and slice and sorted by (us, id)."""
 
-def by_slice(df: DataFrame, key: str, slice_us: int = SLICE_US) -> DataFrame:
-    """Partition rows by key and slice of ``us``, sorted by (us, id).
+    rows: DataFrame
+    key: str
+    split: bool
+
+    def over(self, rows: DataFrame) -> Laid:
+        return replace(self, rows=rows)
+
+    def order(self):
+        """Row order inside one slice of one key."""
+        return Window.partitionBy(self.key, "slice").orderBy("us", "id")
+
+
+def hot_keys(df: DataFrame, key: str, heat: Heat) -> list:
+    """(key, first_us, slice width) of the hottest keys.
+
+    Counted with a map-side combine; at most ``heat.keys`` rows come back.
+    """
+    counts = df.groupBy(key).agg(
+        F.count(F.lit(1)).alias("n"), F.min("us").alias("first_us"), F.max("us").alias("last_us")
+    )
+    hottest = counts.filter(F.col("n") > heat.rows).orderBy(F.desc("n")).limit(heat.keys).collect()
+    return [
+        (r[key], r.first_us, max(heat.floor_us, -(-(r.last_us - r.first_us + 1) * heat.rows // r.n)))
+        for r in hottest
+    ]
+
+
+def lay_out(df: DataFrame, key: str, heat: Heat = Heat()) -> Laid:
+    """Spread rows by key, hot keys by time slice as well.  ``df`` is read twice, so cut it first."""
+    hot = hot_keys(df, key, heat)
+    if hot:
+        schema = T.StructType([df.schema[key]]).add("hot_us", T.LongType()).add("width", T.LongType())
+        table = F.broadcast(df.sparkSession.createDataFrame(hot, schema))
+        since = F.col("us") - F.col("hot_us")
+        number = ((since - F.pmod(since, F.col("width"))) / F.col("width")).cast("bigint")
+        rows = (
+            df.join(table, key, "left")
+            .withColumn("slice", F.coalesce(number, F.lit(WHOLE).cast("bigint")))
+            .drop("hot_us", "width")
+        )
+    else:
+        rows = df.withColumn("slice", F.lit(WHOLE).cast("bigint"))
+    return again(Laid(rows, key, bool(hot)))
+
+
+def again(laid: Laid) -> Laid:
+    """The same layout for rows that have lost it, as output of a Python step has.
 
     The partition count is explicit, so adaptive execution leaves the layout as it is and the
-    windows that follow need no second shuffle.
+    windows that follow need no further shuffle.
     """
-    return (
-        df.withColumn("slice", whole(F.col("us"), slice_us))
-        .repartition(shuffle_parts(df.sparkSession), key, "slice")
-        .sortWithinPartitions(key, "slice", "us", "id")
+    return laid.over(
+        laid.rows.repartition(shuffle_parts(laid.rows.sparkSession), laid.key, "slice")
+        .sortWithinPartitions(laid.key, "slice", "us", "id")
     )
 
 
-def in_slice(key: str):
-    """Row order inside one slice of one key."""
-    return Window.partitionBy(key, "slice").orderBy("us", "id")
+def mark_gaps(laid: Laid, gap_us: int) -> Laid:
+    """Add what can be known of gaps and runs inside a slice alone, and cut."""
+    w = laid.order()
+    so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = laid.rows.withColumns(
+        {"slice_row": F.row_number().over(w), "slice_gap": F.col("us") - F.lag("us").over(w)}
+    ).withColumn(
+        "run_row",
+        F.last(F.when(F.col("slice_gap") > gap_us, F.col("slice_row")), ignorenulls=True).over(so_far),
+    )
+    return laid.over(cut(rows, keep_layout=True))
 
 
-def run_positions(rows: DataFrame, key: str, gap_us: int) -> DataFrame:
+def run_positions(marked: Laid, gap_us: int) -> DataFrame:
     """Position of every row in its run, where a gap above ``gap_us`` starts a new run.
 
-    ``rows`` come from ``mark_gaps`` and should be cut: they are read twice.  Adds ``position``
-    (1-based) and ``gap`` (microseconds since the key's previous row, null for its first).
+    ``marked`` comes from ``mark_gaps``.  Adds ``position`` (1-based) and ``gap`` (microseconds
+    since the key's previous row, null for its first).
     """
-    slices = rows.groupBy(key, "slice").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min("us").alias("first_us"),
-        F.max("us").alias("last_us"),
-        F.max("run_row").alias("run_row_max"),
+    rows, helpers = marked.rows, ["slice_row", "slice_gap", "run_row"]
+    if not marked.split:
+        first = F.coalesce("run_row", F.lit(1))
+        return rows.withColumns(
+            {"position": (F.col("slice_row") - first + 1).cast("bigint"), "gap": F.col("slice_gap")}
+        ).drop(*helpers)
+    slices = _slice_starts(marked, gap_us)
+    before = F.coalesce("before", F.lit(0))
+    start = F.coalesce(before + F.col("run_row"), F.col("open_row"), F.lit(1))
+    return (
+        rows.join(slices, [marked.key, "slice"], "left")
+        .withColumns(
+            {
+                "position": (before + F.col("slice_row") - start + 1).cast("bigint"),
+                "gap": F.coalesce(F.col("slice_gap"), F.col("us") - F.col("prev_us")),
+            }
+        )
+        .drop("before", "prev_us", "open_row", *helpers)
+    )
+
+
+def _slice_starts(marked: Laid, gap_us: int) -> DataFrame:
+    """For every slice of a split key: rows before it, the last time before it, and the row
+    number, over the whole key, at which the run it starts in began."""
+    key = marked.key
+    slices = (
+        marked.rows.filter(F.col("slice") != WHOLE)
+        .groupBy(key, "slice")
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            F.min("us").alias("first_us"),
+            F.max("us").alias("last_us"),
+            F.max("run_row").alias("run_row_max"),
+        )
     )
     order = Window.partitionBy(key).orderBy("slice")
     earlier = order.rowsBetween(Window.unboundedPreceding, -1)
-    slices = slices.withColumn("prev_us", F.lag("last_us").over(order)).withColumn(
-        "before", F.coalesce(F.sum("n").over(earlier), F.lit(0))
+    slices = slices.withColumns(
+        {
+            "prev_us": F.lag("last_us").over(order),
+            "before": F.coalesce(F.sum("n").over(earlier), F.lit(0)),
+        }
     )
     opens = F.col("prev_us").isNull() | (F.col("first_us") - F.col("prev_us") > gap_us)
-    # row number, counted over the whole key, at which the newest run of a slice starts
     newest = F.when(F.col("run_row_max").isNotNull(), F.col("before") + F.col("run_row_max")).when(
         opens, F.col("before") + 1
     )
-    slices = (
+    return (
         slices.withColumn("newest", newest)
         .withColumn("carried", F.last("newest", ignorenulls=True).over(earlier))
         .select(
@@ -64,25 +165,3 @@ def run_positions(rows: DataFrame, key: str, gap_us: int) -> DataFrame:
             F.when(opens, F.col("before") + 1).otherwise(F.col("carried")).alias("open_row"),
         )
     )
-    start = F.coalesce(F.col("before") + F.col("run_row"), F.col("open_row"))
-    return (
-        rows.join(slices, [key, "slice"], "left")
-        .withColumn("position", F.col("before") + F.col("slice_row") - start + 1)
-        .withColumn("gap", F.coalesce(F.col("slice_gap"), F.col("us") - F.col("prev_us")))
-        .drop("before", "prev_us", "open_row", "slice_row", "slice_gap", "run_row")
-    )
-
-
-def mark_gaps(df: DataFrame, key: str, gap_us: int, slice_us: int = SLICE_US) -> DataFrame:
-    """Spread rows by slice and add what can be known inside a slice alone."""
-    w = in_slice(key)
-    so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return (
-        by_slice(df, key, slice_us)
-        .withColumn("slice_row", F.row_number().over(w))
-        .withColumn("slice_gap", F.col("us") - F.lag("us").over(w))
-        .withColumn(
-            "run_row",
-            F.last(F.when(F.col("slice_gap") > gap_us, F.col("slice_row")), ignorenulls=True).over(so_far),
-        )
-    )

@@ -2,8 +2,9 @@
 
 A row of a key is *accepted* when it is forced, or when nothing of that key was accepted before,
 or when at least ``cooldown`` microseconds have passed since the last accepted row.  Inert rows
-are never accepted.  Each verdict depends on the one before, so a plain fold would put a whole
-key in one task.  Here a key is split into time slices and the work is done in three steps:
+are never accepted.  Each verdict depends on the one before, so a plain fold puts a whole key in one
+task.  That is what happens to keys of ordinary size, for many keys at once.  A hot key is split
+into time slices and judged in three steps:
 
 1. every slice is summarised, in parallel, as a step function from "time of the last accepted row
    before the slice" to "last accepted row at its end";
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from emberlog.operators.slices import in_slice
+from emberlog.operators.slices import WHOLE, Laid
 from emberlog.session import shuffle_parts
 
 NEVER = np.iinfo(np.int64).max  # a step that applies whatever the state is
@@ -261,17 +262,21 @@ def _carry(key: str, key_type: pa.DataType):
     return run
 
 
-def _judge(out_names: list[str]):
+def _judge(out_names: list[str], split: bool):
     def run(batches):
         state = (NONE, NONE, 0)
         for batch in _small(batches):
             stretch = _stretch(batch)
             ids = _ints(batch, "id")
             firsts = stretch.firsts
-            last = _ints(batch, "carry_us")[firsts].copy()
-            last_id = _ints(batch, "carry_id")[firsts].copy()
-            pos = _ints(batch, "carry_pos")[firsts].copy()
-            pos[pos == NONE] = 0
+            if split:
+                last, last_id, pos = (
+                    _ints(batch, name)[firsts].copy() for name in ("carry_us", "carry_id", "carry_pos")
+                )
+                pos[pos == NONE] = 0
+            else:
+                last, last_id = np.full(len(firsts), NONE), np.full(len(firsts), NONE)
+                pos = np.zeros(len(firsts), dtype=np.int64)
             if batch.column("slice_row")[0].as_py() != 1:
                 last[0], last_id[0], pos[0] = state
             accepted = stretch.run(last)
@@ -296,62 +301,56 @@ def _judge(out_names: list[str]):
     return run
 
 
-def throttle(
-    rows: DataFrame, key: str, cooldown_us, forced=None, inert=None
-) -> DataFrame:
-    """Add accepted, anchor_us, anchor_id and position to rows laid out by ``by_slice``.
+def throttle(laid: Laid, cooldown_us, forced=None, inert=None) -> DataFrame:
+    """Add accepted, anchor_us, anchor_id and position to laid-out rows with a unique ``id``.
 
-    ``rows`` needs ``key``, ``slice``, ``us`` and a unique ``id``, and is read twice, so cut it
-    first where it is costly.  ``anchor`` is the newest accepted row up to and including the row
-    itself, ``position`` counts rows from that anchor, starting at 1.
+    ``anchor`` is the newest accepted row up to and including the row itself, ``position`` counts
+    rows from that anchor, starting at 1.  Keys that are not split take one pass; the rows of
+    split keys are read twice, so the rows should be cut.
     """
-    spark = rows.sparkSession
+    rows, key = laid.rows, laid.key
     cooldown = cooldown_us if not isinstance(cooldown_us, int) else F.lit(cooldown_us)
     forced = F.lit(False) if forced is None else forced
     inert = F.lit(False) if inert is None else inert
-    marked = (
-        rows.withColumn("th_cooldown", cooldown.cast("bigint"))
-        .withColumn("th_inert", F.coalesce(inert, F.lit(False)))
-        .withColumn(
-            "th_forced",
-            ~F.col("th_inert") & (F.coalesce(forced, F.lit(False)) | (F.col("th_cooldown") <= 0)),
-        )
-    )
     # The window states the distribution the Python step relies on, so neither a skew join nor
     # a coalesced shuffle can split a group between tasks.
-    in_order = F.row_number().over(in_slice(key))
-    key_type = rows.schema[key].dataType
-    arrow_key = pa.binary() if isinstance(key_type, T.BinaryType) else (
-        pa.int64() if isinstance(key_type, T.LongType) else pa.string()
+    in_order = F.row_number().over(laid.order())
+    marked = rows.withColumns(
+        {"th_cooldown": cooldown.cast("bigint"), "th_inert": F.coalesce(inert, F.lit(False))}
+    ).withColumn(
+        "th_forced",
+        ~F.col("th_inert") & (F.coalesce(forced, F.lit(False)) | (F.col("th_cooldown") <= 0)),
     )
+    added = ("accepted", "anchor_us", "anchor_id", "position")
+    kept = [f for f in rows.schema.fields if f.name not in (*added, "slice_row")]
+    schema = T.StructType([*kept]).add("accepted", T.BooleanType())
+    for name in added[1:]:
+        schema = schema.add(name, T.LongType())
+    marked = marked.select(*[f.name for f in kept], "th_cooldown", "th_forced", "th_inert")
+    if laid.split:
+        marked = marked.join(_carried(marked, laid), [key, "slice"], "left")
+    return marked.withColumn("slice_row", in_order).mapInArrow(_judge(schema.names, laid.split), schema)
+
+
+def _carried(marked: DataFrame, laid: Laid) -> DataFrame:
+    """State at the start of every slice of the split keys, but for their first slices."""
+    key = laid.key
+    key_type = laid.rows.schema[key].dataType
+    arrow_key = {T.BinaryType: pa.binary(), T.LongType: pa.int64()}.get(type(key_type), pa.string())
     key_ddl = key_type.simpleString()
-    narrow = marked.select(key, "slice", "us", "id", "th_cooldown", "th_forced", "th_inert")
-    summaries = narrow.withColumn("slice_row", in_order).mapInArrow(
+    narrow = marked.filter(F.col("slice") != WHOLE).select(
+        key, "slice", "us", "id", "th_cooldown", "th_forced", "th_inert"
+    )
+    summaries = narrow.withColumn("slice_row", F.row_number().over(laid.order())).mapInArrow(
         _summarise(key, arrow_key),
         f"{key} {key_ddl}, slice bigint, rows bigint, upto array<bigint>, last_us array<bigint>, "
         "last_id array<bigint>, last_pos array<bigint>",
     )
-    carried = (
-        summaries.repartition(shuffle_parts(spark), key)
+    return (
+        summaries.repartition(shuffle_parts(marked.sparkSession), key)
         .sortWithinPartitions(key, "slice")
         .mapInArrow(
             _carry(key, arrow_key),
             f"{key} {key_ddl}, slice bigint, carry_us bigint, carry_id bigint, carry_pos bigint",
         )
     )
-    kept = [f for f in rows.schema.fields if f.name not in ("accepted", "anchor_us", "anchor_id", "position")]
-    schema = T.StructType(
-        kept
-        + [
-            T.StructField("accepted", T.BooleanType()),
-            T.StructField("anchor_us", T.LongType()),
-            T.StructField("anchor_id", T.LongType()),
-            T.StructField("position", T.LongType()),
-        ]
-    )
-    return (
-        marked.select(*[f.name for f in kept], "th_cooldown", "th_forced", "th_inert")
-        .join(carried, [key, "slice"], "left")
-        .withColumn("slice_row", in_order)
-        .mapInArrow(_judge(schema.names), schema)
-    )

@@ -8,9 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from emberlog.operators import gate
-from emberlog.operators.slices import by_slice
+from emberlog.operators.slices import Heat, lay_out
 from emberlog.operators.throttle import NONE, Steps, Stretch, throttle
-from emberlog.session import cut
 from emberlog.streaming import rules
 
 GAPS = [0, 1, 1000, 10**6, 5 * 10**6, 40 * 10**6, 60 * 10**6, 60 * 10**6 + 1, 120 * 10**6, 200 * 10**6, 300 * 10**6]
@@ -30,12 +29,16 @@ def random_rows(seed, keys=8, hot=1500):
     return rows
 
 
-@pytest.mark.parametrize("slice_us", [7 * 10**6, 300 * 10**6, 3600 * 10**6, 10**15])
-def test_throttle_equals_fold(spark, slice_us):
-    rows = random_rows(slice_us % 97)
+HEATS = [Heat(), Heat(rows=20, floor_us=7 * 10**6), Heat(rows=100, floor_us=1), Heat(rows=0, floor_us=3600 * 10**6)]
+
+
+@pytest.mark.parametrize("heat", HEATS, ids=str)
+def test_throttle_equals_fold(spark, heat):
+    rows = random_rows(heat.rows)
     df = spark.createDataFrame(rows, "id long, us long, key string, forced boolean, inert boolean, cooldown long")
-    laid_out = cut(by_slice(df, "key", slice_us), keep_layout=True)
-    judged = throttle(laid_out, "key", F.col("cooldown"), F.col("forced"), F.col("inert"))
+    laid = lay_out(df, "key", heat)
+    assert laid.split == (heat.rows < 1500)
+    judged = throttle(laid, F.col("cooldown"), F.col("forced"), F.col("inert"))
     got = {r.id: r for r in judged.collect()}
     assert len(got) == len(rows)
     last = {}
@@ -54,10 +57,10 @@ def test_throttle_equals_fold(spark, slice_us):
             assert row.anchor_us is None
 
 
-@pytest.mark.parametrize("slice_us", [100 * 10**6, 3600 * 10**6])
+@pytest.mark.parametrize("heat", HEATS[:3], ids=str)
 @pytest.mark.parametrize("batch", [23, 10_000])
-def test_layers_equal_single_steps(spark, slice_us, batch):
-    rows = random_rows(slice_us % 89 + batch)
+def test_layers_equal_single_steps(spark, heat, batch):
+    rows = random_rows(heat.rows + batch)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
     try:
         df = spark.createDataFrame([r[:3] for r in rows], "id long, us long, key string")
@@ -66,8 +69,8 @@ def test_layers_equal_single_steps(spark, slice_us, batch):
             F.lit(False).alias("collect_only"), F.lit("error").alias("effective"),
             F.lit(None).cast("string").alias("exit"), F.lit(None).cast("string").alias("exit_reason"),
         )
-        storms = {r.id: r for r in gate.storm_gate(gate.laid_out(keys, slice_us)).collect()}
-        classes = {r.id: r for r in gate.class_gate(keys.select("id", "us", "class_key"), slice_us).collect()}
+        storms = {r.id: r for r in gate.storm_gate(gate.laid_out(keys, heat)).collect()}
+        classes = {r.id: r for r in gate.class_gate(keys.select("id", "us", "class_key"), heat).collect()}
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     storm, klass = {}, {}
