@@ -140,11 +140,13 @@ def class_decision_counts(spark, sf):
 _HOURS = (tb.NOW_US - tb.SINCE_US) / SECOND / 3600.0
 
 
-@query(
-    "dispatch_totals",
+_DISPATCH = (
     f"SELECT dispatched, events, dispatched * 24 / {_HOURS}::DOUBLE AS per_day, 1700 AS baseline_per_day, 365 AS target_per_day "
-    "FROM (SELECT CAST(coalesce(sum(llm_dispatched), 0) AS BIGINT) AS dispatched, count(*) AS events FROM recent)", "recent",
+    "FROM (SELECT CAST(coalesce(sum(llm_dispatched), 0) AS BIGINT) AS dispatched, count(*) AS events FROM recent)"
 )
+
+
+@query("dispatch_totals", _DISPATCH, "recent")
 def dispatch_totals(spark, sf):
     return A.dispatch_totals(_recent(spark, sf), tb.SINCE_US, tb.NOW_US)
 
@@ -329,6 +331,20 @@ def store_watchdog(spark, sf):
     )
 
 
-@query("review_report")
+def _figures(section: str, names: list[str], frame: str) -> str:
+    return " UNION ALL ".join(f"SELECT '{section}', '{n}', CAST({n} AS DOUBLE) FROM ({frame})" for n in names)
+
+
+_REVIEW = f"""
+SELECT 'severity' AS section, {O.reporting()} AS item, CAST(count(*) AS DOUBLE) AS value FROM recent GROUP BY 2
+UNION ALL {_figures("dispatch", ["dispatched", "events", "per_day", "baseline_per_day", "target_per_day"], _DISPATCH)}
+UNION ALL {_figures("class", ["class_new", "cooldown_expired", "storm_summary", "cooled"], f"SELECT {_CLS} FROM recent")}
+UNION ALL {_figures("mislabel", ["info_as_error", "warning_as_error", "zero_counter", "escalated"], f"SELECT {_MIS} FROM recent")}
+UNION ALL SELECT 'cooled', suppression_reason, CAST(n AS DOUBLE) FROM ({_COOLED})
+UNION ALL SELECT 'hour_events', hour, CAST(events AS DOUBLE) FROM ({_PROFILE})
+UNION ALL SELECT 'hour_dispatched', hour, CAST(dispatched AS DOUBLE) FROM ({_PROFILE})"""
+
+
+@query("review_report", _REVIEW, "recent")
 def review_report(spark, sf):
     return review.review(tb.audit(spark, sf), tb.SINCE_US, tb.NOW_US)

@@ -60,9 +60,13 @@ def stream_ttl(spark, sf):
     return rows.select("id", (F.col("storm_status") == "first_seen").alias("first_seen"))
 
 
-@query("stream_sessions")
+@query(
+    "stream_sessions",
+    """SELECT fp AS fingerprint, count(*) AS n, opened AS first_us, max(us) AS last_us FROM storm GROUP BY fp, opened
+    HAVING max(us) + 60000000 <= ((SELECT max(us) FROM storm) - 600000000) // 1000 * 1000""", "storm",
+)
 def stream_sessions(spark, sf):
-    """Closed runs only: those the watermark has not passed at the end stay open, so no twin."""
+    """Closed runs only: those the watermark has not passed at the end stay open."""
     stream = _segments(spark, tb.gate_input(spark, sf), "received_us", "gate-input")
     keys = gate.verdict_rows(stream).filter("exit IS NULL").select(
         F.lower(F.hex("fingerprint")).alias("fingerprint"), "us"

@@ -13,72 +13,89 @@ def one(spark, expr, **values):
     return spark.createDataFrame([tuple(values.values())], names).select(expr).first()[0]
 
 
-@pytest.mark.parametrize(
-    "label, message, effective, exit_status",
-    [
-        ("error", "[INFO] started", "info", "body_level_suppressed"),
-        ("error", "[INFO] call failed", "error", None),
-        ("error", "[WARN] slow", "warning", "body_level_suppressed"),
-        ("warning", "[ERROR] broken", "error", None),
-        ("error", "12:00:01 FATAL gone", "critical", None),
-        ("unknown", "[WARN] slow", "unknown", None),
-        ("unknown", "[INFO] ok", "info", "body_level_suppressed"),
-        ("critical", "[ERROR] broken", "critical", None),
-        (None, "plain", "unknown", None),
-        ("", "plain", "unknown", None),
-        ("error", "[ INFO ] done errors=0", "error", "info_counter_suppressed"),
-        ("error", "[INFO] fail", "info", "body_level_suppressed"),
-        ("error", "x" * 210 + " [INFO]", "error", None),
-        (" ERROR ", "plain", "error", None),
-    ],
-)
-def test_severity(spark, label, message, effective, exit_status):
-    row = gate.graded_events(gate_rows(spark, [(0, label, message)])).first()
-    assert (row.effective, row.exit) == (effective, exit_status)
-
-
-def statuses(spark, times, severity="error", message="broken"):
-    rows = gate.decide(gate_rows(spark, [(t, severity, message) for t in times])).orderBy("id").collect()
-    return [r.storm_status for r in rows], [r.suppression_reason.split(":")[0] for r in rows], [r.llm_dispatched for r in rows]
+SEVERITY_CASES = [
+    ("error", "[INFO] started", "info", "body_level_suppressed"),
+    ("error", "[INFO] call failed", "error", None),
+    ("error", "[WARN] slow", "warning", "body_level_suppressed"),
+    ("warning", "[ERROR] broken", "error", None),
+    ("error", "12:00:01 FATAL gone", "critical", None),
+    ("unknown", "[WARN] slow", "unknown", None),
+    ("unknown", "[INFO] ok", "info", "body_level_suppressed"),
+    ("critical", "[ERROR] broken", "critical", None),
+    (None, "plain", "unknown", None),
+    ("", "plain", "unknown", None),
+    ("error", "[ INFO ] done errors=0", "error", "info_counter_suppressed"),
+    ("error", "[INFO] fail", "info", "body_level_suppressed"),
+    ("error", "x" * 210 + " [INFO]", "error", None),
+    (" ERROR ", "plain", "error", None),
+]
+
+
+def test_severity(spark):
+    rows = gate_rows(spark, [(0, label, message) for label, message, *_ in SEVERITY_CASES])
+    got = gate.graded_events(rows).orderBy("id").collect()
+    assert [(r.effective, r.exit) for r in got] == [(e, x) for *_, e, x in SEVERITY_CASES]
+    audit = gate.decide(rows).orderBy("id").collect()
+    assert audit[10].effective_severity == "warning"
+    assert audit[10].suppression_reason == "collector_error_label_with_zero_counter"
+    assert audit[2].suppression_reason == "body_tag_warning_collector_error"
 
 
 F1, DUP, REP, STORM, HELD = (
     "first_seen", "duplicate_suppressed", "repeat_summary", "storm_summary", "storm_suppressed")
 
-
-@pytest.mark.parametrize(
-    "times, expected",
-    [
-        ([0, 60, 120, 180, 240], [F1, DUP, DUP, DUP, STORM]),
-        ([0, 61], [F1, DUP]),
-        ([0, 299], [F1, DUP]),
-        ([0, 300], [F1, REP]),
-        ([0, 1, 2, 3, 4, 5, 63, 123, 124], [F1, DUP, DUP, DUP, STORM, HELD, HELD, HELD, STORM]),
-        ([0, 86400], [F1, REP]),
-        ([0, 86400.000001], [F1, F1]),
-        ([0, 86401], [F1, F1]),
-    ],
-)
-def test_fingerprint_layer(spark, times, expected):
-    assert statuses(spark, times)[0] == expected
-
-
-@pytest.mark.parametrize(
-    "times, expected",
-    [
-        ([0, 10, 20, 30, 40, 50], ["class_new", "class_cooldown", "class_cooldown", "class_cooldown", "class_storm_summary", "class_cooldown"]),
-        ([0, 3600], ["class_new", "class_cooldown_expired"]),
-        ([0, 3599], ["class_new", "class_cooldown"]),
-        ([0, 300, 301], ["class_new", "class_cooldown", "class_cooldown"]),
-    ],
-)
-def test_class_layer(spark, times, expected):
+FINGERPRINT_CASES = [
+    ([0, 60, 120, 180, 240], [F1, DUP, DUP, DUP, STORM]),
+    ([0, 61], [F1, DUP]),
+    ([0, 299], [F1, DUP]),
+    ([0, 300], [F1, REP]),
+    ([0, 1, 2, 3, 4, 5, 63, 123, 124], [F1, DUP, DUP, DUP, STORM, HELD, HELD, HELD, STORM]),
+    ([0, 86400], [F1, REP]),
+    ([0, 86400.000001], [F1, F1]),
+    ([0, 86401], [F1, F1]),
+]
+
+NEW, COOL, BURST, EXPIRED = "class_new", "class_cooldown", "class_storm_summary", "class_cooldown_expired"
+
+CLASS_CASES = [
+    ([0, 10, 20, 30, 40, 50], [NEW, COOL, COOL, COOL, BURST, COOL]),
+    ([0, 3600], [NEW, EXPIRED]),
+    ([0, 3599], [NEW, COOL]),
+    ([0, 300, 301], [NEW, COOL, COOL]),
+    ([0, 1, 2, 300, 300.5], [NEW, COOL, COOL, COOL, COOL]),      # a window ends after 300 s, inclusive
+    ([0, 1, 2, 3, 300], [NEW, COOL, COOL, COOL, BURST]),
+    ([0, 10, 20, 30, 40, 50, 159, 160], [NEW, COOL, COOL, COOL, BURST, COOL, COOL, BURST]),
+    ([0, 86400], [NEW, EXPIRED]),
+    ([0, 86400.000001], [NEW, NEW]),
+]
+
+
+def by_source(rows):
+    out = {}
+    for row in sorted(rows, key=lambda r: r.id):
+        out.setdefault(row.source, []).append(row)
+    return out
+
+
+def test_fingerprint_layer(spark):
+    rows = [(t, "error", "broken", f"case {n}") for n, (times, _) in enumerate(FINGERPRINT_CASES) for t in times]
+    got = by_source(gate.decide(gate_rows(spark, rows)).collect())
+    for n, (_, expected) in enumerate(FINGERPRINT_CASES):
+        assert [r.storm_status for r in got[f"case {n}"]] == expected
+
+
+def test_class_layer(spark):
     # the last word differs, so every row is a new fingerprint of one class
-    rows = [(t, "error", f"same four words here {chr(97 + i)}") for i, t in enumerate(times)]
-    got = gate.decide(gate_rows(spark, rows)).orderBy("id").collect()
-    assert [r.suppression_reason.split(":")[0] for r in got] == expected
-    assert [r.storm_status for r in got] == [F1] * len(times)
-    assert [r.llm_dispatched for r in got] == [int(e != "class_cooldown") for e in expected]
+    rows = [
+        (t, "error", f"same four words here {chr(97 + i)}", f"case {n}")
+        for n, (times, _) in enumerate(CLASS_CASES) for i, t in enumerate(times)
+    ]
+    got = by_source(gate.decide(gate_rows(spark, rows)).collect())
+    for n, (times, expected) in enumerate(CLASS_CASES):
+        case = got[f"case {n}"]
+        assert [r.suppression_reason.split(":")[0] for r in case] == expected
+        assert [r.storm_status for r in case] == [F1] * len(times)
+        assert [r.llm_dispatched for r in case] == [int(e != COOL) for e in expected]
 
 
 def test_critical_has_no_class_layer(spark):
@@ -89,10 +106,10 @@ def test_critical_has_no_class_layer(spark):
 
 def test_last_sent_moves_even_when_a_later_step_silences(spark):
     """The class cooldown silences the repeat at 300, yet the next repeat is due at 600."""
-    status, reason, sent = statuses(spark, [0, 300, 599, 600])
-    assert status == [F1, REP, DUP, REP]
-    assert reason == ["class_new", "class_cooldown", "", "class_cooldown"]
-    assert sent == [1, 0, 0, 0]
+    rows = gate.decide(gate_rows(spark, [(t, "error", "broken") for t in (0, 300, 599, 600)])).orderBy("id").collect()
+    assert [r.storm_status for r in rows] == [F1, REP, DUP, REP]
+    assert [r.suppression_reason.split(":")[0] for r in rows] == [NEW, COOL, "", COOL]
+    assert [r.llm_dispatched for r in rows] == [1, 0, 0, 0]
 
 
 def test_rotated_file_keeps_its_class(spark):
