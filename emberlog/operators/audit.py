@@ -11,12 +11,13 @@ from emberlog.functions.severity import effective_or_label
 from emberlog.functions.text import cut as cut_text
 
 
-def since(audit: DataFrame, since_us: int) -> DataFrame:
-    """Rows from ``since_us`` on, inclusive.
+def since(audit: DataFrame, since_us: int, exclusive: bool = False) -> DataFrame:
+    """Rows from ``since_us`` on; that very microsecond belongs to them unless ``exclusive``.
 
     A table stored by date also gets the date bound, so whole partitions are skipped.
     """
-    rows = audit.filter(F.col("received_us") >= since_us)
+    at = F.col("received_us")
+    rows = audit.filter(at > since_us if exclusive else at >= since_us)
     if "received_date" in audit.columns:
         rows = rows.filter(F.col("received_date") >= utc_date(F.lit(since_us)))
     return rows

@@ -150,13 +150,17 @@ def report(
     usage: DataFrame | None = None,
     breadcrumbs: DataFrame | None = None,
     title: str = "DAILY_DIGEST",
+    exclusive_since: bool = False,
 ) -> DataFrame:
     """The digest as (line_no, text) rows.
 
+    The mark is the time of the newest row reported, and the bound includes it, so that row is
+    reported twice; ``exclusive_since`` leaves it out.
+
     Every line is made from its own small aggregate; the sections are put together by union and
     numbered at the end, when at most about a hundred rows are left.
     """
-    window = since(audit, since_us)
+    window = since(audit, since_us, exclusive_since)
     counts = cut(window_counts(window))
     clustered = cut(clusters(window))
     top = cut(blocks(ranked(clustered)))

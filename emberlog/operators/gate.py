@@ -322,15 +322,28 @@ def class_state(events: DataFrame, classes: DataFrame, now_us: int) -> DataFrame
     )
 
 
-def enriched_payload(audit: DataFrame) -> DataFrame:
-    """JSON handed on for every dispatched event; it keeps the collector's label."""
-    payload = F.to_json(
-        F.struct(
-            "incident_id", "host", "source", "severity",
-            cut_text(F.col("message"), V.MAX_FORWARDED_MESSAGE).alias("message"),
-            F.col("event_timestamp").alias("timestamp"),
-            "storm_status", "storm_count", "storm_window_seconds",
-            short_key(F.col("fingerprint")).alias("storm_fingerprint"),
-        )
+def enriched_payload(audit: DataFrame, bodies: DataFrame | None = None) -> DataFrame:
+    """JSON handed on for every dispatched event; it keeps the collector's label.
+
+    With ``bodies`` (id, raw_body), fields of the original body that the gate does not know are
+    passed on as they are.
+    """
+    fields = {
+        "incident_id": F.col("incident_id"), "host": F.col("host"), "source": F.col("source"),
+        "severity": F.col("severity"),
+        "message": cut_text(F.col("message"), V.MAX_FORWARDED_MESSAGE),
+        "timestamp": F.col("event_timestamp"), "storm_status": F.col("storm_status"),
+        "storm_count": F.col("storm_count"), "storm_window_seconds": F.col("storm_window_seconds"),
+        "storm_fingerprint": short_key(F.col("fingerprint")),
+    }
+    sent = audit.filter(F.col("llm_dispatched") == 1)
+    if bodies is None:
+        payload = F.to_json(F.struct(*[c.alias(name) for name, c in fields.items()]))
+        return sent.select("id", payload.alias("payload"))
+    known = F.create_map(*[x for name, c in fields.items() for x in (F.lit(name), c.cast("variant"))])
+    others = F.map_filter(
+        F.from_json("raw_body", "map<string, variant>"), lambda name, _: ~name.isin(list(fields))
+    )
+    return sent.join(bodies.select("id", "raw_body"), "id").select(
+        "id", F.to_json(F.map_concat(known, others)).alias("payload")
     )
-    return audit.filter(F.col("llm_dispatched") == 1).select("id", payload.alias("payload"))

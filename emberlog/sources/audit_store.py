@@ -82,6 +82,7 @@ def write_mark(spark: SparkSession, path: str, mark_us: int) -> None:
 def run_digest(
     spark: SparkSession, audit_path: str, mark_path: str, now_us: int, out_path: str,
     usage: DataFrame | None = None, breadcrumbs: DataFrame | None = None, title: str = "DAILY_DIGEST",
+    exclusive_since: bool = False,
 ) -> bool:
     """Incremental digest from the last mark to now.  Returns whether the mark moved.
 
@@ -96,7 +97,7 @@ def run_digest(
                 usage.limit(1).count()
             except PySparkException:
                 usage = None
-        lines = digest.report(audit, since_us, now_us, usage, breadcrumbs, title)
+        lines = digest.report(audit, since_us, now_us, usage, breadcrumbs, title, exclusive_since)
         lines.orderBy("line_no").select("text").coalesce(1).write.mode("overwrite").text(out_path)
     except PySparkException as problem:
         text = f"{type(problem).__name__}: {problem}".replace("\n", " ")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from emberlog.session import work_path
+from emberlog.sources.audit_store import quarantine
 
 
 def write_in_order(rows: DataFrame, time: str, bounds: list[int], path: str) -> None:
@@ -50,3 +53,26 @@ def run_batches(stream: DataFrame, handle: Callable[[DataFrame, int], None], nam
         .start()
     )
     query.awaitTermination()
+
+
+class FailureBreadcrumbs(StreamingQueryListener):
+    """Appends one breadcrumb line when a stream ends with an error, so that silence is noticed."""
+
+    def __init__(self, spark: SparkSession, path: str, stage: str = "stream"):
+        self.spark, self.path, self.stage = spark, path, stage
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        pass
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        if event.exception:
+            row = [(int(time.time() * 1_000_000), event.exception)]
+            rows = self.spark.createDataFrame(row, "received_us long, reason string")
+            lines = quarantine(rows, self.stage, F.col("reason"))
+            lines.select("value").coalesce(1).write.mode("append").text(self.path)

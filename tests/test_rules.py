@@ -288,3 +288,24 @@ def test_times(spark):
         finally:
             spark.conf.set("spark.sql.session.timeZone", "UTC")
         assert tuple(row) == ("2024-01-01T23:59:59Z", "01-02 12:59 NZ", "01-01 23:00", "2024-01-01")
+
+
+def test_unknown_body_fields_are_passed_on(spark):
+    import json
+
+    audit = gate.decide(gate_rows(spark, [(0, "error", "broken " + "x" * 2000)]))
+    body = '{"incident_id": "old", "message": "m", "extra": {"a": [1, true]}, "n": 5}'
+    bodies = spark.createDataFrame([(0, body)], "id long, raw_body string")
+    got = json.loads(gate.enriched_payload(audit, bodies).first().payload)
+    assert got["extra"] == {"a": [1, True]} and got["n"] == 5
+    assert got["incident_id"] == "evt-0" and len(got["message"]) == 1200 and got["storm_count"] == 1
+    plain = json.loads(gate.enriched_payload(audit).first().payload)
+    assert {k: v for k, v in got.items() if k not in ("extra", "n")} == plain
+
+
+def test_exclusive_bound(spark):
+    from emberlog.operators import audit as A
+
+    rows = spark.createDataFrame([(1, START), (2, START + 1)], "id long, received_us long")
+    assert A.since(rows, START).count() == 2
+    assert A.since(rows, START, exclusive=True).count() == 1

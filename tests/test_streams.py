@@ -60,3 +60,34 @@ def tb_bounds():
 
 def test_watermark_column_is_utc(spark):
     assert str(spark.range(1).select(utc_timestamp(F.lit(START)).cast("string")).first()[0]) == "2024-01-01 00:00:00"
+
+
+def test_a_failed_stream_leaves_a_breadcrumb(spark):
+    import time
+
+    import pytest
+    from pyspark.errors import StreamingQueryException
+
+    from emberlog.sources.files import parse_breadcrumbs
+    from emberlog.streaming.run import FailureBreadcrumbs
+
+    rows = gate_rows(spark, [(0, "error", "broken")])
+    path, crumbs = work_path(spark, "in"), work_path(spark, "crumbs")
+    rows.coalesce(1).write.parquet(path)
+    listener = FailureBreadcrumbs(spark, crumbs, "state-store")
+    spark.streams.addListener(listener)
+    try:
+        failing = read_segments(spark, path, rows.schema).select(F.raise_error(F.lit("no store")).cast("string").alias("x"))
+        with pytest.raises(StreamingQueryException):
+            run_to_end(failing, "failing")
+        for _ in range(50):
+            try:
+                got = parse_breadcrumbs(spark.read.text(crumbs)).collect()
+                if got:
+                    break
+            except Exception:
+                pass
+            time.sleep(0.2)
+    finally:
+        spark.streams.removeListener(listener)
+    assert len(got) == 1 and got[0].stage == "state-store" and got[0].fields >= 3 and len(got[0].detail) <= 400
