@@ -21,7 +21,7 @@ from emberlog.functions.keys import class_head, class_key, gate_fingerprint, sho
 from emberlog.functions.severity import false_error_info, grade
 from emberlog.functions.source import stable_source
 from emberlog.functions.text import cut as cut_text
-from emberlog.operators.slices import Heat, Laid, again, lay_out, mark_gaps, run_positions
+from emberlog.operators.slices import Heat, Laid, again, lay_out, mark_gaps, run_positions, stored
 from emberlog.operators.throttle import throttle
 from emberlog.session import cut
 
@@ -125,7 +125,7 @@ def verdict_rows(events: DataFrame, rules: GateRules = GateRules()) -> DataFrame
 
 def laid_out(verdicts: DataFrame, heat: Heat = Heat()) -> Laid:
     """Verdict rows spread by fingerprint, hot ones by time slice too, with the gaps known."""
-    return mark_gaps(lay_out(cut(verdicts), "fingerprint", heat), V.STORM_GAP_S * SECOND)
+    return stored(mark_gaps(lay_out(cut(verdicts), "fingerprint", heat), V.STORM_GAP_S * SECOND))
 
 
 def early_exits(marked: Laid) -> DataFrame:
@@ -185,11 +185,14 @@ def class_gate(rows: DataFrame, heat: Heat = Heat()) -> DataFrame:
     """
     forget = V.STATE_RETENTION_S * SECOND
     marked = mark_gaps(lay_out(rows, "class_key", heat), forget)
+    if marked.split:
+        marked = stored(marked)
     lives = run_positions(marked, forget).withColumnRenamed("position", "events_total")
 
     def relay(df: DataFrame) -> Laid:
-        laid = again(marked.over(df))
-        return laid.over(cut(laid.rows, keep_layout=True))
+        """Rows of split keys are read twice by the next step; others flow on in one job."""
+        laid = marked.over(df)
+        return stored(again(laid)) if marked.split else laid
 
     # a window holds 300 s inclusive, so the next one can start one microsecond later
     windows = relay(

@@ -12,7 +12,7 @@ from emberlog.functions.severity import collector_severity
 from emberlog.functions.signing import incident_id, signature
 from emberlog.functions.source import detect_dll, format_source, program_from_source
 from emberlog.functions.text import ascii_lower, cut_bytes, strip
-from emberlog.operators.slices import Heat, lay_out
+from emberlog.operators.slices import Heat, lay_out, stored
 from emberlog.operators.throttle import throttle
 from emberlog.session import cut
 
@@ -143,7 +143,7 @@ def gateway_throttle(narrow: DataFrame, heat: Heat = GATEWAY_HEAT) -> DataFrame:
     rows = narrow.filter(F.col("ok") & F.col("enabled")).drop("ok", "enabled")
     laid = lay_out(rows, "fingerprint", heat)
     if laid.split:
-        laid = laid.over(cut(laid.rows, keep_layout=True))
+        laid = stored(laid)
     judged = throttle(laid, cooldown_us(F.col("severity")))
     return judged.select(
         "id", "us", F.lower(F.hex("fingerprint")).alias("fingerprint"), "severity", "accepted",

@@ -91,8 +91,13 @@ def again(laid: Laid) -> Laid:
     )
 
 
+def stored(laid: Laid) -> Laid:
+    """Cut the rows; they keep their layout."""
+    return laid.over(cut(laid.rows, keep_layout=True))
+
+
 def mark_gaps(laid: Laid, gap_us: int) -> Laid:
-    """Add what can be known of gaps and runs inside a slice alone, and cut."""
+    """Add what can be known of gaps and runs inside a slice alone."""
     w = laid.order()
     so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = laid.rows.withColumns(
@@ -101,13 +106,13 @@ def mark_gaps(laid: Laid, gap_us: int) -> Laid:
         "run_row",
         F.last(F.when(F.col("slice_gap") > gap_us, F.col("slice_row")), ignorenulls=True).over(so_far),
     )
-    return laid.over(cut(rows, keep_layout=True))
+    return laid.over(rows)
 
 
 def run_positions(marked: Laid, gap_us: int) -> DataFrame:
     """Position of every row in its run, where a gap above ``gap_us`` starts a new run.
 
-    ``marked`` comes from ``mark_gaps``.  Adds ``position`` (1-based) and ``gap`` (microseconds
+    ``marked`` comes from ``mark_gaps``, stored if a key is split.  Adds ``position`` (1-based) and ``gap`` (microseconds
     since the key's previous row, null for its first).
     """
     rows, helpers = marked.rows, ["slice_row", "slice_gap", "run_row"]

@@ -119,7 +119,7 @@ def replay_regression(spark, sf):
     old = storm.filter(F.col("survives") & ~F.col("collect_only") & F.col("class_key").isNotNull()).select(
         "class_key", F.lit(1).alias("llm_dispatched")
     )
-    new = classes.select("class_key", F.col("paged").cast("int").alias("llm_dispatched"))
+    new = cut(classes).select("class_key", F.col("paged").cast("int").alias("llm_dispatched"))
     lost = A.lost_classes(old, new).select(F.lit("lost").alias("side"))
     sides = (
         old.select("class_key").distinct().select(F.lit("before").alias("side"))
