@@ -68,7 +68,11 @@ def work_path(spark: SparkSession, name: str) -> str:
 
 
 def shuffle_parts(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+    """Partitions of an explicit layout; a local run gains nothing from many more than its cores."""
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if spark.sparkContext.master.startswith("local"):
+        parts = min(parts, 2 * spark.sparkContext.defaultParallelism)
+    return parts
 
 
 def spread(df: DataFrame) -> DataFrame:
