@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from emberlog.llm import decontaminate, twins
+from emberlog.llm import decontaminate, hmm, language, twins
 
 QUERIES = {
     "op6_decontamination": decontaminate.op6_decontamination,
+    "op7_hmm": hmm.op7_hmm,
+    "op8_language": language.op8_language,
 }
 ORACLES = {name: twins.SQL[name] for name in QUERIES if name in twins.SQL}
