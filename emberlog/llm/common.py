@@ -93,6 +93,23 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[n]
 
 
+def span_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of spans that follow each other, from running sums of bytes times powers."""
+    out = np.empty(len(start), np.uint64)
+    low = 0
+    while low < len(out):
+        base = start[low]
+        high = max(low + 1, int(np.searchsorted(end, base + CHUNK, "right")))
+        size = int(end[high - 1] - base)
+        up, down = _power(CHUNK) if size <= CHUNK else _power(size)
+        sums = np.zeros(size + 1, np.uint64)
+        np.cumsum((raw[base:base + size].astype(np.uint64) + np.uint64(1)) * up[:size], out=sums[1:])
+        s, e = start[low:high] - base, end[low:high] - base
+        out[low:high] = mix((sums[e] - sums[s]) * down[s])
+        low = high
+    return out
+
+
 class Words:
     """The words of some rows: ``start``/``end`` bytes, ``row``, ``hash`` (64 bit), ``first`` word of each row."""
 
@@ -112,22 +129,7 @@ class Words:
         self.end = np.flatnonzero(flags & (after | edge[1:])) + 1
         self.first = np.searchsorted(self.start, at)
         self.row = np.repeat(np.arange(len(at) - 1), np.diff(self.first))
-        self.hash = self._hashes()
-
-    def _hashes(self) -> np.ndarray:
-        out = np.empty(len(self.start), np.uint64)
-        low = 0
-        while low < len(out):
-            base = self.start[low]
-            high = max(low + 1, int(np.searchsorted(self.end, base + CHUNK, "right")))
-            size = int(self.end[high - 1] - base)
-            up, down = _power(CHUNK) if size <= CHUNK else _power(size)
-            sums = np.zeros(size + 1, np.uint64)
-            np.cumsum((self.raw[base:base + size].astype(np.uint64) + np.uint64(1)) * up[:size], out=sums[1:])
-            s, e = self.start[low:high] - base, self.end[low:high] - base
-            out[low:high] = mix((sums[e] - sums[s]) * down[s])
-            low = high
-        return out
+        self.hash = span_hashes(raw, self.start, self.end)
 
     def counts(self) -> np.ndarray:
         return np.diff(self.first)

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from emberlog.llm import decontaminate, hmm, language, twins
+from emberlog.llm import chat, decontaminate, hmm, language, pieces, secrets, twins, urls
 
 QUERIES = {
+    "op1_chat": chat.op1_chat,
+    "op3_url_filters": urls.op3_url_filters,
+    "op5_secrets": secrets.op5_secrets,
     "op6_decontamination": decontaminate.op6_decontamination,
     "op7_hmm": hmm.op7_hmm,
     "op8_language": language.op8_language,
+    "op9_sentencepiece": pieces.op9_sentencepiece,
 }
 ORACLES = {name: twins.SQL[name] for name in QUERIES if name in twins.SQL}

@@ -35,3 +35,115 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
   sha256(coalesce(items, '')) AS items_sha256, (coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w)) AS contaminated
 FROM d LEFT JOIN covered USING (rid) LEFT JOIN named USING (rid)""",
 }
+
+SQL["op3_url_filters"] = rf"""
+WITH p AS (
+  SELECT page_id,
+    CASE WHEN contains(url, '://') THEN {_fold("regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1)")} ELSE '' END AS host,
+    CASE WHEN contains(url, '://') THEN regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) ELSE '' END AS path
+  FROM pages
+), r(rule_host, rule_path, verdict) AS (
+  VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')
+), u AS (SELECT DISTINCT host, path FROM p), best AS (
+  SELECT host, path, rule_host || rule_path AS rule, verdict,
+    row_number() OVER (PARTITION BY host, path ORDER BY length(rule_host || rule_path) DESC, length(rule_host) DESC) AS k
+  FROM u JOIN r ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+)
+SELECT page_id, p.host, p.path, rule, coalesce(verdict, 'allow') AS verdict
+FROM p LEFT JOIN best ON p.host = best.host AND p.path = best.path AND k = 1"""
+
+
+def _places(pattern: str) -> str:
+    """Start and end of each match, from the lengths of pieces and matches."""
+    return f"""SELECT rid, unnest(range(1, len(m) + 1)) AS i, m, s FROM (
+      SELECT rid, regexp_extract_all(text, '{pattern}') AS m, string_split_regex(text, '{pattern}') AS s FROM d)"""
+
+
+def _secrets() -> str:
+    from emberlog.llm import secrets as S
+
+    quoted = lambda p: p.replace("'", "''")
+    a = quoted(S.ASSIGN)
+    parts = []
+    for k, pattern in enumerate((a, S.ACCESS, S.HEX, S.TOKEN)):
+        value = f"regexp_extract(v, '{a}', 2)" if k == 0 else "v"
+        parts.append(f"""SELECT rid, {k} AS kind, start, start + length(v) AS stop, {value} AS value FROM (
+          SELECT rid, m[i] AS v, list_sum(list_transform(s[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS start
+          FROM ({_places(pattern)}))""")
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, coalesce(source, '') AS repo FROM documents),
+every AS ({' UNION ALL '.join(parts)}),
+base AS (SELECT * FROM every WHERE kind < 3 AND (kind > 0 OR length(value) >= {S.MIN_VALUE})),
+tokens AS (
+  SELECT * FROM every e WHERE kind = 3 AND regexp_matches(value, '[0-9]') AND regexp_matches(value, '[a-z]') AND regexp_matches(value, '[A-Z]')
+  AND NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = e.rid AND b.start < e.stop AND e.start < b.stop)
+), spans AS (SELECT * FROM base UNION ALL SELECT * FROM tokens),
+owners AS (SELECT value, count(DISTINCT split_part(repo, '/', 1)) AS owners FROM spans JOIN d USING (rid) GROUP BY value),
+judged AS (SELECT *, owners < {S.EXAMPLE_OWNERS} AS live, {S.KINDS}[kind + 1] || ':' || start::BIGINT || ':' || stop::BIGINT AS said FROM spans JOIN owners USING (value)),
+per AS (
+  SELECT rid, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+    string_agg(said, ',' ORDER BY start, kind) FILTER (kind < 3) AS base, string_agg(said, ',' ORDER BY start, kind) FILTER (kind < 3 OR live) AS spans,
+    count(*) FILTER (kind < 3 AND live) AS n_live, count(*) FILTER (kind < 3 AND NOT live) AS n_example
+  FROM judged GROUP BY rid
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example
+FROM d LEFT JOIN per USING (rid)"""
+
+
+SQL["op5_secrets"] = _secrets()
+
+
+def _chat() -> str:
+    from emberlog.llm import chat as C
+
+    b = C.Budget()
+    body = "replace(text, '\\', '\\\\')"
+    role = "replace(role, '\\', '\\\\')"
+    for control, inside in C.ESCAPES:
+        body, role = f"replace({body}, '{control}', '{inside}')", f"replace({role}, '{control}', '{inside}')"
+    cases = ", ".join(f"({c}, {t}, '{r}', '{x}')" for c, t, r, x in C.CASES)
+    return f"""
+WITH every AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM (
+    SELECT conv_id, turn, role, text FROM conversations UNION ALL VALUES {cases})
+), written AS (
+  SELECT *, '### ' || replace({role}, ': ', ':\\ ') || ': ' || {body} || '</turn>' || chr(10) AS fmt FROM every
+), counted AS (
+  SELECT *, len(regexp_extract_all(fmt, '{C.TOKEN}')) AS tokens, row_number() OVER conv AS no FROM written
+  WINDOW conv AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
+), placed AS (
+  SELECT *, max(CASE WHEN no = 1 AND role = '{b.system}' THEN tokens END) OVER (PARTITION BY conv_id) AS sys,
+    sum(tokens) OVER (PARTITION BY conv_id ORDER BY no) - tokens AS before
+  FROM counted
+), sized AS (
+  SELECT *, no = 1 AND sys IS NOT NULL AS is_system, before - coalesce(sys, 0) AS start,
+    greatest({b.window - b.history} - coalesce(sys, 0), {b.least}) AS size
+  FROM placed
+), cells AS (
+  SELECT *, start // size AS cell, (start + tokens - 1) // size AS last FROM sized WHERE NOT is_system
+), fresh AS (
+  SELECT *, CASE WHEN last > cell THEN 2 * last ELSE 2 * cell + 1 END AS win FROM cells
+), windows AS (
+  SELECT conv_id, win, min(start) AS begin, sum(length(fmt)) AS chars FROM fresh GROUP BY conv_id, win
+), repeats AS (
+  SELECT w.conv_id, w.win, sum(length(f.fmt)) AS chars FROM windows w JOIN fresh f
+  ON w.conv_id IS NOT DISTINCT FROM f.conv_id AND f.start < w.begin AND f.start >= w.begin - {b.history} GROUP BY 1, 2
+), system AS (SELECT conv_id, length(fmt) AS chars FROM sized WHERE is_system),
+sizes AS (
+  SELECT s.conv_id, coalesce(n.n, 0) AS n, coalesce(n.chars, 0) + coalesce(y.chars, 0) * greatest(coalesce(n.n, 0), 1) AS chars
+  FROM (SELECT DISTINCT conv_id FROM every) s
+  LEFT JOIN (SELECT w.conv_id, count(*) AS n, sum(w.chars + coalesce(r.chars, 0)) AS chars FROM windows w
+    LEFT JOIN repeats r ON w.conv_id IS NOT DISTINCT FROM r.conv_id AND w.win = r.win GROUP BY 1) n ON s.conv_id IS NOT DISTINCT FROM n.conv_id
+  LEFT JOIN system y ON s.conv_id IS NOT DISTINCT FROM y.conv_id
+), said AS (
+  SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY no)) AS turns_sha256,
+    coalesce(string_agg(text, '' ORDER BY no) FILTER (role = '{b.target}'), '') AS learned
+  FROM counted GROUP BY conv_id
+)
+SELECT said.conv_id, n_turns, turns_sha256, length(learned) AS loss_chars, sha256(learned) AS loss_sha256,
+  chars::BIGINT AS formatted_chars, greatest(n, 1)::BIGINT AS n_windows
+FROM said JOIN sizes ON said.conv_id IS NOT DISTINCT FROM sizes.conv_id"""
+
+
+SQL["op1_chat"] = _chat()
