@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from emberlog.llm import chat, decontaminate, hmm, language, pieces, secrets, twins, urls
+from emberlog.llm import chat, decontaminate, hmm, language, pieces, secrets, twins, urls, warc
 
 QUERIES = {
     "op1_chat": chat.op1_chat,
@@ -12,5 +12,6 @@ QUERIES = {
     "op7_hmm": hmm.op7_hmm,
     "op8_language": language.op8_language,
     "op9_sentencepiece": pieces.op9_sentencepiece,
+    "op10_warc": warc.op10_warc,
 }
 ORACLES = {name: twins.SQL[name] for name in QUERIES if name in twins.SQL}

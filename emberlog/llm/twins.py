@@ -147,3 +147,16 @@ FROM said JOIN sizes ON said.conv_id IS NOT DISTINCT FROM sizes.conv_id"""
 
 
 SQL["op1_chat"] = _chat()
+
+
+_B32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+_DIGITS = " || ".join(
+    f"substr('{_B32}', ((('0x' || substr(hex, {i + 1}, 10))::BIGINT >> {35 - 5 * k}) % 32 + 1)::INTEGER, 1)" for i in range(0, 40, 10) for k in range(8))
+
+SQL["op10_warc"] = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS hex FROM pages),
+firsts AS (SELECT hex, min(page_id) AS first FROM p GROUP BY hex)
+SELECT page_id, strlen(payload)::BIGINT AS payload_bytes, {_DIGITS} AS payload_digest,
+  CASE WHEN page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to, true AS digest_ok
+FROM p JOIN firsts USING (hex)"""
