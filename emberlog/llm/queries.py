@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from emberlog.llm import chat, decontaminate, hmm, language, pieces, secrets, twins, urls, warc
+from emberlog.llm import chat, decontaminate, embeddings, hmm, language, pieces, secrets, twins, urls, warc
 
 QUERIES = {
     "op1_chat": chat.op1_chat,
+    "op2_embeddings": embeddings.op2_embeddings,
     "op3_url_filters": urls.op3_url_filters,
     "op5_secrets": secrets.op5_secrets,
     "op6_decontamination": decontaminate.op6_decontamination,

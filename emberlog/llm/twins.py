@@ -160,3 +160,17 @@ SELECT page_id, strlen(payload)::BIGINT AS payload_bytes, {_DIGITS} AS payload_d
   CASE WHEN page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN page_id <> first THEN first END AS refers_to, true AS digest_ok
 FROM p JOIN firsts USING (hex)"""
+
+_NORM = "list_transform(embedding, lambda x: x::DOUBLE)"
+SQL["op2_embeddings"] = f"""
+WITH RECURSIVE e AS (
+  SELECT vec_id, label, v, sqrt(list_dot_product(v, v)) AS norm FROM (SELECT vec_id, label, {_NORM} AS v FROM embeddings)
+  WHERE label IS NOT NULL AND v IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), u AS (SELECT * FROM e WHERE norm > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id
+  AND list_dot_product(a.v, b.v) / (a.norm * b.norm) >= 0.98
+), reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+least AS (SELECT a, min(b) AS b FROM reach GROUP BY a), n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, least(vec_id, coalesce(b, vec_id)) AS component_id, vec_id <= coalesce(b, vec_id) AS kept
+FROM embeddings LEFT JOIN n ON n.a = vec_id LEFT JOIN least ON least.a = vec_id"""
