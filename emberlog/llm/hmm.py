@@ -17,6 +17,7 @@ SYMBOLS = 8192       # most frequent words with emissions of their own; the othe
 LOOKUP = 1 << 18     # most frequent words whose counts every task holds; the rest meet theirs in a join
 ROUNDS = 4           # of Baum-Welch
 SEGMENT = 256        # tokens of a training sequence; likelihoods are over whole texts
+BATCH = 1 << 20      # bytes of text whose sequences are worked on side by side
 SMOOTH = 0.5
 _HELD = 1 << 20
 
@@ -73,7 +74,16 @@ def count_words(train: DataFrame, symbols: int = SYMBOLS, lookup: int = LOOKUP)
     rows = cut(texts.mapInArrow(_word_counts, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")))
     ends = texts.count()
     words, distinct = rows.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    top = rows.orderBy(F.desc("n"), "h").limit(lookup).toPandas()
+    # the least frequency class from which on at most ``lookup`` words are left
+    level = F.floor(F.log2("n") * 16)
+    sizes = rows.groupBy(level.alias("level")).agg(F.count("*").alias("words")).orderBy(F.desc("level")).collect()
+    floor, held = 1 << 20, 0
+    for size in sizes:
+        held += size["words"]
+        if held > lookup:
+            break
+        floor = size["level"]
+    top = rows.filter(level >= floor).toPandas().sort_values(["n", "h"], ascending=[False, True])
     hashes, counts = top["h"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
     symbols = min(symbols, len(hashes))
     symbol = np.minimum(np.arange(len(hashes)), symbols)
@@ -193,7 +203,7 @@ def train_model(train: DataFrame, counts: Counts, states: int = STATES, rounds:
         def work(batches, shared=shared):
             now, hashes, ids = shared.value
             sums = [np.zeros_like(x) for x in (now.start, now.step, now.emit)]
-            for batch in pieces(batches, "text"):
+            for batch in pieces(batches, "text", BATCH):
                 tokens, first = _tokens(words_of(batch, "text", SPACED), small, hashes, ids)
                 bounds, kind = _segments(first, segment)
                 seq = Sequences(tokens, bounds)
@@ -243,7 +253,7 @@ def score(docs: DataFrame, counts: Counts, model: Model) -> DataFrame:
         class_of = np.where(c.symbol < c.symbols, 0.0, class_of)
         end_base = np.log10((c.ends + SMOOTH) / (c.total + SMOOTH * (c.distinct + 1)))
         symbol = np.append(c.symbol, c.symbols)
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", BATCH):
             words = words_of(batch, "text", SPACED)
             n, rows = words.counts(), batch.num_rows
             at = _find(c.hashes, words.hash)
