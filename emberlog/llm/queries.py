@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from emberlog.llm import chat, decontaminate, embeddings, hmm, language, pieces, secrets, twins, urls, warc
+from emberlog.llm import chat, decontaminate, embeddings, hmm, jaccard, language, pieces, secrets, twins, urls, warc
 
 QUERIES = {
     "op1_chat": chat.op1_chat,
     "op2_embeddings": embeddings.op2_embeddings,
     "op3_url_filters": urls.op3_url_filters,
+    "op4_jaccard": jaccard.op4_jaccard,
     "op5_secrets": secrets.op5_secrets,
     "op6_decontamination": decontaminate.op6_decontamination,
     "op7_hmm": hmm.op7_hmm,

@@ -174,3 +174,21 @@ links AS (
 least AS (SELECT a, min(b) AS b FROM reach GROUP BY a), n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
 SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, least(vec_id, coalesce(b, vec_id)) AS component_id, vec_id <= coalesce(b, vec_id) AS kept
 FROM embeddings LEFT JOIN n ON n.a = vec_id LEFT JOIN least ON least.a = vec_id"""
+
+_SPACED_WORDS = r"'[^\x20\x09-\x0D]+'"
+SQL["op4_jaccard"] = f"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(regexp_extract_all({_fold('text')}, {_SPACED_WORDS}), []) AS w FROM documents
+), s AS (
+  SELECT DISTINCT rid, gram FROM (
+    SELECT rid, array_to_string(w[i:i + n - 1], ' ') AS gram FROM (
+      SELECT rid, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM (SELECT *, least(4, len(w)) AS n FROM d WHERE len(w) > 0)))
+), sizes AS (SELECT rid, count(*) AS n FROM s GROUP BY rid),
+common AS (SELECT a.rid AS a, b.rid AS b, count(*) AS c FROM s a JOIN s b ON a.gram = b.gram AND a.rid <> b.rid GROUP BY ALL),
+links AS (
+  SELECT x.doc_id AS a, y.doc_id AS b FROM common JOIN sizes p ON p.rid = a JOIN sizes q ON q.rid = b JOIN d x ON x.rid = a JOIN d y ON y.rid = b
+  WHERE 100 * c >= 85 * (p.n + q.n - c)
+), reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+least AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(doc_id, coalesce(b, doc_id)) AS component_id
+FROM d LEFT JOIN sizes USING (rid) LEFT JOIN least ON least.a = doc_id"""
