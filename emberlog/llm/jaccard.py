@@ -51,7 +51,7 @@ def _sets(batch: pa.RecordBatch, k: int) -> tuple[list[np.ndarray], np.ndarray]:
     """Each row's sorted distinct shingles: k words, or all words of a shorter text."""
     words = words_of(batch, "text", SPACED)
     h, first = words.hash, words.first
-    odd = [np.uint64(2 * j + 1) * np.uint64(0x9E3779B97F4A7C15) for j in range(k)]
+    odd = [np.uint64((2 * j + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1) for j in range(k)]
     grams = np.zeros(max(0, len(h) - k + 1), np.uint64)
     for j in range(k):
         grams += mix(h[j:len(h) - k + 1 + j] * odd[j]) if len(grams) else grams
