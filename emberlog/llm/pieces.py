@@ -14,7 +14,8 @@ from emberlog.llm.common import pieces as batches_of
 from emberlog.llm.common import span_hashes, table, utf8
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-BATCH = 16 << 20         # bytes of text whose distinct words are indexed together
+BATCH = 4 << 20          # bytes of text whose distinct words are indexed together
+TOKENS = 1 << 20         # ids that are decoded at once
 META = "▁".encode()  # stands for a blank inside pieces
 _BLANK = 32
 
@@ -146,9 +147,9 @@ class Encoder:
         # at first every character is a token
         starts = np.flatnonzero((data & 0xC0) != 0x80)
         stops = np.append(starts[1:], len(data))
-        end = np.zeros(len(data) + 1, np.int64)
+        end = np.zeros(len(data) + 1, np.int32)
         end[starts] = stops
-        token = np.full(len(data), -1, np.int64)
+        token = np.full(len(data), -1, np.int32)
         plain = starts[data[starts] < 128]
         token[plain] = self.ascii_ids[data[plain]]
         wide = data[starts] >= 128
@@ -238,6 +239,20 @@ def decode_ids(v: Vocabulary, ids: np.ndarray, first: np.ndarray) -> list[str]:
     return [raw[a:b].removeprefix(b" ").decode(errors="replace") for a, b in zip(at, at[1:])]
 
 
+def _bounds(lists: pa.ListArray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(np.asarray(lists.value_lengths().fill_null(0), np.int64))])
+
+
+def _short(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with up to ``TOKENS`` ids, or one longer row."""
+    for batch in batches:
+        first, low = _bounds(batch.column(batch.schema.get_field_index(column))), 0
+        while low < batch.num_rows:
+            high = max(low + 1, int(np.searchsorted(first, first[low] + TOKENS, "right")) - 1)
+            yield batch.slice(low, high - low)
+            low = high
+
+
 def _plain(docs: DataFrame, drop: str) -> tuple[DataFrame, list[str], str]:
     """Positional names, so that columns that differ in case or hold dots stay apart; an existing result column goes."""
     names = [c for c in docs.columns if c != drop]
@@ -270,10 +285,9 @@ def decode(tokens: DataFrame, vocabulary: Vocabulary, ids: str = "ids", text: st
     column = f"c{names.index(ids)}"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _short(batches, column):
             lists = batch.column(batch.schema.get_field_index(column))
-            counts = np.asarray(lists.value_lengths().fill_null(0), np.int64)
-            first = np.concatenate([[0], np.cumsum(counts)])
+            first = _bounds(lists)
             texts = decode_ids(shared.value, np.asarray(lists.flatten(), np.int64), first)
             mask = np.asarray(lists.is_null())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string(), mask=mask)], names=[*batch.schema.names, "text"])
