@@ -1,9 +1,11 @@
 """N-gram Jaccard join: documents grouped by equal prefixes, pairs verified, components of the links.
 
 A document's set holds the hashes of its distinct shingles.  All sets are sorted by one order, rare shingles
-first, so two sets that are similar enough share a token among the first few (their prefixes).
+first, so two sets that are similar enough share a token among the first few (their prefixes).  Documents with
+equal prefixes and size are one group.  Groups that share a prefix token and are of about one size are a bucket.
 
-Large groups of near copies would all share some token.  So a bucket (the groups that share a prefix token) is
+A bucket of a few members gives their pairs, which sizes, places of the token and bitmaps filter before
+anything is verified.  Large groups of near copies would all share some token; a bucket of many members is
 not expanded into pairs.  It has a pivot, its member with the fewest rarer tokens, and every member is verified
 against that: a star.  From the star each member keeps D, by how many shingles it differs from the pivot,
 and which.  Let d(x, y) be the difference up to which x and y still link; then two members either
@@ -30,7 +32,8 @@ from pyspark.sql import functions as F
 from emberlog.llm.common import SPACED, bare, components, cut, mix, pieces, table, words_of
 
 SLOTS = 1 << 17      # counters of the frequency sketch that orders shingles
-_HELD = 1 << 16
+BITS = 1024          # of a set's bitmap
+FEW = 16             # members up to which a bucket gives its pairs; larger ones go by their pivot, as exactly
 _FEW = np.uint64(0xA0761D6478BD642F)
 
 
@@ -109,6 +112,12 @@ def _ordered(s: np.ndarray, sketch: np.ndarray) -> np.ndarray:
     return s[np.lexsort((s, sketch[_slot(s)]))]
 
 
+def _bitmap(s: np.ndarray) -> np.ndarray:
+    """How often each of ``BITS`` places is hit, modulo 2: two bitmaps differ in no more places than their sets do."""
+    odd = np.bincount((s & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
+
+
 def _lists(parts: list[np.ndarray]) -> pa.ListArray:
     offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
     flat = np.concatenate(parts).view(np.int64) if parts else np.zeros(0, np.int64)
@@ -116,7 +125,7 @@ def _lists(parts: list[np.ndarray]) -> pa.ListArray:
 
 
 def _prefixes(docs: DataFrame, rule: Rule, sketch: np.ndarray) -> DataFrame:
-    """n, h1, h2 and the prefix of every set; copies within a batch once."""
+    """n, h1, h2, the prefix and the bitmap of every set; copies within a batch once."""
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
     k, percent = rule.words, rule.percent
 
@@ -127,9 +136,10 @@ def _prefixes(docs: DataFrame, rule: Rule, sketch: np.ndarray) -> DataFrame:
             _, one = np.unique(np.stack([h1, h2]), axis=1, return_index=True)
             one = one[n[one] > 0]
             parts = [_ordered(sets[i], shared.value)[:n[i] + (-n[i] * percent) // 100 + 1] for i in one]
-            yield pa.RecordBatch.from_arrays([pa.array(n[one]), pa.array(h1[one]), pa.array(h2[one]), _lists(parts)], names=["n", "h1", "h2", "prefix"])
+            maps = [_bitmap(sets[i]) for i in one]
+            yield pa.RecordBatch.from_arrays([pa.array(n[one]), pa.array(h1[one]), pa.array(h2[one]), _lists(parts), _lists(maps)], names=["n", "h1", "h2", "prefix", "bits"])
 
-    return docs.mapInArrow(work, "n long, h1 long, h2 long, prefix array<long>")
+    return docs.mapInArrow(work, "n long, h1 long, h2 long, prefix array<long>, bits array<long>")
 
 
 def _whole(docs: DataFrame, rule: Rule, sketch: np.ndarray) -> DataFrame:
@@ -155,7 +165,8 @@ def _met(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     """``pairs`` (x, y) with their sizes, what either has alone, how much they differ, and whether they link."""
     pairs = pairs.join(sets.select(F.col("id").alias("x"), F.col("tokens").alias("tx")), "x")
     pairs = pairs.join(sets.select(F.col("id").alias("y"), F.col("tokens").alias("ty")), "y")
-    pairs = pairs.select("x", "y", F.size("tx").cast("long").alias("nx"), F.size("ty").cast("long").alias("ny"),
+    kept = [c for c in pairs.columns if c not in ("x", "y", "tx", "ty")]
+    pairs = pairs.select("x", "y", *kept, F.size("tx").cast("long").alias("nx"), F.size("ty").cast("long").alias("ny"),
                          F.array_except("tx", "ty").alias("more"), F.array_except("ty", "tx").alias("less"))
     pairs = pairs.withColumn("apart", (F.size("more") + F.size("less")).cast("long"))
     common = F.col("nx") - F.size("more")
@@ -181,33 +192,45 @@ def join_classes(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     own = measured.filter("slot IS NULL").select("doc_id", "n", "h1", "h2")
     names = ["n", "h1", "h2"]
     classes = own.filter("n > 0 AND doc_id IS NOT NULL").groupBy(*names).agg(F.min("doc_id").alias("id"))
-    prefixes = _prefixes(rows, rule, sketch).groupBy(*names).agg(F.first("prefix").alias("prefix"))
+    prefixes = _prefixes(rows, rule, sketch).groupBy(*names).agg(F.first("prefix").alias("prefix"), F.first("bits").alias("bits"))
     # classes with equal prefix and size are one group, named after its least member
-    grouped = classes.join(prefixes, names).select("id", "n", "prefix", F.xxhash64("prefix").alias("p1"), F.xxhash64(F.reverse("prefix")).alias("p2"))
-    grouped = cut(grouped)
-    groups = grouped.groupBy("n", "p1", "p2").agg(F.min("id").alias("group"), F.max("id").alias("last"))
-    members = cut(grouped.join(groups, ["n", "p1", "p2"]).select("id", "group", "last", "prefix"))
-    heads = members.filter("id = group").select("group", F.posexplode("prefix").alias("pos", "token"))
-    pivot = F.min(F.struct("pos", "group"))
-    buckets = heads.groupBy("token").agg(pivot.alias("pivot"), F.count("*").alias("held")).filter("held > 1")
-    buckets = buckets.select("token", F.col("pivot.group").alias("y"))
-    star = heads.join(buckets, "token").select("group", "y")
-    alone = members.filter("id = group AND last > group").select("group", F.col("group").alias("y"))
-    star = star.unionByName(alone).distinct()
-    star = cut(star.join(members.select("group", F.col("id").alias("x")), "group").filter("x <> y").select("x", "y").distinct())
+    grouped = cut(classes.join(prefixes, names).select("id", "n", "prefix", "bits", F.xxhash64("prefix").alias("p1"), F.xxhash64(F.reverse("prefix")).alias("p2")))
+    groups = grouped.groupBy("n", "p1", "p2").agg(F.min("id").alias("group"), F.count("*").alias("held"))
+    members = cut(grouped.select("id", "n", "p1", "p2").join(groups, ["n", "p1", "p2"]).select("id", "n", "group", "held"))
+    first = members.filter("id = group").select("group", "held")
+    heads = grouped.join(first, F.col("id") == F.col("group")).select("group", "held", "n", F.posexplode("prefix").alias("pos", "token"))
+    common = heads.groupBy("token").agg(F.sum("held").alias("all")).filter("all > 1").select("token")
+    shared = cut(heads.join(common, "token"))
+    # linked sets differ in size by less than a band, so each bucket takes a band and the one below
+    band = F.floor(F.log("n") / math.log(100 / rule.percent)).cast("int")
+    banded = shared.withColumn("band", F.explode(F.array(band, band + 1)))
+    buckets = banded.groupBy("token", "band").agg(F.sum("held").alias("all"), F.min(F.struct("pos", "group")).alias("pivot")).filter("all > 1")
+    banded = banded.join(buckets, ["token", "band"])
+    star = banded.filter(F.col("all") > FEW).select("group", F.col("pivot.group").alias("y")).distinct()
+    star = star.join(members.select("group", F.col("id").alias("x")), "group").filter("x <> y").select("x", "y").distinct()
+    few = banded.filter(F.col("all") <= FEW).select("token", "band", "group", "n", "pos").join(members.select("group", "id"), "group").drop("group")
+    other = few.select("token", "band", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("j"))
+    needed = F.col("n") + F.col("ny") - _allowed(F.col("n") + F.col("ny"), rule)
+    possible = 2 * F.least(F.col("n") - F.col("pos"), F.col("ny") - F.col("j"))
+    alike = (F.col("id") < F.col("y")) & (possible >= needed) & (100 * F.least("n", "ny") >= rule.percent * F.greatest("n", "ny"))
+    direct = few.join(other, ["token", "band"]).filter(alike).select(F.col("id").alias("x"), "y", "n", "ny").distinct()
+    bits = grouped.select("id", "bits")
+    direct = direct.join(bits.select(F.col("id").alias("x"), F.col("bits").alias("bx")), "x").join(bits.select(F.col("id").alias("y"), F.col("bits").alias("by")), "y")
+    apart = F.aggregate(F.zip_with("bx", "by", lambda v, w: F.bit_count(v.bitwiseXOR(w))), F.lit(0), lambda total, v: total + v)
+    direct = direct.filter(apart <= _allowed(F.col("n") + F.col("ny"), rule)).select("x", "y")
+    star = cut(star.select("x", "y", F.lit(True).alias("star")).unionByName(direct.select("x", "y", F.lit(False).alias("star"))))
     involved = star.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct()
     sets = cut(_whole(rows.join(involved, "doc_id", "left_semi").dropDuplicates(["doc_id"]), rule, sketch))
     # the first differences of each member: its own tokens, rare ones first, then the pivot's
-    a, b = rule.differ
     reach = _allowed(F.col("nx") * (100 + rule.percent) / rule.percent, rule) + 1
     signed = F.concat(F.transform("more", lambda t: F.struct(F.lit(0).alias("side"), t.alias("token"))), F.transform("less", lambda t: F.struct(F.lit(1).alias("side"), t.alias("token"))))
     met = _met(star, sets, rule)
-    met = cut(met.select("x", "y", "nx", "apart", "linked", F.slice(signed, F.lit(1), reach.cast("int")).alias("differences")))
+    met = cut(met.select("x", "y", "star", "nx", "apart", "linked", F.slice(signed, F.lit(1), reach.cast("int")).alias("differences")))
     links = met.filter("linked").select(F.col("x").alias("a"), F.col("y").alias("b"))
     roots = cut(components(links))
     # only pivots with a member that isn't linked to them can hide further links
-    open_pivots = met.filter("NOT linked").select("y").distinct()
-    rest = met.join(open_pivots, "y", "left_semi").join(roots.withColumnRenamed("node", "x"), "x", "left")
+    open_pivots = met.filter("star AND NOT linked").select("y").distinct()
+    rest = met.filter("star").join(open_pivots, "y", "left_semi").join(roots.withColumnRenamed("node", "x"), "x", "left")
     rest = rest.select("x", "y", "nx", "apart", F.coalesce("component", "x").alias("root"), F.posexplode("differences").alias("pos", "d"))
     rest = rest.select("x", "nx", "apart", "root", "pos", F.xxhash64("y", "d.side", "d.token").alias("key"))
     mixed = rest.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
