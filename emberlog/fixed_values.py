@@ -195,7 +195,26 @@ D_UNREADABLE = [
     "含义：过去这段时间的日志事件无法审计，告警链可能已经静默失效。",
     "WARNINGS=0",
 ]
+D_MARK_FAILED = "⚠️WATCHDOG 水位线写入失败（下次可能重复汇总）：{error}"
+D_BREADCRUMBS_FAILED = "cannot read guard error log: {error}"
 UNLABELLED = "未标注"
 
+# review text
+R_WINDOW = "观察窗口: {since} → {now}（{hours} 小时）"
+R_TALLY = "事件分级: {tally}"
+R_DISPATCH = "实时送 LLM: {dispatched} 次 / 共 {events} 条事件 → 约 {per_day} 次/天（基线 {baseline} 次/天；目标 {target} 次/天）"
+R_CLASSES = "类别聚合: 新类放行={new} 冷却到期={expired} 突发升级={burst} | 因同类冷却静默={cooled} 条"
+R_MISLABEL = "采集端级别误标: INFO→error={info} WARN→error={warn} 零计数→error={zero} | 反向修正(升级)={escalated}"
+R_COOLED_HEAD = "【人工确认用】因同类冷却被静默最多的类别（看是否混有真新故障）:"
+R_COOLED = "   {n} 条 | {reason} | 例: {sample}"
+R_HOURS_HEAD = "每小时事件/实时数（前 12 小时）:"
+R_HOUR = "   {hour}  事件 {events}  实时 {dispatched}"
+R_STORE_FAILED = "⚠️WATCHDOG 状态库读取失败: {error}"
+R_USAGE = "LLM 用量（半价口径）: 调用 {calls} 次 | 输入 {input} | 缓存读 {cache} | 输出 {output} | 约 ${cost}"
+R_USAGE_RATE = "按此速率: 约 {daily} 次/天、${daily_cost}/天（基线 ${baseline}/天；目标 ${target}/天）"
+R_USAGE_FAILED = "⚠️WATCHDOG 用量读取失败: {error}"
+R_BREADCRUMBS = "闸门故障面包屑: {n} 条{last}"
+R_LAST = " → {last}"
+
 # alert text
 ALERT_TITLE = {"critical": "⚠️⚠️⚠️【严重告警】", "error": "⛔⛔⛔【错误告警】", "warning": "⚠️【异常预警】"}

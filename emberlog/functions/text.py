@@ -86,3 +86,13 @@ def redact(col: Column) -> Column:
 def sample_text(message: Column) -> Column:
     """One printable line of at most 180 characters, with secrets masked."""
     return cut(redact(F.replace(strip(message), F.lit("\n"), F.lit(" "))), V.MAX_SAMPLE)
+
+
+def is_json_object(body: Column) -> Column:
+    """The text is one JSON object, in which a name may occur twice.
+
+    Spark's parsers ignore what follows a value, so the text is read as the only field of an object around it.
+    """
+    around = F.from_json(F.concat(F.lit('{"x":'), body, F.lit("}")), "map<string, string>", {"allowSingleQuotes": "false"})
+    whole = (F.size(around) == 1) & F.ltrim(F.get(F.map_values(around), F.lit(0))).startswith("{")
+    return F.coalesce(whole & body.rlike(r"\}\s*\z"), F.lit(False))

@@ -106,28 +106,21 @@ def hourly_profile(audit: DataFrame, hours: int = V.REVIEW_HOURS) -> DataFrame:
     )
 
 
-def cooled_samples(audit: DataFrame, window: DataFrame, top: int = V.REVIEW_TOP_REASONS) -> DataFrame:
-    """The reasons that silenced most events in ``window``, each with one sample message.
+def cooled_samples(window: DataFrame, top: int = V.REVIEW_TOP_REASONS) -> DataFrame:
+    """The reasons that silenced most events in ``window``, each with the message of its earliest row there.
 
-    The counts are ranked first; only the few reasons kept look for their sample, the earliest
-    row in the whole table.
+    Counts, first time and first id come from numbers alone; only the few reasons kept fetch a message.
     """
+    rows = window.filter(F.col("suppression_reason").startswith("class_cooldown:"))
     leaders = (
-        window.filter(F.col("suppression_reason").startswith("class_cooldown:"))
-        .groupBy("suppression_reason")
-        .agg(F.count(F.lit(1)).alias("n"))
+        rows.groupBy("suppression_reason")
+        .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("received_us", "id")).alias("first"))
         .orderBy(F.desc("n"), "suppression_reason")
         .limit(top)
     )
-    order = F.struct("received_us", "id")
-    samples = (
-        audit.filter(F.col("suppression_reason").startswith("class_cooldown:"))
-        .join(F.broadcast(leaders.select("suppression_reason")), "suppression_reason", "left_semi")
-        .groupBy("suppression_reason")
-        .agg(F.min_by(cut_text(F.col("message"), 120), order).alias("sample"))
-    )
-    return leaders.join(samples, "suppression_reason").select(
-        "suppression_reason", "n", F.replace("sample", F.lit("\n"), F.lit(" ")).alias("sample")
+    first = leaders.select("suppression_reason", "n", F.col("first.id").alias("id"))
+    return rows.select("id", "message").join(F.broadcast(first), "id").select(
+        "suppression_reason", "n", F.replace(cut_text(F.col("message"), 120), F.lit("\n"), F.lit(" ")).alias("sample")
     )
 
 

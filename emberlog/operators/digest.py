@@ -17,7 +17,7 @@ CLUSTER_KEY = ["host", "project", "program", "stable_file", "template"]
 
 
 def cluster_rows(audit: DataFrame) -> DataFrame:
-    """Collected rows with the parts a cluster is keyed by."""
+    """Collected rows with the parts a cluster is keyed by, and their digest."""
     rows = collected(audit)
     fields = {name: source_field(F.col("source"), name) for name in ("project", "program", "log_file")}
     return (
@@ -28,27 +28,59 @@ def cluster_rows(audit: DataFrame) -> DataFrame:
     )
 
 
-def clusters(audit: DataFrame) -> DataFrame:
-    """One row per cluster.  The sample is masked after grouping, once per cluster."""
-    order = F.struct("received_us", "id")
-    grouped = (
-        cluster_rows(audit)
-        .groupBy(*CLUSTER_KEY)
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.min("received_us").alias("first_us"),
-            F.max("received_us").alias("last_us"),
-            F.min(order).getField("id").alias("first_id"),
-            F.max(F.coalesce("storm_count", F.lit(0))).alias("max_count"),
-            F.min_by("message", F.when(strip(F.col("message")) != "", order)).alias("sample"),
-            F.min_by("log_file", order).alias("log_file"),
-            F.min_by("source", order).alias("source"),
-        )
+def keyed_rows(audit: DataFrame) -> DataFrame:
+    """What a cluster's figures need, without text: the key as two hashes, time and id."""
+    parts = [F.col(c) for c in CLUSTER_KEY]
+    return cut(cluster_rows(audit).select(
+        F.xxhash64(*parts).alias("k1"), F.xxhash64(*reversed(parts)).alias("k2"), "received_us", "id",
+        F.coalesce("storm_count", F.lit(0)).cast("bigint").alias("storm_count"),
+        (strip(F.col("message")) != "").alias("said"),
+    ))
+
+
+def counted(keyed: DataFrame) -> DataFrame:
+    """One narrow row per cluster: counts, times, and the ids of its first row and of its first row with text.
+
+    Group keys and buffers are numbers of fixed width, so this is a hash aggregate whatever the messages hold.
+    The least (time, id) is the least time first and then the least id at that time.
+    """
+    key = ["k1", "k2"]
+    grouped = keyed.groupBy(*key).agg(
+        F.count(F.lit(1)).alias("n"), F.min("received_us").alias("first_us"), F.max("received_us").alias("last_us"),
+        F.max("storm_count").alias("max_count"), F.min(F.when(F.col("said"), F.col("received_us"))).alias("said_us"),
     )
-    bare = (F.col("project") == "") & (F.col("program") == "")
-    return grouped.withColumn(
-        "raw_source", F.when(bare, cut_text(F.coalesce("source", F.lit("")), 60)).otherwise("")
-    ).withColumn("sample", sample_text(F.coalesce("sample", F.lit("")))).drop("source")
+    at_start = (F.col("received_us") == F.col("first_us"))
+    at_text = F.col("said") & (F.col("received_us") == F.col("said_us"))
+    ids = keyed.join(grouped.select(*key, "first_us", "said_us"), key).filter(at_start | at_text).groupBy(*key).agg(
+        F.min(F.when(at_start, F.col("id"))).alias("first_id"), F.min(F.when(at_text, F.col("id"))).alias("sample_id"))
+    return grouped.drop("said_us").join(ids, key)
+
+
+def with_text(counts: DataFrame, audit: DataFrame) -> DataFrame:
+    """Clusters with their key, first source and masked sample: two rows of the audit table for each."""
+    wanted = counts.select("k1", "k2", F.explode(F.array_compact(F.array_distinct(F.array("first_id", "sample_id")))).alias("id"))
+    rows = cluster_rows(audit.join(wanted, "id")).groupBy("k1", "k2")
+    rows = rows.agg(F.collect_list(F.struct("id", *CLUSTER_KEY, "log_file", "source", "message")).alias("rows"))
+    row = lambda name: F.get(F.filter("rows", lambda r: r["id"] == F.col(name)), F.lit(0))
+    shown = counts.join(rows, ["k1", "k2"]).withColumns({"first": row("first_id"), "told": row("sample_id")})
+    bare = (F.col("first.project") == "") & (F.col("first.program") == "")
+    return shown.select(
+        *[F.col(f"first.{c}").alias(c) for c in CLUSTER_KEY], "n", "first_us", "last_us", "first_id", "max_count",
+        sample_text(F.coalesce("told.message", F.lit(""))).alias("sample"), F.col("first.log_file").alias("log_file"),
+        F.when(bare, cut_text(F.coalesce("first.source", F.lit("")), 60)).otherwise("").alias("raw_source"),
+    )
+
+
+def clusters(audit: DataFrame) -> DataFrame:
+    """One row per cluster, with its text."""
+    return with_text(counted(keyed_rows(audit)), audit)
+
+
+def top_clusters(audit: DataFrame, top: int = V.MAX_CLUSTERS) -> tuple[DataFrame, DataFrame]:
+    """(all clusters in numbers, the largest ones ranked with their text): only those fetch and mask a sample."""
+    counts = cut(counted(keyed_rows(audit)))
+    few = cut(ranked(counts, top))
+    return counts, with_text(few, audit).join(few.select("first_id", "rank"), "first_id")
 
 
 def cluster_statuses(audit: DataFrame) -> DataFrame:
@@ -124,7 +156,7 @@ def blocks(top: DataFrame, budget: int = V.CLUSTER_BUDGET) -> DataFrame:
     )
 
 
-def _fill(text: str, **values: Column) -> Column:
+def fill(text: str, **values: Column) -> Column:
     """A fixed line with named places filled in by columns."""
     parts, rest = [], text
     while "{" in rest:
@@ -143,6 +175,17 @@ def failures_since(breadcrumbs: DataFrame, since_us: int) -> DataFrame:
     )
 
 
+def first_failures(failures: DataFrame, top: int = V.MAX_WATCHDOG_LINES) -> DataFrame:
+    """The texts of the first failures, by time and then by line: (nth, text)."""
+    order = [F.asc("at_s"), F.asc("value")]
+    return failures.orderBy(*order).limit(top).select(F.row_number().over(Window.orderBy(*order)).alias("nth"), "text")
+
+
+def unreadable_breadcrumbs(spark, error: str) -> DataFrame:
+    text = V.D_BREADCRUMBS_FAILED.replace("{error}", error)
+    return spark.range(1).select(F.lit(1).alias("nth"), F.lit(text).alias("text"))
+
+
 def report(
     audit: DataFrame,
     since_us: int,
@@ -152,7 +195,22 @@ def report(
     title: str = "DAILY_DIGEST",
     exclusive_since: bool = False,
 ) -> DataFrame:
-    """The digest as (line_no, text) rows.
+    """The digest as (line_no, text) rows, from the audit table, usage sessions and parsed breadcrumbs."""
+    cost = None if usage is None else usage_cost(usage, since_us)
+    failures = None if breadcrumbs is None else first_failures(failures_since(breadcrumbs, since_us))
+    return report_lines(audit, since_us, now_us, cost, failures, title, exclusive_since)
+
+
+def report_lines(
+    audit: DataFrame,
+    since_us: int,
+    now_us: int,
+    cost: DataFrame | None = None,
+    failures: DataFrame | None = None,
+    title: str = "DAILY_DIGEST",
+    exclusive_since: bool = False,
+) -> DataFrame:
+    """The digest as (line_no, text) rows; ``cost`` and ``failures`` are small results.
 
     The mark is the time of the newest row reported, and the bound includes it, so that row is
     reported twice; ``exclusive_since`` leaves it out.
@@ -162,8 +220,8 @@ def report(
     """
     window = since(audit, since_us, exclusive_since)
     counts = cut(window_counts(window))
-    clustered = cut(clusters(window))
-    top = cut(blocks(ranked(clustered)))
+    clustered, few = top_clusters(window)
+    top = cut(blocks(few))
     parts = [
         _one(audit.sparkSession, 1, title),
         counts.agg(
@@ -176,7 +234,7 @@ def report(
             ).alias("tally")
         ).select(
             F.lit(2).alias("section"), F.lit(0).alias("part"),
-            _fill(
+            fill(
                 V.D_WINDOW,
                 since=local_label(F.lit(since_us), V.LOCAL_ZONE),
                 now=local_label(F.lit(now_us), V.LOCAL_ZONE),
@@ -185,7 +243,7 @@ def report(
         ),
         totals(clustered).select(
             F.lit(3).alias("section"), F.lit(0).alias("part"),
-            _fill(V.D_TOTALS, warnings=F.col("warnings"), clusters=F.col("clusters")).alias("text"),
+            fill(V.D_TOTALS, warnings=F.col("warnings"), clusters=F.col("clusters")).alias("text"),
         ),
     ]
     names = ["info_as_error", "warning_as_error", "zero_counter", "escalated",
@@ -196,17 +254,17 @@ def report(
         F.struct(
             F.lit(4).alias("section"),
             (c["info_as_error"] + c["warning_as_error"] + c["zero_counter"] + c["escalated"] > 0).alias("shown"),
-            _fill(V.D_MISLABEL, info=c["info_as_error"], warn=c["warning_as_error"], zero=c["zero_counter"]).alias("text"),
+            fill(V.D_MISLABEL, info=c["info_as_error"], warn=c["warning_as_error"], zero=c["zero_counter"]).alias("text"),
         ),
         F.struct(
             F.lit(5).alias("section"),
             (c["escalated"] > 0).alias("shown"),
-            _fill(V.D_ESCALATED, escalated=c["escalated"]).alias("text"),
+            fill(V.D_ESCALATED, escalated=c["escalated"]).alias("text"),
         ),
         F.struct(
             F.lit(6).alias("section"),
             (c["class_new"] + c["cooldown_expired"] + c["storm_summary"] + c["cooled"] > 0).alias("shown"),
-            _fill(
+            fill(
                 V.D_CLASSES, new=c["class_new"], expired=c["cooldown_expired"],
                 burst=c["storm_summary"], cooled=c["cooled"],
             ).alias("text"),
@@ -217,10 +275,10 @@ def report(
             F.col("l.section").alias("section"), F.lit(0).alias("part"), F.col("l.text").alias("text")
         )
     )
-    if usage is not None:
-        parts.append(_usage_lines(usage_cost(usage, since_us)))
-    if breadcrumbs is not None:
-        parts.append(_watchdog_lines(failures_since(breadcrumbs, since_us)))
+    if cost is not None:
+        parts.append(_usage_lines(cost))
+    if failures is not None:
+        parts.append(_watchdog_lines(failures))
     parts.append(_one(audit.sparkSession, 10, V.D_NOTES))
     parts.append(_one(audit.sparkSession, 11, ""))
     parts.append(
@@ -237,7 +295,7 @@ def report(
     parts.append(
         rest.filter(F.col("listed") < F.col("all")).select(
             F.lit(13).alias("section"), F.lit(0).alias("part"),
-            _fill(V.D_UNLISTED, rest=F.col("all") - F.col("listed"), listed=F.col("listed")).alias("text"),
+            fill(V.D_UNLISTED, rest=F.col("all") - F.col("listed"), listed=F.col("listed")).alias("text"),
         )
     )
     lines = parts[0]
@@ -258,7 +316,7 @@ def _usage_lines(cost: DataFrame) -> DataFrame:
     lines = F.array(
         F.struct(
             F.lit(True).alias("shown"),
-            _fill(
+            fill(
                 V.D_USAGE, calls=F.col("calls"), input=F.format_number("input_tokens", 0),
                 cache=F.format_number("cache_read_tokens", 0), output=F.format_number("output_tokens", 0),
                 cost=F.format_string("%.3f", F.col("cost")),
@@ -266,7 +324,7 @@ def _usage_lines(cost: DataFrame) -> DataFrame:
         ),
         F.struct(
             (F.col("calls") > 0).alias("shown"),
-            _fill(
+            fill(
                 V.D_USAGE_RATE,
                 tokens=F.bround(F.col("tokens_per_call")).cast("bigint"),
                 each=F.format_string("%.5f", F.col("cost_per_call")),
@@ -280,12 +338,9 @@ def _usage_lines(cost: DataFrame) -> DataFrame:
     )
 
 
-def _watchdog_lines(failures: DataFrame) -> DataFrame:
-    first = failures.orderBy("seq").limit(V.MAX_WATCHDOG_LINES)
+def _watchdog_lines(first: DataFrame) -> DataFrame:
     shown = first.select(
-        F.lit(8).alias("section"),
-        F.row_number().over(Window.orderBy("seq")).alias("part"),
-        F.concat(F.lit(V.D_WATCHDOG_MARK), F.col("text")).alias("text"),
+        F.lit(8).alias("section"), F.col("nth").alias("part"), F.concat(F.lit(V.D_WATCHDOG_MARK), F.col("text")).alias("text")
     )
     frame = first.limit(1).select(
         F.explode(
@@ -319,4 +374,4 @@ def next_mark(audit: DataFrame, since_us: int, now_us: int) -> DataFrame:
 
 def unreadable_report(error: str, title: str = "DAILY_DIGEST") -> list[str]:
     """Fixed lines for an audit table that cannot be read; the mark stays where it is."""
-    return [title, *[line.replace("{error}", error[:200]) for line in V.D_UNREADABLE]]
+    return [title, *[line.replace("{error}", error) for line in V.D_UNREADABLE]]

@@ -21,7 +21,7 @@ from emberlog.functions.keys import class_head, class_key, gate_fingerprint, sho
 from emberlog.functions.severity import false_error_info, grade
 from emberlog.functions.source import stable_source
 from emberlog.functions.text import cut as cut_text
-from emberlog.operators.slices import Heat, Laid, again, lay_out, mark_gaps, run_positions, stored
+from emberlog.operators.slices import Heat, Laid, lay_out, mark_gaps, run_positions, stored
 from emberlog.operators.throttle import throttle
 from emberlog.session import cut
 
@@ -32,7 +32,7 @@ class GateRules:
 
     collapse_iso_t: bool = False   # also collapse 2024-01-02T03:04:05Z, which lower-casing hides
     class_layer: bool = True       # False: the older gate, without per-class cooldowns
-    heat: Heat = Heat()            # when a key is split over several tasks
+    heat: Heat = Heat()            # rows of one key that a task holds
 
 
 def normalise(events: DataFrame) -> DataFrame:
@@ -83,11 +83,9 @@ AUDIT_COLUMNS = [
 def verdict_rows(events: DataFrame, rules: GateRules = GateRules()) -> DataFrame:
     """What the gate needs of every event, without its text: keys as 32 bytes, and the early exit.
 
-    Nothing filters on these columns before they are stored: the filter would be pushed below
-    the projections and evaluate the regular expressions again.  Rows with an early exit stay in,
-    under a key of their own (one byte longer) that no run or throttle shares.
+    Cut them before anything filters on these columns: the filter would be pushed below the
+    projections and evaluate the regular expressions again.
     """
-    key = F.unhex("fingerprint")
     in_class_layer = (
         F.col("exit").isNull() & ~F.col("collect_only") & F.col("effective").isin(V.CLASS_LAYER_SEVERITIES)
     )
@@ -107,7 +105,7 @@ def verdict_rows(events: DataFrame, rules: GateRules = GateRules()) -> DataFrame
         .select(
             "id",
             F.col("received_us").alias("us"),
-            F.when(F.col("exit").isNull(), key).otherwise(F.concat(key, F.lit(b"\x01"))).alias("fingerprint"),
+            F.unhex("fingerprint").alias("fingerprint"),
             F.unhex("class_key").alias("class_key"),
             "collect_only",
             F.when(F.col("exit") == V.COUNTER_EXIT, "warning").otherwise(F.col("effective")).alias("effective"),
@@ -124,15 +122,16 @@ def verdict_rows(events: DataFrame, rules: GateRules = GateRules()) -> DataFrame
 
 
 def laid_out(verdicts: DataFrame, heat: Heat = Heat()) -> Laid:
-    """Verdict rows spread by fingerprint, hot ones by time slice too, with the gaps known."""
-    return stored(mark_gaps(lay_out(cut(verdicts), "fingerprint", heat), V.STORM_GAP_S * SECOND))
+    """Stored verdict rows without early exit: spread by fingerprint and time slice, with the gaps known."""
+    rows = verdicts.filter(F.col("exit").isNull()).drop("exit", "exit_reason")
+    return stored(mark_gaps(lay_out(rows, "fingerprint", heat), V.STORM_GAP_S * SECOND))
 
 
-def early_exits(marked: Laid) -> DataFrame:
+def early_exits(verdicts: DataFrame) -> DataFrame:
     """Rows that touch no state: the line's own level or a zero counter says it is no fault."""
-    return marked.rows.filter(F.col("exit").isNotNull()).select(
+    return verdicts.filter(F.col("exit").isNotNull()).select(
         "id",
-        F.lower(F.hex(F.substring("fingerprint", 1, 32))).alias("fingerprint"),
+        F.lower(F.hex("fingerprint")).alias("fingerprint"),
         F.lit(1).cast("bigint").alias("storm_count"),
         F.col("exit").alias("storm_status"),
         F.lit(0).alias("llm_dispatched"),
@@ -143,8 +142,7 @@ def early_exits(marked: Laid) -> DataFrame:
 
 def storm_runs(marked: Laid) -> DataFrame:
     """Position of each row in its run of gaps up to 60 s, and the gap before it."""
-    rows = marked.rows.filter(F.col("exit").isNull()).drop("exit", "exit_reason")
-    return run_positions(marked.over(rows), V.STORM_GAP_S * SECOND)
+    return run_positions(marked, V.STORM_GAP_S * SECOND)
 
 
 def storm_gate(marked: Laid) -> DataFrame:
@@ -184,28 +182,21 @@ def class_gate(rows: DataFrame, heat: Heat = Heat()) -> DataFrame:
     A class forgotten after 24 h needs no reset: every one of these waits is shorter.
     """
     forget = V.STATE_RETENTION_S * SECOND
-    marked = mark_gaps(lay_out(rows, "class_key", heat), forget)
-    if marked.split:
-        marked = stored(marked)
+    marked = stored(mark_gaps(lay_out(rows, "class_key", heat), forget))
     lives = run_positions(marked, forget).withColumnRenamed("position", "events_total")
 
-    def relay(df: DataFrame) -> Laid:
-        """Rows of split keys are read twice by the next step; others flow on in one job."""
-        laid = marked.over(df)
-        return stored(again(laid)) if marked.split else laid
-
     # a window holds 300 s inclusive, so the next one can start one microsecond later
-    windows = relay(
+    windows = stored(marked.over(
         throttle(marked.over(lives), V.CLASS_STORM_WINDOW_S * SECOND + 1)
         .withColumnRenamed("position", "events_window")
         .withColumnRenamed("anchor_us", "window_us")
-    )
+    ))
     crowded = F.col("events_window") >= V.CLASS_STORM_N
-    bursts = relay(
+    bursts = stored(marked.over(
         throttle(windows, V.CLASS_STORM_COOLDOWN_S * SECOND, inert=~crowded)
         .withColumnRenamed("accepted", "burst")
         .withColumnRenamed("anchor_us", "storm_us")
-    )
+    ))
     pages = throttle(
         bursts,
         V.CLASS_COOLDOWN_S * SECOND,
@@ -240,8 +231,8 @@ def decide(events: DataFrame, rules: GateRules = GateRules()) -> DataFrame:
 
     The verdicts stay narrow all the way; the text of an event is shuffled once, to meet them.
     """
-    marked = laid_out(verdict_rows(events, rules), rules.heat)
-    storm, classes = gate_layers(marked, rules)
+    verdicts = cut(verdict_rows(events, rules))
+    storm, classes = gate_layers(laid_out(verdicts, rules.heat), rules)
     if classes is None:
         layered = storm.withColumn("note", F.lit(None).cast("string")).withColumn("paged", F.lit(True))
     else:
@@ -265,28 +256,32 @@ def decide(events: DataFrame, rules: GateRules = GateRules()) -> DataFrame:
     )
     return (
         normalise(events)
-        .join(stateful.unionByName(early_exits(marked)), "id")
+        .join(stateful.unionByName(early_exits(verdicts)), "id")
         .withColumnRenamed("timestamp", "event_timestamp")
         .withColumn("storm_window_seconds", F.lit(V.STORM_GAP_S))
         .select(AUDIT_COLUMNS)
     )
 
 
+def _sample(events: DataFrame, state: DataFrame) -> DataFrame:
+    """The forwarded part of each state's sample message: only these events are read for their text."""
+    text = events.select(F.col("id").alias("sample_id"), cut_text(F.col("message"), V.MAX_FORWARDED_MESSAGE).alias("sample_message"))
+    return state.join(text, "sample_id").drop("sample_id")
+
+
 def storm_state(events: DataFrame, storm: DataFrame, now_us: int) -> DataFrame:
     """Latest state per fingerprint seen in the 24 h before ``now_us``."""
     opened = F.col("storm_count") == 1
     order = F.struct("us", "id")
-    rows = storm.join(
-        events.select("id", cut_text(F.col("message"), V.MAX_FORWARDED_MESSAGE).alias("message")), "id"
-    )
-    latest = rows.groupBy("fingerprint").agg(
+    latest = storm.groupBy("fingerprint").agg(
         F.max("us").alias("last_seen_us"),
         F.max(F.when(opened, F.col("us"))).alias("window_started_us"),
         F.max_by("storm_count", order).alias("events_in_window"),
         F.max_by("sent_us", order).alias("last_agent_sent_us"),
-        F.max_by("message", F.when(opened, order)).alias("sample_message"),
+        F.max_by("id", F.when(opened, order)).alias("sample_id"),
     )
-    return latest.filter(F.col("last_seen_us") >= now_us - V.STATE_RETENTION_S * SECOND).select(
+    recent = latest.filter(F.col("last_seen_us") >= now_us - V.STATE_RETENTION_S * SECOND)
+    return _sample(events, recent).select(
         F.lower(F.hex("fingerprint")).alias("fingerprint"),
         "window_started_us",
         "last_seen_us",
@@ -302,18 +297,14 @@ def storm_state(events: DataFrame, storm: DataFrame, now_us: int) -> DataFrame:
 def class_state(events: DataFrame, classes: DataFrame, now_us: int) -> DataFrame:
     """Latest state per class seen in the 24 h before ``now_us``."""
     order = F.struct("us", "id")
-    rows = classes.join(
-        events.select("id", cut_text(F.col("message"), V.MAX_FORWARDED_MESSAGE).alias("message")), "id"
-    )
-    latest = rows.groupBy("class_key").agg(
+    latest = classes.groupBy("class_key").agg(
         F.max("us").alias("last_seen_us"),
         F.max(F.when(F.col("events_total") == 1, F.col("us"))).alias("born_us"),
-        *[
-            F.max_by(c, order).alias(c)
-            for c in ("window_us", "events_window", "events_total", "sent_us", "storm_us", "message")
-        ],
+        *[F.max_by(c, order).alias(c) for c in ("window_us", "events_window", "events_total", "sent_us", "storm_us")],
+        F.max_by("id", order).alias("sample_id"),
     )
-    return latest.filter(F.col("last_seen_us") >= now_us - V.STATE_RETENTION_S * SECOND).select(
+    recent = latest.filter(F.col("last_seen_us") >= now_us - V.STATE_RETENTION_S * SECOND)
+    return _sample(events, recent).select(
         F.lower(F.hex("class_key")).alias("class_key"),
         F.col("window_us").alias("window_started_us"),
         "last_seen_us",
@@ -321,32 +312,25 @@ def class_state(events: DataFrame, classes: DataFrame, now_us: int) -> DataFrame
         "events_total",
         F.col("sent_us").alias("last_agent_sent_us"),
         F.when(F.col("storm_us") >= F.col("born_us"), F.col("storm_us")).alias("last_storm_sent_us"),
-        F.col("message").alias("sample_message"),
+        "sample_message",
     )
 
 
-def enriched_payload(audit: DataFrame, bodies: DataFrame | None = None) -> DataFrame:
-    """JSON handed on for every dispatched event; it keeps the collector's label.
+def enriched_payload(audit: DataFrame, bodies: DataFrame) -> DataFrame:
+    """JSON handed on for every dispatched event: its original body (``bodies``: id, raw_body) with five fields overwritten.
 
-    With ``bodies`` (id, raw_body), fields of the original body that the gate does not know are
-    passed on as they are.
+    The message is cut to what is forwarded; all other fields, known or not, pass as they came, whole.  Only
+    dispatched bodies are parsed.
     """
-    fields = {
-        "incident_id": F.col("incident_id"), "host": F.col("host"), "source": F.col("source"),
-        "severity": F.col("severity"),
-        "message": cut_text(F.col("message"), V.MAX_FORWARDED_MESSAGE),
-        "timestamp": F.col("event_timestamp"), "storm_status": F.col("storm_status"),
+    sent = audit.filter(F.col("llm_dispatched") == 1)
+    ours = {
+        "message": cut_text(F.col("message"), V.MAX_FORWARDED_MESSAGE), "storm_status": F.col("storm_status"),
         "storm_count": F.col("storm_count"), "storm_window_seconds": F.col("storm_window_seconds"),
         "storm_fingerprint": short_key(F.col("fingerprint")),
     }
-    sent = audit.filter(F.col("llm_dispatched") == 1)
-    if bodies is None:
-        payload = F.to_json(F.struct(*[c.alias(name) for name, c in fields.items()]))
-        return sent.select("id", payload.alias("payload"))
-    known = F.create_map(*[x for name, c in fields.items() for x in (F.lit(name), c.cast("variant"))])
-    others = F.map_filter(
-        F.from_json("raw_body", "map<string, variant>"), lambda name, _: ~name.isin(list(fields))
-    )
+    known = F.create_map(*[x for name, c in ours.items() for x in (F.lit(name), c.cast("variant"))])
+    body = F.from_json("raw_body", "map<string, variant>")
+    others = F.map_filter(body, lambda name, _: ~name.isin(list(ours)))
     return sent.join(bodies.select("id", "raw_body"), "id").select(
-        "id", F.to_json(F.map_concat(known, others)).alias("payload")
+        "id", F.to_json(F.map_concat(others, known)).alias("payload")
     )

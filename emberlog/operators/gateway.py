@@ -11,7 +11,7 @@ from emberlog.functions.keys import gateway_fingerprint
 from emberlog.functions.severity import collector_severity
 from emberlog.functions.signing import incident_id, signature
 from emberlog.functions.source import detect_dll, format_source, program_from_source
-from emberlog.functions.text import ascii_lower, cut_bytes, strip
+from emberlog.functions.text import ascii_lower, cut_bytes, is_json_object, strip
 from emberlog.operators.slices import Heat, lay_out, stored
 from emberlog.operators.throttle import throttle
 from emberlog.session import cut
@@ -43,35 +43,32 @@ def fan_out(routed: DataFrame) -> DataFrame:
 def parse_envelope(raw: DataFrame) -> DataFrame:
     """Add source and message: a JSON envelope where it parses, else the body is the message.
 
-    A JSON value that is not an object, or a field that is not a string, makes the whole body
-    the message; JSON null gives an empty message.
+    Names match without regard to case, and of several values for a field the last counts.  JSON null leaves a field
+    empty.  A field that is no string makes the whole body the message, but a source that could be read stays; so does any
+    other JSON value that is not an object, without a source.
     """
-    doc = F.try_parse_json(F.col("raw"))
+    is_null = F.coalesce(strip(F.col("raw")) == "null", F.lit(False))
 
-    def kind(path):
-        return F.coalesce(
-            F.schema_of_variant(F.try_variant_get(F.col("doc"), path, "variant")), F.lit("VOID")
-        )
+    def values(name):
+        mine = F.filter(F.map_entries("fields"), lambda e: F.lower(e["key"]) == name)
+        return F.transform(mine, lambda e: e["value"])
 
-    def text(path):
-        return F.coalesce(F.try_variant_get(F.col("doc"), path, "string"), F.lit(""))
+    def kind(value):
+        return F.coalesce(F.schema_of_variant(value), F.lit("VOID"))
 
-    whole_kind = F.schema_of_variant(F.col("doc"))
-    is_envelope = (
-        F.col("doc").isNotNull()
-        & (whole_kind.startswith("OBJECT") | (whole_kind == "VOID"))
-        & kind("$.source").isin("STRING", "VOID")
-        & kind("$.message").isin("STRING", "VOID")
-    )
+    def text(name):
+        strings = F.filter(values(name), lambda v: kind(v) == "STRING")
+        return F.coalesce(F.try_variant_get(F.get(strings, F.size(strings) - 1), "$", "string"), F.lit(""))
+
+    def readable(name):
+        return F.forall(values(name), lambda v: kind(v).isin("STRING", "VOID"))
+
+    good = F.col("fields").isNotNull() & readable("source") & readable("message")
     return (
-        raw.withColumn("doc", doc)
-        .withColumn("enveloped", F.coalesce(is_envelope, F.lit(False)))
-        .withColumn("source", F.when(F.col("enveloped"), strip(text("$.source"))).otherwise(""))
-        .withColumn(
-            "message",
-            strip(F.when(F.col("enveloped"), text("$.message")).otherwise(F.col("raw"))),
-        )
-        .drop("doc", "enveloped")
+        raw.withColumn("fields", F.when(is_json_object(F.col("raw")), F.from_json("raw", "map<string, variant>")))
+        .withColumn("source", F.when(F.col("fields").isNotNull(), strip(text("source"))).otherwise(""))
+        .withColumn("message", strip(F.when(good, text("message")).when(is_null, "").otherwise(F.col("raw"))))
+        .drop("fields")
     )
 
 
@@ -119,9 +116,12 @@ def keyed_events(events: DataFrame) -> DataFrame:
 
 
 def receive(raw: DataFrame, allow: DataFrame) -> DataFrame:
-    """Every body parsed, placed, graded and keyed, with ``ok`` and ``enabled``; nothing dropped."""
-    placed = with_context(parse_envelope(raw), allow)
-    return keyed_events(placed.withColumn("ok", acceptable(F.col("raw"), F.col("message"))))
+    """Every body parsed, placed, graded and keyed, with ``ok`` and ``enabled``; nothing dropped.
+
+    The library is looked for in the message as it is stored, cut to its limit.
+    """
+    parsed = parse_envelope(raw).withColumn("ok", acceptable(F.col("raw"), F.col("message")))
+    return with_context(keyed_events(parsed), allow)
 
 
 def receipts(received: DataFrame) -> DataFrame:
@@ -131,19 +131,13 @@ def receipts(received: DataFrame) -> DataFrame:
     )
 
 
-# times are whole seconds here, so a two-hour slice hands on 1800 steps at most
-GATEWAY_HEAT = Heat(floor_us=7200 * SECOND)
-
-
-def gateway_throttle(narrow: DataFrame, heat: Heat = GATEWAY_HEAT) -> DataFrame:
+def gateway_throttle(narrow: DataFrame, heat: Heat = Heat()) -> DataFrame:
     """(id, us, fingerprint, accepted, accepted_id): the event each row is counted under.
 
     A critical event is always accepted: its cooldown is zero, and a zero cooldown is forced.
     """
     rows = narrow.filter(F.col("ok") & F.col("enabled")).drop("ok", "enabled")
-    laid = lay_out(rows, "fingerprint", heat)
-    if laid.split:
-        laid = stored(laid)
+    laid = stored(lay_out(rows, "fingerprint", heat))
     judged = throttle(laid, cooldown_us(F.col("severity")))
     return judged.select(
         "id", "us", F.lower(F.hex("fingerprint")).alias("fingerprint"), "severity", "accepted",
@@ -228,10 +222,19 @@ def recheck(events: DataFrame, allow: DataFrame) -> DataFrame:
     )
 
 
-def delivery_ledger(events: DataFrame, attempts: DataFrame) -> DataFrame:
+def closures(rechecked: DataFrame, now_us: int) -> DataFrame:
+    """What a recheck closes, as the ledger takes it."""
+    return rechecked.filter(F.col("action") == "close").select(
+        "id", F.lit(now_us).cast("bigint").alias("closed_us"), F.col("last_error").alias("reason")
+    )
+
+
+def delivery_ledger(events: DataFrame, attempts: DataFrame, closures: DataFrame | None = None) -> DataFrame:
     """attempts, delivered_us and last_error per event; a success clears the error.
 
-    An event's attempts are combined before the shuffle; the newest one decides.
+    An event's attempts are combined before the shuffle; the newest one decides.  ``closures`` (id, closed_us, reason)
+    are events found disabled at delivery: they count as delivered then, with the reason as their error, and are
+    not offered again.
     """
     order = F.struct("attempt_us", "seq")
     tries = attempts.groupBy("id").agg(
@@ -239,9 +242,17 @@ def delivery_ledger(events: DataFrame, attempts: DataFrame) -> DataFrame:
         F.min(F.when(F.col("ok"), F.col("attempt_us"))).alias("delivered_us"),
         F.max_by(F.when(F.col("ok"), F.lit(None)).otherwise(F.col("error")), order).alias("last_error"),
     )
-    return events.join(tries, "id", "left").withColumn(
+    ledger = events.join(tries, "id", "left").withColumn(
         "attempts", F.coalesce("attempts", F.lit(0).cast("bigint"))
     )
+    if closures is None:
+        return ledger
+    closed = closures.groupBy("id").agg(F.min("closed_us").alias("closed_us"), F.min_by("reason", "closed_us").alias("reason"))
+    shut = F.col("delivered_us").isNull() & F.col("closed_us").isNotNull()
+    return ledger.join(closed, "id", "left").withColumns({
+        "last_error": F.when(shut, F.col("reason")).otherwise(F.col("last_error")),
+        "delivered_us": F.when(shut, F.col("closed_us")).otherwise(F.col("delivered_us")),
+    }).drop("closed_us", "reason")
 
 
 def prune(events: DataFrame, time: str, now_us: int, keep_s: int) -> DataFrame:

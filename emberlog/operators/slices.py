@@ -1,10 +1,9 @@
 """Order-dependent work on hot keys: a key with very many rows is split into time slices.
 
-Rows are spread by (key, slice).  A key with few rows is one slice and needs nothing else.  A hot
-key, which may hold a third of all rows, is split over as many tasks as its rows need; what a slice
-has to know of the slices before it is a small summary per slice, and only the summaries of hot
-keys are brought together, never rows.  Any split gives the same results, so what counts as hot
-is a matter of speed alone.
+Rows are spread by (key, slice).  A key with few rows is one slice.  A hot key, which may hold a third
+of all rows, has as many slices as its rows need; what a slice has to know of the slices before it is a
+small summary per slice, and only these summaries are brought together, never rows.  Any split gives the
+same results by the same plan: the rows of a key that is one slice merely have nothing to hand on.
 """
 
 from __future__ import annotations
@@ -13,30 +12,25 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from emberlog.functions.clock import SECOND
-from emberlog.session import cut, shuffle_parts
+from emberlog.session import cut, work_path
 
-WHOLE = -1  # slice number of a key that is not split
+WHOLE = -1  # slice number of a key that is one slice
 
 
 @dataclass(frozen=True)
 class Heat:
-    """When a key is split, and how finely."""
+    """How many rows of one key a slice holds, about."""
 
-    rows: int = 1_000_000            # rows a task may hold of one key
-    keys: int = 10_000               # hottest keys that are split; bounds the list sent around
-    floor_us: int = 1200 * SECOND    # no slice is shorter: it should span several cooldowns
+    rows: int = 1_000_000
 
 
 @dataclass(frozen=True)
 class Laid:
-    """Rows (us, id, slice, key) partitioned by key and slice and sorted by (us, id)."""
+    """Rows (us, id, slice, key)."""
 
     rows: DataFrame
     key: str
-    split: bool
 
     def over(self, rows: DataFrame) -> Laid:
         return replace(self, rows=rows)
@@ -46,54 +40,37 @@ class Laid:
         return Window.partitionBy(self.key, "slice").orderBy("us", "id")
 
 
-def hot_keys(df: DataFrame, key: str, heat: Heat) -> list:
-    """(key, first_us, slice width) of the hottest keys.
+def hot_keys(df: DataFrame, key: str, heat: Heat) -> DataFrame:
+    """(key, hot_us, width) of every key with more than ``heat.rows`` rows, as a stored table.
 
-    Counted with a map-side combine; at most ``heat.keys`` rows come back.
+    Counted with a map-side combine.  Stored, the table has a known size, so Spark decides by that whether
+    to broadcast it.  The width follows from the key's density alone.
     """
     counts = df.groupBy(key).agg(
-        F.count(F.lit(1)).alias("n"), F.min("us").alias("first_us"), F.max("us").alias("last_us")
+        F.count(F.lit(1)).alias("n"), F.min("us").alias("hot_us"), F.max("us").alias("last_us")
     )
-    hottest = counts.filter(F.col("n") > heat.rows).orderBy(F.desc("n")).limit(heat.keys).collect()
-    return [
-        (r[key], r.first_us, max(heat.floor_us, -(-(r.last_us - r.first_us + 1) * heat.rows // r.n)))
-        for r in hottest
-    ]
+    share = (F.col("last_us") - F.col("hot_us") + 1).cast("decimal(38,0)") * F.lit(heat.rows) / F.col("n")
+    hot = counts.filter(F.col("n") > heat.rows).select(
+        key, "hot_us", F.greatest(F.lit(1), F.ceil(share)).cast("bigint").alias("width")
+    )
+    path = work_path(df.sparkSession, "hot-keys")
+    hot.write.parquet(path)
+    return df.sparkSession.read.schema(hot.schema).parquet(path)
 
 
 def lay_out(df: DataFrame, key: str, heat: Heat = Heat()) -> Laid:
-    """Spread rows by key, hot keys by time slice as well.  ``df`` is read twice, so cut it first."""
-    hot = hot_keys(df, key, heat)
-    if hot:
-        schema = T.StructType([df.schema[key]]).add("hot_us", T.LongType()).add("width", T.LongType())
-        table = F.broadcast(df.sparkSession.createDataFrame(hot, schema))
-        since = F.col("us") - F.col("hot_us")
-        number = ((since - F.pmod(since, F.col("width"))) / F.col("width")).cast("bigint")
-        rows = (
-            df.join(table, key, "left")
-            .withColumn("slice", F.coalesce(number, F.lit(WHOLE).cast("bigint")))
-            .drop("hot_us", "width")
-        )
-    else:
-        rows = df.withColumn("slice", F.lit(WHOLE).cast("bigint"))
-    return again(Laid(rows, key, bool(hot)))
-
-
-def again(laid: Laid) -> Laid:
-    """The same layout for rows that have lost it, as output of a Python step has.
-
-    The partition count is explicit, so adaptive execution leaves the layout as it is and the
-    windows that follow need no further shuffle.
-    """
-    return laid.over(
-        laid.rows.repartition(shuffle_parts(laid.rows.sparkSession), laid.key, "slice")
-        .sortWithinPartitions(laid.key, "slice", "us", "id")
+    """Give every row its slice.  ``df`` is read twice, so cut it first."""
+    since = F.col("us") - F.col("hot_us")
+    number = ((since - F.pmod(since, F.col("width"))) / F.col("width")).cast("bigint")
+    rows = df.join(hot_keys(df, key, heat), key, "left").withColumn(
+        "slice", F.coalesce(number, F.lit(WHOLE).cast("bigint"))
     )
+    return Laid(rows.drop("hot_us", "width"), key)
 
 
 def stored(laid: Laid) -> Laid:
-    """Cut the rows; they keep their layout."""
-    return laid.over(cut(laid.rows, keep_layout=True))
+    """Cut the rows."""
+    return laid.over(cut(laid.rows))
 
 
 def mark_gaps(laid: Laid, gap_us: int) -> Laid:
@@ -112,15 +89,10 @@ def mark_gaps(laid: Laid, gap_us: int) -> Laid:
 def run_positions(marked: Laid, gap_us: int) -> DataFrame:
     """Position of every row in its run, where a gap above ``gap_us`` starts a new run.
 
-    ``marked`` comes from ``mark_gaps``, stored if a key is split.  Adds ``position`` (1-based) and ``gap`` (microseconds
+    ``marked`` comes from ``mark_gaps`` and is stored.  Adds ``position`` (1-based) and ``gap`` (microseconds
     since the key's previous row, null for its first).
     """
     rows, helpers = marked.rows, ["slice_row", "slice_gap", "run_row"]
-    if not marked.split:
-        first = F.coalesce("run_row", F.lit(1))
-        return rows.withColumns(
-            {"position": (F.col("slice_row") - first + 1).cast("bigint"), "gap": F.col("slice_gap")}
-        ).drop(*helpers)
     slices = _slice_starts(marked, gap_us)
     before = F.coalesce("before", F.lit(0))
     start = F.coalesce(before + F.col("run_row"), F.col("open_row"), F.lit(1))

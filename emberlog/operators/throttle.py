@@ -3,17 +3,18 @@
 A row of a key is *accepted* when it is forced, or when nothing of that key was accepted before,
 or when at least ``cooldown`` microseconds have passed since the last accepted row.  Inert rows
 are never accepted.  Each verdict depends on the one before, so a plain fold puts a whole key in one
-task.  That is what happens to keys of ordinary size, for many keys at once.  A hot key is split
-into time slices and judged in three steps:
-
-1. every slice is summarised, in parallel, as a step function from "time of the last accepted row
-   before the slice" to "last accepted row at its end";
-2. the summaries of a key are applied in time order, which gives the state each slice starts from;
-3. every slice is run, in parallel, from its known state.
-
-A step function has at most as many steps as the slice has rows within one cooldown of its start,
-and equal steps are merged, so what meets in step 2 is a small part of the rows.  Forced rows make
-the function constant from there on.
+task.  Here every key is one or more time slices:
+
+1. every slice of a key with several is summarised, in parallel, as a step function from "time of the
+   last accepted row before the slice" to "last accepted row at its end";
+2. the step functions of neighbouring slices are composed, in parallel, to one per group of slices;
+3. the groups of a key are applied in time order, which gives the state each group starts from, and
+   then, in parallel again, the slices of each group;
+4. every slice is run, in parallel, from its known state; the first of a key starts from nothing.
+
+A step function has at most as many steps as there are rows within one cooldown of its start, and equal
+steps are merged; so a group, however many slices it spans, hands on no more than that.  Forced rows
+make the function constant from there on.
 """
 
 from __future__ import annotations
@@ -23,13 +24,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from emberlog.operators.slices import WHOLE, Laid
-from emberlog.session import shuffle_parts
 
+GROUP = 64                      # neighbouring slices whose step functions are composed in one task
 NEVER = np.iinfo(np.int64).max  # a step that applies whatever the state is
 NONE = np.iinfo(np.int64).min   # no accepted row yet
 
@@ -191,21 +192,8 @@ def _summarise(key: str, key_type: pa.DataType):
     names = [key, "slice", "rows", "upto", "last_us", "last_id", "last_pos"]
 
     def emit(keys, slices, steps: list[Steps]):
-        offsets = np.concatenate([[0], np.cumsum([len(s.upto) for s in steps])]).astype(np.int32)
-
-        def lists(field):
-            parts = [getattr(s, field) for s in steps]
-            return pa.ListArray.from_arrays(
-                pa.array(offsets), pa.array(np.concatenate(parts).astype(np.int64))
-            )
-
         return pa.RecordBatch.from_arrays(
-            [
-                pa.array(keys, type=key_type), pa.array(slices, type=pa.int64()),
-                pa.array([s.rows for s in steps], type=pa.int64()),
-                lists("upto"), lists("us"), lists("id"), lists("pos"),
-            ],
-            names=names,
+            [pa.array(keys, type=key_type), pa.array(slices, type=pa.int64()), *_lists(steps)], names=names
         )
 
     def run(batches):
@@ -230,53 +218,97 @@ def _summarise(key: str, key_type: pa.DataType):
     return run
 
 
-def _carry(key: str, key_type: pa.DataType):
-    """Apply the step functions of every key in slice order; one small state at a time."""
+def _steps(batch) -> list[Steps]:
+    counts, arrays = batch.column("rows").to_pylist(), []
+    for name in ("upto", "last_us", "last_id", "last_pos"):
+        column = batch.column(name)
+        arrays.append((column.offsets.to_numpy(), column.values.to_numpy()))
+    return [Steps(n, *[values[o[i]:o[i + 1]] for o, values in arrays]) for i, n in enumerate(counts)]
+
+
+def _lists(steps: list[Steps]) -> list[pa.Array]:
+    offsets = np.concatenate([[0], np.cumsum([len(s.upto) for s in steps])]).astype(np.int32)
+
+    def lists(field):
+        flat = np.concatenate([getattr(s, field) for s in steps]).astype(np.int64) if steps else np.zeros(0, np.int64)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+
+    return [pa.array([s.rows for s in steps], type=pa.int64()), lists("upto"), lists("us"), lists("id"), lists("pos")]
+
+
+def _compose(key: str, key_type: pa.DataType):
+    """One step function per (key, bunch): those of its slices, one after the other."""
+
+    def emit(done):
+        return pa.RecordBatch.from_arrays(
+            [pa.array([d[0] for d in done], type=key_type), pa.array([d[1] for d in done], type=pa.int64()), *_lists([d[2] for d in done])],
+            names=[key, "bunch", "rows", "upto", "last_us", "last_id", "last_pos"],
+        )
+
+    def run(batches):
+        current = None
+        for batch in batches:
+            done = []
+            keys, bunches = batch.column(key).to_pylist(), batch.column("bunch").to_pylist()
+            starts = batch.column("nth").to_pylist()
+            for k, b, first, steps in zip(keys, bunches, starts, _steps(batch)):
+                if first == 1:
+                    if current is not None:
+                        done.append(current)
+                    current = (k, b, steps)
+                else:
+                    current = (k, b, current[2].then(steps))
+            if done:
+                yield emit(done)
+        if current is not None:
+            yield emit([current])
+
+    return run
+
+
+def _carry(key: str, key_type: pa.DataType, part: str, begun: bool):
+    """Apply step functions in order; gives the state before each.
+
+    The first of a group starts from nothing or, if ``begun``, from the state its rows bring along."""
+    states = ("carry_us", "carry_id", "carry_pos")
 
     def run(batches):
-        current, state = None, (NONE, NONE, 0)
+        state = (NONE, NONE, 0)
         for batch in batches:
             out = ([], [], [], [], [])
-            keys, slices = batch.column(key).to_pylist(), batch.column("slice").to_pylist()
-            counts = batch.column("rows").to_pylist()
-            arrays = []
-            for name in ("upto", "last_us", "last_id", "last_pos"):
-                column = batch.column(name)
-                arrays.append((column.offsets.to_numpy(), column.values.to_numpy()))
-            for i, k in enumerate(keys):
-                if k != current:
-                    current, state = k, (NONE, NONE, 0)
-                else:
-                    for values, value in zip(out, (k, slices[i], *state)):
-                        values.append(value)
-                steps = Steps(counts[i], *[values[o[i]:o[i + 1]] for o, values in arrays])
+            keys, parts = batch.column(key).to_pylist(), batch.column(part).to_pylist()
+            starts = batch.column("nth").to_pylist()
+            given = [_ints(batch, name) for name in states] if begun else None
+            for i, steps in enumerate(_steps(batch)):
+                if starts[i] == 1:
+                    state = (NONE, NONE, 0)
+                    if begun and given[0][i] != NONE:
+                        state = tuple(int(column[i]) for column in given)
+                for values, value in zip(out, (keys[i], parts[i], *state)):
+                    values.append(value)
                 state = steps.apply(state)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(out[0], type=key_type),
                     *[pa.array([None if v == NONE else v for v in c], type=pa.int64()) for c in out[1:]],
                 ],
-                names=[key, "slice", "carry_us", "carry_id", "carry_pos"],
+                names=[key, part, *states],
             )
 
     return run
 
 
-def _judge(out_names: list[str], split: bool):
+def _judge(out_names: list[str]):
     def run(batches):
         state = (NONE, NONE, 0)
         for batch in _small(batches):
             stretch = _stretch(batch)
             ids = _ints(batch, "id")
             firsts = stretch.firsts
-            if split:
-                last, last_id, pos = (
-                    _ints(batch, name)[firsts].copy() for name in ("carry_us", "carry_id", "carry_pos")
-                )
-                pos[pos == NONE] = 0
-            else:
-                last, last_id = np.full(len(firsts), NONE), np.full(len(firsts), NONE)
-                pos = np.zeros(len(firsts), dtype=np.int64)
+            last, last_id, pos = (
+                _ints(batch, name)[firsts].copy() for name in ("carry_us", "carry_id", "carry_pos")
+            )
+            pos[pos == NONE] = 0
             if batch.column("slice_row")[0].as_py() != 1:
                 last[0], last_id[0], pos[0] = state
             accepted = stretch.run(last)
@@ -305,8 +337,8 @@ def throttle(laid: Laid, cooldown_us, forced=None, inert=None) -> DataFrame:
     """Add accepted, anchor_us, anchor_id and position to laid-out rows with a unique ``id``.
 
     ``anchor`` is the newest accepted row up to and including the row itself, ``position`` counts
-    rows from that anchor, starting at 1.  Keys that are not split take one pass; the rows of
-    split keys are read twice, so the rows should be cut.
+    rows from that anchor, starting at 1.  The rows of keys with several slices are read twice, so
+    the rows should be cut.
     """
     rows, key = laid.rows, laid.key
     cooldown = cooldown_us if not isinstance(cooldown_us, int) else F.lit(cooldown_us)
@@ -327,30 +359,30 @@ def throttle(laid: Laid, cooldown_us, forced=None, inert=None) -> DataFrame:
     for name in added[1:]:
         schema = schema.add(name, T.LongType())
     marked = marked.select(*[f.name for f in kept], "th_cooldown", "th_forced", "th_inert")
-    if laid.split:
-        marked = marked.join(_carried(marked, laid), [key, "slice"], "left")
-    return marked.withColumn("slice_row", in_order).mapInArrow(_judge(schema.names, laid.split), schema)
+    marked = marked.join(_carried(marked, laid), [key, "slice"], "left")
+    return marked.withColumn("slice_row", in_order).mapInArrow(_judge(schema.names), schema)
 
 
 def _carried(marked: DataFrame, laid: Laid) -> DataFrame:
-    """State at the start of every slice of the split keys, but for their first slices."""
+    """State at the start of every slice of the keys that have several."""
     key = laid.key
     key_type = laid.rows.schema[key].dataType
     arrow_key = {T.BinaryType: pa.binary(), T.LongType: pa.int64()}.get(type(key_type), pa.string())
-    key_ddl = key_type.simpleString()
+    named = f"{key} {key_type.simpleString()}"
+    lists = "rows bigint, upto array<bigint>, last_us array<bigint>, last_id array<bigint>, last_pos array<bigint>"
+    state = "carry_us bigint, carry_id bigint, carry_pos bigint"
     narrow = marked.filter(F.col("slice") != WHOLE).select(
         key, "slice", "us", "id", "th_cooldown", "th_forced", "th_inert"
     )
     summaries = narrow.withColumn("slice_row", F.row_number().over(laid.order())).mapInArrow(
-        _summarise(key, arrow_key),
-        f"{key} {key_ddl}, slice bigint, rows bigint, upto array<bigint>, last_us array<bigint>, "
-        "last_id array<bigint>, last_pos array<bigint>",
-    )
+        _summarise(key, arrow_key), f"{named}, slice bigint, {lists}"
+    ).withColumn("bunch", F.floor(F.col("slice") / GROUP))
+    in_bunch = F.row_number().over(Window.partitionBy(key, "bunch").orderBy("slice"))
+    in_key = F.row_number().over(Window.partitionBy(key).orderBy("bunch"))
+    bunches = summaries.withColumn("nth", in_bunch).mapInArrow(_compose(key, arrow_key), f"{named}, bunch bigint, {lists}")
+    begins = bunches.withColumn("nth", in_key).mapInArrow(_carry(key, arrow_key, "bunch", False), f"{named}, bunch bigint, {state}")
     return (
-        summaries.repartition(shuffle_parts(marked.sparkSession), key)
-        .sortWithinPartitions(key, "slice")
-        .mapInArrow(
-            _carry(key, arrow_key),
-            f"{key} {key_ddl}, slice bigint, carry_us bigint, carry_id bigint, carry_pos bigint",
-        )
+        summaries.join(begins, [key, "bunch"])
+        .withColumn("nth", in_bunch)
+        .mapInArrow(_carry(key, arrow_key, "slice", True), f"{named}, slice bigint, {state}")
     )

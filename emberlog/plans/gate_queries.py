@@ -18,7 +18,7 @@ AUDIT = ", ".join(gate.AUDIT_COLUMNS)
 
 
 def _marked(spark, sf):
-    return gate.laid_out(gate.verdict_rows(tb.gate_input(spark, sf)))
+    return gate.laid_out(cut(gate.verdict_rows(tb.gate_input(spark, sf))))
 
 
 @query("gate_decisions", f"SELECT {AUDIT} FROM audit", "audit")
@@ -135,12 +135,16 @@ def replay_regression(spark, sf):
 
 @query(
     "emit_enriched_payload",
-    """SELECT id, CAST(json_object('incident_id', incident_id, 'host', host, 'source', source, 'severity', severity, 'message', substr(message, 1, 1200),
-      'timestamp', event_timestamp, 'storm_status', storm_status, 'storm_count', storm_count, 'storm_window_seconds', storm_window_seconds,
-      'storm_fingerprint', substr(fingerprint, 1, 12)) AS VARCHAR) AS payload FROM audit WHERE llm_dispatched = 1""", "audit",
+    """SELECT a.id, CAST(json_object('incident_id', l.incident_id, 'host', l.host, 'source', l.source, 'severity', l.severity, 'timestamp', l.timestamp,
+      'extra', repeat('x', 600), 'message', substr(a.message, 1, 1200), 'storm_status', storm_status, 'storm_count', storm_count,
+      'storm_window_seconds', storm_window_seconds, 'storm_fingerprint', substr(a.fingerprint, 1, 12)) AS VARCHAR) AS payload
+    FROM audit a JOIN log l ON l.id = a.id WHERE llm_dispatched = 1""", "audit", "log",
 )
 def emit_enriched_payload(spark, sf):
-    return gate.enriched_payload(tb.audit(spark, sf))
+    """The bodies have a field that the gate does not know, longer than any limit on known ones."""
+    fields = ["incident_id", "host", "source", "severity", "message", "timestamp", F.repeat(F.lit("x"), 600).alias("extra")]
+    bodies = tb.gate_input(spark, sf).select("id", F.to_json(F.struct(*fields)).alias("raw_body"))
+    return gate.enriched_payload(tb.audit(spark, sf), bodies)
 
 
 @query(

@@ -154,15 +154,15 @@ def dedupe_incident(spark, sf):
 
 @query(
     "quarantine_sink",
-    "SELECT (received_us + 500000) // 1000000 || chr(9) || 'payload' || chr(9) || substr('ValueError: not an object: ' || raw_body, 1, 400) AS value FROM verified WHERE NOT payload_ok",
+    "SELECT (received_us + 500000) // 1000000 || chr(9) || 'payload' || chr(9) || substr('ValueError: not an object: ' || raw_body, 1, 400) AS value, raw_body AS body FROM verified WHERE NOT payload_ok",
     "verified",
 )
 def quarantine_sink(spark, sf):
     rows = inbox.verify(tb.signed(spark, sf), tb.SECRET).filter(~F.col("payload_ok"))
     path = work_path(spark, "quarantine")
     reason = F.concat(F.lit("ValueError: not an object: "), F.col("raw_body"))
-    audit_store.quarantine(rows, "payload", reason).select("value").write.text(path)
-    return spark.read.text(path)
+    audit_store.quarantine(rows, "payload", reason, F.col("raw_body")).write.parquet(path)
+    return spark.read.parquet(path).select("value", "body")
 
 
 @query("delivery_ledger", "SELECT id, attempts, delivered_us, last_error FROM ledger", "ledger")
@@ -171,12 +171,6 @@ def delivery_ledger(spark, sf):
     return ledger.select("id", "attempts", "delivered_us", "last_error")
 
 
-@query("pending_delivery", "SELECT id, created_us FROM ledger WHERE delivered_us IS NULL ORDER BY created_us, id LIMIT 50", "ledger")
-def pending_delivery(spark, sf):
-    ledger = gateway.delivery_ledger(tb.accepted(spark, sf), tb.attempts(spark, sf))
-    return gateway.pending(ledger).select("id", "created_us")
-
-
 @query(
     "delivery_recheck",
     f"""SELECT l.id, CASE WHEN a.program <> 'Ledger' THEN 'deliver' ELSE 'close' END AS action,
@@ -188,3 +182,17 @@ def delivery_recheck(spark, sf):
     ledger = gateway.delivery_ledger(tb.accepted(spark, sf), tb.attempts(spark, sf))
     waiting = ledger.filter(F.col("delivered_us").isNull()).drop("last_error")
     return gateway.recheck(waiting, edited).select("id", "action", "last_error")
+
+
+@query(
+    "pending_delivery",
+    "SELECT l.id, l.created_us FROM ledger l JOIN accepted a ON a.id = l.id WHERE l.delivered_us IS NULL AND a.program <> 'Ledger' ORDER BY l.created_us, l.id LIMIT 50",
+    "ledger", "accepted",
+)
+def pending_delivery(spark, sf):
+    """One retry batch after a recheck has closed the rows of a program that was disabled meanwhile."""
+    edited = tb.allowlist(spark, sf).withColumn("enabled", F.col("enabled") & (F.col("program") != "Ledger"))
+    events, tries = tb.accepted(spark, sf), tb.attempts(spark, sf)
+    waiting = gateway.delivery_ledger(events, tries).filter(F.col("delivered_us").isNull()).drop("last_error")
+    closed = gateway.closures(gateway.recheck(waiting, edited), tb.NOW_US)
+    return gateway.pending(gateway.delivery_ledger(events, tries, closed)).select("id", "created_us")

@@ -90,7 +90,7 @@ def window_since(spark, sf):
 
 @query("collected_rows", f"SELECT id, received_us, storm_status FROM recent WHERE {O.reporting()} IN {O.words(V.COLLECTED_SEVERITIES)}", "recent")
 def collected_rows(spark, sf):
-    return A.collected(_recent(spark, sf)).select("id", "received_us", "storm_status").orderBy("received_us", "id")
+    return A.collected(_recent(spark, sf)).select("id", "received_us", "storm_status")
 
 
 @query("effective_or_label", f"SELECT id, {O.reporting()} AS severity FROM audit", "audit")
@@ -169,11 +169,11 @@ def top_cooled_classes(spark, sf):
 
 @query(
     "cooled_sample",
-    f"SELECT t.suppression_reason, t.n, (SELECT substr(arg_min(a.message, (a.received_us, a.id)), 1, 120) FROM audit a WHERE a.suppression_reason = t.suppression_reason) AS sample FROM ({_COOLED}) t",
-    "audit", "recent",
+    f"SELECT t.suppression_reason, t.n, (SELECT substr(arg_min(a.message, (a.received_us, a.id)), 1, 120) FROM recent a WHERE a.suppression_reason = t.suppression_reason) AS sample FROM ({_COOLED}) t",
+    "recent",
 )
 def cooled_sample(spark, sf):
-    return A.cooled_samples(tb.audit(spark, sf), _recent(spark, sf))
+    return A.cooled_samples(_recent(spark, sf))
 
 
 _CLUSTER_COLUMNS = ["host", "project", "program", "stable_file", "template", "n", "first_us", "last_us", "first_id",
@@ -197,39 +197,35 @@ def cluster_status_hist(spark, sf):
 
 @query("digest_totals", "SELECT CAST(sum(n) AS BIGINT) AS warnings, count(*) AS clusters FROM clusters", "clusters")
 def digest_totals(spark, sf):
-    return digest.totals(digest.clusters(_recent(spark, sf)))
+    return digest.totals(digest.counted(digest.keyed_rows(_recent(spark, sf))))
 
 
 @query("digest_top20", "SELECT host, program, template, n FROM top", "top")
 def digest_top20(spark, sf):
-    return digest.ranked(digest.clusters(_recent(spark, sf))).select("host", "program", "template", "n")
+    return digest.top_clusters(_recent(spark, sf))[1].select("host", "program", "template", "n")
 
 
 @query("cluster_rank", "SELECT rank, host, program, template, n, first_us FROM top", "top")
 def cluster_rank(spark, sf):
-    return digest.ranked(digest.clusters(_recent(spark, sf))).select(
+    return digest.top_clusters(_recent(spark, sf))[1].select(
         F.col("rank").cast("bigint").alias("rank"), "host", "program", "template", "n", "first_us"
     )
 
 
-@query("cluster_line", "SELECT rank, header, sample_line, template_line FROM lines", "lines")
+@query("cluster_line", "SELECT rank, header, sample_line, template_line FROM fitted", "fitted")
 def cluster_line(spark, sf):
-    lines = digest.blocks(digest.ranked(digest.clusters(_recent(spark, sf))), budget=10**9)
+    lines = digest.blocks(digest.top_clusters(_recent(spark, sf))[1])
     return lines.select(F.col("rank").cast("bigint").alias("rank"), "header", "sample_line", "template_line")
 
 
-_TIGHT = 1500
-
-
 @query(
     "budget_prefix",
-    "SELECT rank, CAST(spent AS BIGINT) AS spent, spent <= 9000 AS fits FROM (SELECT *, sum(length(header) + length(sample_line) + length(template_line) + 3) OVER (ORDER BY rank) AS spent FROM lines) "
-    f"WHERE spent <= {_TIGHT}", "lines",
+    "SELECT rank, CAST(spent AS BIGINT) AS spent FROM (SELECT *, sum(length(header) + length(sample_line) + length(template_line) + 3) OVER (ORDER BY rank) AS spent FROM lines) "
+    f"WHERE spent <= {V.CLUSTER_BUDGET}", "lines",
 )
 def budget_prefix(spark, sf):
-    """A budget tighter than the report's own, so that the cut-off falls inside the list."""
-    rows = digest.blocks(digest.ranked(digest.clusters(_recent(spark, sf))), budget=_TIGHT)
-    return rows.select(F.col("rank").cast("bigint").alias("rank"), "spent", (F.col("spent") <= V.CLUSTER_BUDGET).alias("fits"))
+    rows = digest.blocks(digest.top_clusters(_recent(spark, sf))[1])
+    return rows.select(F.col("rank").cast("bigint").alias("rank"), "spent")
 
 
 _FAILURES = f"SELECT *, 'guard ' || stage || ' during ' || substr(detail, 1, 160) AS text FROM crumb_rows WHERE at_s >= {tb.SINCE_US / SECOND} AND fields >= 3"
@@ -237,7 +233,7 @@ _FAILURES = f"SELECT *, 'guard ' || stage || ' during ' || substr(detail, 1, 160
 
 @query(
     "breadcrumb_summary",
-    f"SELECT count(*) AS failures, substr(arg_max(value, seq), 1, 150) AS last FROM crumb_rows WHERE at_s >= {tb.SINCE_US / SECOND}", "crumb_rows",
+    f"SELECT count(*) AS failures, substr(arg_max(value, (at_s, value)), 1, 150) AS last FROM crumb_rows WHERE at_s >= {tb.SINCE_US / SECOND}", "crumb_rows",
 )
 def breadcrumb_summary(spark, sf):
     return review.breadcrumb_summary(_crumbs(spark, sf), tb.SINCE_US)
@@ -250,7 +246,7 @@ def breadcrumb_summary(spark, sf):
 )
 def digest_silent(spark, sf):
     return digest.is_silent(
-        digest.totals(digest.clusters(_recent(spark, sf))), digest.failures_since(_crumbs(spark, sf), tb.SINCE_US)
+        digest.totals(digest.counted(digest.keyed_rows(_recent(spark, sf)))), digest.failures_since(_crumbs(spark, sf), tb.SINCE_US)
     )
 
 
@@ -275,7 +271,7 @@ UNION ALL SELECT 6, 0, {_fill(V.D_CLASSES, new="class_new", expired="cooldown_ex
 UNION ALL SELECT 7, 0, {_fill(V.D_USAGE, calls="calls", input="format('{:,}', input_tokens)", cache="format('{:,}', cache_read_tokens)", output="format('{:,}', output_tokens)", cost="format('{:.3f}', cost)")} FROM cost
 UNION ALL SELECT 7, 1, {_fill(V.D_USAGE_RATE, tokens="format('{:.0f}', (input_tokens + output_tokens + cache_read_tokens) / calls)", each="format('{:.5f}', cost / calls)", daily="calls", daily_cost="format('{:.2f}', cost)")} FROM cost WHERE calls > 0
 UNION ALL SELECT 8, 0, '{V.D_WATCHDOG_HEAD}' WHERE EXISTS ({_FAILURES})
-UNION ALL (SELECT 8, row_number() OVER (ORDER BY seq), '{V.D_WATCHDOG_MARK}' || text FROM ({_FAILURES}) ORDER BY seq LIMIT 10)
+UNION ALL (SELECT 8, row_number() OVER (ORDER BY at_s, value), '{V.D_WATCHDOG_MARK}' || text FROM ({_FAILURES}) ORDER BY at_s, value LIMIT 10)
 UNION ALL SELECT 9, 0, '{V.D_WATCHDOG_TAIL}' WHERE EXISTS ({_FAILURES})
 UNION ALL SELECT 10, 0, '{V.D_NOTES}'
 UNION ALL SELECT 11, 0, ''
@@ -304,7 +300,15 @@ def digest_watermark(spark, sf):
     return spark.read.parquet(path).agg(F.min("mark_us").alias("since_us"), F.max("mark_us").alias("mark_us"))
 
 
-@query("incremental_digest")
+_MARK = f"(SELECT greatest(max(received_us), {tb.NOW_US - 60 * SECOND}) FROM recent WHERE {O.reporting()} IN {O.words(V.COLLECTED_SEVERITIES)})"
+_RUN = "count(*) AS warnings, count(DISTINCT (c_host, c_project, c_program, c_file, c_template)) AS clusters"
+
+
+@query(
+    "incremental_digest",
+    f"""SELECT 1 AS run, true AS moved, {_MARK} AS mark_us, {_RUN} FROM cluster_rows
+    UNION ALL SELECT 2, true, {_MARK}, {_RUN} FROM cluster_rows WHERE received_us >= {_MARK}""", "recent", "cluster_rows",
+)
 def incremental_digest(spark, sf):
     """Two runs: from the mark to now, then again at once; the second covers one minute at most."""
     audit_path, mark_path = work_path(spark, "audit"), work_path(spark, "mark")
@@ -313,12 +317,21 @@ def incremental_digest(spark, sf):
     runs = []
     for run in (1, 2):
         out = work_path(spark, "digest")
-        audit_store.run_digest(spark, audit_path, mark_path, tb.NOW_US, out)
-        runs.append(spark.read.text(out).select(F.lit(run).alias("run"), F.col("value").alias("text")))
+        moved = audit_store.run_digest(spark, audit_path, mark_path, tb.NOW_US, out)
+        figure = lambda name: F.regexp_extract("value", rf"{name}=(\d+)", 1).cast("bigint").alias(name.lower())
+        runs.append(spark.read.text(out).filter(F.col("value").startswith("WARNINGS=")).select(
+            F.lit(run).alias("run"), F.lit(moved).alias("moved"),
+            F.lit(audit_store.read_mark(spark, mark_path, tb.NOW_US)).alias("mark_us"), figure("WARNINGS"), figure("CLUSTERS")))
     return runs[0].unionByName(runs[1])
 
 
-@query("store_watchdog")
+_WATCHDOG = ["DAILY_DIGEST", *[line.replace("{error}", "AnalysisException: UNRESOLVED_COLUMN.WITH_SUGGESTION") for line in V.D_UNREADABLE]]
+
+
+@query(
+    "store_watchdog",
+    f"SELECT text, false AS mark_moved, {tb.SINCE_US} AS mark_us FROM (VALUES {', '.join(f'({O.q(line)})' for line in _WATCHDOG)}) AS lines(text), (SELECT count(*) FROM audit)", "audit",
+)
 def store_watchdog(spark, sf):
     """The audit table written without its time column cannot be read: fixed lines, mark kept."""
     audit_path, mark_path, out = work_path(spark, "audit"), work_path(spark, "mark"), work_path(spark, "digest")
@@ -335,7 +348,7 @@ def _figures(section: str, names: list[str], frame: str) -> str:
     return " UNION ALL ".join(f"SELECT '{section}', '{n}', CAST({n} AS DOUBLE) FROM ({frame})" for n in names)
 
 
-_REVIEW = f"""
+_FIGURES = f"""
 SELECT 'severity' AS section, {O.reporting()} AS item, CAST(count(*) AS DOUBLE) AS value FROM recent GROUP BY 2
 UNION ALL {_figures("dispatch", ["dispatched", "events", "per_day", "baseline_per_day", "target_per_day"], _DISPATCH)}
 UNION ALL {_figures("class", ["class_new", "cooldown_expired", "storm_summary", "cooled"], f"SELECT {_CLS} FROM recent")}
@@ -345,6 +358,34 @@ UNION ALL SELECT 'hour_events', hour, CAST(events AS DOUBLE) FROM ({_PROFILE})
 UNION ALL SELECT 'hour_dispatched', hour, CAST(dispatched AS DOUBLE) FROM ({_PROFILE})"""
 
 
-@query("review_report", _REVIEW, "recent")
-def review_report(spark, sf):
+@query("review_figures", _FIGURES, "recent")
+def review_figures(spark, sf):
     return review.review(tb.audit(spark, sf), tb.SINCE_US, tb.NOW_US)
+
+
+_H = f"{(tb.NOW_US - tb.SINCE_US) / SECOND / 3600.0}::DOUBLE"
+_REVIEW = f"""
+SELECT row_number() OVER (ORDER BY section, part) AS line_no, text FROM (
+SELECT 1 AS section, 0 AS part, 'TRIAL_REVIEW' AS text
+UNION ALL SELECT 2, 0, {_fill(V.R_WINDOW, since=O.local(str(tb.SINCE_US)), now=O.local(str(tb.NOW_US)), hours=f"format('{{:.1f}}', {_H})")}
+UNION ALL SELECT 3, 0, {_fill(V.R_TALLY, tally=f"SELECT string_agg(s || '=' || n, ', ' ORDER BY n DESC, s) FROM (SELECT {O.reporting()} AS s, count(*) AS n FROM recent GROUP BY 1)")}
+UNION ALL SELECT 4, 0, {_fill(V.R_DISPATCH, dispatched="dispatched", events="events", per_day=f"format('{{:.0f}}', dispatched * 24 / {_H})", baseline=str(V.BASELINE_CALLS), target=str(V.TARGET_CALLS))} FROM ({_DISPATCH})
+UNION ALL SELECT 4, 1, {_fill(V.R_CLASSES, new="class_new", expired="cooldown_expired", burst="storm_summary", cooled="cooled")} FROM (SELECT {_CLS} FROM recent)
+UNION ALL SELECT 4, 2, {_fill(V.R_MISLABEL, info="info_as_error", warn="warning_as_error", zero="zero_counter", escalated="escalated")} FROM (SELECT {_MIS} FROM recent)
+UNION ALL SELECT 4, 3, '' UNION ALL SELECT 4, 4, '{V.R_COOLED_HEAD}'
+UNION ALL SELECT 5, row_number() OVER (ORDER BY n DESC, suppression_reason), {_fill(V.R_COOLED, n="n", reason="t.suppression_reason", sample="SELECT replace(substr(arg_min(a.message, (a.received_us, a.id)), 1, 120), chr(10), ' ') FROM recent a WHERE a.suppression_reason = t.suppression_reason")} FROM ({_COOLED}) t
+UNION ALL SELECT 6, 0, '' UNION ALL SELECT 7, 0, '{V.R_HOURS_HEAD}'
+UNION ALL SELECT 8, row_number() OVER (ORDER BY hour), {_fill(V.R_HOUR, hour="hour", events="format('{:3d}', events)", dispatched="format('{:3d}', dispatched)")} FROM ({_PROFILE})
+UNION ALL SELECT 9, 0, ''
+UNION ALL SELECT 9, 1, {_fill(V.R_USAGE, calls="calls", input="format('{:,}', input_tokens)", cache="format('{:,}', cache_read_tokens)", output="format('{:,}', output_tokens)", cost="format('{:.3f}', cost)")} FROM cost
+UNION ALL SELECT 9, 2, {_fill(V.R_USAGE_RATE, daily=f"CAST(floor(calls * 24 / {_H}) AS BIGINT)", daily_cost=f"format('{{:.2f}}', cost * 24 / {_H})", baseline=f"'{V.BASELINE_COST:.2f}'", target=f"'{V.TARGET_COST:.2f}'")} FROM cost
+UNION ALL SELECT 10, 0, ''
+UNION ALL SELECT 10, 1, {_fill(V.R_BREADCRUMBS, n="failures", last=f"CASE WHEN failures > 0 THEN {_fill(V.R_LAST, last='last')} ELSE '' END")} FROM (
+  SELECT count(*) AS failures, substr(arg_max(value, (at_s, value)), 1, 150) AS last FROM crumb_rows WHERE at_s >= {tb.SINCE_US / SECOND}))"""
+
+
+@query("review_report", _REVIEW, "recent", "cost", "crumb_rows")
+def review_report(spark, sf):
+    """Every line of the review."""
+    lines = review.report(tb.audit(spark, sf), tb.SINCE_US, tb.NOW_US, tb.usage_sessions(spark, sf), _crumbs(spark, sf))
+    return lines.withColumn("line_no", F.col("line_no").cast("bigint"))

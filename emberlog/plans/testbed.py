@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from emberlog.functions.clock import DAY, SECOND, rfc3339, seconds, whole
 from emberlog.functions.signing import signature
 from emberlog.operators import gate, gateway
-from emberlog.session import shuffle_parts, work_path
+from emberlog.session import work_path
 from emberlog.sources.files import load_allowlist
 
 START_US = 1_704_067_200 * SECOND       # 2024-01-01
@@ -32,7 +32,7 @@ def stored(spark: SparkSession, sf: str, name: str, build: Callable[[], DataFram
     if key not in _stored:
         path = work_path(spark, name)
         # the given files are a single split each: spread them as a real input would be
-        build().repartition(shuffle_parts(spark)).write.parquet(path)
+        build().repartition(spark.sparkContext.defaultParallelism).write.parquet(path)
         _stored[key] = path
     return spark.read.parquet(_stored[key])
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -25,10 +26,13 @@ def build_session(app: str = "emberlog", master: str | None = None, **settings)
     return builder.getOrCreate()
 
 
+_own: list[tempfile.TemporaryDirectory] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach, as named by ``spark.checkpoint.dir``.
 
-    Only a local master without that setting gets a folder of its own.
+    Only a local master without that setting, as in tests, gets a folder of its own, which goes when the program ends.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
@@ -37,48 +41,23 @@ def shared_folder(spark: SparkSession) -> str:
             sc.setCheckpointDir(named)
         return named
     if sc.getCheckpointDir() is None:
-        if not sc.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="emberlog-"))
+        _own.append(tempfile.TemporaryDirectory(prefix="emberlog-", ignore_cleanup_errors=True))
+        sc.setCheckpointDir(_own[-1].name)
     return sc.getCheckpointDir()
 
 
-def cut(df: DataFrame, keep_layout: bool = False) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and go on from there.
 
     A frame that is read several times is computed once, and a lost executor costs a re-read,
-    not a recomputation.  With ``keep_layout`` the plan is fixed before it runs, so Spark goes on
-    knowing how the rows are partitioned and sorted and does not shuffle them again.
+    not a recomputation.
     """
-    spark = df.sparkSession
-    shared_folder(spark)
-    if not keep_layout:
-        return df.checkpoint(eager=True)
-    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    try:
-        return df.checkpoint(eager=True)
-    finally:
-        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
 
 
 def work_path(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder."""
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def shuffle_parts(spark: SparkSession) -> int:
-    """Partitions of an explicit layout; a local run gains nothing from many more than its cores."""
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    if spark.sparkContext.master.startswith("local"):
-        parts = min(parts, 2 * spark.sparkContext.defaultParallelism)
-    return parts
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Give every core a share of an input that came in fewer splits than there are cores.
-
-    For costly per-row work on a few unsplittable files; an input of many splits is left alone.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

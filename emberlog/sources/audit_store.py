@@ -3,15 +3,29 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from emberlog import fixed_values as V
 from emberlog.functions.clock import SECOND, utc_date, utc_timestamp
 from emberlog.operators import audit as audit_ops
-from emberlog.operators import digest
+from emberlog.operators import digest, review
+
+
+ENGINE_ERRORS = (PySparkException, Py4JJavaError)
+_TEXT, _LONG, _INT = T.StringType(), T.LongType(), T.IntegerType()
+_FIRST_VERSION = {
+    "id": _LONG, "received_us": _LONG, "incident_id": _TEXT, "host": _TEXT, "source": _TEXT, "severity": _TEXT,
+    "event_timestamp": _TEXT, "message": _TEXT, "fingerprint": _TEXT, "storm_count": _LONG, "storm_window_seconds": _INT,
+    "storm_status": _TEXT, "llm_dispatched": _INT,
+}
+_LATER = {"effective_severity": _TEXT, "suppression_reason": _TEXT, "received_date": T.DateType()}
+AUDIT_SCHEMA = T.StructType([T.StructField(n, t) for n, t in {**_FIRST_VERSION, **_LATER}.items()])
 
 
 def dated(audit: DataFrame) -> DataFrame:
@@ -21,40 +35,97 @@ def dated(audit: DataFrame) -> DataFrame:
 def write_audit(audit: DataFrame, path: str, mode: str = "append") -> None:
     """Append audit rows, stored by UTC day so that a time bound skips whole days.
 
-    Rows of a day are brought to a few files; a day is split over as many tasks as it needs.
+    Rows of a day are brought together first; Spark's rebalancing splits a large day over several tasks and files.
     """
-    dated(audit).write.mode(mode).partitionBy("received_date").option(
-        "maxRecordsPerFile", 5_000_000
-    ).parquet(path)
+    rows = dated(audit).hint("rebalance", "received_date")
+    rows.write.mode(mode).partitionBy("received_date").option("maxRecordsPerFile", 5_000_000).parquet(path)
 
 
 def write_batch(audit: DataFrame, batch_id: int, path: str) -> None:
     """Sink of one micro-batch: a repeated batch replaces its own folder, so nothing is doubled."""
-    dated(audit).write.mode("overwrite").partitionBy("received_date").parquet(
-        f"{path}/batch_id={batch_id}"
-    )
+    rows = dated(audit).hint("rebalance", "received_date")
+    rows.write.mode("overwrite").partitionBy("received_date").parquet(f"{path}/batch_id={batch_id}")
+
+
+def compact(spark: SparkSession, path: str, out: str, before_us: int) -> None:
+    """Append the finished days of a table of micro-batches to a table by day."""
+    done = read_audit(spark, path).filter(F.col("received_date") < utc_date(F.lit(before_us)))
+    write_audit(done.drop("received_date", "batch_id"), out)
 
 
 def read_audit(spark: SparkSession, path: str) -> DataFrame:
-    """Audit rows of any age: files without the newest columns get their defaults."""
-    return audit_ops.with_defaults(spark.read.option("mergeSchema", "true").parquet(path))
+    """Audit rows of any age, with the declared columns: no file is opened to find out its own.
 
+    Files without the newest columns get their defaults.  A table that lacks a column of the first version cannot
+    be read: it fails here, not with empty values later.
+    """
+    found = spark.read.parquet(path)
+    found.select(*_FIRST_VERSION).schema  # raises for a missing column
+    extra = [f for f in found.schema.fields if f.name == "batch_id"]
+    return audit_ops.with_defaults(spark.read.schema(T.StructType([*AUDIT_SCHEMA.fields, *extra])).parquet(path))
 
-def drop_expired(audit: DataFrame, now_us: int) -> DataFrame:
-    return audit.filter(F.col("received_us") >= now_us - V.AUDIT_RETENTION_S * SECOND)
 
+def _first_kept(now_us: int) -> int:
+    return now_us - V.AUDIT_RETENTION_S * SECOND
 
-def quarantine(rows: DataFrame, stage: str, reason) -> DataFrame:
-    """Rows that cannot be judged, as breadcrumbs: time, stage and at most 400 characters."""
+
+def drop_expired(audit: DataFrame, now_us: int) -> DataFrame:
+    """Rows within the retention; whole days before it are not read."""
+    return audit_ops.since(audit, _first_kept(now_us))
+
+
+def delete_expired(spark: SparkSession, path: str, now_us: int) -> list[str]:
+    """Delete the folders of days that lie wholly before the retention; returns their names."""
+    first = spark.range(1).select(utc_date(F.lit(_first_kept(now_us))).cast("string").alias("d")).first()["d"]
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    store = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    gone = []
+    for status in store.listStatus(root):
+        name = status.getPath().getName()
+        if name.startswith("received_date=") and name.removeprefix("received_date=") < first:
+            store.delete(status.getPath(), True)
+            gone.append(name)
+    return sorted(gone)
+
+
+def quarantine(rows: DataFrame, stage: str, reason, body=None) -> DataFrame:
+    """Rows that cannot be judged: time, the breadcrumb line with at most 400 characters, and the whole body."""
     text = F.replace(F.substring(reason, 1, 400), F.lit("\n"), F.lit(" "))
     return rows.select(
         F.col("received_us"),
         F.concat_ws(
             "\t", F.round(F.col("received_us") / SECOND).cast("bigint").cast("string"), F.lit(stage), text
         ).alias("value"),
+        (reason if body is None else body).alias("body"),
     )
 
 
+def leave_breadcrumb(spark: SparkSession, path: str, stage: str, problem: BaseException) -> None:
+    """Append one line of a failure to the breadcrumbs."""
+    rows = spark.createDataFrame([(int(time.time() * SECOND), error_text(problem))], "received_us long, reason string")
+    quarantine(rows, stage, F.col("reason")).select("value").coalesce(1).write.mode("append").text(path)
+
+
+def run_gate(spark: SparkSession, decide: Callable[[], DataFrame], path: str, breadcrumbs: str, stage: str = "state-store") -> bool:
+    """Judge a batch and store its audit rows.  A failure leaves a breadcrumb, nothing is sent and nothing raises."""
+    try:
+        write_audit(decide(), path)
+    except ENGINE_ERRORS as problem:
+        leave_breadcrumb(spark, breadcrumbs, stage, problem)
+        return False
+    return True
+
+
+def error_text(problem: BaseException) -> str:
+    """An engine error by its name and condition, which do not vary from run to run; the text is cut, as the report wants it."""
+    if isinstance(problem, Py4JJavaError):
+        kind, text = problem.java_exception.getClass().getSimpleName(), "engine failure"
+    else:
+        kind, text = type(problem).__name__, (problem.getCondition() if isinstance(problem, PySparkException) else None) or str(problem)
+    return f"{kind}: {text[:200]}".replace("\n", " ")
+
+
 def read_mark(spark: SparkSession, path: str, now_us: int) -> int:
     """Newest mark if it lies in (0, now], else 24 hours before now.
 
@@ -79,6 +150,15 @@ def write_mark(spark: SparkSession, path: str, mark_us: int) -> None:
     ).coalesce(1).write.mode("append").parquet(path)
 
 
+def _small(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """A result of a few rows, evaluated now."""
+    return spark.createDataFrame(rows.collect(), rows.schema)
+
+
+def _write_lines(spark: SparkSession, lines: list[str], path: str, mode: str = "overwrite") -> None:
+    spark.createDataFrame([(line,) for line in lines], "text string").coalesce(1).write.mode(mode).text(path)
+
+
 def run_digest(
     spark: SparkSession, audit_path: str, mark_path: str, now_us: int, out_path: str,
     usage: DataFrame | None = None, breadcrumbs: DataFrame | None = None, title: str = "DAILY_DIGEST",
@@ -86,25 +166,58 @@ def run_digest(
 ) -> bool:
     """Incremental digest from the last mark to now.  Returns whether the mark moved.
 
-    An audit table that cannot be read gives the fixed watchdog lines and leaves the mark; usage
-    that cannot be read only leaves its lines out.
+    Each source fails alone.  An audit table that cannot be read gives the fixed watchdog lines and leaves the
+    mark; usage that cannot be read leaves its lines out; breadcrumbs that cannot be read are a failure
+    line themselves; a mark that cannot be written adds a line.
     """
     since_us = read_mark(spark, mark_path, now_us)
+    cost = failures = None
+    if usage is not None:
+        try:
+            cost = _small(spark, audit_ops.usage_cost(usage, since_us))
+        except ENGINE_ERRORS:
+            cost = None
+    if breadcrumbs is not None:
+        try:
+            failures = _small(spark, digest.first_failures(digest.failures_since(breadcrumbs, since_us)))
+        except ENGINE_ERRORS as problem:
+            failures = digest.unreadable_breadcrumbs(spark, error_text(problem))
     try:
         audit = read_audit(spark, audit_path)
-        if usage is not None:
-            try:
-                usage.limit(1).count()
-            except PySparkException:
-                usage = None
-        lines = digest.report(audit, since_us, now_us, usage, breadcrumbs, title, exclusive_since)
+        lines = digest.report_lines(audit, since_us, now_us, cost, failures, title, exclusive_since)
         lines.orderBy("line_no").select("text").coalesce(1).write.mode("overwrite").text(out_path)
-    except PySparkException as problem:
-        text = f"{type(problem).__name__}: {problem}".replace("\n", " ")
-        fixed = digest.unreadable_report(text, title)
-        spark.createDataFrame([(line,) for line in fixed], "text string").coalesce(1).write.mode(
-            "overwrite"
-        ).text(out_path)
+        mark_us = digest.next_mark(audit, since_us, now_us).first()["mark_us"]
+    except ENGINE_ERRORS as problem:
+        _write_lines(spark, digest.unreadable_report(error_text(problem), title), out_path)
+        return False
+    try:
+        write_mark(spark, mark_path, mark_us)
+    except ENGINE_ERRORS as problem:
+        _write_lines(spark, [V.D_MARK_FAILED.replace("{error}", error_text(problem))], out_path, "append")
         return False
-    write_mark(spark, mark_path, digest.next_mark(audit, since_us, now_us).first()["mark_us"])
     return True
+
+
+def run_review(
+    spark: SparkSession, audit_path: str, since_us: int, now_us: int, out_path: str,
+    usage: DataFrame | None = None, breadcrumbs: DataFrame | None = None, title: str = "TRIAL_REVIEW",
+) -> None:
+    """The review of a window as text.  Each source fails alone, with a line of its own; breadcrumbs fail silently."""
+    sections = [review.head_lines(spark, since_us, now_us, title)]
+    try:
+        sections.append(_small(spark, review.store_lines(read_audit(spark, audit_path), since_us, now_us)))
+    except ENGINE_ERRORS as problem:
+        sections.append(review.failed_line(spark, 3, V.R_STORE_FAILED, error_text(problem)))
+    if usage is not None:
+        try:
+            cost = audit_ops.usage_cost(usage, since_us, review.hours_between(since_us, now_us))
+            sections.append(_small(spark, review.usage_lines(cost)))
+        except ENGINE_ERRORS as problem:
+            sections.append(review.failed_line(spark, 9, V.R_USAGE_FAILED, error_text(problem)))
+    if breadcrumbs is not None:
+        try:
+            sections.append(_small(spark, review.breadcrumb_lines(review.breadcrumb_summary(breadcrumbs, since_us))))
+        except ENGINE_ERRORS:
+            pass
+    lines = review.numbered(sections).orderBy("line_no").select("text")
+    lines.coalesce(1).write.mode("overwrite").text(out_path)

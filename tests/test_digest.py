@@ -31,11 +31,11 @@ def test_clusters_rank_and_rotation(spark):
     rows = [(10, SOURCE.format("B", 1), "warning", "slow 5 ms"), (11, SOURCE.format("A", 1), "warning", "\nslow 7 ms token=abc"),
             (12, SOURCE.format("A", 2), "warning", "slow 8 ms token=abc"), (13, SOURCE.format("B", 2), "warning", "slow 77 ms"),
             (14, "bare", "info", "[Acme.Core] x"), (15, "bare", "error", "[Acme.Core] x")]
-    ranked = digest.ranked(digest.clusters(audit_rows(spark, rows))).orderBy("rank").collect()
+    ranked = digest.top_clusters(audit_rows(spark, rows))[1].orderBy("rank").collect()
     assert [(r.rank, r.n, r.program) for r in ranked] == [(1, 2, "B"), (2, 2, "A"), (3, 1, "")]
     assert ranked[1].sample == "slow 7 ms token=<redacted>"
     assert ranked[2].raw_source == "bare"
-    lines = digest.blocks(digest.ranked(digest.clusters(audit_rows(spark, rows)))).orderBy("rank").collect()
+    lines = digest.blocks(digest.top_clusters(audit_rows(spark, rows))[1]).orderBy("rank").collect()
     assert lines[2].header == "[3] 1 条 | 程序=Acme.Core | host=h | 来源=bare | 01-01 13:00 NZ → 01-01 13:00 NZ"
     assert lines[0].header.startswith("[1] 2 条 | 程序=B | 项目=P | 文件=/logs/x/a_20240101.log | host=h | ")
 
@@ -64,7 +64,7 @@ def test_empty_window_is_silent_unless_a_failure_is_known(spark):
     assert digest.is_silent(totals, loud).first().asDict() == {"warnings": 0, "failures": 1, "silent": False}
     text = [r.text for r in digest.report(none, START, START + SECOND, breadcrumbs=crumbs).orderBy("line_no").collect()]
     assert V.D_WATCHDOG_HEAD in text and V.D_WATCHDOG_MARK + "guard open during Error: x" in text
-    assert review.breadcrumb_summary(crumbs, 0).first().asDict() == {"failures": 2, "last": "12\topen"}
+    assert review.breadcrumb_summary(crumbs, 0).first().asDict() == {"failures": 2, "last": f"{START // SECOND}\topen\tError: x"}
 
 
 def test_mark_moves_once_and_stays_when_unreadable(spark):
@@ -137,8 +137,9 @@ def test_scan_log_files(spark, tmp_path):
 
 def test_quarantine_lines(spark):
     df = spark.createDataFrame([(START, "bad\nbody " + "x" * 500)], "received_us long, raw_body string")
-    value = audit_store.quarantine(df, "payload", F.col("raw_body")).first().value
-    at, stage, text = value.split("\t")
+    row = audit_store.quarantine(df, "payload", F.col("raw_body")).first()
+    assert row.body == "bad\nbody " + "x" * 500
+    at, stage, text = row.value.split("\t")
     assert (at, stage, len(text)) == (str(START // SECOND), "payload", 400) and text.startswith("bad body x")
 
 
@@ -148,3 +149,81 @@ def test_class_layer_off_pages_every_survivor(spark):
     rows = gate_rows(spark, [(i, "error", f"same four words here {chr(97 + i)}") for i in range(3)])
     old = gate.decide(rows, gate.GateRules(class_layer=False))
     assert old.agg(F.sum("llm_dispatched")).first()[0] == 3
+
+
+def stored_audit(spark, seconds=(990, 5)):
+    path = work_path(spark, "a")
+    audit_store.write_audit(audit_rows(spark, [(t, "s", "warning", "m") for t in seconds]), path)
+    return path
+
+
+def test_a_corrupt_table_gives_the_fixed_lines(spark, tmp_path):
+    (tmp_path / "received_date=2024-01-01").mkdir()
+    (tmp_path / "received_date=2024-01-01" / "part-0.parquet").write_bytes(b"PAR1 this is no parquet file PAR1")
+    out, mark, now = work_path(spark, "o"), work_path(spark, "m"), START + 1000 * SECOND
+    assert audit_store.run_digest(spark, str(tmp_path), mark, now, out) is False
+    lines = [r.value for r in spark.read.text(out).collect()]
+    assert lines[1] == "WATCHDOG=STATE_DB_UNREADABLE" and lines[-1] == "WARNINGS=0" and len(lines) == 5
+    assert audit_store.read_mark(spark, mark, now) == now - 86_400 * SECOND
+    audit_store.run_review(spark, str(tmp_path), START, now, out)
+    assert any(r.value.startswith(V.R_STORE_FAILED.split("{")[0]) for r in spark.read.text(out).collect())
+
+
+def test_other_sources_fail_alone(spark):
+    audit, mark, out, now = stored_audit(spark), work_path(spark, "m"), work_path(spark, "o"), START + 1000 * SECOND
+    broken = spark.createDataFrame([("webhook", "1")], "source string, started_at string")
+    nothing = spark.createDataFrame([("x",)], "value string")
+    assert audit_store.run_digest(spark, audit, mark, now, out, usage=broken, breadcrumbs=nothing) is True
+    lines = [r.value for r in spark.read.text(out).collect()]
+    assert any("WARNINGS=2" in line for line in lines) and V.D_WATCHDOG_HEAD in lines
+    assert any(V.D_BREADCRUMBS_FAILED.split("{")[0] in line for line in lines)
+    audit_store.run_review(spark, audit, START, now, out, usage=broken, breadcrumbs=nothing)
+    lines = [r.value for r in spark.read.text(out).collect()]
+    assert any(line.startswith(V.R_USAGE_FAILED.split("{")[0]) for line in lines) and any("warning=2" in line for line in lines)
+
+
+def test_the_engines_own_failure_log_reaches_the_digest(spark):
+    audit, mark, out, crumbs, now = stored_audit(spark), work_path(spark, "m"), work_path(spark, "o"), work_path(spark, "c"), START + 1000 * SECOND
+    rows = spark.createDataFrame([(START + 2 * SECOND, "second"), (START + SECOND, "first")], "received_us long, why string")
+    audit_store.quarantine(rows, "payload", F.col("why")).select("value").write.text(crumbs)
+    assert audit_store.write_mark(spark, mark, START) is None
+    assert audit_store.run_digest(spark, audit, mark, now, out, breadcrumbs=files.parse_breadcrumbs(spark.read.text(crumbs))) is True
+    lines = [r.value for r in spark.read.text(out).collect()]
+    at = lines.index(V.D_WATCHDOG_HEAD)
+    assert [line.rsplit(" ", 1)[1] for line in lines[at + 1:at + 3]] == ["first", "second"]
+
+
+def test_a_mark_that_cannot_be_written_adds_a_line(spark, tmp_path):
+    blocked = tmp_path / "file"
+    blocked.write_text("not a folder")
+    out = work_path(spark, "o")
+    assert audit_store.run_digest(spark, stored_audit(spark), str(blocked / "mark"), START + 1000 * SECOND, out) is False
+    assert any(r.value.startswith(V.D_MARK_FAILED.split("{")[0]) for r in spark.read.text(out).collect())
+
+
+def test_a_failed_batch_leaves_a_breadcrumb(spark):
+    crumbs, path = work_path(spark, "c"), work_path(spark, "a")
+    bad = lambda: audit_rows(spark, [(1, "s", "error", "m")]).withColumn("host", F.raise_error(F.lit("no store")).cast("string"))
+    assert audit_store.run_gate(spark, bad, path, crumbs) is False
+    (row,) = files.parse_breadcrumbs(spark.read.text(crumbs)).collect()
+    assert row.stage == "state-store" and row.fields >= 3
+    assert audit_store.run_gate(spark, lambda: audit_rows(spark, [(1, "s", "error", "m")]), path, crumbs) is True
+
+
+def test_retention_reads_and_deletes_whole_days(spark):
+    path = work_path(spark, "days")
+    audit_store.write_audit(audit_rows(spark, [(d * 86_400 + 5, "s", "warning", "m") for d in range(5)]), path)
+    now = START + 3 * 86_400 * SECOND + V.AUDIT_RETENTION_S * SECOND
+    kept = audit_store.drop_expired(spark.read.parquet(path), now)
+    assert "PartitionFilters: [isnotnull(received_date" in kept._jdf.queryExecution().executedPlan().toString() and kept.count() == 2
+    assert audit_store.delete_expired(spark, path, now) == [f"received_date=2024-01-0{d}" for d in (1, 2, 3)]
+    assert spark.read.parquet(path).count() == 2 and audit_store.delete_expired(spark, path, now) == []
+
+
+def test_batches_are_compacted_by_day(spark):
+    path, out = work_path(spark, "batches"), work_path(spark, "days")
+    for batch in range(3):
+        audit_store.write_batch(audit_rows(spark, [(batch, "s", "warning", "m"), (86_400 + batch, "s", "warning", "m")]), batch, path)
+    audit_store.compact(spark, path, out, START + 86_400 * SECOND)
+    table = audit_store.read_audit(spark, out)
+    assert table.count() == 3 and len(table.inputFiles()) == 1

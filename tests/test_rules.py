@@ -297,10 +297,53 @@ def test_unknown_body_fields_are_passed_on(spark):
     body = '{"incident_id": "old", "message": "m", "extra": {"a": [1, true]}, "n": 5}'
     bodies = spark.createDataFrame([(0, body)], "id long, raw_body string")
     got = json.loads(gate.enriched_payload(audit, bodies).first().payload)
-    assert got["extra"] == {"a": [1, True]} and got["n"] == 5
-    assert got["incident_id"] == "evt-0" and len(got["message"]) == 1200 and got["storm_count"] == 1
-    plain = json.loads(gate.enriched_payload(audit).first().payload)
-    assert {k: v for k, v in got.items() if k not in ("extra", "n")} == plain
+    assert got["extra"] == {"a": [1, True]} and got["n"] == 5 and got["incident_id"] == "old"
+    assert len(got["message"]) == 1200 and got["storm_count"] == 1 and "host" not in got
+    long = '{"source": "' + "s" * 600 + '", "host": "' + "h" * 250 + '", "message": "m"}'
+    got = json.loads(gate.enriched_payload(audit, spark.createDataFrame([(0, long)], "id long, raw_body string")).first().payload)
+    assert len(got["source"]) == 600 and len(got["host"]) == 250
+
+
+@pytest.mark.parametrize(
+    "raw, source_, message",
+    [
+        ('{"Source": "/logs/A/x.log", "MESSAGE": "m"}', "/logs/A/x.log", "m"),
+        ('{"message": "a", "message": "b", "source": "s"}', "s", "b"),
+        ('{"source": "/logs/A/x.log", "message": 5}', "/logs/A/x.log", '{"source": "/logs/A/x.log", "message": 5}'),
+        ('{"source": 5, "message": "m"}', "", '{"source": 5, "message": "m"}'),
+        ('{"source": null, "message": "m"}', "", "m"),
+        ('{"message": "m"} x', "", '{"message": "m"} x'),
+        ('[1]', "", "[1]"),
+        ("null", "", ""),
+        ("plain", "", "plain"),
+    ],
+)
+def test_envelope_edges(spark, raw, source_, message):
+    row = gateway.parse_envelope(spark.createDataFrame([(raw,)], "raw string")).first()
+    assert (row.source, row.message) == (source_, message)
+
+
+@pytest.mark.parametrize("body, expected", [
+    ('{"a":1,"a":2}', True), ("[1]", False), ('{"a":1} x', False), ('{"a":1,"a":2} {"b":1}', False), ("", False), ('{"a":{"x":1,"x":2}}', True), ("{", False),
+])
+def test_json_objects(spark, body, expected):
+    assert one(spark, inbox.is_object(F.col("b")), b=body) is expected
+
+
+def test_library_is_looked_for_in_the_stored_message(spark):
+    allow = spark.createDataFrame([("P", "A", True)], "project string, program string, enabled boolean")
+    raw = spark.createDataFrame([(0, START, "x" * 5000 + " in Acme.Core.dll"), (1, START, "in Acme.Core.dll")], "id long, received_us long, raw string")
+    got = {r.id: r.dll for r in gateway.receive(raw, allow).collect()}
+    assert got[0] == "" and got[1] != ""
+
+
+def test_closed_events_are_not_offered_again(spark):
+    events = spark.createDataFrame([(i, i) for i in range(4)], "id long, created_us long")
+    tries = spark.createDataFrame([(0, 1, 5, True, None), (1, 1, 6, False, "e")], "id long, seq long, attempt_us long, ok boolean, error string")
+    closed = spark.createDataFrame([(0, 9, "off"), (1, 9, "off"), (2, 9, "off")], "id long, closed_us long, reason string")
+    ledger = gateway.delivery_ledger(events, tries, closed)
+    assert {r.id: (r.delivered_us, r.last_error) for r in ledger.collect()} == {0: (5, None), 1: (9, "off"), 2: (9, "off"), 3: (None, None)}
+    assert [r.id for r in gateway.pending(ledger).collect()] == [3]
 
 
 def test_exclusive_bound(spark):
