@@ -80,45 +80,48 @@ AUDIT_COLUMNS = [
 ]
 
 
-def verdict_rows(events: DataFrame, rules: GateRules = GateRules()) -> DataFrame:
-    """What the gate needs of every event, without its text: keys as 32 bytes, and the early exit.
+NARROW = ["id", "us", "fingerprint", "class_key", "collect_only", "effective", "exit", "exit_reason"]
 
-    Cut them before anything filters on these columns: the filter would be pushed below the
-    projections and evaluate the regular expressions again.
-    """
+
+def judged_rows(events: DataFrame, rules: GateRules = GateRules()) -> DataFrame:
+    """Normalised events with what the gate needs of them: keys as 32 bytes, severity, and the early exit."""
     in_class_layer = (
         F.col("exit").isNull() & ~F.col("collect_only") & F.col("effective").isin(V.CLASS_LAYER_SEVERITIES)
     )
     label = F.when(F.col("label") == "", "unknown").otherwise(F.col("label"))
-    rows = (
-        fingerprinted(events, rules)
-        .withColumn("head", F.when(in_class_layer, class_head(F.col("message"), rules.collapse_iso_t)))
-        .withColumn(
-            "class_key",
-            F.when(
-                F.col("head").isNotNull(),
-                class_key(
-                    F.col("host"), F.col("stable"), F.col("effective"), F.col("message"), F.col("head")
-                ),
-            ),
-        )
-        .select(
-            "id",
-            F.col("received_us").alias("us"),
-            F.unhex("fingerprint").alias("fingerprint"),
-            F.unhex("class_key").alias("class_key"),
-            "collect_only",
-            F.when(F.col("exit") == V.COUNTER_EXIT, "warning").otherwise(F.col("effective")).alias("effective"),
-            "exit",
-            F.when(
-                F.col("exit") == V.BODY_LEVEL_EXIT,
-                F.concat(F.lit("body_tag_"), F.col("body"), F.lit("_collector_"), label),
-            )
-            .when(F.col("exit").isNotNull(), V.COUNTER_REASON)
-            .alias("exit_reason"),
+    rows = fingerprinted(events, rules).withColumn(
+        "head", F.when(in_class_layer, class_head(F.col("message"), rules.collapse_iso_t))
+    ).withColumn(
+        "class_key",
+        F.when(
+            F.col("head").isNotNull(),
+            class_key(F.col("host"), F.col("stable"), F.col("effective"), F.col("message"), F.col("head")),
+        ),
+    )
+    return rows.select(
+        *AUDIT_INPUT,
+        F.col("received_us").alias("us"),
+        F.unhex("fingerprint").alias("fingerprint"),
+        F.unhex("class_key").alias("class_key"),
+        "collect_only",
+        F.when(F.col("exit") == V.COUNTER_EXIT, "warning").otherwise(F.col("effective")).alias("effective"),
+        "exit",
+        F.when(
+            F.col("exit") == V.BODY_LEVEL_EXIT,
+            F.concat(F.lit("body_tag_"), F.col("body"), F.lit("_collector_"), label),
         )
+        .when(F.col("exit").isNotNull(), V.COUNTER_REASON)
+        .alias("exit_reason"),
     )
-    return rows
+
+
+def verdict_rows(events: DataFrame, rules: GateRules = GateRules()) -> DataFrame:
+    """What the gate needs of every event, without its text.
+
+    Cut them before anything filters on these columns: the filter would be pushed below the
+    projections and evaluate the regular expressions again.
+    """
+    return judged_rows(events, rules).select(NARROW)
 
 
 def laid_out(verdicts: DataFrame, heat: Heat = Heat()) -> Laid:
@@ -226,6 +229,16 @@ def gate_layers(marked: Laid, rules: GateRules = GateRules()) -> tuple[DataFrame
     return storm, class_gate(reaching.select("id", "us", "class_key"), rules.heat)
 
 
+def outcome() -> list:
+    """llm_dispatched, effective_severity and suppression_reason of rows that passed both layers."""
+    sent = F.col("survives") & ~F.col("collect_only") & F.coalesce("paged", F.lit(True))
+    note = F.concat("note", F.lit(":"), short_key(F.lower(F.hex("class_key"))))
+    reason = F.when(F.col("collect_only"), V.COLLECTED_REASON).when(F.col("note").isNotNull(), note).otherwise("")
+    return [
+        sent.cast("int").alias("llm_dispatched"), F.col("effective").alias("effective_severity"), reason.alias("suppression_reason"),
+    ]
+
+
 def decide(events: DataFrame, rules: GateRules = GateRules()) -> DataFrame:
     """One audit row per event, dispatched or not.
 
@@ -238,21 +251,7 @@ def decide(events: DataFrame, rules: GateRules = GateRules()) -> DataFrame:
     else:
         layered = storm.join(classes.select("id", "note", "paged"), "id", "left")
     stateful = layered.select(
-        "id",
-        F.lower(F.hex("fingerprint")).alias("fingerprint"),
-        "storm_count",
-        "storm_status",
-        (F.col("survives") & ~F.col("collect_only") & F.coalesce("paged", F.lit(True)))
-        .cast("int")
-        .alias("llm_dispatched"),
-        F.col("effective").alias("effective_severity"),
-        F.when(F.col("collect_only"), V.COLLECTED_REASON)
-        .when(
-            F.col("note").isNotNull(),
-            F.concat("note", F.lit(":"), short_key(F.lower(F.hex("class_key")))),
-        )
-        .otherwise("")
-        .alias("suppression_reason"),
+        "id", F.lower(F.hex("fingerprint")).alias("fingerprint"), "storm_count", "storm_status", *outcome()
     )
     return (
         normalise(events)

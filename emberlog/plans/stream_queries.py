@@ -9,6 +9,7 @@ from emberlog.operators import gate, gateway, inbox
 from emberlog.plans import testbed as tb
 from emberlog.plans.registry import query
 from emberlog.session import work_path
+from emberlog.sources import audit_store
 from emberlog.streaming import gate as SG
 from emberlog.streaming.run import read_segments, run_batches, run_to_end, write_in_order
 
@@ -16,17 +17,19 @@ BOUNDS = [tb.START_US + d * DAY for d in (8, 16, 23)]
 
 
 def _segments(spark, rows, time, name):
+    SG.use_rocksdb(spark)
     path = work_path(spark, name)
     write_in_order(rows, time, BOUNDS, path)
     return read_segments(spark, path, rows.schema)
 
 
-@query("stream_gate", """
-SELECT s.id, s.cnt AS storm_count, s.status AS storm_status, c.note, a.llm_dispatched
-FROM storm s JOIN audit a ON a.id = s.id LEFT JOIN class_fold c ON c.id = s.id""", "storm", "audit", "class_fold")
+@query("stream_gate", f"SELECT {', '.join(gate.AUDIT_COLUMNS)} FROM audit", "audit")
 def stream_gate(spark, sf):
+    """The whole audit table, written by the stream's sink batch by batch and read back."""
     stream = _segments(spark, tb.gate_input(spark, sf), "received_us", "gate-input")
-    return run_to_end(SG.stream_gate(stream), "gate-output")
+    path = work_path(spark, "stream-audit")
+    run_batches(SG.stream_gate(stream), lambda batch, batch_id: audit_store.write_batch(batch, batch_id, path), "gate")
+    return audit_store.read_audit(spark, path).select(gate.AUDIT_COLUMNS)
 
 
 @query("stream_throttle", "SELECT id, accepted, acc_id AS accepted_id FROM gateway_fold", "gateway_fold")
@@ -56,7 +59,8 @@ def stream_dedupe(spark, sf):
 def stream_ttl(spark, sf):
     """State forgotten after 24 h of silence is first_seen again, on event time."""
     stream = _segments(spark, tb.gate_input(spark, sf), "received_us", "gate-input")
-    rows = run_to_end(SG.stream_storms(stream).select("id", "storm_status"), "ttl-output")
+    storms = SG.stream_storms(stream).filter("exit IS NULL")
+    rows = run_to_end(storms.select("id", "storm_status"), "ttl-output")
     return rows.select("id", (F.col("storm_status") == "first_seen").alias("first_seen"))
 
 

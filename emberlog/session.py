@@ -9,6 +9,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def build_session(app: str = "emberlog", master: str | None = None, **settings) -> SparkSession:
     """A session with the settings this package is written for; the caller's settings win."""
     builder = SparkSession.builder.appName(app)
@@ -20,6 +23,7 @@ def build_session(app: str = "emberlog", master: str | None = None, **settings)
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.checkpoint.compress": "true",
+        "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
     }
     for name, value in {**defaults, **settings}.items():
         builder = builder.config(name, str(value))

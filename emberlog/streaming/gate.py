@@ -1,38 +1,42 @@
-"""The gate and the throttle on streams: keyed state in ``transformWithState``.
+"""The gate and the throttle on streams: keyed state in ``transformWithStateInPandas``.
 
 State is forgotten on event time, so a replay of the same rows gives the same verdicts: the rule
 compares times itself, and a timer on the watermark only frees the state of quiet keys.  A stream
-holds one key's rows of one micro-batch together; bound the micro-batch with maxFilesPerTrigger.
+holds one key's rows of one micro-batch together, as columns; bound the micro-batch by bytes or files.
+The state store has to be RocksDB, as ``build_session`` sets it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Row, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from emberlog import fixed_values as V
 from emberlog.functions.clock import utc_timestamp
 from emberlog.operators import gate, gateway
+from emberlog.session import ROCKSDB
 from emberlog.streaming.rules import FORGET, class_step, storm_step, throttle_step
 
 PASS = "pass-"
-LANES = 256
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def use_rocksdb(spark: SparkSession) -> None:
-    """Keyed state lives in RocksDB: on disk, with incremental checkpoints."""
+    """For a session that was not made by ``build_session``: keep keyed state on disk, with incremental checkpoints."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
 class KeyedRule(StatefulProcessor):
-    """Runs one rule over the rows of a key in (us, id) order."""
+    """Runs one rule over the times of a key in (us, id) order; all other columns pass untouched.
+
+    Rows of a lane (a key that begins with ``PASS``) do not reach the rule: no state, no order."""
 
     fields: list[str] = []
     schema = ""
+    added: list[str] = []
     forget_us = FORGET
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -41,18 +45,25 @@ class KeyedRule(StatefulProcessor):
 
     def read(self) -> dict | None:
         stored = self.state.get()
-        return None if stored is None else dict(zip(self.fields, stored))
-
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        return None if stored is None else {f: None if pd.isna(v) else int(v) for f, v in zip(self.fields, stored)}
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        if str(key[0]).startswith(PASS):
+            for frame in rows:
+                yield frame.assign(**{c: None for c in self.added})
+            return
+        frame = pd.concat(list(rows), ignore_index=True).sort_values(["us", "id"], ignore_index=True)
         before = state = self.read()
-        for row in sorted(rows, key=lambda r: (r["us"], r["id"])):
-            state, verdict = self.step(state, row)
-            yield Row(**row.asDict(), **verdict)
+        verdicts = []
+        for row in zip(*[frame[c].tolist() for c in self.reads]):
+            state, verdict = self.step(state, *row)
+            verdicts.append(verdict)
+        yield frame.assign(**dict(zip(self.added, map(list, zip(*verdicts)))))
         self.state.update(tuple(state[f] for f in self.fields))
         if before is None:
             self.handle.registerTimer((state["seen"] + self.forget_us) // 1000 + 1)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         state = self.read()
         if state is not None:
             due = (state["seen"] + self.forget_us) // 1000 + 1
@@ -62,7 +73,9 @@ class KeyedRule(StatefulProcessor):
                 self.handle.registerTimer(due)
         return iter([])
 
-    def step(self, state: dict | None, row: Row) -> tuple[dict, dict]:
+    reads = ["us"]
+
+    def step(self, state: dict | None, *row) -> tuple[dict, tuple]:
         raise NotImplementedError
 
     def close(self) -> None:
@@ -72,56 +85,58 @@ class KeyedRule(StatefulProcessor):
 class StormRule(KeyedRule):
     fields = ["seen", "count", "sent", "storm"]
     schema = "seen bigint, count bigint, sent bigint, storm bigint"
+    added = ["storm_count", "storm_status", "survives"]
 
-    def step(self, state, row):
-        state, status, send = storm_step(state, row["us"])
-        return state, {"storm_count": state["count"], "storm_status": status, "survives": send}
+    def step(self, state, us):
+        state, status, send = storm_step(state, us)
+        return state, (state["count"], status, send)
 
 
 class ClassRule(KeyedRule):
     fields = ["seen", "window", "count", "total", "sent", "storm"]
     schema = "seen bigint, window bigint, count bigint, total bigint, sent bigint, storm bigint"
+    added = ["note", "paged"]
 
-    def handleInputRows(self, key, rows, timerValues):
-        """Rows that do not reach the layer have lanes of their own: no state, no order."""
-        if key[0].startswith(PASS):
-            for row in rows:
-                yield Row(**row.asDict(), note=None, paged=None)
-        else:
-            yield from super().handleInputRows(key, rows, timerValues)
-
-    def step(self, state, row):
-        state, note, paged = class_step(state, row["us"])
-        return state, {"note": note, "paged": paged}
+    def step(self, state, us):
+        state, note, paged = class_step(state, us)
+        return state, (note, paged)
 
 
 class ThrottleRule(KeyedRule):
     fields = ["us", "id", "seen"]
     schema = "us bigint, id bigint, seen bigint"
     forget_us = V.GATEWAY_RETENTION_S * 1_000_000
+    added = ["accepted", "accepted_id"]
+    reads = ["us", "id", "cooldown"]
+
+    def step(self, state, us, row_id, cooldown):
+        state, accepted = throttle_step(state, us, row_id, cooldown)
+        return dict(state, seen=state["us"]), (accepted, state["id"])
+
 
-    def step(self, state, row):
-        state, accepted = throttle_step(state, row["us"], row["id"], row["cooldown"])
-        return dict(state, seen=state["us"]), {"accepted": accepted, "accepted_id": state["id"]}
+ROWS = (
+    "id bigint, received_us bigint, incident_id string, host string, source string, severity string, timestamp string, message string, "
+    "us bigint, fingerprint binary, class_key binary, collect_only boolean, effective string, exit string, exit_reason string, "
+    "received_at timestamp, lane string"
+)
+STORM_OUT = ROWS + ", storm_count bigint, storm_status string, survives boolean"
 
 
-PASSED = "id bigint, us bigint, class_key string, collect_only boolean, effective string, received_at timestamp, "
-STORM_OUT = PASSED + "fingerprint string, storm_count bigint, storm_status string, survives boolean"
+def _lane(rows: DataFrame, reaches, key) -> DataFrame:
+    """Rows that reach a rule go by its key; the others are spread evenly, a lane for each partition of the shuffle."""
+    lanes = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = F.concat(F.lit(PASS), F.pmod(F.col("id"), F.lit(lanes)).cast("string"))
+    return rows.withColumn("lane", F.when(reaches, F.lower(F.hex(key))).otherwise(spread))
 
 
 def stream_storms(events: DataFrame, delay: str = "10 minutes", rules: gate.GateRules = gate.GateRules()) -> DataFrame:
-    """Fingerprint layer on a stream of gate input.
+    """Fingerprint layer on a stream of gate input, text included; rows with an early exit pass without a verdict.
 
-    ``delay`` must cover the disorder of the source: rows older than the watermark are dropped.
+    ``delay`` must cover the disorder of the source: rows older than the watermark are dropped, and a
+    ``FailureBreadcrumbs`` listener leaves a line with their number.
     """
-    use_rocksdb(events.sparkSession)
-    keys = gate.verdict_rows(events, rules).filter(F.col("exit").isNull())
-    rows = keys.select(
-        "id", "us", F.lower(F.hex("fingerprint")).alias("fingerprint"),
-        F.lower(F.hex("class_key")).alias("class_key"), "collect_only", "effective",
-        utc_timestamp(F.col("us")).alias("received_at"),
-    ).withWatermark("received_at", delay)
-    return rows.groupBy("fingerprint").transformWithState(
+    rows = gate.judged_rows(events, rules).withColumn("received_at", utc_timestamp(F.col("us"))).withWatermark("received_at", delay)
+    return _lane(rows, F.col("exit").isNull(), "fingerprint").groupBy("lane").transformWithStateInPandas(
         statefulProcessor=StormRule(),
         outputStructType=STORM_OUT,
         outputMode="Append",
@@ -131,42 +146,38 @@ def stream_storms(events: DataFrame, delay: str = "10 minutes", rules: gate.Gate
 
 
 def stream_gate(events: DataFrame, delay: str = "10 minutes", rules: gate.GateRules = gate.GateRules()) -> DataFrame:
-    """Verdicts of a stream of gate input: id, storm_count, storm_status, note, llm_dispatched.
-
-    Rows that stop at the first layer pass the second one spread over many lanes, so that the
-    stream stays one chain and no lane grows large.
-    """
+    """The audit rows of a stream of gate input, those of early exits included."""
     storm = stream_storms(events, delay, rules)
     reaches = F.col("survives") & ~F.col("collect_only") & F.col("class_key").isNotNull()
-    spread = F.concat(F.lit(PASS), F.pmod(F.col("id"), F.lit(LANES)).cast("string"))
-    layered = (
-        storm.withColumn("lane", F.when(reaches, F.col("class_key")).otherwise(spread))
-        .groupBy("lane")
-        .transformWithState(
-            statefulProcessor=ClassRule(),
-            outputStructType=STORM_OUT + ", lane string, note string, paged boolean",
-            outputMode="Append",
-            timeMode="EventTime",
-            eventTimeColumnName="received_at",
-        )
+    layered = _lane(storm, F.coalesce(reaches, F.lit(False)), "class_key").groupBy("lane").transformWithStateInPandas(
+        statefulProcessor=ClassRule(),
+        outputStructType=STORM_OUT + ", note string, paged boolean",
+        outputMode="Append",
+        timeMode="EventTime",
+        eventTimeColumnName="received_at",
     )
-    paged = F.coalesce("paged", F.lit(True))
+    dispatched, effective, reason = gate.outcome()
+    early = F.col("exit").isNotNull()
     return layered.select(
-        "id", "storm_count", "storm_status", "note",
-        (F.col("survives") & ~F.col("collect_only") & paged).cast("int").alias("llm_dispatched"),
+        "id", "received_us", "incident_id", "host", "source", "severity", F.col("timestamp").alias("event_timestamp"), "message",
+        F.lower(F.hex("fingerprint")).alias("fingerprint"),
+        F.coalesce("storm_count", F.lit(1)).cast("bigint").alias("storm_count"),
+        F.lit(V.STORM_GAP_S).alias("storm_window_seconds"),
+        F.coalesce("storm_status", "exit").alias("storm_status"),
+        F.when(early, 0).otherwise(dispatched).alias("llm_dispatched"),
+        effective, F.when(early, F.col("exit_reason")).otherwise(reason).alias("suppression_reason"),
     )
 
 
 def stream_throttle(received: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """Gateway throttle on a stream of received bodies: id, accepted, accepted_id."""
-    use_rocksdb(received.sparkSession)
     rows = (
         received.filter(F.col("ok") & F.col("enabled"))
         .select("id", "us", "fingerprint", gateway.cooldown_us(F.col("severity")).alias("cooldown"),
                 utc_timestamp(F.col("us")).alias("received_at"))
         .withWatermark("received_at", delay)
     )
-    judged = rows.groupBy("fingerprint").transformWithState(
+    judged = rows.groupBy("fingerprint").transformWithStateInPandas(
         statefulProcessor=ThrottleRule(),
         outputStructType="id bigint, us bigint, fingerprint string, cooldown bigint, received_at timestamp, accepted boolean, accepted_id bigint",
         outputMode="Append",

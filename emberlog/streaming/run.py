@@ -24,9 +24,10 @@ def write_in_order(rows: DataFrame, time: str, bounds: list[int], path: str) ->
         part.coalesce(1).write.mode("append").parquet(path)
 
 
-def read_segments(spark: SparkSession, path: str, schema, files_per_batch: int = 1) -> DataFrame:
-    """Stream of stored segments; the number of files bounds a micro-batch."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", str(files_per_batch)).parquet(path)
+def read_segments(spark: SparkSession, path: str, schema, files_per_batch: int = 1, bytes_per_batch: int | None = None) -> DataFrame:
+    """Stream of stored segments; their number, or their bytes, bound a micro-batch."""
+    bound = ("maxFilesPerTrigger", files_per_batch) if bytes_per_batch is None else ("maxBytesPerTrigger", bytes_per_batch)
+    return spark.readStream.schema(schema).option(bound[0], str(bound[1])).parquet(path)
 
 
 def run_to_end(stream: DataFrame, name: str, checkpoint: str | None = None, out: str | None = None) -> DataFrame:
@@ -56,7 +57,7 @@ def run_batches(stream: DataFrame, handle: Callable[[DataFrame, int], None], nam
 
 
 class FailureBreadcrumbs(StreamingQueryListener):
-    """Appends one breadcrumb line when a stream ends with an error, so that silence is noticed."""
+    """Appends a breadcrumb line when a stream ends with an error, or when rows come behind the watermark, so that silence is noticed."""
 
     def __init__(self, spark: SparkSession, path: str, stage: str = "stream"):
         self.spark, self.path, self.stage = spark, path, stage
@@ -65,14 +66,18 @@ class FailureBreadcrumbs(StreamingQueryListener):
         pass
 
     def onQueryProgress(self, event) -> None:
-        pass
+        late = sum(operator.numRowsDroppedByWatermark for operator in event.progress.stateOperators)
+        if late:
+            self._leave(f"{late} rows behind the watermark were dropped")
 
     def onQueryIdle(self, event) -> None:
         pass
 
     def onQueryTerminated(self, event) -> None:
         if event.exception:
-            row = [(int(time.time() * 1_000_000), event.exception)]
-            rows = self.spark.createDataFrame(row, "received_us long, reason string")
-            lines = quarantine(rows, self.stage, F.col("reason"))
-            lines.select("value").coalesce(1).write.mode("append").text(self.path)
+            self._leave(event.exception)
+
+    def _leave(self, reason: str) -> None:
+        rows = self.spark.createDataFrame([(int(time.time() * 1_000_000), reason)], "received_us long, reason string")
+        lines = quarantine(rows, self.stage, F.col("reason"))
+        lines.select("value").coalesce(1).write.mode("append").text(self.path)

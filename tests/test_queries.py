@@ -9,7 +9,6 @@ import __spark_entry__ as entry_point
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 ORACLES = entry_point.oracle_sql()
-SLOW = {"stream_gate", "stream_throttle", "stream_ttl"}
 
 
 @pytest.fixture(scope="module")
@@ -31,7 +30,7 @@ def table(columns, rows):
     return sorted([tuple(cell(row[i]) for i in order) for row in rows], key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(set(ORACLES) - SLOW))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_its_twin(spark, sf, duck, name):
     df = entry_point.queries()[name](spark, sf)
     cursor = duck.execute(ORACLES[name])
