@@ -42,7 +42,7 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and whether they decode to its text."""
     vocabulary = pieces.Vocabulary.load()
-    both = pieces.decode(pieces.encode(docs.select("doc_id", "text"), vocabulary), vocabulary)
+    both = pieces.encode(docs.select("doc_id", "text"), vocabulary, back="decoded")
     return both.select("doc_id", "text", "ids", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"),
                        F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
 

@@ -253,17 +253,19 @@ def _short(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Record
             low = high
 
 
-def _plain(docs: DataFrame, drop: str) -> tuple[DataFrame, list[str], str]:
-    """Positional names, so that columns that differ in case or hold dots stay apart; an existing result column goes."""
-    names = [c for c in docs.columns if c != drop]
+def _plain(docs: DataFrame, *drop: str | None) -> tuple[DataFrame, list[str], str]:
+    """Positional names, so that columns that differ in case or hold dots stay apart; existing result columns go."""
+    names = [c for c in docs.columns if c not in drop]
     kinds = ", ".join(f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(names))
     return docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)]), names, kinds
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", ids: str = "ids") -> DataFrame:
-    """``docs`` with the token ids of its text.  An empty text has none, a null text null.  Equal to the model's own encoder."""
+def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", ids: str = "ids", back: str | None = None) -> DataFrame:
+    """``docs`` with the token ids of its text.  An empty text has none, a null text null.  Equal to the model's own encoder.
+
+    ``back`` names a column for the text that the ids decode to, made in the same pass."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    plain, names, kinds = _plain(docs, ids)
+    plain, names, kinds = _plain(docs, ids, back)
     column = f"c{names.index(text)}"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,11 +273,13 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", ids: str
         for batch in batches_of(batches, column, BATCH):
             texts = batch.column(batch.schema.get_field_index(column))
             tokens, first = encoder.texts(*utf8(texts))
-            mask = np.asarray(texts.is_null())
-            lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(tokens.astype(np.int32)), mask=pa.array(mask))
-            yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, "ids"])
+            null = np.asarray(texts.is_null())
+            lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(tokens.astype(np.int32)), mask=pa.array(null))
+            more = [] if back is None else [pa.array(decode_ids(shared.value, tokens, first), pa.string(), mask=null)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists, *more], names=[*batch.schema.names, "ids", "back"][:len(names) + 1 + len(more)])
 
-    return plain.mapInArrow(work, f"{kinds}, ids array<int>").toDF(*names, ids)
+    kinds += ", ids array<int>" + (", back string" if back else "")
+    return plain.mapInArrow(work, kinds).toDF(*names, ids, *([back] if back else []))
 
 
 def decode(tokens: DataFrame, vocabulary: Vocabulary, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -299,7 +303,7 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str, model: str = MODEL) -> D
     """Every document encoded and decoded: number and digest of its ids, and whether the text came back."""
     vocabulary = Vocabulary.load(model)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    both = decode(encode(docs, vocabulary), vocabulary)
+    both = encode(docs, vocabulary, back="decoded")
     return both.select(
         "doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"),
         F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),

@@ -344,8 +344,8 @@ def test_pieces_equal_the_library(spark):
     extra = ["  two  blanks ", "aaaaaaaaaaaaa", "=====  ====", "▁x▁", "日本語テスト\U0001F600", "\r\n\t", "é" * 100, "x" * 3000, "ab" * 999]
     frame = docs_of(spark, ODD + [(100 + i, t, None, None) for i, t in enumerate(extra)])
     vocabulary = pieces.Vocabulary.load()
-    rows = pieces.decode(pieces.encode(frame, vocabulary), vocabulary).collect()
-    assert len(rows) == len(ODD) + len(extra)
+    rows = pieces.decode(pieces.encode(frame, vocabulary, back="again"), vocabulary).collect()
+    assert all(r.again == r.decoded for r in rows) and len(rows) == len(ODD) + len(extra)
     for r in rows:
         if r.text is None:
             assert r.ids is None and r.decoded is None
