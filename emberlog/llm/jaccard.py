@@ -33,6 +33,7 @@ from emberlog.llm.common import SPACED, bare, components, cut, mix, pieces, tabl
 
 SLOTS = 1 << 17      # counters of the frequency sketch that orders shingles
 BITS = 1024          # of a set's bitmap
+WANTED = 1 << 23     # bits that mark, by hash, the documents whose sets are needed
 FEW = 16             # members up to which a bucket gives its pairs; larger ones go by their pivot, as exactly
 _FEW = np.uint64(0xA0761D6478BD642F)
 
@@ -142,17 +143,39 @@ def _prefixes(docs: DataFrame, rule: Rule, sketch: np.ndarray) -> DataFrame:
     return docs.mapInArrow(work, "n long, h1 long, h2 long, prefix array<long>, bits array<long>")
 
 
-def _whole(docs: DataFrame, rule: Rule, sketch: np.ndarray) -> DataFrame:
-    """doc_id and its ordered set."""
-    shared = docs.sparkSession.sparkContext.broadcast(sketch)
+def _marks(ids: DataFrame) -> np.ndarray:
+    """``WANTED`` bits, in 4 KB pieces: those hit by the ids' hashes."""
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(WANTED)) + 1   # these functions count from 1
+    found = ids.groupBy(F.bitmap_bucket_number(place).alias("piece")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()
+    out = np.zeros(WANTED // 8, np.uint8)
+    for row in found:
+        at = (row["piece"] - 1) * 4096
+        out[at:at + 4096] = np.frombuffer(row["bits"], np.uint8)
+    return np.unpackbits(out, bitorder="little").astype(bool)
+
+
+def _whole(docs: DataFrame, involved: DataFrame, rule: Rule, sketch: np.ndarray) -> DataFrame:
+    """id and ordered set of the documents in ``involved`` (doc_id, h1, h2), one row each.
+
+    Texts stay where they are: a task skips those whose mark, one of a fixed number of bits, isn't set, and only the sets
+    of the others are shuffled, to drop what was marked by chance."""
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast((sketch, np.packbits(_marks(involved))))
     k = rule.words
+    placed = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(WANTED)).alias("place"))
 
     def work(batches):
-        for batch in pieces(batches, "text"):
-            sets, _ = _sets(batch, k)
-            yield pa.RecordBatch.from_arrays([batch.column(0), _lists([_ordered(s, shared.value) for s in sets])], names=["id", "tokens"])
+        sketch, marks = shared.value
+        for batch in batches:
+            place = np.asarray(batch.column(2), np.int64)
+            wanted = batch.filter(pa.array((marks[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1 == 1))
+            for part in pieces([wanted], "text"):
+                sets, n = _sets(part, k)
+                names = [pa.array(h) for h in _names(sets, n)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *names, _lists([_ordered(s, sketch) for s in sets])], names=["doc_id", "h1", "h2", "tokens"])
 
-    return docs.mapInArrow(work, "id long, tokens array<long>")
+    sets = placed.mapInArrow(work, "doc_id long, h1 long, h2 long, tokens array<long>").join(involved, ["doc_id", "h1", "h2"], "left_semi")
+    return sets.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), "tokens")
 
 
 def _allowed(n: Column, rule: Rule) -> Column:
@@ -181,8 +204,8 @@ def join_classes(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     100 * intersection >= percent * union.  ``component_id`` is the least doc_id reachable, its own included.
 
     A null or empty text has an empty set and links with nothing.  Equal sets are one class, represented by its
-    least doc_id; rows that share a doc_id are judged by their own texts.  A null doc_id links, but names nothing: its
-    component is the class's.
+    least doc_id.  Rows that share a doc_id are one document and get one component, by the text with the smallest set (then
+    the least hashes).  A row with a null doc_id names no document: it gets the component of documents with its set, if any.
     """
     rows = bare(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     measured = cut(_measure(rows, rule))
@@ -191,36 +214,44 @@ def join_classes(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     sketch[slots["slot"].to_numpy(np.int64)] = slots["times"].to_numpy(np.int64)
     own = measured.filter("slot IS NULL").select("doc_id", "n", "h1", "h2")
     names = ["n", "h1", "h2"]
-    classes = own.filter("n > 0 AND doc_id IS NOT NULL").groupBy(*names).agg(F.min("doc_id").alias("id"))
+    # one set for each doc_id, so that a class's least doc_id is no other class's
+    each = own.filter("n > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct(*names)).alias("set")).select("doc_id", "set.*")
+    classes = each.groupBy(*names).agg(F.min("doc_id").alias("id"))
     prefixes = _prefixes(rows, rule, sketch).groupBy(*names).agg(F.first("prefix").alias("prefix"), F.first("bits").alias("bits"))
     # classes with equal prefix and size are one group, named after its least member
     grouped = cut(classes.join(prefixes, names).select("id", "n", "prefix", "bits", F.xxhash64("prefix").alias("p1"), F.xxhash64(F.reverse("prefix")).alias("p2")))
     groups = grouped.groupBy("n", "p1", "p2").agg(F.min("id").alias("group"), F.count("*").alias("held"))
     members = cut(grouped.select("id", "n", "p1", "p2").join(groups, ["n", "p1", "p2"]).select("id", "n", "group", "held"))
-    first = members.filter("id = group").select("group", "held")
-    heads = grouped.join(first, F.col("id") == F.col("group")).select("group", "held", "n", F.posexplode("prefix").alias("pos", "token"))
-    common = heads.groupBy("token").agg(F.sum("held").alias("all")).filter("all > 1").select("token")
-    shared = cut(heads.join(common, "token"))
+    heads = grouped.join(members.filter("id <> group").select("id"), "id", "left_anti")
+    heads = heads.select(F.col("id").alias("group"), F.posexplode("prefix").alias("pos", "token"))
+    common = heads.groupBy("token").agg(F.count("*").alias("groups")).filter("groups > 1").select("token")
+    sizes = members.filter("id = group").select("group", "n", "held")
+    shared = cut(heads.join(common, "token").join(sizes, "group"))
     # linked sets differ in size by less than a band, so each bucket takes a band and the one below
     band = F.floor(F.log("n") / math.log(100 / rule.percent)).cast("int")
     banded = shared.withColumn("band", F.explode(F.array(band, band + 1)))
     buckets = banded.groupBy("token", "band").agg(F.sum("held").alias("all"), F.min(F.struct("pos", "group")).alias("pivot")).filter("all > 1")
     banded = banded.join(buckets, ["token", "band"])
     star = banded.filter(F.col("all") > FEW).select("group", F.col("pivot.group").alias("y")).distinct()
+    star = star.unionByName(sizes.filter(F.col("held") > FEW).select("group", F.col("group").alias("y"))).distinct()
     star = star.join(members.select("group", F.col("id").alias("x")), "group").filter("x <> y").select("x", "y").distinct()
     few = banded.filter(F.col("all") <= FEW).select("token", "band", "group", "n", "pos").join(members.select("group", "id"), "group").drop("group")
     other = few.select("token", "band", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("j"))
     needed = F.col("n") + F.col("ny") - _allowed(F.col("n") + F.col("ny"), rule)
     possible = 2 * F.least(F.col("n") - F.col("pos"), F.col("ny") - F.col("j"))
     alike = (F.col("id") < F.col("y")) & (possible >= needed) & (100 * F.least("n", "ny") >= rule.percent * F.greatest("n", "ny"))
-    direct = few.join(other, ["token", "band"]).filter(alike).select(F.col("id").alias("x"), "y", "n", "ny").distinct()
+    inside = members.filter((F.col("held") > 1) & (F.col("held") <= FEW)).select("group", "id", "n")
+    inside = inside.join(inside.toDF("group", "y", "ny"), "group").filter("id < y").select(F.col("id").alias("x"), "y", "n", "ny")
+    direct = few.join(other, ["token", "band"]).filter(alike).select(F.col("id").alias("x"), "y", "n", "ny")
+    direct = direct.unionByName(inside).distinct()
     bits = grouped.select("id", "bits")
     direct = direct.join(bits.select(F.col("id").alias("x"), F.col("bits").alias("bx")), "x").join(bits.select(F.col("id").alias("y"), F.col("bits").alias("by")), "y")
     apart = F.aggregate(F.zip_with("bx", "by", lambda v, w: F.bit_count(v.bitwiseXOR(w))), F.lit(0), lambda total, v: total + v)
     direct = direct.filter(apart <= _allowed(F.col("n") + F.col("ny"), rule)).select("x", "y")
     star = cut(star.select("x", "y", F.lit(True).alias("star")).unionByName(direct.select("x", "y", F.lit(False).alias("star"))))
-    involved = star.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct()
-    sets = cut(_whole(rows.join(involved, "doc_id", "left_semi").dropDuplicates(["doc_id"]), rule, sketch))
+    involved = star.select(F.explode(F.array("x", "y")).alias("id")).distinct().join(classes, "id")
+    involved = cut(involved.select(F.col("id").alias("doc_id"), "h1", "h2"))
+    sets = cut(_whole(rows, involved, rule, sketch))
     # the first differences of each member: its own tokens, rare ones first, then the pivot's
     reach = _allowed(F.col("nx") * (100 + rule.percent) / rule.percent, rule) + 1
     signed = F.concat(F.transform("more", lambda t: F.struct(F.lit(0).alias("side"), t.alias("token"))), F.transform("less", lambda t: F.struct(F.lit(1).alias("side"), t.alias("token"))))
@@ -246,7 +277,10 @@ def join_classes(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     every = roots.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
     final = components(every).withColumnRenamed("node", "id")
     by_class = classes.join(final, "id", "left").select(*names, F.coalesce("component", "id").alias("component"))
-    return own.join(by_class, names, "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    by_doc = each.join(by_class, names).select("doc_id", F.col("component").alias("by_doc"))
+    out = own.join(by_doc, "doc_id", "left").join(by_class, names, "left")
+    component = F.when(F.col("doc_id").isNull(), F.col("component")).otherwise(F.coalesce("by_doc", "doc_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
 def deduplicate(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:

@@ -198,6 +198,9 @@ def test_jaccard_odd_rows(spark):
     got = plain(jaccard.join_classes(docs_of(spark, ODD)))
     assert (1, 4, 1) in got and (2, 0, 2) in got and (3, 0, 3) in got and (4, 0, 4) in got and (None, 4, 1) in got and len(got) == len(ODD)
     assert jaccard.join_classes(docs_of(spark, [])).count() == 0
+    long = ODD[0][1]
+    both = [(1, long, "", ""), (1, long + " and some more words that follow it here", "", ""), (2, long + " and some more words that follow it here", "", ""), (3, long, "", "")]
+    assert plain(jaccard.join_classes(docs_of(spark, both))) == [(1, 12, 1), (1, 4, 1), (2, 12, 2), (3, 4, 1)]
     kept = jaccard.deduplicate(docs_of(spark, ODD + [(9, ODD[0][1], "", "")]))
     assert 9 not in {r.doc_id for r in kept.collect()} and kept.columns == [c.split()[0] for c in DOCS.split(", ")]
 
