@@ -163,16 +163,17 @@ def ingest(raw: DataFrame, allow: DataFrame) -> DataFrame:
     )
 
 
-def accepted_events(received: DataFrame, judged: DataFrame) -> DataFrame:
+def accepted_events(raw: DataFrame, allow: DataFrame, judged: DataFrame) -> DataFrame:
     """The stored events with the number of rows each one stands for.
 
-    Duplicates are counted per accepted id with a map-side combine; the accepted id then meets
-    its own row once.
+    Duplicates are counted per accepted id with a map-side combine; the accepted id then meets its own body once,
+    and only those bodies are parsed, placed and keyed again.
     """
     counts = judged.groupBy(F.col("accepted_id").alias("id")).agg(
         F.count(F.lit(1)).alias("occurrences")
     )
-    return received.join(counts, "id").select(
+    received = receive(raw.join(counts, "id"), allow)
+    return received.select(
         "id",
         incident_id(F.col("source"), F.col("us"), F.col("id")).alias("incident_id"),
         F.col("us").alias("created_us"),

@@ -195,8 +195,8 @@ def accepted(spark: SparkSession, sf: str) -> DataFrame:
     """The gateway's stored events."""
 
     def build() -> DataFrame:
-        rows = received(spark, sf)
-        return gateway.accepted_events(rows, gateway.gateway_throttle(gateway.receipts(rows)))
+        judged = gateway.gateway_throttle(gateway.receipts(received(spark, sf)))
+        return gateway.accepted_events(raw_bodies(spark, sf), allowlist(spark, sf), judged)
 
     return stored(spark, sf, "accepted", build)
 
