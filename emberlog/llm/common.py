@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.session import cut, shared_folder, work_path  # noqa: F401
+from emberlog import session
+from emberlog.session import shared_folder, work_path  # noqa: F401
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 CHUNK = 4 << 20                      # bytes of text that array code handles at once
@@ -22,6 +24,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of what finished steps left on the executors' disks.
+
+    Spark removes shuffle files once the driver has collected the frames that made them; on its own that may
+    take until the next half hour, while a job of many steps fills the disks.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.java.lang.System.gc()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder, go on from there, and free the shuffles that led to it."""
+    done, spark = session.cut(df), df.sparkSession
+    del df
+    release(spark)
+    return done
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as a table in the shared folder.  Its size is known then, so Spark decides by that whether a join broadcasts it."""
+    path = work_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def lower_ascii(col: Column) -> Column:
     """A-Z to lower case, other letters as they are."""
     return F.translate(col, UPPER, LOWER)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.llm.common import SPACED, bare, components, cut, mix, pieces, table, words_of
+from emberlog.llm.common import SPACED, bare, components, cut, mix, pieces, stored, table, words_of
 
 SLOTS = 1 << 17      # counters of the frequency sketch that orders shingles
 BITS = 1024          # of a set's bitmap
@@ -175,7 +175,7 @@ def _whole(docs: DataFrame, involved: DataFrame, rule: Rule, sketch: np.ndarray)
                 yield pa.RecordBatch.from_arrays([part.column(0), *names, _lists([_ordered(s, sketch) for s in sets])], names=["doc_id", "h1", "h2", "tokens"])
 
     sets = placed.mapInArrow(work, "doc_id long, h1 long, h2 long, tokens array<long>").join(involved, ["doc_id", "h1", "h2"], "left_semi")
-    return sets.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), "tokens")
+    return sets.dropDuplicates(["doc_id", "h1", "h2"]).select(F.col("doc_id").alias("id"), "tokens")
 
 
 def _allowed(n: Column, rule: Rule) -> Column:
@@ -196,34 +196,12 @@ def _met(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     return pairs.withColumn("linked", 100 * common >= rule.percent * (F.col("nx") + F.col("ny") - common))
 
 
-def join_classes(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row of ``docs`` (doc_id, text).
-
-    Texts are cut at blanks and the controls 9 to 13 after A-Z became lower case; a document's set holds its distinct shingles
-    of ``rule.words`` words, or its whole sequence if that is shorter.  Two documents link when
-    100 * intersection >= percent * union.  ``component_id`` is the least doc_id reachable, its own included.
+def _candidates(grouped: DataFrame, members: DataFrame, rule: Rule) -> DataFrame:
+    """Pairs (x, y) to verify, and whether y is the pivot of a large bucket.
 
-    A null or empty text has an empty set and links with nothing.  Equal sets are one class, represented by its
-    least doc_id.  Rows that share a doc_id are one document and get one component, by the text with the smallest set (then
-    the least hashes).  A row with a null doc_id names no document: it gets the component of documents with its set, if any.
-    """
-    rows = bare(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    measured = cut(_measure(rows, rule))
-    slots = measured.filter("slot IS NOT NULL").groupBy("slot").agg(F.sum("times").alias("times")).toPandas()
-    sketch = np.zeros(SLOTS, np.int64)
-    sketch[slots["slot"].to_numpy(np.int64)] = slots["times"].to_numpy(np.int64)
-    own = measured.filter("slot IS NULL").select("doc_id", "n", "h1", "h2")
-    names = ["n", "h1", "h2"]
-    # one set for each doc_id, so that a class's least doc_id is no other class's
-    each = own.filter("n > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct(*names)).alias("set")).select("doc_id", "set.*")
-    classes = each.groupBy(*names).agg(F.min("doc_id").alias("id"))
-    prefixes = _prefixes(rows, rule, sketch).groupBy(*names).agg(F.first("prefix").alias("prefix"), F.first("bits").alias("bits"))
-    # classes with equal prefix and size are one group, named after its least member
-    grouped = cut(classes.join(prefixes, names).select("id", "n", "prefix", "bits", F.xxhash64("prefix").alias("p1"), F.xxhash64(F.reverse("prefix")).alias("p2")))
-    groups = grouped.groupBy("n", "p1", "p2").agg(F.min("id").alias("group"), F.count("*").alias("held"))
-    members = cut(grouped.select("id", "n", "p1", "p2").join(groups, ["n", "p1", "p2"]).select("id", "n", "group", "held"))
-    heads = grouped.join(members.filter("id <> group").select("id"), "id", "left_anti")
-    heads = heads.select(F.col("id").alias("group"), F.posexplode("prefix").alias("pos", "token"))
+    ``grouped``: id, prefix, bits, ...; ``members``: id, n, group, held."""
+    others = stored(members.filter("id <> group").select("id"), "grouped")
+    heads = grouped.join(others, "id", "left_anti").select(F.col("id").alias("group"), F.posexplode("prefix").alias("pos", "token"))
     common = heads.groupBy("token").agg(F.count("*").alias("groups")).filter("groups > 1").select("token")
     sizes = members.filter("id = group").select("group", "n", "held")
     shared = cut(heads.join(common, "token").join(sizes, "group"))
@@ -248,17 +226,11 @@ def join_classes(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     direct = direct.join(bits.select(F.col("id").alias("x"), F.col("bits").alias("bx")), "x").join(bits.select(F.col("id").alias("y"), F.col("bits").alias("by")), "y")
     apart = F.aggregate(F.zip_with("bx", "by", lambda v, w: F.bit_count(v.bitwiseXOR(w))), F.lit(0), lambda total, v: total + v)
     direct = direct.filter(apart <= _allowed(F.col("n") + F.col("ny"), rule)).select("x", "y")
-    star = cut(star.select("x", "y", F.lit(True).alias("star")).unionByName(direct.select("x", "y", F.lit(False).alias("star"))))
-    involved = star.select(F.explode(F.array("x", "y")).alias("id")).distinct().join(classes, "id")
-    involved = cut(involved.select(F.col("id").alias("doc_id"), "h1", "h2"))
-    sets = cut(_whole(rows, involved, rule, sketch))
-    # the first differences of each member: its own tokens, rare ones first, then the pivot's
-    reach = _allowed(F.col("nx") * (100 + rule.percent) / rule.percent, rule) + 1
-    signed = F.concat(F.transform("more", lambda t: F.struct(F.lit(0).alias("side"), t.alias("token"))), F.transform("less", lambda t: F.struct(F.lit(1).alias("side"), t.alias("token"))))
-    met = _met(star, sets, rule)
-    met = cut(met.select("x", "y", "star", "nx", "apart", "linked", F.slice(signed, F.lit(1), reach.cast("int")).alias("differences")))
-    links = met.filter("linked").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    roots = cut(components(links))
+    return stored(star.select("x", "y", F.lit(True).alias("star")).unionByName(direct.select("x", "y", F.lit(False).alias("star"))), "pairs")
+
+
+def _further(met: DataFrame, roots: DataFrame, rule: Rule) -> DataFrame:
+    """Pairs of members of one pivot, in different components so far, whose differences from it overlap enough."""
     # only pivots with a member that isn't linked to them can hide further links
     open_pivots = met.filter("star AND NOT linked").select("y").distinct()
     rest = met.filter("star").join(open_pivots, "y", "left_semi").join(roots.withColumnRenamed("node", "x"), "x", "left")
@@ -272,8 +244,47 @@ def join_classes(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     possible = 1 + F.least(F.col("apart") - F.col("pos") - 1, F.col("o_apart") - F.col("o_pos") - 1)
     pairs = rest.join(other, "key").filter((F.col("x") < F.col("o_x")) & (F.col("root") != F.col("o_root")))
     pairs = pairs.filter((needed >= 1) & (possible >= needed) & (100 * F.least("nx", "o_nx") >= rule.percent * F.greatest("nx", "o_nx")))
-    pairs = pairs.select("x", F.col("o_x").alias("y")).distinct()
-    more = _met(pairs, sets, rule).filter("linked").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    return stored(pairs.select("x", F.col("o_x").alias("y")).distinct(), "pairs")
+
+
+def join_classes(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row of ``docs`` (doc_id, text).
+
+    Texts are cut at blanks and the controls 9 to 13 after A-Z became lower case; a document's set holds its distinct shingles
+    of ``rule.words`` words, or its whole sequence if that is shorter.  Two documents link when
+    100 * intersection >= percent * union.  ``component_id`` is the least doc_id reachable, its own included.
+
+    A null or empty text has an empty set and links with nothing.  Equal sets are one class, represented by its
+    least doc_id.  Rows that share a doc_id are one document and get one component, by the text with the smallest set (then
+    the least hashes).  A row with a null doc_id names no document: it gets the component of documents with its set, if any.
+    """
+    rows = bare(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    measured = cut(_measure(rows, rule))
+    slots = measured.filter("slot IS NOT NULL").groupBy("slot").agg(F.sum("times").alias("times")).toPandas()
+    sketch = np.zeros(SLOTS, np.int64)
+    sketch[slots["slot"].to_numpy(np.int64)] = slots["times"].to_numpy(np.int64)
+    own = measured.filter("slot IS NULL").select("doc_id", "n", "h1", "h2")
+    names = ["n", "h1", "h2"]
+    # one set for each doc_id, so that a class's least doc_id is no other class's
+    each = own.filter("n > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct(*names)).alias("set")).select("doc_id", "set.*")
+    classes = each.groupBy(*names).agg(F.min("doc_id").alias("id"))
+    prefixes = _prefixes(rows, rule, sketch).groupBy(*names).agg(F.first("prefix").alias("prefix"), F.first("bits").alias("bits"))
+    # classes with equal prefix and size are one group, named after its least member
+    grouped = cut(classes.join(prefixes, names).select("id", "n", "prefix", "bits", F.xxhash64("prefix").alias("p1"), F.xxhash64(F.reverse("prefix")).alias("p2")))
+    groups = grouped.groupBy("n", "p1", "p2").agg(F.min("id").alias("group"), F.count("*").alias("held"))
+    members = cut(grouped.select("id", "n", "p1", "p2").join(groups, ["n", "p1", "p2"]).select("id", "n", "group", "held"))
+    star = _candidates(grouped, members, rule)
+    involved = star.select(F.explode(F.array("x", "y")).alias("id")).distinct().join(classes, "id")
+    involved = cut(involved.select(F.col("id").alias("doc_id"), "h1", "h2"))
+    sets = cut(_whole(rows, involved, rule, sketch))
+    # the first differences of each member: its own tokens, rare ones first, then the pivot's
+    reach = _allowed(F.col("nx") * (100 + rule.percent) / rule.percent, rule) + 1
+    signed = F.concat(F.transform("more", lambda t: F.struct(F.lit(0).alias("side"), t.alias("token"))), F.transform("less", lambda t: F.struct(F.lit(1).alias("side"), t.alias("token"))))
+    met = _met(star, sets, rule)
+    met = cut(met.select("x", "y", "star", "nx", "apart", "linked", F.slice(signed, F.lit(1), reach.cast("int")).alias("differences")))
+    links = met.filter("linked").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    roots = cut(components(links))
+    more = _met(_further(met, roots, rule), sets, rule).filter("linked").select(F.col("x").alias("a"), F.col("y").alias("b"))
     every = roots.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
     final = components(every).withColumnRenamed("node", "id")
     by_class = classes.join(final, "id", "left").select(*names, F.coalesce("component", "id").alias("component"))
