@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from emberlog.llm.common import SPACED, bare, components, cut, mix, pieces, stored, table, words_of
 
 SLOTS = 1 << 17      # counters of the frequency sketch that orders shingles
-BITS = 1024          # of a set's bitmap
+LEAST_BITS = 256     # of a set's bitmap
 WANTED = 1 << 23     # bits that mark, by hash, the documents whose sets are needed
 FEW = 16             # members up to which a bucket gives its pairs; larger ones go by their pivot, as exactly
 _FEW = np.uint64(0xA0761D6478BD642F)
@@ -114,8 +114,12 @@ def _ordered(s: np.ndarray, sketch: np.ndarray) -> np.ndarray:
 
 
 def _bitmap(s: np.ndarray) -> np.ndarray:
-    """How often each of ``BITS`` places is hit, modulo 2: two bitmaps differ in no more places than their sets do."""
-    odd = np.bincount((s & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
+    """How often each place is hit, modulo 2: two bitmaps differ in no more places than their sets do.
+
+    There are as many places as the set has shingles, rounded up to a power of two, so sets of any size that have little
+    in common differ in more places than linked ones may."""
+    size = max(LEAST_BITS, 1 << (len(s) - 1).bit_length())
+    odd = np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.uint64)
 
 
@@ -224,7 +228,10 @@ def _candidates(grouped: DataFrame, members: DataFrame, rule: Rule) -> DataFrame
     direct = direct.unionByName(inside).distinct()
     bits = grouped.select("id", "bits")
     direct = direct.join(bits.select(F.col("id").alias("x"), F.col("bits").alias("bx")), "x").join(bits.select(F.col("id").alias("y"), F.col("bits").alias("by")), "y")
-    apart = F.aggregate(F.zip_with("bx", "by", lambda v, w: F.bit_count(v.bitwiseXOR(w))), F.lit(0), lambda total, v: total + v)
+    # of two sizes, the longer bitmap is folded: its halves together are the bitmap of half the places
+    words = F.least(F.size("bx"), F.size("by"))
+    folded = lambda b: F.when(F.size(b) > words, F.zip_with(F.slice(b, 1, words), F.slice(b, words + 1, words), lambda v, w: v.bitwiseXOR(w))).otherwise(F.col(b))
+    apart = F.aggregate(F.zip_with(folded("bx"), folded("by"), lambda v, w: F.bit_count(v.bitwiseXOR(w))), F.lit(0), lambda total, v: total + v)
     direct = direct.filter(apart <= _allowed(F.col("n") + F.col("ny"), rule)).select("x", "y")
     return stored(star.select("x", "y", F.lit(True).alias("star")).unionByName(direct.select("x", "y", F.lit(False).alias("star"))), "pairs")
 
