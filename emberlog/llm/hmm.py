@@ -7,14 +7,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.llm.common import SPACED, Words, bare, cut, held_out, pieces, table, words_of
+from emberlog.llm.common import SPACED, Words, bare, cut, held_out, mix, pieces, release, table, words_of
 
 STATES = 8
-SYMBOLS = 8192       # most frequent words with emissions of their own; the others are emitted as one class
-LOOKUP = 1 << 18     # most frequent words whose counts every task holds; the rest meet theirs in a join
+LOOKUP = 1 << 18     # most frequent words whose counts and emissions every task holds; the rest meet theirs by bucket
+BUCKET = 1 << 16     # words of a bucket, about
+TASK = 1 << 26       # bytes of text of a task, about, in blocks of up to ``BATCH`` bytes
+SLICE = 512          # emission rows that are summed as one array
 ROUNDS = 4           # of Baum-Welch
 SEGMENT = 256        # tokens of a training sequence; likelihoods are over whole texts
 BATCH = 1 << 20      # bytes of text whose sequences are worked on side by side
@@ -32,19 +35,41 @@ class Counts:
     ends: int
     hashes: np.ndarray   # sorted
     counts: np.ndarray
-    symbol: np.ndarray   # by place in hashes: the emission row, SYMBOLS if in the common class
+    symbol: np.ndarray   # by place in hashes: the emission row, ``symbols`` if in the common class
     symbols: int
-    class_total: int     # tokens and words of the common class
+    class_total: int     # tokens and words of the common class; none if every word has its own emissions
     class_distinct: int
+    every: bool
+
+    @property
+    def held(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes, emission rows and counts of the words in ``Model.emit``."""
+        own = self.symbol < self.symbols
+        return self.hashes[own], self.symbol[own], self.counts[own]
+
+    @property
+    def others(self) -> int:
+        """Words that are not in ``Model.emit``."""
+        return self.distinct - (self.ends > 0) - self.symbols
+
+    @property
+    def bits(self) -> int:
+        """Of a hash that name its bucket."""
+        return max(0, self.others // BUCKET).bit_length()
 
 
 @dataclass
 class Model:
-    """``start`` has two rows: for the first token of a text and for one that goes on."""
+    """``start`` has two rows: for the first token of a text and for one that goes on.
+
+    ``rest`` has the words that ``emit`` doesn't: a row (bucket, hashes, n, weights) for each bucket.  Their emissions are the
+    weights by ``scale``; a word without weights is emitted as its share of the class."""
 
     start: np.ndarray
     step: np.ndarray
-    emit: np.ndarray     # (symbols + 2, states): words, the class, the end
+    emit: np.ndarray     # (symbols + 2, states): words, the class (of unknown words, if every word has its own), the end
+    rest: DataFrame | None = None
+    scale: np.ndarray | None = None
 
 
 def _find(sorted_hashes: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -68,8 +93,10 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield rows()
 
 
-def count_words(train: DataFrame, symbols: int = SYMBOLS, lookup: int = LOOKUP) -> Counts:
-    """Counts over all training texts, by 64-bit word hash; the driver gets the ``lookup`` most frequent only."""
+def count_words(train: DataFrame, symbols: int | None = None, lookup: int = LOOKUP) -> Counts:
+    """Counts over all training texts, by 64-bit word hash; the driver gets the ``lookup`` most frequent only.
+
+    With ``symbols``, only so many words get emissions of their own, and the others are one class."""
     texts = bare(train, "text")
     rows = cut(texts.mapInArrow(_word_counts, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")))
     ends = texts.count()
@@ -85,11 +112,11 @@ def count_words(train: DataFrame, symbols: int = SYMBOLS, lookup: int = LOOKUP)
         floor = size["level"]
     top = rows.filter(level >= floor).toPandas().sort_values(["n", "h"], ascending=[False, True])
     hashes, counts = top["h"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
-    symbols = min(symbols, len(hashes))
+    every, symbols = symbols is None, len(hashes) if symbols is None else min(symbols, len(hashes))
     symbol = np.minimum(np.arange(len(hashes)), symbols)
     order = np.argsort(hashes)
-    return Counts(rows, int(words) + ends, int(distinct) + (ends > 0), ends, hashes[order], counts[order], symbol[order], symbols,
-                  int(words - counts[:symbols].sum()), int(distinct) - symbols)
+    rest = (0, 0) if every else (int(words - counts[:symbols].sum()), int(distinct) - symbols)
+    return Counts(rows, int(words) + ends, int(distinct) + (ends > 0), ends, hashes[order], counts[order], symbol[order], symbols, *rest, every)
 
 
 class Sequences:
@@ -145,16 +172,6 @@ def expect(model: Model, seq: Sequences, kind: np.ndarray) -> Model:
     return Model(starts, steps, emitted)
 
 
-def _tokens(words: Words, counts: Counts, symbol_hashes: np.ndarray, symbol_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols of all rows with an end after each, and where each row's begin."""
-    rows = len(words.first) - 1
-    place = np.arange(len(words.hash)) + words.row
-    at = _find(symbol_hashes, words.hash)
-    out = np.full(len(words.hash) + rows, counts.symbols + 1)
-    out[place] = np.where(at >= 0, symbol_ids[at] if len(symbol_ids) else 0, counts.symbols)
-    return out, words.first + np.arange(rows + 1)
-
-
 def _segments(first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Bounds of runs of up to ``size`` tokens, and whether each goes on within a text (1) or starts one (0)."""
     length = np.diff(first)
@@ -164,17 +181,171 @@ def _segments(first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return np.append(first[:-1][row] + k * size, first[-1]), (k > 0).astype(np.int64)
 
 
+def _bucket(hashes: np.ndarray, bits: int) -> np.ndarray:
+    return ((hashes >> np.uint64(1)) >> np.uint64(63 - bits)).astype(np.int32)
+
+
+def _runs(bucket: np.ndarray) -> np.ndarray:
+    """Where runs of equal numbers begin, and the end."""
+    return np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket))
+
+
+TOKENS = "block long, bucket int, data binary, first binary, held binary, ids array<long>"
+
+
+def _blocks(docs: DataFrame, counts: Counts, ask: bool) -> tuple[DataFrame, DataFrame, int]:
+    """Texts as tokens, a row per block; what the blocks ask for, a row (bucket, block, data) of hashes each; tasks to work in.
+
+    A block's tokens are numbered by its own distinct ones: first those in ``Model.emit``, whose bits are set in ``held``, then
+    the others, by hash.  Without ``ask``, the others are the class."""
+    hashes, ids, _ = counts.held
+    sc = docs.sparkSession.sparkContext
+    shared = sc.broadcast((hashes, ids))
+    symbols, bits = counts.symbols, counts.bits
+    kinds = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("data", pa.binary()), ("first", pa.binary()), ("held", pa.binary()), ("ids", pa.list_(pa.int64()))])
+
+    def work(batches):
+        hashes, ids = shared.value
+        block = TaskContext.get().partitionId() << 32
+        for batch in pieces(batches, "text", BATCH):
+            words = words_of(batch, "text", SPACED)
+            rows = batch.num_rows
+            at = _find(hashes, words.hash)
+            known = at >= 0
+            code = np.full(len(at), symbols)
+            code[known] = ids[at[known]]
+            rest = np.zeros(0, np.uint64)
+            if ask:
+                rest, place = np.unique(words.hash[~known], return_inverse=True)
+                code[~known] = symbols + 2 + place
+            tokens = np.full(len(at) + rows, symbols + 1)
+            tokens[np.arange(len(at)) + words.row] = code
+            met = np.zeros(symbols + 2 + len(rest), bool)
+            met[tokens] = True
+            tokens = (np.cumsum(met) - 1)[tokens]
+            runs = _runs(_bucket(rest, bits))
+            asked = [rest[a:b] for a, b in zip(runs, runs[1:])]
+            none = [None] * len(asked)
+            named = batch.column(0).to_pylist() if batch.num_columns > 1 else []
+            yield pa.RecordBatch.from_arrays([
+                pa.array([block] * (1 + len(asked)), pa.int64()), pa.array([-1, *_bucket(rest[runs[:-1]], bits).tolist()], pa.int32()),
+                pa.array([tokens.astype(np.uint16 if met.sum() <= 1 << 16 else np.uint32).tobytes(), *[h.tobytes() for h in asked]], pa.binary()),
+                pa.array([(words.first + np.arange(rows + 1)).astype(np.int64).tobytes(), *none], pa.binary()),
+                pa.array([np.packbits(met[:symbols + 2]).tobytes(), *none], pa.binary()),
+                pa.array([named, *none], pa.list_(pa.int64()))], schema=kinds)
+            block += 1
+
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    tasks = max(sc.defaultParallelism, -(-size // TASK))
+    both = cut(docs.mapInArrow(work, TOKENS))
+    return both.filter("bucket < 0").drop("bucket"), both.filter("bucket >= 0").select("bucket", "block", "data"), tasks
+
+
+def _matrix(column, kind: type, width: int = 1) -> np.ndarray:
+    flat = np.frombuffer(b"".join(x for x in column.to_pylist() if x is not None), kind)
+    return flat.reshape(-1, width) if width > 1 else flat
+
+
+WORDS = "bucket int, hashes binary, n binary, weights binary"
+
+
+def _lean(hashes: np.ndarray, states: int) -> np.ndarray:
+    """0.2 to 1.8 by a fixed rule, for each word and state."""
+    odd = np.arange(1, 2 * states, 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return 0.2 + 1.6 * (mix(hashes[:, None] ^ odd) >> np.uint64(11)) / 2**53
+
+
+def _others(counts: Counts, states: int) -> DataFrame:
+    """The words that are not in ``Model.emit``, by bucket, with first weights if they have their own emissions."""
+    bits, every = counts.bits, counts.every
+    shared = counts.rows.sparkSession.sparkContext.broadcast(counts.held[0])
+
+    def place(batches):
+        for batch in batches:
+            h = np.asarray(batch.column(0)).view(np.uint64)
+            out = np.flatnonzero(_find(shared.value, h) < 0)
+            yield pa.RecordBatch.from_arrays([pa.array(_bucket(h[out], bits)), *batch.take(pa.array(out)).columns], names=["bucket", "h", "n"])
+
+    def pack(rows: pa.Table) -> pa.Table:
+        h, n = np.asarray(rows["h"]).view(np.uint64), np.asarray(rows["n"])
+        order = np.argsort(h)
+        h, n = h[order], n[order]
+        weights = ((n[:, None] + SMOOTH) * _lean(h, states)).astype(np.float32).tobytes() if every else None
+        return pa.table({"bucket": rows["bucket"][:1], "hashes": pa.array([h.tobytes()], pa.binary()), "n": pa.array([n.tobytes()], pa.binary()),
+                         "weights": pa.array([weights], pa.binary())})
+
+    return cut(counts.rows.select("h", "n").mapInArrow(place, "bucket int, h long, n long").groupBy("bucket").applyInArrow(pack, WORDS))
+
+
+def _total(words: DataFrame, states: int) -> np.ndarray:
+    """Sums of all weights."""
+    names = [f"s{k}" for k in range(states)]
+
+    def work(batches):
+        total = np.zeros(states)
+        for batch in batches:
+            total += _matrix(batch.column(0), np.float32, states).sum(0, dtype=float)
+        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in total], names=names)
+
+    sums = words.select("weights").mapInArrow(work, ", ".join(f"{n} double" for n in names)).agg(*[F.sum(n) for n in names]).first()
+    return np.array([x or 0.0 for x in sums])
+
+
+ANSWERS = "block long, bucket int, data binary, n binary"
+
+
+def _answers(wants: DataFrame, words: DataFrame, states: int, counted: bool = False) -> DataFrame:
+    """The weights, and if ``counted`` the counts, of what each block asks for, in its order; zeros for unknown words."""
+
+    def work(asked: pa.Table, known: pa.Table) -> pa.Table:
+        at = _find(_matrix(known["hashes"], np.uint64), _matrix(asked["data"], np.uint64))
+        hit = at >= 0
+        weights, n = np.zeros((len(at), states), np.float32), np.zeros(len(at), np.int64)
+        for out, name, kind, width in ((weights, "weights", np.float32, states), (n, "n", np.int64, 1)):
+            values = _matrix(known[name], kind, width)
+            if len(values):
+                out[hit] = values[at[hit]]
+        ends = np.cumsum([0] + [len(x) // 8 for x in asked["data"].to_pylist()])
+        split = lambda v: pa.array([v[a:b].tobytes() for a, b in zip(ends, ends[1:])], pa.binary())
+        return pa.table({"block": asked["block"], "bucket": asked["bucket"], "data": split(weights),
+                         "n": split(n) if counted else pa.nulls(len(asked), pa.binary())})
+
+    return wants.groupBy("bucket").cogroup(words.groupBy("bucket")).applyInArrow(work, ANSWERS)
+
+
+def _met(tokens: DataFrame, answers: DataFrame, tasks: int) -> DataFrame:
+    """Every block's tokens beside the answers it got."""
+    got = answers.repartition(tasks, "block").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("bucket", F.col("data").alias("weights"), "n"))).alias("got"))
+    return tokens.repartition(tasks, "block").join(got, "block", "left")
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], states: int):
+    """Block by block: its number, tokens, where rows begin, rows of ``Model.emit``, ids, the buckets of its other words with
+    their sizes, and the words' weights and counts."""
+    for batch in batches:
+        names = batch.schema.names
+        for i in range(batch.num_rows):
+            block, data, first, held, ids, got = (batch.column(names.index(c))[i].as_py() for c in ("block", "data", "first", "held", "ids", "got"))
+            first, got = np.frombuffer(first, np.int64), got or []
+            tokens = np.frombuffer(data, np.uint16 if len(data) == 2 * first[-1] else np.uint32).astype(np.int64)
+            held = np.flatnonzero(np.unpackbits(np.frombuffer(held, np.uint8)))
+            weights = np.frombuffer(b"".join(x["weights"] for x in got), np.float32).reshape(-1, states).astype(float)
+            n = np.frombuffer(b"".join(x["n"] for x in got if x["n"] is not None), np.int64)
+            yield block, tokens, first, held, ids, ([x["bucket"] for x in got], [len(x["weights"]) // (4 * states) for x in got]), weights, n
+
+
 def _initial(counts: Counts, states: int) -> Model:
     """States that keep to themselves and each lean to some of the words, by a fixed rule."""
-    weight = np.zeros(counts.symbols + 2)
-    frequent = counts.symbol < counts.symbols
-    weight[counts.symbol[frequent]] = counts.counts[frequent]
+    hashes, ids, n = counts.held
+    weight, lean = np.zeros(counts.symbols + 2), np.ones((counts.symbols + 2, states))
+    weight[ids], lean[ids] = n, _lean(hashes, states)
     weight[-2:] = counts.class_total, counts.ends
-    lean = np.random.default_rng(7).uniform(0.2, 1.8, (len(weight), states))
-    lean[-1] = 1.0
+    lean[-2] = _lean(np.zeros(1, np.uint64), states)
     emit = (weight[:, None] + SMOOTH) * lean
     step = np.full((states, states), 0.2 / states) + 0.8 * np.eye(states)
-    return Model(np.full((2, states), 1.0 / states), step, emit / emit.sum(0))
+    rest = _others(counts, states)
+    scale = emit.sum(0) + _total(rest, states)
+    return Model(np.full((2, states), 1.0 / states), step, emit / scale, rest, scale)
 
 
 def _normal(x: np.ndarray, extra: float) -> np.ndarray:
@@ -182,117 +353,124 @@ def _normal(x: np.ndarray, extra: float) -> np.ndarray:
     return x / x.sum(-1, keepdims=True)
 
 
+def _summed(wants: DataFrame, expected: DataFrame, states: int) -> DataFrame:
+    """The words' new weights: expected counts of all blocks, which come in the order in which each asked."""
+
+    def work(asked: pa.Table, got: pa.Table) -> pa.Table:
+        words, at = np.unique(_matrix(asked.sort_by("block")["data"], np.uint64), return_inverse=True)
+        values = _matrix(got.sort_by("block")["data"], np.float32, states)
+        sums = np.stack([np.bincount(at, values[:, k], len(words)) for k in range(states)], 1)
+        return pa.table({"bucket": asked["bucket"][:1], "hashes": pa.array([words.tobytes()], pa.binary()), "n": pa.nulls(1, pa.binary()),
+                         "weights": pa.array([(sums + SMOOTH / states).astype(np.float32).tobytes()], pa.binary())})
+
+    return wants.groupBy("bucket").cogroup(expected.groupBy("bucket")).applyInArrow(work, WORDS)
+
+
 def train_model(train: DataFrame, counts: Counts, states: int = STATES, rounds: int = ROUNDS, segment: int = SEGMENT) -> Model:
-    """Baum-Welch over all training texts.
+    """Baum-Welch over all training texts, with emissions of every word.
 
-    A round is one job: tasks sum the expected counts of their texts, Spark sums those by symbol, and the
-    driver gets (symbols + 2 * states + 2) rows of ``states`` numbers, whatever the size of the corpus.  Long texts
-    are cut into segments for training; one that goes on has its own start distribution.
+    In a round each block of texts asks the buckets of its rarer words for their emissions, and gives back what it expects
+    of each; a bucket sums that.  What is expected of the ``lookup`` most frequent words is summed by symbol for the
+    driver, which gets (symbols + 2 * states + 2) rows of ``states`` numbers.  Long texts are cut into segments for
+    training; one that goes on has its own start distribution.
     """
     sc = train.sparkSession.sparkContext
     model = _initial(counts, states)
-    texts = bare(train, "text")
-    known = counts.symbol < counts.symbols
-    symbol_hashes, symbol_ids = counts.hashes[known], counts.symbol[known]
-    small = Counts(None, 0, 0, 0, None, None, None, counts.symbols, 0, 0)
-    names = [f"s{k}" for k in range(states)]
-    kinds = "part int, i int, " + ", ".join(f"{n} double" for n in names)
+    tokens, wants, tasks = _blocks(bare(train, "text"), counts, counts.every)
+    symbols = counts.symbols
+    kinds = pa.schema([("part", pa.int32()), ("i", pa.int32()), ("block", pa.int64()), ("bucket", pa.int32()), ("data", pa.binary())])
+    packed = lambda parts: pa.array([x.astype(np.float32).tobytes() for x in parts], pa.binary())
+
+    def add(rows: pa.Table) -> pa.Table:
+        total = np.sum(_matrix(rows["data"], np.float32).reshape(rows.num_rows, -1), 0, dtype=float)
+        return pa.table({"part": rows["part"][:1], "i": rows["i"][:1], "data": pa.array([total.tobytes()], pa.binary())})
+
     for _ in range(rounds):
-        shared = sc.broadcast((model, symbol_hashes, symbol_ids))
+        shared = sc.broadcast((model.start, model.step, model.emit, model.scale))
 
         def work(batches, shared=shared):
-            now, hashes, ids = shared.value
-            sums = [np.zeros_like(x) for x in (now.start, now.step, now.emit)]
-            for batch in pieces(batches, "text", BATCH):
-                tokens, first = _tokens(words_of(batch, "text", SPACED), small, hashes, ids)
+            start, step, emit, scale = shared.value
+            sums = [np.zeros_like(x) for x in (start, step, emit)]
+            for block, local, first, held, _, (buckets, sizes), weights, _ in _gathered(batches, states):
                 bounds, kind = _segments(first, segment)
-                seq = Sequences(tokens, bounds)
-                got = expect(now, seq, kind[seq.order])
-                for total, x in zip(sums, (got.start, got.step, got.emit)):
-                    total += x
+                seq = Sequences(local, bounds)
+                got = expect(Model(start, step, np.concatenate([emit[held], weights / scale])), seq, kind[seq.order])
+                sums[0] += got.start
+                sums[1] += got.step
+                sums[2][held] += got.emit[:len(held)]
+                other = got.emit[len(held):]
+                sums[2][symbols] += other.sum(0)
+                ends, none = np.cumsum([0, *sizes]), pa.nulls(len(sizes), pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [none, none, pa.array([block] * len(sizes), pa.int64()), pa.array(buckets, pa.int32()), packed(other[a:b] for a, b in zip(ends, ends[1:]))], schema=kinds)
             for part, total in enumerate(sums):
-                at = np.flatnonzero(total.any(1))
+                at = [a for a in range(0, len(total), SLICE) if total[a:a + SLICE].any()]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(at), part, np.int32)), pa.array(at.astype(np.int32)), *[pa.array(total[at, k]) for k in range(states)]],
-                    names=["part", "i", *names])
+                    [pa.array([part] * len(at), pa.int32()), pa.array(at, pa.int32()), pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.int32()),
+                     packed(total[a:a + SLICE] for a in at)], schema=kinds)
 
-        got = texts.mapInArrow(work, kinds).groupBy("part", "i").agg(*[F.sum(n).alias(n) for n in names]).toPandas()
+        out = cut(_met(tokens, _answers(wants, model.rest, states), tasks).mapInArrow(work, "part int, i int, block long, bucket int, data binary"))
+        got = out.filter("part IS NOT NULL").select("part", "i", "data").groupBy("part", "i").applyInArrow(add, "part int, i int, data binary").toArrow()
         sums = [np.zeros_like(x) for x in (model.start, model.step, model.emit)]
-        for part, total in enumerate(sums):
-            mine = got[got["part"] == part]
-            total[mine["i"].to_numpy()] = mine[names].to_numpy()
-        model = Model(_normal(sums[0], 1e-3), _normal(sums[1], 1e-3), _normal(sums[2].T, SMOOTH / states).T.copy())
+        for part, i, data in zip(*[got[c].to_pylist() for c in ("part", "i", "data")]):
+            sums[part][i:i + SLICE] = np.frombuffer(data).reshape(-1, states)
+        rest, scale = model.rest, 0.0
+        if counts.every:
+            model.rest = rest = None     # not to be kept beside what follows it
+            rest = cut(_summed(wants, out.filter("part IS NULL").select("bucket", "block", "data"), states))
+            scale = sums[2][symbols] + counts.others * SMOOTH / states
+            sums[2][symbols] = 0.0
+        emit = sums[2] + SMOOTH / states
+        scale = scale + emit.sum(0)
+        model = Model(_normal(sums[0], 1e-3), _normal(sums[1], 1e-3), emit / scale, rest, scale)
         shared.destroy()
+        out = None
+        release(train.sparkSession)
+    if counts.every and rounds:
+        model.rest = cut(model.rest.drop("n").join(_others(counts, states).select("bucket", "n"), "bucket").select("bucket", "hashes", "n", "weights"))
     return model
 
 
-SCORED = (
-    "doc_id long, n_tokens long, n_known long, base_score double, score double, "
-    "rest array<struct<h:long,n:long>>"
-)
+SCORED = "doc_id long, n_tokens long, n_known long, base_score double, score double"
 
 
 def score(docs: DataFrame, counts: Counts, model: Model) -> DataFrame:
     """doc_id, n_tokens, n_known, base_score and score (log10) of every row's whole text.
 
-    The model emits a frequent word as itself and any other as the common class, times the word's share
-    (c + 0.5) / (tokens + 0.5 * (words + 1)) of that class; so each text's score is the exact logarithm of its
-    probability, with all unknown words as one.  Counts beyond the lookup meet their words in a join on the
-    word's hash; those words are rare by construction, so the join has no hot key.
+    The model emits every training word as itself, and all others as one unknown word; so each text's score is the exact
+    logarithm of its probability.  If only some words have emissions of their own, the others are emitted as the class, times
+    the word's share (c + 0.5) / (tokens + 0.5 * (words + 1)) of it.  Words beyond the lookup meet their counts and emissions
+    by bucket, block by block; a block asks for a word once, so no word is a hot key.
 
     A null or empty text is its end alone.  Every row gives a row, repeated ones too.
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((Counts(None, *[getattr(counts, k) for k in list(Counts.__dataclass_fields__)[1:]]), model))
     rows = bare(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    tokens, wants, tasks = _blocks(rows, counts, True)
+    _, ids, n = counts.held
+    counted = np.zeros(counts.symbols + 2, np.int64)
+    counted[ids], counted[-1] = n, counts.ends
+    shared = docs.sparkSession.sparkContext.broadcast((counted, model.start, model.step, model.emit, model.scale))
+    states, symbols = len(model.step), counts.symbols
+    total, distinct, class_total, class_distinct = counts.total, counts.distinct, counts.class_total, counts.class_distinct
 
     def work(batches):
-        c, m = shared.value
-        base_of = np.log10((c.counts + SMOOTH) / (c.total + SMOOTH * (c.distinct + 1)))
-        class_of = np.log10((c.counts + SMOOTH) / (c.class_total + SMOOTH * (c.class_distinct + 1)))
-        class_of = np.where(c.symbol < c.symbols, 0.0, class_of)
-        end_base = np.log10((c.ends + SMOOTH) / (c.total + SMOOTH * (c.distinct + 1)))
-        symbol = np.append(c.symbol, c.symbols)
-        for batch in pieces(batches, "text", BATCH):
-            words = words_of(batch, "text", SPACED)
-            n, rows = words.counts(), batch.num_rows
-            at = _find(c.hashes, words.hash)
-            tokens = np.full(len(at) + rows, c.symbols + 1)
-            tokens[np.arange(len(at)) + words.row] = symbol[at]
-            seq = Sequences(tokens, words.first + np.arange(rows + 1))
+        counted, start, step, emit, scale = shared.value
+        share = lambda n, total, distinct: (n + SMOOTH) / (total + SMOOTH * (distinct + 1))
+        for _, local, first, held, ids, _, weights, n in _gathered(batches, states):
+            times = np.concatenate([counted[held], n])
+            own = weights.any(1)[:, None]
+            other = np.where(own, weights / scale, emit[symbols] * share(n, class_total, class_distinct)[:, None])
+            rows = len(ids)
+            seq = Sequences(local, first)
             logs = np.empty(rows)
-            logs[seq.order] = forward(m, seq, np.zeros(rows, np.int64)) / np.log(10)
-            hit = at >= 0
-            sums = lambda v: np.bincount(words.row[hit], v[at[hit]], rows)
-            known = np.bincount(words.row[hit], minlength=rows) + (c.ends > 0)
-            base = (sums(base_of) if len(c.hashes) else np.zeros(rows)) + end_base
-            logs += sums(class_of) if len(c.hashes) else 0
-            left = np.flatnonzero(~hit)
-            order = left[np.lexsort((words.hash[left], words.row[left]))]
-            r, h = words.row[order], words.hash[order]
-            new = np.ones(len(order), bool)
-            new[1:] = (r[1:] != r[:-1]) | (h[1:] != h[:-1])
-            begin = np.flatnonzero(new)
-            times = np.diff(np.append(begin, len(order)))
-            offsets = np.concatenate([[0], np.cumsum(np.bincount(r[begin], minlength=rows))]).astype(np.int32)
-            rest = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(h[begin].view(np.int64)), pa.array(times)], ["h", "n"]))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n + 1), pa.array(known.astype(np.int64)), pa.array(base), pa.array(logs), rest],
-                names=["doc_id", "n_tokens", "n_known", "base_score", "score", "rest"])
-
-    # the row's number is stored with it, so that later reads agree on it
-    found = cut(rows.mapInArrow(work, SCORED).withColumn("rid", F.monotonically_increasing_id()))
-    wants = found.select("rid", F.explode("rest").alias("w")).select("rid", F.col("w.h").alias("h"), F.col("w.n").alias("times"))
-    c = F.coalesce(F.col("n"), F.lit(0))
-    share = lambda total, distinct: F.log10((c + F.lit(SMOOTH)) / F.lit(total + SMOOTH * (distinct + 1)))
-    joined = wants.join(counts.rows, "h", "left").select(
-        "rid", F.when(c > 0, F.col("times")).otherwise(0).alias("k"),
-        (F.col("times") * share(counts.total, counts.distinct)).alias("b"),
-        (F.col("times") * share(counts.class_total, counts.class_distinct)).alias("s"))
-    sums = joined.groupBy("rid").agg(F.sum("k").alias("k"), F.sum("b").alias("b"), F.sum("s").alias("s"))
-    plus = lambda name, more: (F.col(name) + F.coalesce(F.col(more), F.lit(0))).alias(name)
-    return found.drop("rest").join(sums, "rid", "left").select(
-        "doc_id", "n_tokens", plus("n_known", "k"), plus("base_score", "b"), plus("score", "s"))
+            logs[seq.order] = forward(Model(start, step, np.concatenate([emit[held], other])), seq, np.zeros(rows, np.int64)) / np.log(10)
+            row = np.repeat(np.arange(rows), np.diff(first))
+            known = np.bincount(row, (times > 0)[local], rows).astype(np.int64)
+            base = np.bincount(row, np.log10(share(times, total, distinct))[local], rows)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.diff(first)), pa.array(known), pa.array(base), pa.array(logs)],
+                                             names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
+
+    return _met(tokens, _answers(wants, model.rest, states, True), tasks).mapInArrow(work, SCORED)
 
 
 def op7_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -309,6 +309,52 @@ def test_hmm_probabilities_sum_to_one(spark):
     assert first == pytest.approx(float(alpha @ end)) and scores[7] == pytest.approx(float(model.start[0] @ model.emit[-1]))
 
 
+def test_hmm_every_word_has_its_own_emissions(spark, monkeypatch):
+    """The same model whether words are held by all tasks or met by bucket, and the one that a plain Baum-Welch gives."""
+    monkeypatch.setattr(hmm, "BUCKET", 4)
+    rng = np.random.default_rng(3)
+    names = [f"w{k}" for k in range(40)]
+    share = 1 / np.arange(1, 41)
+    rows = [(i, " ".join(rng.choice(names, int(rng.integers(1, 25)), p=share / share.sum())), "", "") for i in range(60)]
+    train, all_docs = docs_of(spark, rows).repartition(5), docs_of(spark, rows + [(99, "w1 unseen w39", "", ""), (100, None, "", "")])
+    scores, models = [], []
+    for lookup in (4, 1000):
+        counts = hmm.count_words(train, lookup=lookup)
+        models.append(hmm.train_model(train, counts, states=3, rounds=2))
+        scores.append({r.doc_id: (r.n_known, r.base_score, r.score) for r in hmm.score(all_docs, counts, models[-1]).collect()})
+    for i in scores[1]:
+        assert scores[0][i] == pytest.approx(scores[1][i], rel=1e-5)
+    assert len(scores[0]) == 62 and scores[0][99][0] == 3
+    said = [t.split() for _, t, _, _ in rows]
+    place = {w: k for k, w in enumerate(sorted({w for s in said for w in s}))}
+    size = len(place)
+    first = hmm._initial(counts, 3)
+    at = {int(h): int(r) for h, r in zip(counts.hashes, counts.symbol)}
+    own = [at[int(hmm.Words(*hmm_bytes([w]), hmm.SPACED).hash[0])] for w in place] + [counts.symbols, counts.symbols + 1]
+    emit, begin, step = first.emit[own], first.start[0], first.step
+    for _ in range(2):
+        sums = [np.zeros(3), np.zeros((3, 3)), np.zeros((size + 2, 3))]
+        for s in said:
+            t = [place[w] for w in s] + [size + 1]
+            alpha = [begin * emit[t[0]]]
+            for x in t[1:]:
+                alpha.append((alpha[-1] @ step) * emit[x])
+            beta = [np.ones(3)]
+            for x in t[:0:-1]:
+                beta.insert(0, step @ (emit[x] * beta[0]))
+            whole = alpha[-1].sum()
+            for k, x in enumerate(t):
+                sums[2][x] += alpha[k] * beta[k] / whole
+                if k:
+                    sums[1] += step * np.outer(alpha[k - 1], emit[x] * beta[k]) / whole
+            sums[0] += alpha[0] * beta[0] / whole
+        begin, step = ((x + 1e-3) / (x + 1e-3).sum(-1, keepdims=True) for x in sums[:2])
+        emit = sums[2] + 0.5 / 3
+        emit = emit / emit.sum(0)
+    got = models[1]
+    assert got.emit[own] == pytest.approx(emit) and got.step == pytest.approx(step) and got.start[0] == pytest.approx(begin)
+
+
 # --- language identification
 
 
