@@ -101,16 +101,17 @@ def count_words(train: DataFrame, symbols: int | None = None, lookup: int = LOOK
     rows = cut(texts.mapInArrow(_word_counts, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")))
     ends = texts.count()
     words, distinct = rows.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    # the least frequency class from which on at most ``lookup`` words are left
+    lookup = max(lookup, symbols or 0)
+    # the frequency class with the last of the ``lookup`` words; none below it need be ordered
     level = F.floor(F.log2("n") * 16)
     sizes = rows.groupBy(level.alias("level")).agg(F.count("*").alias("words")).orderBy(F.desc("level")).collect()
-    floor, held = 1 << 20, 0
+    floor, held = 0, 0
     for size in sizes:
-        held += size["words"]
-        if held > lookup:
+        held, floor = held + size["words"], size["level"]
+        if held >= lookup:
             break
-        floor = size["level"]
-    top = rows.filter(level >= floor).toPandas().sort_values(["n", "h"], ascending=[False, True])
+    # cut, so that the driver gets these rows only and not so many from every partition
+    top = cut(rows.filter(level >= floor).orderBy(F.desc("n"), "h").limit(lookup).select("h", "n")).toPandas().sort_values(["n", "h"], ascending=[False, True])
     hashes, counts = top["h"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
     every, symbols = symbols is None, len(hashes) if symbols is None else min(symbols, len(hashes))
     symbol = np.minimum(np.arange(len(hashes)), symbols)
@@ -445,6 +446,7 @@ def score(docs: DataFrame, counts: Counts, model: Model) -> DataFrame:
     A null or empty text is its end alone.  Every row gives a row, repeated ones too.
     """
     rows = bare(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    release(docs.sparkSession)   # the blocks of the training go first
     tokens, wants, tasks = _blocks(rows, counts, True)
     _, ids, n = counts.held
     counted = np.zeros(counts.symbols + 2, np.int64)

@@ -355,6 +355,15 @@ def test_hmm_every_word_has_its_own_emissions(spark, monkeypatch):
     assert got.emit[own] == pytest.approx(emit) and got.step == pytest.approx(step) and got.start[0] == pytest.approx(begin)
 
 
+def test_hmm_flat_vocabulary_has_symbols(spark):
+    """Equally frequent words beyond the lookup: as many as asked for are symbols, the first by hash."""
+    train = docs_of(spark, [(i, " ".join(f"w{k}" for k in range(30)), "", "") for i in range(3)])
+    counts = hmm.count_words(train, symbols=10, lookup=20)
+    assert counts.symbols == 10 and len(counts.hashes) == 20 and (counts.class_total, counts.class_distinct) == (60, 20)
+    every = hmm.count_words(train, lookup=20)
+    assert every.symbols == 20 and every.others == 10
+
+
 # --- language identification
 
 
