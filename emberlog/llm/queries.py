@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from emberlog.llm import chat, decontaminate, embeddings, hmm, jaccard, language, pieces, secrets, twins, urls, warc
+from emberlog.llm import chat, codes, decontaminate, embeddings, hmm, jaccard, language, pieces, secrets, twins, urls, warc
 
 QUERIES = {
     "op1_chat": chat.op1_chat,
@@ -15,5 +15,6 @@ QUERIES = {
     "op8_language": language.op8_language,
     "op9_sentencepiece": pieces.op9_sentencepiece,
     "op10_warc": warc.op10_warc,
+    "op13_codes": codes.op13_codes,
 }
 ORACLES = {name: twins.SQL[name] for name in QUERIES if name in twins.SQL}

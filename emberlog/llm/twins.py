@@ -192,3 +192,37 @@ links AS (
 least AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(doc_id, coalesce(b, doc_id)) AS component_id
 FROM d LEFT JOIN sizes USING (rid) LEFT JOIN least ON least.a = doc_id"""
+
+
+def _codes() -> str:
+    from emberlog.llm import codes as K
+
+    c = K.Code()
+    ctes = [f"""
+WITH kept AS (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST) AS rid, vec_id, label, list_transform(embedding, lambda x: floor({c.scale} * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+), parts AS (
+  SELECT rid, (j - 1) // (len(v) // {c.parts}) AS part, (j - 1) % (len(v) // {c.parts}) AS pos, v[j] AS x
+  FROM (SELECT rid, v, unnest(range(1, len(v) + 1)) AS j FROM kept)
+), book0 AS (SELECT rid - 1 AS entry, part, pos, x AS y FROM parts WHERE rid <= {c.entries})"""]
+    for r in range(c.rounds + 1):
+        ctes.append(f"""far{r} AS (
+  SELECT rid, part, entry, sum((x - y) * (x - y))::BIGINT AS d FROM parts JOIN book{r} USING (part, pos) GROUP BY rid, part, entry
+), near{r} AS (
+  SELECT rid, part, entry, d FROM (SELECT *, row_number() OVER (PARTITION BY rid, part ORDER BY d, entry) AS k FROM far{r}) WHERE k = 1
+)""")
+        if r < c.rounds:
+            ctes.append(f"""mean{r} AS (
+  SELECT entry, part, pos, sum(x)::BIGINT AS s, count(*) AS n FROM parts JOIN near{r} USING (rid, part) GROUP BY entry, part, pos
+), book{r + 1} AS (
+  SELECT entry, part, pos, CASE WHEN n IS NULL THEN y ELSE (s - ((s % n) + n) % n) // n END AS y FROM book{r} LEFT JOIN mean{r} USING (entry, part, pos)
+)""")
+    return ", ".join(ctes) + f""", coded AS (
+  SELECT rid, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM near{c.rounds} GROUP BY rid
+), named AS (SELECT sha256(string_agg(y::BIGINT::VARCHAR, ',' ORDER BY part, entry, pos)) AS codebooks_sha256 FROM book{c.rounds})
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256
+FROM kept JOIN coded USING (rid), named"""
+
+
+SQL["op13_codes"] = _codes()
