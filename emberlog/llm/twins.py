@@ -226,3 +226,36 @@ FROM kept JOIN coded USING (rid), named"""
 
 
 SQL["op13_codes"] = _codes()
+
+
+def _phrases() -> str:
+    from emberlog.llm import phrases as P
+
+    r = P.Rule()
+    grams = " UNION ALL ".join(
+        f"SELECT lang, {k} AS k, array_to_string(w[i:i + {k - 1}], ' ') AS phrase FROM (SELECT lang, w, unnest(range(1, len(w) - {k} + 2)) AS i FROM p WHERE len(w) >= {k})"
+        for k in range(1, P.DEPTH + 1))
+    return rf"""
+WITH d AS (
+  SELECT coalesce(lang, '{P.UNKNOWN}') AS lang, unnest(string_split_regex({_fold("coalesce(text, '')")}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM d),
+n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM p GROUP BY lang),
+f AS (SELECT lang, k, phrase, count(*) AS a FROM ({grams}) GROUP BY lang, k, phrase HAVING count(*) >= {r.least}),
+c AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+cuts AS (SELECT lang, k, phrase, a, w, unnest(range(1, k)) AS mid FROM c),
+sides AS (
+  SELECT cuts.*, x.a AS l, y.a AS r, ({r.unit}::HUGEINT * cuts.a) // (x.a + y.a) AS score FROM cuts
+  JOIN f x ON x.lang = cuts.lang AND x.k = mid AND x.phrase = array_to_string(cuts.w[1:mid], ' ')
+  JOIN f y ON y.lang = cuts.lang AND y.k = cuts.k - mid AND y.phrase = array_to_string(cuts.w[mid + 1:], ' ')
+), worst AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, mid) AS o FROM sides) WHERE o = 1),
+around AS (
+  SELECT lang, s AS k, array_to_string(w[i:i + s - 1], ' ') AS phrase, max(a) AS longer
+  FROM (SELECT lang, w, a, s, unnest(range(1, k - s + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS s FROM c)) GROUP BY 1, 2, 3
+), kept AS (
+  SELECT worst.* FROM worst LEFT JOIN around ON around.lang = worst.lang AND around.k = worst.k AND around.phrase = worst.phrase
+  WHERE longer IS NULL OR 100 * longer < {r.cover} * worst.a
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked JOIN n USING (lang) WHERE rank <= {r.top}"""
+
+
+SQL["op12_phrases"] = _phrases()
