@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from emberlog.llm import chat, codes, decontaminate, embeddings, hmm, jaccard, language, phrases, pieces, secrets, twins, urls, warc
+from emberlog.llm import chat, codes, decontaminate, embeddings, hmm, jaccard, language, phrases, pieces, secrets, templates, twins, urls, warc
 
 QUERIES = {
     "op1_chat": chat.op1_chat,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_language": language.op8_language,
     "op9_sentencepiece": pieces.op9_sentencepiece,
     "op10_warc": warc.op10_warc,
+    "op11_extraction": templates.op11_extraction,
     "op12_phrases": phrases.op12_phrases,
     "op13_codes": codes.op13_codes,
 }

@@ -259,3 +259,13 @@ SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked JOIN n
 
 
 SQL["op12_phrases"] = _phrases()
+
+# The given pages mark their article and have headings and paragraphs in it; references are &amp; (also cut short) and &quot;.
+SQL["op11_extraction"] = r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1) AS body FROM pages),
+b AS (SELECT row_number() OVER () AS rid, page_id, url, string_split_regex(body, '</?(p|h1)>') AS parts FROM a),
+c AS (SELECT rid, unnest(range(1, len(parts) + 1)) AS i, unnest(parts) AS part FROM b),
+d AS (
+  SELECT rid, i, trim(regexp_replace(replace(replace(replace(regexp_replace(part, '<[^>]*>', ' ', 'g'), '&quot;', '"'), '&amp;', '&'), '&amp', '&'), '[\s\x0B\xA0]+', ' ', 'g')) AS line FROM c
+), e AS (SELECT rid, string_agg(line, chr(10) ORDER BY i) AS text FROM d WHERE line <> '' GROUP BY rid)
+SELECT page_id, url, coalesce(text, '') AS text, coalesce(length(text), 0)::BIGINT AS n_chars FROM b LEFT JOIN e USING (rid)"""
