@@ -16,7 +16,7 @@ from emberlog.llm.common import bare, byte_table, cut, mix, pieces, span_hashes,
 UNKNOWN = "und"
 DEPTH = 4            # words of the longest phrase
 BUDGET = 1 << 20     # suffixes of one group, about: what one subtree is built from
-SHARE = 16           # a prefix with more than a group's suffixes divided by this is dealt out over several groups
+SHARE, LEAST_HEAVY = 16, 1000  # a prefix with more than a group's suffixes divided by this is dealt out over several groups
 HELD = 1 << 20       # suffixes that a scanning task holds before it sends them
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28  # of a bitmap that scanning tasks filter by: 32 MB at most
 PATH = ["a", "b", "c", "d"]
@@ -206,7 +206,7 @@ def frequent(docs: DataFrame, rule: Rule = Rule()) -> tuple[DataFrame, DataFrame
     number, total = pairs.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUDGET))
     named = pairs.select(_pair_name(F.col("a"), F.col("b")).alias("name"), "n")
-    heavy = named.filter(F.col("n") > max(1000, total // (groups * SHARE)))
+    heavy = named.filter(F.col("n") > max(LEAST_HEAVY, total // (groups * SHARE)))
     suffixes = _suffixes(rows, _bitmap(named, _bits(number)), _bitmap(heavy, _bits(SHARE * groups)), groups)
     nodes = suffixes.groupBy("g").applyInArrow(_subtree(rule.least), "a long, b long, c long, d long, n long")
     deep = nodes.groupBy(*PATH).agg(F.sum("n").alias("n")).filter(F.col("n") >= rule.least)
