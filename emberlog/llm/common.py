@@ -15,6 +15,7 @@ from emberlog.session import shared_folder, work_path  # noqa: F401
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 CHUNK = 4 << 20                      # bytes of text that array code handles at once
+HASHED = 1 << 18                     # bytes whose running sums are held at once
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0xD1342543DE82EF95)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -126,9 +127,9 @@ def span_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
     low = 0
     while low < len(out):
         base = start[low]
-        high = max(low + 1, int(np.searchsorted(end, base + CHUNK, "right")))
+        high = max(low + 1, int(np.searchsorted(end, base + HASHED, "right")))
         size = int(end[high - 1] - base)
-        up, down = _power(CHUNK) if size <= CHUNK else _power(size)
+        up, down = _power(HASHED + 1) if size <= HASHED else _power(size + 1)
         sums = np.zeros(size + 1, np.uint64)
         np.cumsum((raw[base:base + size].astype(np.uint64) + np.uint64(1)) * up[:size], out=sums[1:])
         s, e = start[low:high] - base, end[low:high] - base

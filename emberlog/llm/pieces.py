@@ -15,7 +15,8 @@ from emberlog.llm.common import span_hashes, table, utf8
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BATCH = 4 << 20          # bytes of text whose distinct words are indexed together
-TOKENS = 1 << 20         # ids that are decoded at once
+DISTINCT = 1 << 20       # bytes of distinct words that one suffix array holds, about
+TOKENS = 1 << 18         # ids that are decoded at once
 META = "▁".encode()  # stands for a blank inside pieces
 _BLANK = 32
 
@@ -73,19 +74,19 @@ class ByteSuffixes:
         while True:
             key, rank = np.unique(run, return_inverse=True)
             self.keys.append(key)
-            self.ranks.append(rank)
+            self.ranks.append(rank.astype(np.int32))
             if gap >= depth:
                 break
             run = self._pair(rank, gap)
             gap *= 2
-        self.order = np.argsort(self.ranks[-1], kind="stable")
+        self.order = np.argsort(self.ranks[-1], kind="stable").astype(np.int32)
 
     @staticmethod
     def _pair(rank: np.ndarray, gap: int) -> np.ndarray:
-        late = np.zeros(len(rank), np.int64)
+        pair = rank.astype(np.int64) << 31
         if gap < len(rank):
-            late[:len(rank) - gap] = rank[gap:] + 1
-        return (rank.astype(np.int64) << 31) | late
+            pair[:len(rank) - gap] |= rank[gap:].astype(np.int64) + 1
+        return pair
 
     def find(self, texts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Binary search: for each row of ``texts`` (of ``n`` bytes) its range in ``order``."""
@@ -161,8 +162,10 @@ class Encoder:
                 cache[c] = self.v.single.get(c, -1)
             token[s] = cache[c]
         lengths = np.diff(self.v.first)[self.v.merges]
+        order = index.order
+        del index
         for k in np.flatnonzero(high > low):
-            at = index.order[low[k]:high[k]]
+            at = order[low[k]:high[k]].astype(np.int64)
             stop = at + lengths[k]
             middle = end[at]
             ok = np.flatnonzero((middle > 0) & (middle < stop) & (end[middle] == stop))
@@ -170,8 +173,8 @@ class Encoder:
                 continue
             at, middle, stop = at[ok], middle[ok], stop[ok]
             if len(at) > 1:
-                order = np.argsort(at)
-                at, middle, stop = at[order], middle[order], stop[order]
+                sort = np.argsort(at)
+                at, middle, stop = at[sort], middle[sort], stop[sort]
                 chained = np.flatnonzero(at[1:] == middle[:-1])
                 if len(chained):
                     # of pairs that share a token the first is taken, then the third, and so on
@@ -220,9 +223,17 @@ class Encoder:
         words[inner] = data[source[inner]]
         zeros = inner & (words == 0)
         words[zeros] = 255               # no byte of any text; falls back to a byte piece below
-        ids, begin = self.words(words)
-        ids[words[begin] == 255] = self.v.byte_ids[0]
-        bounds = np.searchsorted(begin, first)
+        # the suffix array is of some words at a time, so that a batch of rare words takes no more memory than others
+        ids, bounds, low = [], [np.zeros(1, np.int64)], 0
+        while low < len(one):
+            high = max(low + 1, int(np.searchsorted(first, first[low] + DISTINCT, "right")) - 1)
+            part = words[first[low]:first[high]]
+            some, begin = self.words(part)
+            some[part[begin] == 255] = self.v.byte_ids[0]
+            bounds.append(bounds[-1][-1] + np.searchsorted(begin, first[low + 1:high + 1] - first[low]))
+            ids.append(some.astype(np.int32))
+            low = high
+        ids, bounds = np.concatenate(ids), np.concatenate(bounds)
         count = np.diff(bounds)
         n = count[which]
         total = np.concatenate([[0], np.cumsum(n)])
@@ -231,7 +242,17 @@ class Encoder:
 
 
 def decode_ids(v: Vocabulary, ids: np.ndarray, first: np.ndarray) -> list[str]:
-    """Texts of token ids: the pieces' bytes in a row, less the blank that encoding puts in front."""
+    """Texts of token ids, some rows at a time."""
+    texts, low = [], 0
+    while low < len(first) - 1:
+        high = max(low + 1, int(np.searchsorted(first, first[low] + TOKENS, "right")) - 1)
+        texts += _decode_some(v, ids[first[low]:first[high]], first[low:high + 1] - first[low])
+        low = high
+    return texts
+
+
+def _decode_some(v: Vocabulary, ids: np.ndarray, first: np.ndarray) -> list[str]:
+    """The pieces' bytes in a row, less the blank that encoding puts in front."""
     size = np.diff(v.first)[ids]
     total = np.concatenate([[0], np.cumsum(size)])
     source = np.repeat(v.first[:-1][ids] - total[:-1], size) + np.arange(total[-1])
