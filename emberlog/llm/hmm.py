@@ -16,6 +16,7 @@ from emberlog.llm.common import SPACED, Words, bare, cut, held_out, mix, pieces,
 STATES = 8
 LOOKUP = 1 << 18     # most frequent words whose counts and emissions every task holds; the rest meet theirs by bucket
 BUCKET = 1 << 16     # words of a bucket, about
+ASKS = 1 << 20       # words that blocks ask a bucket for in one task, about
 TASK = 1 << 26       # bytes of text of a task, about, in blocks of up to ``BATCH`` bytes
 SLICE = 512          # emission rows that are summed as one array
 ROUNDS = 4           # of Baum-Welch
@@ -295,23 +296,44 @@ def _total(words: DataFrame, states: int) -> np.ndarray:
 ANSWERS = "block long, bucket int, data binary, n binary"
 
 
-def _answers(wants: DataFrame, words: DataFrame, states: int, counted: bool = False) -> DataFrame:
-    """The weights, and if ``counted`` the counts, of what each block asks for, in its order; zeros for unknown words."""
+def _deals(wants: DataFrame, counts: Counts) -> int:
+    """Tasks over which each bucket's asks are dealt."""
+    asked = wants.agg(F.coalesce(F.sum(F.octet_length("data")), F.lit(0))).first()[0] // 8
+    return max(1, -(-asked // (ASKS << counts.bits)))
 
-    def work(asked: pa.Table, known: pa.Table) -> pa.Table:
-        at = _find(_matrix(known["hashes"], np.uint64), _matrix(asked["data"], np.uint64))
-        hit = at >= 0
-        weights, n = np.zeros((len(at), states), np.float32), np.zeros(len(at), np.int64)
-        for out, name, kind, width in ((weights, "weights", np.float32, states), (n, "n", np.int64, 1)):
-            values = _matrix(known[name], kind, width)
-            if len(values):
-                out[hit] = values[at[hit]]
-        ends = np.cumsum([0] + [len(x) // 8 for x in asked["data"].to_pylist()])
-        split = lambda v: pa.array([v[a:b].tobytes() for a, b in zip(ends, ends[1:])], pa.binary())
-        return pa.table({"block": asked["block"], "bucket": asked["bucket"], "data": split(weights),
-                         "n": split(n) if counted else pa.nulls(len(asked), pa.binary())})
 
-    return wants.groupBy("bucket").cogroup(words.groupBy("bucket")).applyInArrow(work, ANSWERS)
+def _dealt(rows: DataFrame, deals: int) -> DataFrame:
+    """Blocks in turn; what a block asks a bucket for stays together."""
+    return rows.withColumn("deal", F.pmod("block", F.lit(deals)).cast("int"))
+
+
+def _answers(wants: DataFrame, words: DataFrame, states: int, deals: int, counted: bool = False) -> DataFrame:
+    """The weights, and if ``counted`` the counts, of what each block asks for, in its order; zeros for unknown words.
+
+    A bucket's words go to each of its ``deals`` tasks."""
+
+    def work(asked: pa.Table, known: pa.Table) -> pa.Table:
+        hashes = _matrix(known["hashes"], np.uint64)
+        weights = _matrix(known["weights"], np.float32, states)
+        n = _matrix(known["n"], np.int64)
+        out, times = [], []
+        for data in asked["data"].to_pylist():
+            at = _find(hashes, np.frombuffer(data, np.uint64))
+            hit = at >= 0
+            some = np.zeros((len(at), states), np.float32)
+            if len(weights):
+                some[hit] = weights[at[hit]]
+            out.append(some.tobytes())
+            if counted:
+                known_times = np.zeros(len(at), np.int64)
+                if len(n):
+                    known_times[hit] = n[at[hit]]
+                times.append(known_times.tobytes())
+        return pa.table({"block": asked["block"], "bucket": asked["bucket"], "data": pa.array(out, pa.binary()),
+                         "n": pa.array(times, pa.binary()) if counted else pa.nulls(len(asked), pa.binary())})
+
+    copies = words.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(deals - 1))))
+    return _dealt(wants, deals).groupBy("bucket", "deal").cogroup(copies.groupBy("bucket", "deal")).applyInArrow(work, ANSWERS)
 
 
 def _met(tokens: DataFrame, answers: DataFrame, tasks: int) -> DataFrame:
@@ -354,17 +376,43 @@ def _normal(x: np.ndarray, extra: float) -> np.ndarray:
     return x / x.sum(-1, keepdims=True)
 
 
-def _summed(wants: DataFrame, expected: DataFrame, states: int) -> DataFrame:
-    """The words' new weights: expected counts of all blocks, which come in the order in which each asked."""
+SUMS = "bucket int, hashes binary, n binary, weights binary, totals binary"
+
 
-    def work(asked: pa.Table, got: pa.Table) -> pa.Table:
+def _summed(wants: DataFrame, expected: DataFrame, states: int, deals: int) -> DataFrame:
+    """Expected counts added up: a row of words and new weights for each bucket, and the tasks' own totals (buckets below 0).
+
+    ``expected`` (bucket, block, data) has what blocks expect of the words that they asked for, in that order.  Parts
+    of a bucket are added up by deal, then together; an expected count never waits on disk beside its shuffle."""
+
+    def part(asked: pa.Table, got: pa.Table) -> pa.Table:
+        number = (got if got.num_rows else asked)["bucket"][:1]
+        if number[0].as_py() < 0:
+            total = 0.0
+            for data in got["data"].to_pylist():
+                total = total + np.frombuffer(data, np.float32).astype(float)
+            return pa.table({"bucket": number, "hashes": pa.nulls(1, pa.binary()), "n": pa.nulls(1, pa.binary()), "weights": pa.nulls(1, pa.binary()),
+                             "totals": pa.array([total.tobytes()], pa.binary())})
         words, at = np.unique(_matrix(asked.sort_by("block")["data"], np.uint64), return_inverse=True)
         values = _matrix(got.sort_by("block")["data"], np.float32, states)
         sums = np.stack([np.bincount(at, values[:, k], len(words)) for k in range(states)], 1)
-        return pa.table({"bucket": asked["bucket"][:1], "hashes": pa.array([words.tobytes()], pa.binary()), "n": pa.nulls(1, pa.binary()),
-                         "weights": pa.array([(sums + SMOOTH / states).astype(np.float32).tobytes()], pa.binary())})
+        return pa.table({"bucket": number, "hashes": pa.array([words.tobytes()], pa.binary()), "n": pa.nulls(1, pa.binary()),
+                         "weights": pa.array([sums.astype(np.float32).tobytes()], pa.binary()), "totals": pa.nulls(1, pa.binary())})
+
+    def whole(parts: pa.Table) -> pa.Table:
+        number = parts["bucket"][:1]
+        if number[0].as_py() < 0:
+            total = sum(np.frombuffer(t) for t in parts["totals"].to_pylist())
+            return pa.table({"bucket": number, "hashes": pa.nulls(1, pa.binary()), "n": pa.nulls(1, pa.binary()), "weights": pa.nulls(1, pa.binary()),
+                             "totals": pa.array([total.tobytes()], pa.binary())})
+        words, at = np.unique(_matrix(parts["hashes"], np.uint64), return_inverse=True)
+        values = _matrix(parts["weights"], np.float32, states)
+        sums = np.stack([np.bincount(at, values[:, k], len(words)) for k in range(states)], 1)
+        return pa.table({"bucket": number, "hashes": pa.array([words.tobytes()], pa.binary()), "n": pa.nulls(1, pa.binary()),
+                         "weights": pa.array([(sums + SMOOTH / states).astype(np.float32).tobytes()], pa.binary()), "totals": pa.nulls(1, pa.binary())})
 
-    return wants.groupBy("bucket").cogroup(expected.groupBy("bucket")).applyInArrow(work, WORDS)
+    parts = _dealt(wants, deals).groupBy("bucket", "deal").cogroup(expected.groupBy("bucket", "deal")).applyInArrow(part, SUMS)
+    return parts.groupBy("bucket").applyInArrow(whole, SUMS)
 
 
 def train_model(train: DataFrame, counts: Counts, states: int = STATES, rounds: int = ROUNDS, segment: int = SEGMENT) -> Model:
@@ -379,13 +427,11 @@ def train_model(train: DataFrame, counts: Counts, states: int = STATES, rounds:
     model = _initial(counts, states)
     tokens, wants, tasks = _blocks(bare(train, "text"), counts, counts.every)
     symbols = counts.symbols
-    kinds = pa.schema([("part", pa.int32()), ("i", pa.int32()), ("block", pa.int64()), ("bucket", pa.int32()), ("data", pa.binary())])
+    deals = _deals(wants, counts)
+    kinds = pa.schema([("bucket", pa.int32()), ("deal", pa.int32()), ("block", pa.int64()), ("data", pa.binary())])
+    slices = [(part, a) for part, size in enumerate((2, states, symbols + 2)) for a in range(0, size, SLICE)]
     packed = lambda parts: pa.array([x.astype(np.float32).tobytes() for x in parts], pa.binary())
 
-    def add(rows: pa.Table) -> pa.Table:
-        total = np.sum(_matrix(rows["data"], np.float32).reshape(rows.num_rows, -1), 0, dtype=float)
-        return pa.table({"part": rows["part"][:1], "i": rows["i"][:1], "data": pa.array([total.tobytes()], pa.binary())})
-
     for _ in range(rounds):
         shared = sc.broadcast((model.start, model.step, model.emit, model.scale))
 
@@ -401,31 +447,34 @@ def train_model(train: DataFrame, counts: Counts, states: int = STATES, rounds:
                 sums[2][held] += got.emit[:len(held)]
                 other = got.emit[len(held):]
                 sums[2][symbols] += other.sum(0)
-                ends, none = np.cumsum([0, *sizes]), pa.nulls(len(sizes), pa.int32())
-                yield pa.RecordBatch.from_arrays(
-                    [none, none, pa.array([block] * len(sizes), pa.int64()), pa.array(buckets, pa.int32()), packed(other[a:b] for a, b in zip(ends, ends[1:]))], schema=kinds)
-            for part, total in enumerate(sums):
-                at = [a for a in range(0, len(total), SLICE) if total[a:a + SLICE].any()]
+                ends = np.cumsum([0, *sizes])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([part] * len(at), pa.int32()), pa.array(at, pa.int32()), pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.int32()),
-                     packed(total[a:a + SLICE] for a in at)], schema=kinds)
-
-        out = cut(_met(tokens, _answers(wants, model.rest, states), tasks).mapInArrow(work, "part int, i int, block long, bucket int, data binary"))
-        got = out.filter("part IS NOT NULL").select("part", "i", "data").groupBy("part", "i").applyInArrow(add, "part int, i int, data binary").toArrow()
+                    [pa.array(buckets, pa.int32()), pa.array([block % deals] * len(sizes), pa.int32()), pa.array([block] * len(sizes), pa.int64()),
+                     packed(other[a:b] for a, b in zip(ends, ends[1:]))], schema=kinds)
+            some = [(-1 - k, sums[part][a:a + SLICE]) for k, (part, a) in enumerate(slices)]
+            some = [(k, x) for k, x in some if x.any()]
+            deal = TaskContext.get().partitionId() // 256   # so many tasks' totals are added up at once
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([k for k, _ in some], pa.int32()), pa.array([deal] * len(some), pa.int32()), pa.nulls(len(some), pa.int64()), packed(x for _, x in some)], schema=kinds)
+
+        expected = _met(tokens, _answers(wants, model.rest, states, deals), tasks).mapInArrow(work, "bucket int, deal int, block long, data binary")
+        out = cut(_summed(wants, expected, states, deals))
+        expected = None
+        got = out.filter("bucket < 0").select("bucket", "totals").toArrow()
         sums = [np.zeros_like(x) for x in (model.start, model.step, model.emit)]
-        for part, i, data in zip(*[got[c].to_pylist() for c in ("part", "i", "data")]):
+        for bucket, data in zip(*[got[c].to_pylist() for c in ("bucket", "totals")]):
+            part, i = slices[-1 - bucket]
             sums[part][i:i + SLICE] = np.frombuffer(data).reshape(-1, states)
         rest, scale = model.rest, 0.0
         if counts.every:
-            model.rest = rest = None     # not to be kept beside what follows it
-            rest = cut(_summed(wants, out.filter("part IS NULL").select("bucket", "block", "data"), states))
+            rest = out.filter("bucket >= 0").drop("totals")
             scale = sums[2][symbols] + counts.others * SMOOTH / states
             sums[2][symbols] = 0.0
         emit = sums[2] + SMOOTH / states
         scale = scale + emit.sum(0)
         model = Model(_normal(sums[0], 1e-3), _normal(sums[1], 1e-3), emit / scale, rest, scale)
         shared.destroy()
-        out = None
+        out = rest = None
         release(train.sparkSession)
     if counts.every and rounds:
         model.rest = cut(model.rest.drop("n").join(_others(counts, states).select("bucket", "n"), "bucket").select("bucket", "hashes", "n", "weights"))
@@ -472,7 +521,7 @@ def score(docs: DataFrame, counts: Counts, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.diff(first)), pa.array(known), pa.array(base), pa.array(logs)],
                                              names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
-    return _met(tokens, _answers(wants, model.rest, states, True), tasks).mapInArrow(work, SCORED)
+    return _met(tokens, _answers(wants, model.rest, states, _deals(wants, counts), True), tasks).mapInArrow(work, SCORED)
 
 
 def op7_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:

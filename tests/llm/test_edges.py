@@ -479,3 +479,14 @@ def test_warc_foreign_files(spark, tmp_path):
     rows = warc.read(spark, str(tmp_path)).collect()
     assert Counter((r.record_type, r.payload_bytes, bytes(r.payload)) for r in rows) == {("warcinfo", 3, b"abc"): 2, ("response", 5, b"hello"): 4}
     assert warc.read(spark, str(tmp_path), payload=False).filter("record_type = 'response'").count() == 4
+
+
+def test_hmm_with_asks_dealt_over_tasks_equals_undealt(spark, monkeypatch):
+    rows = [(i, " ".join(f"w{(i * 7 + k * k) % 40}" for k in range(30)), "", "") for i in range(30)]
+    train, scores = docs_of(spark, rows), []
+    for asks in (1 << 20, 4):
+        monkeypatch.setattr(hmm, "ASKS", asks)
+        monkeypatch.setattr(hmm, "BATCH", 200)   # many blocks
+        counts = hmm.count_words(train, lookup=10)
+        scores.append({r.doc_id: r.score for r in hmm.score(train, counts, hmm.train_model(train, counts, states=3, rounds=2)).collect()})
+    assert all(abs(scores[0][i] - scores[1][i]) < 1e-4 for i in scores[0]) and len(scores[0]) == 30
