@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,21 +26,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def release(spark: SparkSession) -> None:
+def release(spark: SparkSession, wait: bool = False) -> None:
     """Let go of what finished steps left on the executors' disks.
 
     Spark removes shuffle files once the driver has collected the frames that made them; on its own that may
-    take until the next half hour, while a job of many steps fills the disks.
+    take until the next half hour, while a job of many steps fills the disks.  With ``wait``, a second at most is spent until
+    the JVM knows which frames Python has dropped: before a step that needs much disk itself.
     """
     gc.collect()
+    dropped = getattr(spark.sparkContext._gateway._gateway_client, "finalizer_deque", None)
+    end = time.monotonic() + 1.5 * wait
+    while dropped and time.monotonic() < end:
+        time.sleep(0.05)
     spark.sparkContext._jvm.java.lang.System.gc()
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, wait: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder, go on from there, and free the shuffles that led to it."""
     done, spark = session.cut(df), df.sparkSession
     del df
-    release(spark)
+    release(spark, wait)
     return done
 
 
@@ -65,6 +71,17 @@ def bare(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores as set it apart from the columns of ``df``."""
+    used, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in used:
+            name += "_"
+        out.append(name)
+        used.add(name.lower())
+    return out
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of an Arrow text column; a null text has no bytes."""
     if column.null_count:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.llm.common import ALNUM, CHUNK, Words, bare, cut, pieces, table, utf8, words_of
+from emberlog.llm.common import ALNUM, CHUNK, Words, bare, cut, fresh, pieces, table, utf8, words_of
 
 WINDOW = 13
 BLOCK = 4 << 20      # bytes of benchmark text that one pass over the documents looks for
@@ -215,8 +215,9 @@ def contaminated(n_hit, n_words):
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents that are not contaminated, with all their columns."""
     bad = find_matches(docs, benchmark, window).filter(contaminated(F.col("n_hit"), F.col("n_words")))
-    bad = bad.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (F.coalesce(F.xxhash64(docs["text"]), F.lit(0)) == F.col("__hash"))
+    id_, hash_ = fresh(docs, "of", "hash")
+    bad = bad.select(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_))
+    same = F.col("`doc_id`").cast("long").eqNullSafe(F.col(id_)) & (F.coalesce(F.xxhash64(F.col("`text`")), F.lit(0)) == F.col(hash_))
     return docs.join(bad, same, "left_anti")
 
 

@@ -383,7 +383,7 @@ def _summed(wants: DataFrame, expected: DataFrame, states: int, deals: int) -> D
     """Expected counts added up: a row of words and new weights for each bucket, and the tasks' own totals (buckets below 0).
 
     ``expected`` (bucket, block, data) has what blocks expect of the words that they asked for, in that order.  Parts
-    of a bucket are added up by deal, then together; an expected count never waits on disk beside its shuffle."""
+    of a bucket are added up by deal, then together."""
 
     def part(asked: pa.Table, got: pa.Table) -> pa.Table:
         number = (got if got.num_rows else asked)["bucket"][:1]
@@ -457,9 +457,9 @@ def train_model(train: DataFrame, counts: Counts, states: int = STATES, rounds:
             yield pa.RecordBatch.from_arrays(
                 [pa.array([k for k, _ in some], pa.int32()), pa.array([deal] * len(some), pa.int32()), pa.nulls(len(some), pa.int64()), packed(x for _, x in some)], schema=kinds)
 
-        expected = _met(tokens, _answers(wants, model.rest, states, deals), tasks).mapInArrow(work, "bucket int, deal int, block long, data binary")
-        out = cut(_summed(wants, expected, states, deals))
-        expected = None
+        # written, so that the answers' shuffles are gone before the sums are dealt
+        out = cut(_met(tokens, _answers(wants, model.rest, states, deals), tasks).mapInArrow(work, "bucket int, deal int, block long, data binary"), wait=True)
+        out = cut(_summed(wants, out, states, deals), wait=True)
         got = out.filter("bucket < 0").select("bucket", "totals").toArrow()
         sums = [np.zeros_like(x) for x in (model.start, model.step, model.emit)]
         for bucket, data in zip(*[got[c].to_pylist() for c in ("bucket", "totals")]):
@@ -475,7 +475,7 @@ def train_model(train: DataFrame, counts: Counts, states: int = STATES, rounds:
         model = Model(_normal(sums[0], 1e-3), _normal(sums[1], 1e-3), emit / scale, rest, scale)
         shared.destroy()
         out = rest = None
-        release(train.sparkSession)
+        release(train.sparkSession, wait=True)
     if counts.every and rounds:
         model.rest = cut(model.rest.drop("n").join(_others(counts, states).select("bucket", "n"), "bucket").select("bucket", "hashes", "n", "weights"))
     return model

@@ -29,11 +29,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.llm.common import SPACED, bare, components, cut, mix, pieces, stored, table, words_of
+from emberlog.llm.common import SPACED, bare, components, cut, fresh, mix, pieces, stored, table, words_of
 
 SLOTS = 1 << 17      # counters of the frequency sketch that orders shingles
 LEAST_BITS = 256     # of a set's bitmap
-WANTED = 1 << 23     # bits that mark, by hash, the documents whose sets are needed
+MOST_BITS = 1 << 28  # that mark, by hash, the documents whose sets are needed: 32 MB
 FEW = 16             # members up to which a bucket gives its pairs; larger ones go by their pivot, as exactly
 _FEW = np.uint64(0xA0761D6478BD642F)
 
@@ -88,24 +88,24 @@ def _names(sets: list[np.ndarray], n: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _measure(docs: DataFrame, rule: Rule) -> DataFrame:
-    """A row per document (doc_id, n, h1, h2) and, in the same pass, rows (slot, times) of the frequency sketch."""
+    """A row per document (doc_id, text_hash, n, h1, h2) and, in the same pass, rows (slot, times) of the frequency sketch."""
     k = rule.words
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(SLOTS, np.int64)
         none = lambda size: pa.nulls(size, pa.int64())
-        names = ["doc_id", "n", "h1", "h2", "slot", "times"]
+        names = ["doc_id", "text_hash", "n", "h1", "h2", "slot", "times"]
         for batch in pieces(batches, "text"):
             sets, n = _sets(batch, k)
             h1, h2 = _names(sets, n)
             if n.any():
                 sketch += np.bincount(_slot(np.concatenate(sets)), minlength=SLOTS)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(h1), pa.array(h2), none(len(n)), none(len(n))], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n), pa.array(h1), pa.array(h2), none(len(n)), none(len(n))], names=names)
         at = np.flatnonzero(sketch)
         empty = none(len(at))
-        yield pa.RecordBatch.from_arrays([empty, empty, empty, empty, pa.array(at), pa.array(sketch[at])], names=names)
+        yield pa.RecordBatch.from_arrays([empty, empty, empty, empty, empty, pa.array(at), pa.array(sketch[at])], names=names)
 
-    return docs.mapInArrow(work, "doc_id long, n long, h1 long, h2 long, slot long, times long")
+    return docs.mapInArrow(work, "doc_id long, text_hash long, n long, h1 long, h2 long, slot long, times long")
 
 
 def _ordered(s: np.ndarray, sketch: np.ndarray) -> np.ndarray:
@@ -148,38 +148,41 @@ def _prefixes(docs: DataFrame, rule: Rule, sketch: np.ndarray) -> DataFrame:
 
 
 def _marks(ids: DataFrame) -> np.ndarray:
-    """``WANTED`` bits, in 4 KB pieces: those hit by the ids' hashes."""
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(WANTED)) + 1   # these functions count from 1
+    """Bits, in 4 KB pieces, of which those hit by the hashes of ``doc_id`` are set: eight for each id, within bounds."""
+    size = min(MOST_BITS, max(1 << 18, 1 << (8 * ids.count()).bit_length()))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(size)) + 1   # these functions count from 1
     found = ids.groupBy(F.bitmap_bucket_number(place).alias("piece")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()
-    out = np.zeros(WANTED // 8, np.uint8)
+    out = np.zeros(size // 8, np.uint8)
     for row in found:
         at = (row["piece"] - 1) * 4096
         out[at:at + 4096] = np.frombuffer(row["bits"], np.uint8)
-    return np.unpackbits(out, bitorder="little").astype(bool)
+    return out
 
 
 def _whole(docs: DataFrame, involved: DataFrame, rule: Rule, sketch: np.ndarray) -> DataFrame:
-    """id and ordered set of the documents in ``involved`` (doc_id, h1, h2), one row each.
+    """id and ordered set of the classes in ``involved`` (id, h1, h2, and the doc_id of a row with the set), one row each.
 
-    Texts stay where they are: a task skips those whose mark, one of a fixed number of bits, isn't set, and only the sets
-    of the others are shuffled, to drop what was marked by chance."""
+    Texts stay where they are: a task skips those whose mark isn't set, and only the sets of the others are shuffled, to drop
+    what was marked by chance."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((sketch, np.packbits(_marks(involved))))
+    marks = _marks(involved)
+    shared = spark.sparkContext.broadcast((sketch, marks))
     k = rule.words
-    placed = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(WANTED)).alias("place"))
+    placed = docs.select("text", F.pmod(F.xxhash64("doc_id"), F.lit(8 * len(marks))).alias("place"))
 
     def work(batches):
         sketch, marks = shared.value
         for batch in batches:
-            place = np.asarray(batch.column(2), np.int64)
-            wanted = batch.filter(pa.array((marks[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1 == 1))
+            place = np.asarray(batch.column(1), np.int64)
+            wanted = batch.filter(pa.array((marks[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1))
             for part in pieces([wanted], "text"):
                 sets, n = _sets(part, k)
-                names = [pa.array(h) for h in _names(sets, n)]
-                yield pa.RecordBatch.from_arrays([part.column(0), *names, _lists([_ordered(s, sketch) for s in sets])], names=["doc_id", "h1", "h2", "tokens"])
+                h1, h2 = _names(sets, n)
+                _, one = np.unique(np.stack([h1, h2]), axis=1, return_index=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h1[one]), pa.array(h2[one]), _lists([_ordered(sets[i], sketch) for i in one])], names=["h1", "h2", "tokens"])
 
-    sets = placed.mapInArrow(work, "doc_id long, h1 long, h2 long, tokens array<long>").join(involved, ["doc_id", "h1", "h2"], "left_semi")
-    return sets.dropDuplicates(["doc_id", "h1", "h2"]).select(F.col("doc_id").alias("id"), "tokens")
+    sets = placed.mapInArrow(work, "h1 long, h2 long, tokens array<long>").join(involved.drop("doc_id"), ["h1", "h2"])
+    return sets.dropDuplicates(["id"]).select("id", "tokens")
 
 
 def _allowed(n: Column, rule: Rule) -> Column:
@@ -261,28 +264,32 @@ def join_classes(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     of ``rule.words`` words, or its whole sequence if that is shorter.  Two documents link when
     100 * intersection >= percent * union.  ``component_id`` is the least doc_id reachable, its own included.
 
-    A null or empty text has an empty set and links with nothing.  Equal sets are one class, represented by its
-    least doc_id.  Rows that share a doc_id are one document and get one component, by the text with the smallest set (then
-    the least hashes).  A row with a null doc_id names no document: it gets the component of documents with its set, if any.
+    A null or empty text has an empty set and links with nothing.  Equal sets are one class.  Rows that share a doc_id are one
+    document: all their texts are linked.  A row with a null doc_id names no document; it links by its text, and has the
+    component of documents that it reaches, if any, else null.
     """
-    rows = bare(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    measured = cut(_measure(rows, rule))
+    return _joined(docs, rule)[0].drop("rid")
+
+
+def _joined(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
+    """``join_classes`` with each row's own number ``rid``; and (rid, doc_id, group, text_hash), ``group`` naming the component of a row with a set."""
+    rows = bare(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+    measured = cut(_measure(rows, rule).withColumn("rid", F.monotonically_increasing_id()))
     slots = measured.filter("slot IS NOT NULL").groupBy("slot").agg(F.sum("times").alias("times")).toPandas()
     sketch = np.zeros(SLOTS, np.int64)
     sketch[slots["slot"].to_numpy(np.int64)] = slots["times"].to_numpy(np.int64)
-    own = measured.filter("slot IS NULL").select("doc_id", "n", "h1", "h2")
+    own = measured.filter("slot IS NULL").select("rid", "doc_id", "n", "h1", "h2", "text_hash")
     names = ["n", "h1", "h2"]
-    # one set for each doc_id, so that a class's least doc_id is no other class's
-    each = own.filter("n > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct(*names)).alias("set")).select("doc_id", "set.*")
-    classes = each.groupBy(*names).agg(F.min("doc_id").alias("id"))
-    prefixes = _prefixes(rows, rule, sketch).groupBy(*names).agg(F.first("prefix").alias("prefix"), F.first("bits").alias("bits"))
+    # a class is named by one of its rows; ids are shared or missing
+    classes = cut(own.filter("n > 0").groupBy(*names).agg(F.min("rid").alias("id"), F.min("doc_id").alias("doc_id")))
+    prefixes = _prefixes(rows.select("text"), rule, sketch).groupBy(*names).agg(F.first("prefix").alias("prefix"), F.first("bits").alias("bits"))
     # classes with equal prefix and size are one group, named after its least member
     grouped = cut(classes.join(prefixes, names).select("id", "n", "prefix", "bits", F.xxhash64("prefix").alias("p1"), F.xxhash64(F.reverse("prefix")).alias("p2")))
     groups = grouped.groupBy("n", "p1", "p2").agg(F.min("id").alias("group"), F.count("*").alias("held"))
     members = cut(grouped.select("id", "n", "p1", "p2").join(groups, ["n", "p1", "p2"]).select("id", "n", "group", "held"))
     star = _candidates(grouped, members, rule)
     involved = star.select(F.explode(F.array("x", "y")).alias("id")).distinct().join(classes, "id")
-    involved = cut(involved.select(F.col("id").alias("doc_id"), "h1", "h2"))
+    involved = cut(involved.select("id", "doc_id", "h1", "h2"))
     sets = cut(_whole(rows, involved, rule, sketch))
     # the first differences of each member: its own tokens, rare ones first, then the pivot's
     reach = _allowed(F.col("nx") * (100 + rule.percent) / rule.percent, rule) + 1
@@ -293,18 +300,44 @@ def join_classes(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     roots = cut(components(links))
     more = _met(_further(met, roots, rule), sets, rule).filter("linked").select(F.col("x").alias("a"), F.col("y").alias("b"))
     every = roots.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
-    final = components(every).withColumnRenamed("node", "id")
-    by_class = classes.join(final, "id", "left").select(*names, F.coalesce("component", "id").alias("component"))
-    by_doc = each.join(by_class, names).select("doc_id", F.col("component").alias("by_doc"))
-    out = own.join(by_doc, "doc_id", "left").join(by_class, names, "left")
-    component = F.when(F.col("doc_id").isNull(), F.col("component")).otherwise(F.coalesce("by_doc", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    of_rows = cut(own.filter("n > 0").join(classes.drop("doc_id"), names).select("rid", "doc_id", F.col("id").alias("class")))
+    several = of_rows.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low < high")
+    same = of_rows.join(several.select("doc_id", "low"), "doc_id").filter("class > low").select(F.col("class").alias("a"), F.col("low").alias("b"))
+    final = cut(components(every.unionByName(same)).withColumnRenamed("node", "id"))
+    # the least doc_id of each component, of the linked classes only
+    linked = final.join(classes.select("id", "doc_id"), "id")
+    linked = linked.select("id", "component").join(linked.groupBy("component").agg(F.min("doc_id").alias("least")), "component")
+    by_class = classes.join(linked, "id", "left").select(F.col("id").alias("class"), F.coalesce("least", "doc_id").alias("component_id"), F.coalesce("component", "id").alias("group"))
+    of_rows = of_rows.join(by_class, "class").select("rid", "doc_id", "component_id", "group")
+    # a row without a set has the component of its document's other rows
+    empty = own.filter("n = 0 AND doc_id IS NOT NULL").select("doc_id").distinct()
+    by_doc = of_rows.join(empty, "doc_id").groupBy("doc_id").agg(F.min("component_id").alias("by_doc"))
+    with_set = own.filter("n > 0").join(of_rows.drop("doc_id"), "rid")
+    without = own.filter("n = 0").join(by_doc, "doc_id", "left").withColumnRenamed("by_doc", "component_id")
+    out = with_set.unionByName(without, allowMissingColumns=True)
+    return out.select("rid", "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")), out.select("rid", "doc_id", "group", "text_hash")
 
 
 def deduplicate(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
-    """One document of each component, that with the least id, and every document that links with nothing."""
-    gone = join_classes(docs, rule).filter("component_id <> doc_id").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col("__id"), "left_anti")
+    """One row of each component, that with the least doc_id, and every row that links with nothing; all columns as they are.
+
+    Of rows that share the least doc_id, or if none has one, that with the least hash of its text stays, and one of rows that
+    are equal in both.  Rows without words link with nothing and all stay, repeated ones too.
+    """
+    grouped = _joined(docs, rule)[1].filter("group IS NOT NULL")
+    first = grouped.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "rid")).alias("first"))
+    judged = grouped.join(first, "group").select(
+        "doc_id", "text_hash", (F.struct("doc_id", "text_hash") == F.struct("first.doc_id", "first.text_hash")).alias("stays"), (F.col("rid") == F.col("first.rid")).alias("is_first"))
+    judged = cut(judged.filter("NOT is_first").select("doc_id", "text_hash", "stays").distinct())
+    id_, hash_ = fresh(docs, "id", "text_hash")
+    keyed = docs.withColumns({id_: F.col("`doc_id`").cast("long"), hash_: F.xxhash64(F.col("`text`"))})
+    wanted = lambda rows: rows.select(F.col("doc_id").alias("of"), F.col("text_hash").alias("hash"))
+    same = lambda rows: keyed[id_].eqNullSafe(rows["of"]) & (keyed[hash_] == rows["hash"])
+    gone, again = wanted(judged.filter("NOT stays")), wanted(judged.filter("stays"))
+    keyed = keyed.join(gone, same(gone), "left_anti")
+    if not again.isEmpty():
+        keyed = keyed.join(again, same(again), "left_anti").unionByName(keyed.join(again, same(again), "left_semi").dropDuplicates([id_, hash_]))
+    return keyed.drop(id_, hash_)
 
 
 def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,6 +18,7 @@ from emberlog.llm.common import FOLD, bare, byte_table, cut, held_out, pieces, t
 MIN_SHARE = 5e-5
 SLOTS_PER_GRAM = 16
 UNKNOWN = "und"
+BLOCK = 1 << 20       # bytes of text whose n-grams are looked up together
 _HELD = 1 << 20       # distinct n-grams that a training task holds before it hands them on
 _HASHES = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B))
 _LETTERS = byte_table(lambda b: 97 <= b <= 122 or b >= 128)
@@ -68,7 +69,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams)), pa.array(grams.astype(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
         held.clear()
 
-    for batch in pieces(batches, "text"):
+    for batch in pieces(batches, "text", BLOCK):
         grams, first = _grams(batch)
         langs = np.array(batch.column(batch.schema.get_field_index("lang")).to_pylist(), object)
         for lang in sorted(set(langs)):
@@ -129,7 +130,7 @@ def identify(docs: DataFrame, filters: Filters, pred: str = "lang_pred", score:
         f = shared.value
         order = np.lexsort((np.arange(len(f.languages)), -f.weight))
         choice = np.array([f.languages[i] for i in order] + [UNKNOWN], object)
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", BLOCK):
             grams, first = _grams(batch)
             count = np.maximum(np.diff(first), 1)
             masks = f.masks(grams)

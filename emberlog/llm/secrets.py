@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.llm.common import cut, table
+from emberlog.llm.common import cut, fresh, table
 
 ASSIGN = (
     r"([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
@@ -143,10 +143,11 @@ def redact(docs: DataFrame) -> DataFrame:
     key = F.xxhash64(text)
     named = some.select(F.col("`doc_id`").alias("doc_id"), text.alias("text"), F.col("`source`").alias("source"))
     owned = scan(named, keep=key.alias("text_hash")).filter(F.size("owned") > 0)
-    owned = owned.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("owned").alias("__owned")).dropDuplicates(["__id", "__hash"])
-    met = some.join(owned, F.col("`doc_id`").eqNullSafe(F.col("__id")) & (key == F.col("__hash")), "left")
-    masked = F.when(F.col("__owned").isNull(), text).otherwise(_mask_spans(text, F.col("__owned"), "[owned]"))
-    met = met.withColumn("text", masked).drop("__id", "__hash", "__owned")
+    id_, hash_, spans = fresh(docs, "of", "hash", "spans")
+    owned = owned.select(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_), F.col("owned").alias(spans)).dropDuplicates([id_, hash_])
+    met = some.join(owned, F.col("`doc_id`").eqNullSafe(F.col(id_)) & (key == F.col(hash_)), "left")
+    masked = F.when(F.col(spans).isNull(), text).otherwise(_mask_spans(text, F.col(spans), "[owned]"))
+    met = met.withColumn("text", masked).drop(id_, hash_, spans)
     return met.unionByName(docs.filter(~loud)).withColumn("text", _mask_base(text))
 
 

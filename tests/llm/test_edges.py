@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from emberlog.llm import chat, decontaminate, embeddings, hmm, jaccard, language, pieces, secrets, urls, warc
 from emberlog.session import work_path
 
@@ -199,10 +200,46 @@ def test_jaccard_odd_rows(spark):
     assert (1, 4, 1) in got and (2, 0, 2) in got and (3, 0, 3) in got and (4, 0, 4) in got and (None, 4, 1) in got and len(got) == len(ODD)
     assert jaccard.join_classes(docs_of(spark, [])).count() == 0
     long = ODD[0][1]
-    both = [(1, long, "", ""), (1, long + " and some more words that follow it here", "", ""), (2, long + " and some more words that follow it here", "", ""), (3, long, "", "")]
-    assert plain(jaccard.join_classes(docs_of(spark, both))) == [(1, 12, 1), (1, 4, 1), (2, 12, 2), (3, 4, 1)]
+    tail = long + " and some more words that follow it here"
+    # two texts of one doc_id are linked by it
+    both = [(1, long, "", ""), (1, tail, "", ""), (2, tail, "", ""), (3, long, "", ""), (None, tail, "", ""), (None, "quite another text of six words", "", "")]
+    assert plain(jaccard.join_classes(docs_of(spark, both))) == sorted([(1, 12, 1), (1, 4, 1), (2, 12, 1), (3, 4, 1), (None, 12, 1), (None, 2, None)], key=repr)
     kept = jaccard.deduplicate(docs_of(spark, ODD + [(9, ODD[0][1], "", "")]))
     assert 9 not in {r.doc_id for r in kept.collect()} and kept.columns == [c.split()[0] for c in DOCS.split(", ")]
+    kept = [(r.doc_id, r.text) for r in kept.collect()]
+    assert kept.count((1, long)) == 1 and (None, long) not in kept and sorted(map(repr, kept)) == sorted(map(repr, dict.fromkeys((i, t) for i, t, *_ in ODD if (i, t) != (None, long))))
+
+
+def test_deduplicate_keeps_one_row_of_null_and_shared_ids(spark):
+    text = "one two three four five six seven eight"
+    rows = [(None, text, "", ""), (None, text, "", ""), (None, text + " nine", "", ""), (None, None, "", ""), (None, None, "", ""), (7, "", "", ""), (7, "", "", "")]
+    kept = sorted(repr((r.doc_id, r.text)) for r in jaccard.deduplicate(docs_of(spark, rows), jaccard.Rule(words=5, percent=80)).collect())
+    assert len(kept) == 5 and sum("one two" in k for k in kept) == 1
+    rows = [(3, text, "", ""), (2, text, "", ""), (2, text + " nine", "", ""), (2, text, "", "")]
+    assert [r.doc_id for r in jaccard.deduplicate(docs_of(spark, rows)).collect()] == [2]
+
+
+def test_repeated_ids_equal_the_twin(spark):
+    import duckdb
+    import pandas as pd
+
+    from emberlog.llm import twins
+
+    rng = np.random.default_rng(4)
+    rows = [(int(rng.integers(1, 9)), " ".join(rng.choice(list("abcdef"), int(rng.integers(0, 9)))), "", "") for _ in range(60)]
+    duck = duckdb.connect()
+    duck.register("documents", pd.DataFrame([(i, t) for i, t, *_ in rows], columns=["doc_id", "text"]))
+    want = sorted(tuple(r) for r in duck.execute(twins.SQL["op4_jaccard"]).fetchall())
+    assert sorted(tuple(r) for r in jaccard.join_classes(docs_of(spark, rows), jaccard.Rule(words=4, percent=85)).collect()) == want
+
+
+def test_columns_named_like_the_operators_own(spark):
+    names = ["of", "hash", "spans", "id", "text_hash", "keep", "__id", "__pred", "__score", "__owned", "rid"]
+    rows = [(i, t, "en", "s", *[f"{n}{i}" for n in names]) for i, t in enumerate([f"password = {'a1' * 10}", " ".join("abcdefghijklmn"), f"x {'Zx9' * 9}"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, " + ", ".join(f"{n} string" for n in names))
+    items = spark.createDataFrame([(1, "zz yy xx")], "item_id long, text string")
+    for df in (jaccard.deduplicate(docs), decontaminate.decontaminate(docs, items), secrets.redact(docs), corpus_pipeline.language_id(spark, docs, "")):
+        assert df.columns == docs.columns and sorted(r["__pred"] for r in df.collect()) == ["__pred0", "__pred1", "__pred2"]
 
 
 # --- secrets
