@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberlog.llm import decontaminate, jaccard, language, pieces, secrets
-from emberlog.llm.common import table, work_path
+from emberlog.llm.common import fresh, table, work_path
 
 #: A text with less of its n-grams in any language's filter is no text of a known language.
 MIN_SCORE = 0.2
@@ -20,8 +20,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     filters = language.learn(docs)
     if not filters.languages:
         return docs
-    judged = language.identify(docs, filters, "__pred", "__score")
-    return judged.filter((F.col("__pred") != language.UNKNOWN) & (F.col("__score") >= MIN_SCORE)).drop("__pred", "__score")
+    pred, score = fresh(docs, "pred", "score")
+    judged = language.identify(docs, filters, pred, score)
+    return judged.filter((F.col(pred) != language.UNKNOWN) & (F.col(score) >= MIN_SCORE)).drop(pred, score)
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
