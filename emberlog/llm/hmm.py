@@ -457,8 +457,11 @@ def train_model(train: DataFrame, counts: Counts, states: int = STATES, rounds:
             yield pa.RecordBatch.from_arrays(
                 [pa.array([k for k, _ in some], pa.int32()), pa.array([deal] * len(some), pa.int32()), pa.nulls(len(some), pa.int64()), packed(x for _, x in some)], schema=kinds)
 
-        # written, so that the answers' shuffles are gone before the sums are dealt
+        # written, so that the answers' shuffles and what they came from are gone before the sums are dealt
         out = cut(_met(tokens, _answers(wants, model.rest, states, deals), tasks).mapInArrow(work, "bucket int, deal int, block long, data binary"), wait=True)
+        if counts.every:
+            model.rest = None
+            release(train.sparkSession, wait=True)
         out = cut(_summed(wants, out, states, deals), wait=True)
         got = out.filter("bucket < 0").select("bucket", "totals").toArrow()
         sums = [np.zeros_like(x) for x in (model.start, model.step, model.emit)]

@@ -14,7 +14,7 @@ from emberlog.llm.common import pieces as batches_of
 from emberlog.llm.common import span_hashes, table, utf8
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-BATCH = 4 << 20          # bytes of text whose distinct words are indexed together
+BATCH = 1 << 20          # bytes of text whose distinct words are indexed together
 DISTINCT = 1 << 20       # bytes of distinct words that one suffix array holds, about
 TOKENS = 1 << 18         # ids that are decoded at once
 META = "▁".encode()  # stands for a blank inside pieces
