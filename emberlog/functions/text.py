@@ -91,8 +91,12 @@ def sample_text(message: Column) -> Column:
 def is_json_object(body: Column) -> Column:
     """The text is one JSON object, in which a name may occur twice.
 
-    Spark's parsers ignore what follows a value, so the text is read as the only field of an object around it.
+    Spark's parsers ignore what follows a value, so the text is read twice: as the only field of an object and as the only
+    element of a list around it.  What trails the object can close one of the two, not both.
     """
-    around = F.from_json(F.concat(F.lit('{"x":'), body, F.lit("}")), "map<string, string>", {"allowSingleQuotes": "false"})
-    whole = (F.size(around) == 1) & F.ltrim(F.get(F.map_values(around), F.lit(0))).startswith("{")
-    return F.coalesce(whole & body.rlike(r"\}\s*\z"), F.lit(False))
+    strict = {"allowSingleQuotes": "false"}
+    field = F.from_json(F.concat(F.lit('{"x":'), body, F.lit("}")), "map<string, string>", strict)
+    element = F.from_json(F.concat(F.lit("["), body, F.lit("]")), "array<map<string, string>>", strict)
+    whole = (F.size(field) == 1) & F.ltrim(F.get(F.map_values(field), F.lit(0))).startswith("{")
+    alone = (F.size(element) == 1) & F.get(element, F.lit(0)).isNotNull()
+    return F.coalesce(whole & alone & body.rlike(r"\}\s*\z"), F.lit(False))

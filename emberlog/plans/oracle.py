@@ -336,10 +336,13 @@ cte("fitted", ["lines"], """
 SELECT * FROM (SELECT *, sum(length(header) + length(sample_line) + length(template_line) + 3) OVER (ORDER BY rank) AS spent FROM lines)
 WHERE spent <= 9000""")
 
-cte("raw", ["log"], """
+# what follows the object makes some bodies no JSON
+_TRAILING = "CASE WHEN id % 43 = 0 THEN '}' WHEN id % 47 = 0 THEN ' } {}' ELSE '' END"
+
+cte("raw", ["log"], f"""
 SELECT id, gateway_us AS received_us, host, CASE WHEN id % 11 = 0 THEN message
   WHEN id % 13 = 0 THEN CAST(json_object('source', path, 'message', '  ') AS VARCHAR)
-  ELSE CAST(json_object('source', path, 'message', message) AS VARCHAR) END AS raw FROM log""")
+  ELSE CAST(json_object('source', path, 'message', message) AS VARCHAR) || {_TRAILING} END AS raw FROM log""")
 
 cte("parsed", ["raw"], """
 SELECT *, trim(CASE WHEN json_valid(raw) THEN coalesce(json_extract_string(CASE WHEN json_valid(raw) THEN raw ELSE 'null' END, '$.source'), '') ELSE '' END) AS source,
@@ -374,11 +377,11 @@ SELECT g.id, md5(g.source || '|' || g.us || '|' || g.id) AS incident_id, g.us AS
   g.fp AS fingerprint, c.occurrences, g.project, g.program, g.dll, g.enabled, g.host
 FROM gw g JOIN (SELECT acc_id, count(*) AS occurrences FROM gateway_fold GROUP BY acc_id) c ON c.acc_id = g.id""")
 
-cte("signed0", ["log"], """
+cte("signed0", ["log"], f"""
 SELECT id AS seq, received_us, 'evt-' || (id - CASE WHEN id % 10 = 3 THEN 1 ELSE 0 END) AS svix_id,
   received_us // 1000000 - CASE WHEN id % 17 = 0 THEN 301 WHEN id % 17 = 1 THEN 300 ELSE 2 END AS svix_timestamp,
   CASE WHEN id % 29 = 0 THEN '[1,2]' WHEN id % 31 = 0 THEN 'not json'
-    ELSE CAST(json_object('incident_id', incident_id, 'host', host, 'source', source, 'severity', severity, 'message', message, 'timestamp', "timestamp") AS VARCHAR) END AS raw_body
+    ELSE CAST(json_object('incident_id', incident_id, 'host', host, 'source', source, 'severity', severity, 'message', message, 'timestamp', "timestamp") AS VARCHAR) || {_TRAILING} END AS raw_body
 FROM log""")
 
 _CONTENT = "svix_id || '.' || svix_timestamp || '.' || raw_body"

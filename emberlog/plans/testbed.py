@@ -145,8 +145,13 @@ def gate_input(spark: SparkSession, sf: str) -> DataFrame:
     return log_events(spark, sf).select(*gate.AUDIT_INPUT)
 
 
+def _trailing():
+    """What makes some bodies no JSON although they begin with an object."""
+    return F.when(F.col("id") % 43 == 0, "}").when(F.col("id") % 47 == 0, " } {}").otherwise("")
+
+
 def raw_bodies(spark: SparkSession, sf: str) -> DataFrame:
-    """Bodies as they reach the gateway: JSON envelopes, plain text, and empty messages."""
+    """Bodies as they reach the gateway: JSON envelopes, some with text after them, plain text, and empty messages."""
     e = log_events(spark, sf)
     envelope = F.to_json(F.struct(F.col("path").alias("source"), "message"))
     empty = F.to_json(F.struct(F.col("path").alias("source"), F.lit("  ").alias("message")))
@@ -155,7 +160,7 @@ def raw_bodies(spark: SparkSession, sf: str) -> DataFrame:
         F.col("gateway_us").alias("received_us"),
         F.when(F.col("id") % 11 == 0, F.col("message"))
         .when(F.col("id") % 13 == 0, empty)
-        .otherwise(envelope)
+        .otherwise(F.concat(envelope, _trailing()))
         .alias("raw"),
         "host",
     )
@@ -229,7 +234,7 @@ def derive_signed(spark: SparkSession, sf: str) -> DataFrame:
         "received_us",
         svix_id.alias("svix_id"),
         (seconds(F.col("received_us")) - age).alias("svix_timestamp"),
-        F.when(F.col("id") % 29 == 0, "[1,2]").when(F.col("id") % 31 == 0, "not json").otherwise(body).alias("raw_body"),
+        F.when(F.col("id") % 29 == 0, "[1,2]").when(F.col("id") % 31 == 0, "not json").otherwise(F.concat(body, _trailing())).alias("raw_body"),
     )
     parts = [F.col(c) for c in ("svix_id", "svix_timestamp", "raw_body")]
     return e.withColumn(

@@ -352,3 +352,12 @@ def test_exclusive_bound(spark):
     rows = spark.createDataFrame([(1, START), (2, START + 1)], "id long, received_us long")
     assert A.since(rows, START).count() == 2
     assert A.since(rows, START, exclusive=True).count() == 1
+
+
+@pytest.mark.parametrize("body, want", [
+    ('{"a":1}', True), (' {"a":{"b":[1]}} \n', True), ('{"a":1,"a":2}', True), ("{}", True), ('{"a":1}}', False), ('{"a":1} } {}', False), ('{"a":1}] [{}', False),
+    ('{"a":1},{"b":2}', False), ('{"a":1} {}', False), ('{"a":1}],"y":[{}', False), ('{"a":1},"y":{}', False), ("[1,2]", False), ("not json", False), ("", False), (None, False), ('{"a":"}}"}', True)])
+def test_one_json_object(spark, body, want):
+    from emberlog.functions.text import is_json_object
+
+    assert spark.createDataFrame([(body,)], "b string").select(is_json_object(F.col("b"))).first()[0] is want
