@@ -10,17 +10,22 @@ from emberlog.plans import testbed as tb
 from emberlog.plans.registry import query
 from emberlog.session import work_path
 from emberlog.sources import audit_store
+from emberlog.sources.tail import tail_log_files
 from emberlog.streaming import gate as SG
 from emberlog.streaming.run import read_segments, run_batches, run_to_end, write_in_order
 
-BOUNDS = [tb.START_US + d * DAY for d in (8, 16, 23)]
+SEGMENTS, SEGMENT_ROWS, SPAN = 4, 1 << 20, 30 * DAY
 
 
 def _segments(spark, rows, time, name):
+    """A stream of ``rows`` in segments of equal time, more of them for more rows; one segment is one micro-batch."""
     SG.use_rocksdb(spark)
     path = work_path(spark, name)
-    write_in_order(rows, time, BOUNDS, path)
-    return read_segments(spark, path, rows.schema)
+    count = rows.count()
+    parts = max(SEGMENTS, -(-count // SEGMENT_ROWS))
+    files = max(1, min(spark.sparkContext.defaultParallelism, count // (100 * parts)))
+    write_in_order(rows, time, [tb.START_US + SPAN * k // parts for k in range(1, parts)], path, files)
+    return read_segments(spark, path, rows.schema, files)
 
 
 @query("stream_gate", f"SELECT {', '.join(gate.AUDIT_COLUMNS)} FROM audit", "audit")
@@ -78,16 +83,40 @@ def stream_sessions(spark, sf):
     return run_to_end(SG.stream_sessions(keys), "sessions")
 
 
-@query("ingest_rate_limit", "SELECT count(*) AS rows, 4 AS batches FROM log", "log")
-def ingest_rate_limit(spark, sf):
-    """One file per micro-batch: the intake is bounded whatever has piled up."""
-    stream = _segments(spark, tb.gate_input(spark, sf), "received_us", "gate-input")
-    out = work_path(spark, "counts")
+def _tailed(spark, sf, bound):
+    """Log files that appear while a stream follows them: one row (id, message, batch, size) per line."""
+    log = tb.log_events(spark, sf).select("received_us", F.concat_ws("\t", F.col("id").cast("string"), "message").alias("value"))
+    root, out = work_path(spark, "tail"), work_path(spark, "tailed")
+
+    def keep(batch, batch_id):
+        batch.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+
+    lines = tail_log_files(spark, root, suffix=".txt", bytes_per_batch=bound, from_end=False)
+    follow = lines.writeStream.foreachBatch(keep).option("checkpointLocation", work_path(spark, "tail-progress")).start()
+    try:
+        for k in range(SEGMENTS):
+            low, high = (tb.START_US + SPAN * (k + j) // SEGMENTS for j in (0, 1))
+            part = log.filter(F.col("received_us") < high) if k == 0 else log.filter(F.col("received_us") >= low)
+            part = part if k in (0, SEGMENTS - 1) else part.filter(F.col("received_us") < high)
+            part.select("value").write.text(f"{root}/{k}")
+            follow.processAllAvailable()
+    finally:
+        follow.stop()
+    parts = F.split("value", "\t", 2)
+    return spark.read.parquet(out).select(parts[0].cast("bigint").alias("id"), parts[1].alias("message"), "batch", (F.octet_length("value") + 1).alias("size"))
+
 
-    def count(batch, batch_id):
-        batch.agg(F.count(F.lit(1)).alias("rows")).withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(
-            f"{out}/batch_id={batch_id}"
-        )
+BOUND = 1 << 19
 
-    run_batches(stream, count, "counts")
-    return spark.read.parquet(out).agg(F.sum("rows").alias("rows"), F.count(F.lit(1)).cast("int").alias("batches"))
+
+@query("tail_log_files", "SELECT id, message FROM log", "log")
+def tail_lines(spark, sf):
+    """Every line of the files once, whatever micro-batch took it."""
+    return _tailed(spark, sf, BOUND).select("id", "message")
+
+
+@query("ingest_rate_limit", "SELECT count(*) AS rows, true AS within_bound FROM log", "log")
+def ingest_rate_limit(spark, sf):
+    """The intake is bounded in bytes, whatever has piled up."""
+    batches = _tailed(spark, sf, BOUND).groupBy("batch").agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("bytes"))
+    return batches.agg(F.sum("rows").alias("rows"), (F.max("bytes") <= BOUND).alias("within_bound"))

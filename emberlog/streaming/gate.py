@@ -1,8 +1,8 @@
 """The gate and the throttle on streams: keyed state in ``transformWithStateInPandas``.
 
 State is forgotten on event time, so a replay of the same rows gives the same verdicts: the rule
-compares times itself, and a timer on the watermark only frees the state of quiet keys.  A stream
-holds one key's rows of one micro-batch together, as columns; bound the micro-batch by bytes or files.
+compares times itself, and a timer on the watermark only frees the state of quiet keys.  State and rows go by
+buckets of keys, judged by the array operations of the batch form; bound the micro-batch by bytes or files.
 The state store has to be RocksDB, as ``build_session`` sets it.
 """
 
@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,10 +19,13 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from emberlog import fixed_values as V
 from emberlog.functions.clock import utc_timestamp
 from emberlog.operators import gate, gateway
+from emberlog.operators.throttle import NONE, Stretch
 from emberlog.session import ROCKSDB
-from emberlog.streaming.rules import FORGET, class_step, storm_step, throttle_step
 
-PASS = "pass-"
+SECOND = 1_000_000
+FORGET = V.STATE_RETENTION_S * SECOND
+
+BUCKETS = 64         # of keys; a few for each task of the cluster, and the same for the life of a checkpoint
 
 
 def use_rocksdb(spark: SparkSession) -> None:
@@ -29,114 +33,187 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
-class KeyedRule(StatefulProcessor):
-    """Runs one rule over the times of a key in (us, id) order; all other columns pass untouched.
+class BucketRule(StatefulProcessor):
+    """Runs one rule over the times of all keys of a bucket in (us, id) order; all other columns pass untouched.
 
-    Rows of a lane (a key that begins with ``PASS``) do not reach the rule: no state, no order."""
+    The state of a bucket is one value: its keys' bytes, and a row of numbers for each key.  A micro-batch reads it once, judges
+    all rows of the bucket by array operations, and writes it once.  One timer per bucket is due when its quietest key
+    is to be forgotten.  Rows of a lane (a bucket below 0) do not reach the rule: no state, no order."""
 
-    fields: list[str] = []
-    schema = ""
+    key = ""
+    fields: list[str] = []     # of a key's state; the first is the time that forgetting goes by
     added: list[str] = []
     forget_us = FORGET
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("state", self.schema)
-
-    def read(self) -> dict | None:
-        stored = self.state.get()
-        return None if stored is None else {f: None if pd.isna(v) else int(v) for f, v in zip(self.fields, stored)}
+        self.state = handle.getValueState("state", STATE)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        if str(key[0]).startswith(PASS):
+        if key[0] < 0:
             for frame in rows:
                 yield frame.assign(**{c: None for c in self.added})
             return
-        frame = pd.concat(list(rows), ignore_index=True).sort_values(["us", "id"], ignore_index=True)
-        before = state = self.read()
-        verdicts = []
-        for row in zip(*[frame[c].tolist() for c in self.reads]):
-            state, verdict = self.step(state, *row)
-            verdicts.append(verdict)
-        yield frame.assign(**dict(zip(self.added, map(list, zip(*verdicts)))))
-        self.state.update(tuple(state[f] for f in self.fields))
-        if before is None:
-            self.handle.registerTimer((state["seen"] + self.forget_us) // 1000 + 1)
+        frame = pd.concat(list(rows), ignore_index=True)
+        code, names = pd.factorize(frame[self.key])
+        order = np.lexsort((frame["id"].to_numpy(), frame["us"].to_numpy(), code))
+        frame, code = frame.iloc[order].reset_index(drop=True), code[order]
+        names = [n.encode() if isinstance(n, str) else bytes(n) for n in names]
+        known, numbers, due = unpack(self.state.get(), len(self.fields))
+        place = pd.Index(known, dtype=object).get_indexer(pd.Index(names, dtype=object)) if known else np.full(len(names), -1)
+        before = np.full((len(names), len(self.fields)), NONE)
+        before[place >= 0] = numbers[place[place >= 0]]
+        starts = np.append(True, code[1:] != code[:-1])
+        columns, after = self.judge(frame, starts, before)
+        yield frame.assign(**dict(zip(self.added, columns)))
+        numbers[place[place >= 0]] = after[place >= 0]
+        new = np.flatnonzero(place < 0)
+        self.keep(known + [names[i] for i in new], np.concatenate([numbers, after[new]]), timerValues, due)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        state = self.read()
-        if state is not None:
-            due = (state["seen"] + self.forget_us) // 1000 + 1
-            if due <= expiredTimerInfo.getExpiryTimeInMs():
-                self.state.clear()
-            else:
-                self.handle.registerTimer(due)
+        known, numbers, due = unpack(self.state.get(), len(self.fields))
+        if due <= expiredTimerInfo.getExpiryTimeInMs():
+            due = 0
+        self.keep(known, numbers, timerValues, due)
         return iter([])
 
-    reads = ["us"]
-
-    def step(self, state: dict | None, *row) -> tuple[dict, tuple]:
+    def keep(self, names: list[bytes], numbers: np.ndarray, timerValues, due: int) -> None:
+        """Store the state of the keys that are not to be forgotten yet, with a timer if none is set."""
+        alive = numbers[:, 0] + self.forget_us >= timerValues.getCurrentWatermarkInMs() * 1000
+        if not alive.any():
+            self.state.clear()
+            return
+        names, numbers = [n for n, a in zip(names, alive) if a], numbers[alive]
+        if not due:
+            due = int(numbers[:, 0].min() + self.forget_us) // 1000 + 1
+            self.handle.registerTimer(due)
+        sizes = np.array([len(n) for n in names], np.int32)
+        self.state.update((b"".join(names), sizes.tobytes(), numbers.tobytes(), due))
+
+    def judge(self, frame: pd.DataFrame, starts: np.ndarray, before: np.ndarray) -> tuple[list, np.ndarray]:
+        """The added columns, and the state of each key after its rows.  ``before`` is ``NONE`` for new keys."""
         raise NotImplementedError
 
     def close(self) -> None:
         pass
 
 
-class StormRule(KeyedRule):
-    fields = ["seen", "count", "sent", "storm"]
-    schema = "seen bigint, count bigint, sent bigint, storm bigint"
+STATE = "keys binary, sizes binary, numbers binary, due bigint"
+
+
+def unpack(stored, fields: int) -> tuple[list[bytes], np.ndarray, int]:
+    """Keys, their numbers, and when the bucket's timer is due."""
+    if stored is None:
+        return [], np.zeros((0, fields), np.int64), 0
+    data, sizes, numbers, due = bytes(stored[0]), np.frombuffer(stored[1], np.int32), np.frombuffer(stored[2], np.int64), int(stored[3])
+    ends = np.cumsum(sizes)
+    return [data[e - n:e] for e, n in zip(ends, sizes)], numbers.reshape(-1, fields).copy(), due
+
+
+def _since(us: np.ndarray, starts: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Time since the key's row before, and which rows begin anew: the first of a key, or of one that is forgotten."""
+    group = np.cumsum(starts) - 1
+    last = np.append(0, us[:-1])
+    first = np.flatnonzero(starts)
+    last[first] = np.where(seen == NONE, us[first], seen)
+    fresh = us - last > FORGET
+    fresh[first] |= seen[group[first]] == NONE
+    return us - last, fresh
+
+
+def _counted(begins: np.ndarray, starts: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """1, 2, ... from each row of ``begins`` on; a key whose first row does not begin goes on from ``before``."""
+    rows = np.arange(len(starts))
+    at = np.maximum.accumulate(np.where(begins | starts, rows, 0))
+    return rows - at + 1 + np.where(begins[at], 0, before[np.cumsum(starts) - 1])
+
+
+def _last(values: np.ndarray, which: np.ndarray, starts: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """For every row, ``values`` at the key's last row so far in ``which``, or ``before``."""
+    rows = np.arange(len(starts))
+    at = np.maximum.accumulate(np.where(which | starts, rows, 0))
+    return np.where(which[at], values[at], before[np.cumsum(starts) - 1])
+
+
+def _accept(us, cooldown, forced, inert, starts, last) -> np.ndarray:
+    return Stretch(us, np.broadcast_to(np.asarray(cooldown, np.int64), us.shape), forced, inert, starts).run(last)
+
+
+class StormRule(BucketRule):
+    key = "fingerprint"
+    fields = ["seen", "count", "sent"]
     added = ["storm_count", "storm_status", "survives"]
 
-    def step(self, state, us):
-        state, status, send = storm_step(state, us)
-        return state, (state["count"], status, send)
+    def judge(self, frame, starts, before):
+        us, (seen, count0, sent0) = frame["us"].to_numpy(np.int64), before.T
+        gap, fresh = _since(us, starts, seen)
+        count = _counted(fresh | (gap > V.STORM_GAP_S * SECOND), starts, count0)
+        storm = count >= V.STORM_THRESHOLD
+        cooldown = np.where(storm, V.STORM_SUMMARY_S, V.REPEAT_SUMMARY_S) * SECOND
+        send = _accept(us, cooldown, fresh | (count == V.STORM_THRESHOLD), np.zeros(len(us), bool), starts, sent0)
+        status = np.where(fresh, V.FIRST_SEEN, np.where(storm, np.where(send, V.STORM, V.STORM_HELD), np.where(send, V.REPEAT, V.DUPLICATE)))
+        ends = np.append(np.flatnonzero(starts)[1:], len(us)) - 1
+        return [count, status, send], np.stack([us, count, _last(us, send, starts, sent0)], 1)[ends]
 
 
-class ClassRule(KeyedRule):
+class ClassRule(BucketRule):
+    key = "class_key"
     fields = ["seen", "window", "count", "total", "sent", "storm"]
-    schema = "seen bigint, window bigint, count bigint, total bigint, sent bigint, storm bigint"
     added = ["note", "paged"]
 
-    def step(self, state, us):
-        state, note, paged = class_step(state, us)
-        return state, (note, paged)
-
-
-class ThrottleRule(KeyedRule):
-    fields = ["us", "id", "seen"]
-    schema = "us bigint, id bigint, seen bigint"
+    def judge(self, frame, starts, before):
+        us, (seen, window0, count0, total0, sent0, storm0) = frame["us"].to_numpy(np.int64), before.T
+        none = np.zeros(len(us), bool)
+        _, fresh = _since(us, starts, seen)
+        opens = _accept(us, V.CLASS_STORM_WINDOW_S * SECOND + 1, fresh, none, starts, window0)
+        count = _counted(opens, starts, count0)
+        burst = _accept(us, V.CLASS_STORM_COOLDOWN_S * SECOND, none, (count < V.CLASS_STORM_N) | fresh, starts, storm0)
+        paged = _accept(us, V.CLASS_COOLDOWN_S * SECOND, fresh | burst, none, starts, sent0)
+        note = np.where(fresh, "class_new", np.where(burst, "class_storm_summary", np.where(paged, "class_cooldown_expired", "class_cooldown")))
+        ends = np.append(np.flatnonzero(starts)[1:], len(us)) - 1
+        storm = np.where(_last(us, burst | fresh, starts, storm0) == _last(us, burst, starts, storm0), _last(us, burst, starts, storm0), NONE)
+        after = [us, _last(us, opens, starts, window0), count, _counted(fresh, starts, total0), _last(us, paged, starts, sent0), storm]
+        return [note, paged], np.stack(after, 1)[ends]
+
+
+class ThrottleRule(BucketRule):
+    key = "fingerprint"
+    fields = ["us", "id"]
     forget_us = V.GATEWAY_RETENTION_S * 1_000_000
     added = ["accepted", "accepted_id"]
-    reads = ["us", "id", "cooldown"]
 
-    def step(self, state, us, row_id, cooldown):
-        state, accepted = throttle_step(state, us, row_id, cooldown)
-        return dict(state, seen=state["us"]), (accepted, state["id"])
+    def judge(self, frame, starts, before):
+        us, ids, none = frame["us"].to_numpy(np.int64), frame["id"].to_numpy(np.int64), np.zeros(len(frame), bool)
+        cooldown = frame["cooldown"].to_numpy(np.int64)
+        accepted = _accept(us, cooldown, cooldown == 0, none, starts, before[:, 0])
+        accepted_id = _last(ids, accepted, starts, before[:, 1])
+        ends = np.append(np.flatnonzero(starts)[1:], len(us)) - 1
+        return [accepted, accepted_id], np.stack([_last(us, accepted, starts, before[:, 0]), accepted_id], 1)[ends]
 
 
 ROWS = (
     "id bigint, received_us bigint, incident_id string, host string, source string, severity string, timestamp string, message string, "
     "us bigint, fingerprint binary, class_key binary, collect_only boolean, effective string, exit string, exit_reason string, "
-    "received_at timestamp, lane string"
+    "received_at timestamp, bucket int"
 )
 STORM_OUT = ROWS + ", storm_count bigint, storm_status string, survives boolean"
 
 
-def _lane(rows: DataFrame, reaches, key) -> DataFrame:
-    """Rows that reach a rule go by its key; the others are spread evenly, a lane for each partition of the shuffle."""
+def _bucketed(rows: DataFrame, reaches, key, buckets: int) -> DataFrame:
+    """Rows that reach a rule go by the hash of its key; the others are spread evenly, a lane for each partition of the shuffle."""
     lanes = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = F.concat(F.lit(PASS), F.pmod(F.col("id"), F.lit(lanes)).cast("string"))
-    return rows.withColumn("lane", F.when(reaches, F.lower(F.hex(key))).otherwise(spread))
+    bucket = F.when(reaches, F.pmod(F.xxhash64(key), F.lit(buckets))).otherwise(-1 - F.pmod(F.col("id"), F.lit(lanes)))
+    return rows.withColumn("bucket", bucket.cast("int"))
 
 
-def stream_storms(events: DataFrame, delay: str = "10 minutes", rules: gate.GateRules = gate.GateRules()) -> DataFrame:
+def stream_storms(events: DataFrame, delay: str = "10 minutes", rules: gate.GateRules = gate.GateRules(), buckets: int = BUCKETS) -> DataFrame:
     """Fingerprint layer on a stream of gate input, text included; rows with an early exit pass without a verdict.
 
     ``delay`` must cover the disorder of the source: rows older than the watermark are dropped, and a
     ``FailureBreadcrumbs`` listener leaves a line with their number.
     """
     rows = gate.judged_rows(events, rules).withColumn("received_at", utc_timestamp(F.col("us"))).withWatermark("received_at", delay)
-    return _lane(rows, F.col("exit").isNull(), "fingerprint").groupBy("lane").transformWithStateInPandas(
+    return _bucketed(rows, F.col("exit").isNull(), "fingerprint", buckets).groupBy("bucket").transformWithStateInPandas(
         statefulProcessor=StormRule(),
         outputStructType=STORM_OUT,
         outputMode="Append",
@@ -145,11 +222,11 @@ def stream_storms(events: DataFrame, delay: str = "10 minutes", rules: gate.Gate
     )
 
 
-def stream_gate(events: DataFrame, delay: str = "10 minutes", rules: gate.GateRules = gate.GateRules()) -> DataFrame:
+def stream_gate(events: DataFrame, delay: str = "10 minutes", rules: gate.GateRules = gate.GateRules(), buckets: int = BUCKETS) -> DataFrame:
     """The audit rows of a stream of gate input, those of early exits included."""
-    storm = stream_storms(events, delay, rules)
+    storm = stream_storms(events, delay, rules, buckets)
     reaches = F.col("survives") & ~F.col("collect_only") & F.col("class_key").isNotNull()
-    layered = _lane(storm, F.coalesce(reaches, F.lit(False)), "class_key").groupBy("lane").transformWithStateInPandas(
+    layered = _bucketed(storm, F.coalesce(reaches, F.lit(False)), "class_key", buckets).groupBy("bucket").transformWithStateInPandas(
         statefulProcessor=ClassRule(),
         outputStructType=STORM_OUT + ", note string, paged boolean",
         outputMode="Append",
@@ -169,17 +246,18 @@ def stream_gate(events: DataFrame, delay: str = "10 minutes", rules: gate.GateRu
     )
 
 
-def stream_throttle(received: DataFrame, delay: str = "10 minutes") -> DataFrame:
+def stream_throttle(received: DataFrame, delay: str = "10 minutes", buckets: int = BUCKETS) -> DataFrame:
     """Gateway throttle on a stream of received bodies: id, accepted, accepted_id."""
     rows = (
         received.filter(F.col("ok") & F.col("enabled"))
         .select("id", "us", "fingerprint", gateway.cooldown_us(F.col("severity")).alias("cooldown"),
-                utc_timestamp(F.col("us")).alias("received_at"))
+                utc_timestamp(F.col("us")).alias("received_at"),
+                F.pmod(F.xxhash64("fingerprint"), F.lit(buckets)).cast("int").alias("bucket"))
         .withWatermark("received_at", delay)
     )
-    judged = rows.groupBy("fingerprint").transformWithStateInPandas(
+    judged = rows.groupBy("bucket").transformWithStateInPandas(
         statefulProcessor=ThrottleRule(),
-        outputStructType="id bigint, us bigint, fingerprint string, cooldown bigint, received_at timestamp, accepted boolean, accepted_id bigint",
+        outputStructType="id bigint, us bigint, fingerprint string, cooldown bigint, received_at timestamp, bucket int, accepted boolean, accepted_id bigint",
         outputMode="Append",
         timeMode="EventTime",
     )

@@ -13,15 +13,17 @@ from emberlog.session import work_path
 from emberlog.sources.audit_store import quarantine
 
 
-def write_in_order(rows: DataFrame, time: str, bounds: list[int], path: str) -> None:
-    """Store rows as segments in time order, one write per segment, as rolled log files arrive."""
+def write_in_order(rows: DataFrame, time: str, bounds: list[int], path: str, files: int = 1) -> None:
+    """Store rows as segments in time order, one write per segment, as rolled log files arrive.
+
+    A segment is dealt evenly over ``files`` files, written in parallel; a stream that takes so many at once gets whole segments."""
     for low, high in zip([None, *bounds], [*bounds, None]):
         part = rows
         if low is not None:
             part = part.filter(F.col(time) >= low)
         if high is not None:
             part = part.filter(F.col(time) < high)
-        part.coalesce(1).write.mode("append").parquet(path)
+        part.repartition(files).write.mode("append").parquet(path)
 
 
 def read_segments(spark: SparkSession, path: str, schema, files_per_batch: int = 1, bytes_per_batch: int | None = None) -> DataFrame:

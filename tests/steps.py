@@ -1,6 +1,6 @@
 """The keyed rules as single steps: (state, time) -> (state, verdict).
 
-The streaming operators keep one such state per key.  Times are whole microseconds.
+What the array operations of the streams are held against.  Times are whole microseconds.
 """
 
 from __future__ import annotations
