@@ -50,6 +50,8 @@ def sweep(keys: DataFrame, rules: DataFrame, group: str, key: str) -> DataFrame:
     dealt = stacks.join(sizes, group).withColumn("__deal", F.explode(F.sequence(F.lit(0), F.col("__deals") - 1))).drop("__deals")
     rows = keys.join(sizes, group).withColumn("__deal", F.pmod(F.xxhash64(key), F.col("__deals")).cast("int")).drop("__deals")
     both = dealt.withColumn("__rule", F.lit(0)).unionByName(rows.withColumn("__rule", F.lit(1)), allowMissingColumns=True)
+    # by both columns: rows that came hashed by the group alone would satisfy the window, and all deals meet in one task
+    both = both.repartition(group, "__deal")
     order = W.partitionBy(group, "__deal").orderBy(key, "__rule").rowsBetween(W.unboundedPreceding, 0)
     swept = both.withColumn("__last", F.last("stack", ignorenulls=True).over(order)).filter("__rule = 1")
     around = F.filter("__last", lambda r: F.startswith(F.col(key), r["key"]))

@@ -527,3 +527,20 @@ def test_hmm_with_asks_dealt_over_tasks_equals_undealt(spark, monkeypatch):
         counts = hmm.count_words(train, lookup=10)
         scores.append({r.doc_id: r.score for r in hmm.score(train, counts, hmm.train_model(train, counts, states=3, rounds=2)).collect()})
     assert all(abs(scores[0][i] - scores[1][i]) < 1e-4 for i in scores[0]) and len(scores[0]) == 30
+
+
+def test_deals_of_one_rule_host_meet_in_many_tasks(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(urls, "TARGET", 50)
+    keys = spark.range(2000).select(F.lit("net.").alias("host"), F.concat(F.lit("/a/"), F.col("id").cast("string")).alias("path"))
+    rules = spark.createDataFrame([("net.", "/a/", "x")], "host string, path string, info string")
+    adaptive = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        swept = urls.sweep(keys, rules, "host", "path").withColumn("task", F.spark_partition_id())
+        assert swept.count() == 2000 and swept.select("task").distinct().count() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", adaptive)
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
