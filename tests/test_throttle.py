@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from emberlog.operators import gate
 from emberlog.operators.slices import Heat, lay_out
 from emberlog.operators.throttle import NONE, Steps, Stretch, throttle
-from emberlog.streaming import rules
+from tests import steps as rules
 
 GAPS = [0, 1, 1000, 10**6, 5 * 10**6, 40 * 10**6, 60 * 10**6, 60 * 10**6 + 1, 120 * 10**6, 200 * 10**6, 300 * 10**6]
 
