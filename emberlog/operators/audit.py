@@ -72,13 +72,14 @@ def class_decision_counts(audit: DataFrame) -> DataFrame:
     return audit.agg(*_class_decisions())
 
 
-def window_counts(audit: DataFrame) -> DataFrame:
-    """Tally, mislabels and class decisions in one pass, one row per severity."""
-    return audit.groupBy(reporting_severity().alias("severity")).agg(
+def window_counts(audit: DataFrame, more: list[str] = [], *figures: Column) -> DataFrame:
+    """Tally, mislabels and class decisions in one pass, one row per severity (and ``more`` columns), with ``figures`` besides."""
+    return audit.groupBy(reporting_severity().alias("severity"), *more).agg(
         F.count(F.lit(1)).alias("n"),
         F.sum("llm_dispatched").alias("dispatched"),
         *_mislabels(),
         *_class_decisions(),
+        *figures,
     )
 
 

@@ -28,23 +28,22 @@ def cluster_rows(audit: DataFrame) -> DataFrame:
     )
 
 
-def keyed_rows(audit: DataFrame) -> DataFrame:
-    """What a cluster's figures need, without text: the key as two hashes, time and id."""
+def keyed_rows(audit: DataFrame, more: list[str] = []) -> DataFrame:
+    """What a cluster's figures need, without text: the key as two hashes, time, id, and ``more`` columns."""
     parts = [F.col(c) for c in CLUSTER_KEY]
     return cut(cluster_rows(audit).select(
-        F.xxhash64(*parts).alias("k1"), F.xxhash64(*reversed(parts)).alias("k2"), "received_us", "id",
+        F.xxhash64(*parts).alias("k1"), F.xxhash64(*reversed(parts)).alias("k2"), *more, "received_us", "id",
         F.coalesce("storm_count", F.lit(0)).cast("bigint").alias("storm_count"),
         (strip(F.col("message")) != "").alias("said"),
     ))
 
 
-def counted(keyed: DataFrame) -> DataFrame:
-    """One narrow row per cluster: counts, times, and the ids of its first row and of its first row with text.
+def counted(keyed: DataFrame, key: list[str] = ["k1", "k2"]) -> DataFrame:
+    """One narrow row per cluster: counts, times, and the ids and times of its first row and of its first row with text.
 
     Group keys and buffers are numbers of fixed width, so this is a hash aggregate whatever the messages hold.
     The least (time, id) is the least time first and then the least id at that time.
     """
-    key = ["k1", "k2"]
     grouped = keyed.groupBy(*key).agg(
         F.count(F.lit(1)).alias("n"), F.min("received_us").alias("first_us"), F.max("received_us").alias("last_us"),
         F.max("storm_count").alias("max_count"), F.min(F.when(F.col("said"), F.col("received_us"))).alias("said_us"),
@@ -53,7 +52,7 @@ def counted(keyed: DataFrame) -> DataFrame:
     at_text = F.col("said") & (F.col("received_us") == F.col("said_us"))
     ids = keyed.join(grouped.select(*key, "first_us", "said_us"), key).filter(at_start | at_text).groupBy(*key).agg(
         F.min(F.when(at_start, F.col("id"))).alias("first_id"), F.min(F.when(at_text, F.col("id"))).alias("sample_id"))
-    return grouped.drop("said_us").join(ids, key)
+    return grouped.join(ids, key)
 
 
 def with_text(counts: DataFrame, audit: DataFrame) -> DataFrame:
@@ -63,14 +62,19 @@ def with_text(counts: DataFrame, audit: DataFrame) -> DataFrame:
     rows = rows.agg(F.collect_list(F.struct("id", *CLUSTER_KEY, "log_file", "source", "message")).alias("rows"))
     row = lambda name: F.get(F.filter("rows", lambda r: r["id"] == F.col(name)), F.lit(0))
     shown = counts.join(rows, ["k1", "k2"]).withColumns({"first": row("first_id"), "told": row("sample_id")})
-    bare = (F.col("first.project") == "") & (F.col("first.program") == "")
     return shown.select(
         *[F.col(f"first.{c}").alias(c) for c in CLUSTER_KEY], "n", "first_us", "last_us", "first_id", "max_count",
         sample_text(F.coalesce("told.message", F.lit(""))).alias("sample"), F.col("first.log_file").alias("log_file"),
-        F.when(bare, cut_text(F.coalesce("first.source", F.lit("")), 60)).otherwise("").alias("raw_source"),
+        raw_source("first.").alias("raw_source"),
     )
 
 
+def raw_source(row: str = "") -> Column:
+    """The source as it came, cut, where it names neither project nor program."""
+    bare = (F.col(f"{row}project") == "") & (F.col(f"{row}program") == "")
+    return F.when(bare, cut_text(F.coalesce(f"{row}source", F.lit("")), 60)).otherwise("")
+
+
 def clusters(audit: DataFrame) -> DataFrame:
     """One row per cluster, with its text."""
     return with_text(counted(keyed_rows(audit)), audit)
@@ -201,6 +205,12 @@ def report(
     return report_lines(audit, since_us, now_us, cost, failures, title, exclusive_since)
 
 
+def window_figures(window: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What a digest is made of: tallies by severity, all clusters in numbers, the largest ones with their text."""
+    counts = cut(window_counts(window))
+    return counts, *top_clusters(window)
+
+
 def report_lines(
     audit: DataFrame,
     since_us: int,
@@ -209,18 +219,19 @@ def report_lines(
     failures: DataFrame | None = None,
     title: str = "DAILY_DIGEST",
     exclusive_since: bool = False,
+    figures: tuple[DataFrame, DataFrame, DataFrame] | None = None,
 ) -> DataFrame:
     """The digest as (line_no, text) rows; ``cost`` and ``failures`` are small results.
 
+    ``figures`` are those of ``window_figures``, where they were found in another way than from the window's rows.
+
     The mark is the time of the newest row reported, and the bound includes it, so that row is
     reported twice; ``exclusive_since`` leaves it out.
 
     Every line is made from its own small aggregate; the sections are put together by union and
     numbered at the end, when at most about a hundred rows are left.
     """
-    window = since(audit, since_us, exclusive_since)
-    counts = cut(window_counts(window))
-    clustered, few = top_clusters(window)
+    counts, clustered, few = figures or window_figures(since(audit, since_us, exclusive_since))
     top = cut(blocks(few))
     parts = [
         _one(audit.sparkSession, 1, title),
@@ -365,11 +376,12 @@ def is_silent(totals_row: DataFrame, failures: DataFrame) -> DataFrame:
 
 def next_mark(audit: DataFrame, since_us: int, now_us: int) -> DataFrame:
     """The mark after a run: the newest collected row, or one minute before now if later."""
-    return collected(since(audit, since_us)).agg(
-        F.greatest(
-            F.coalesce(F.max("received_us"), F.lit(since_us)), F.lit(now_us - 60_000_000)
-        ).alias("mark_us")
-    )
+    return mark_after(collected(since(audit, since_us)).agg(F.max("received_us").alias("newest_us")), since_us, now_us)
+
+
+def mark_after(newest: DataFrame, since_us: int, now_us: int) -> DataFrame:
+    """The same from the time of the newest collected row: (newest_us), in one row or several."""
+    return newest.agg(F.greatest(F.coalesce(F.max("newest_us"), F.lit(since_us)), F.lit(now_us - 60_000_000)).alias("mark_us"))
 
 
 def unreadable_report(error: str, title: str = "DAILY_DIGEST") -> list[str]:

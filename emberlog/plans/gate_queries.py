@@ -66,15 +66,14 @@ def state_ttl(spark, sf):
     return runs.select("id", F.col("gap").isNull().alias("first_ever"), forgotten.alias("first_seen"))
 
 
-@query(
-    "state_snapshot",
-    f"""SELECT 'fingerprint' AS layer, s.fp AS key, s.opened AS window_started_us, s.us AS last_seen_us, s.cnt AS events_in_window, s.cnt * 0 AS events_total,
+SNAPSHOT = f"""SELECT 'fingerprint' AS layer, s.fp AS key, s.opened AS window_started_us, s.us AS last_seen_us, s.cnt AS events_in_window, s.cnt * 0 AS events_total,
       s.sent AS last_agent_sent_us, s.last_storm AS last_storm_sent_us, l.message AS sample_message
     FROM storm s JOIN log l ON l.id = s.opened_id WHERE s.us >= {_LAST} QUALIFY row_number() OVER (PARTITION BY s.fp ORDER BY s.rn DESC) = 1
     UNION ALL SELECT 'class', s.ck, s.opened, s.us, s.cnt, s.total, s.sent, s.last_storm, l.message
-    FROM class_fold s JOIN log l ON l.id = s.id WHERE s.us >= {_LAST} QUALIFY row_number() OVER (PARTITION BY s.ck ORDER BY s.rn DESC) = 1""",
-    "log", "storm", "class_fold",
-)
+    FROM class_fold s JOIN log l ON l.id = s.id WHERE s.us >= {_LAST} QUALIFY row_number() OVER (PARTITION BY s.ck ORDER BY s.rn DESC) = 1"""
+
+
+@query("state_snapshot", SNAPSHOT, "log", "storm", "class_fold")
 def state_snapshot(spark, sf):
     events = tb.gate_input(spark, sf)
     storm, classes = gate.gate_layers(_marked(spark, sf))

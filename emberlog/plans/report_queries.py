@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 from emberlog import fixed_values as V
 from emberlog.functions.clock import DAY, SECOND, utc_date
 from emberlog.operators import audit as A
-from emberlog.operators import digest, gate, gateway, review
+from emberlog.operators import digest, gate, gateway, partials, review
 from emberlog.plans import oracle as O
 from emberlog.plans import testbed as tb
 from emberlog.plans.registry import query
 from emberlog.session import cut, work_path
-from emberlog.sources import audit_store, files
+from emberlog.sources import audit_store, files, partial_store
 
 
 def _recent(spark, sf):
@@ -286,6 +286,25 @@ def digest_report(spark, sf):
     ).withColumn("line_no", F.col("line_no").cast("bigint"))
 
 
+def _partials(spark, audit):
+    """Partials of the finished days, made in two goes, as two days' runs would."""
+    path = work_path(spark, "partials")
+    for before_us in (tb.START_US + 15 * DAY, tb.NOW_US):
+        partial_store.finish_days(spark, audit, path, before_us)
+    return path
+
+
+@query("digest_from_partials", _REPORT, "recent", "clusters", "fitted", "cost", "crumb_rows")
+def digest_from_partials(spark, sf):
+    """The digest of a long window from finished days' partials and the rows of the open day."""
+    audit = tb.audit(spark, sf)
+    figures = partials.figures(partial_store.window(spark, audit, _partials(spark, audit), tb.SINCE_US))
+    cost = A.usage_cost(tb.usage_sessions(spark, sf), tb.SINCE_US)
+    failures = digest.first_failures(digest.failures_since(_crumbs(spark, sf), tb.SINCE_US))
+    lines = digest.report_lines(audit, tb.SINCE_US, tb.NOW_US, cost, failures, figures=figures)
+    return lines.withColumn("line_no", F.col("line_no").cast("bigint"))
+
+
 @query(
     "digest_watermark",
     f"SELECT {tb.SINCE_US} AS since_us, greatest(max(received_us), {tb.NOW_US - 60 * SECOND}) AS mark_us FROM recent WHERE {O.reporting()} IN {O.words(V.COLLECTED_SEVERITIES)}",
@@ -314,10 +333,11 @@ def incremental_digest(spark, sf):
     audit_path, mark_path = work_path(spark, "audit"), work_path(spark, "mark")
     audit_store.write_audit(tb.audit(spark, sf).drop("received_date"), audit_path)
     audit_store.write_mark(spark, mark_path, tb.SINCE_US)
+    partial_path = _partials(spark, audit_store.read_audit(spark, audit_path))
     runs = []
     for run in (1, 2):
         out = work_path(spark, "digest")
-        moved = audit_store.run_digest(spark, audit_path, mark_path, tb.NOW_US, out)
+        moved = audit_store.run_digest(spark, audit_path, mark_path, tb.NOW_US, out, partial_path=partial_path)
         figure = lambda name: F.regexp_extract("value", rf"{name}=(\d+)", 1).cast("bigint").alias(name.lower())
         runs.append(spark.read.text(out).filter(F.col("value").startswith("WARNINGS=")).select(
             F.lit(run).alias("run"), F.lit(moved).alias("moved"),

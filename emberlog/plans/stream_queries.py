@@ -6,41 +6,87 @@ from pyspark.sql import functions as F
 
 from emberlog.functions.clock import DAY
 from emberlog.operators import gate, gateway, inbox
+from emberlog.plans import oracle as O
 from emberlog.plans import testbed as tb
+from emberlog.plans.gate_queries import SNAPSHOT
 from emberlog.plans.registry import query
 from emberlog.session import work_path
 from emberlog.sources import audit_store
 from emberlog.sources.tail import tail_log_files
 from emberlog.streaming import gate as SG
+from emberlog.streaming import state
 from emberlog.streaming.run import read_segments, run_batches, run_to_end, write_in_order
 
 SEGMENTS, SEGMENT_ROWS, SPAN = 4, 1 << 20, 30 * DAY
 
 
-def _segments(spark, rows, time, name):
-    """A stream of ``rows`` in segments of equal time, more of them for more rows; one segment is one micro-batch."""
+def _segments(spark, rows, time, name, held=None):
+    """A stream of ``rows`` in segments of equal time, more of them for more rows; one segment is one micro-batch.
+
+    Rows that are ``held`` come with the segment after their own."""
     SG.use_rocksdb(spark)
     path = work_path(spark, name)
     count = rows.count()
     parts = max(SEGMENTS, -(-count // SEGMENT_ROWS))
     files = max(1, min(spark.sparkContext.defaultParallelism, count // (100 * parts)))
-    write_in_order(rows, time, [tb.START_US + SPAN * k // parts for k in range(1, parts)], path, files)
-    return read_segments(spark, path, rows.schema, files)
+    if held is not None:
+        rows, time = rows.withColumn("arrives_us", F.col(time) + F.when(held, SPAN // parts).otherwise(0)), "arrives_us"
+    write_in_order(rows, time, [tb.START_US - (-SPAN * k // parts) for k in range(1, parts)], path, files)
+    return read_segments(spark, path, rows.schema, files).drop("arrives_us")
 
 
 @query("stream_gate", f"SELECT {', '.join(gate.AUDIT_COLUMNS)} FROM audit", "audit")
 def stream_gate(spark, sf):
     """The whole audit table, written by the stream's sink batch by batch and read back."""
     stream = _segments(spark, tb.gate_input(spark, sf), "received_us", "gate-input")
-    path = work_path(spark, "stream-audit")
-    run_batches(SG.stream_gate(stream), lambda batch, batch_id: audit_store.write_batch(batch, batch_id, path), "gate")
+    path, _, _ = _gated(spark, stream)
     return audit_store.read_audit(spark, path).select(gate.AUDIT_COLUMNS)
 
 
+def _gated(spark, stream):
+    """The streaming gate run to its end: (audit table, quarantine of late rows, checkpoint)."""
+    path, late, progress = (work_path(spark, n) for n in ("stream-audit", "stream-late", "gate-progress"))
+    run_batches(SG.stream_gate(stream), lambda batch, batch_id: audit_store.write_judged(batch, batch_id, path, late), "gate", progress)
+    return path, late, progress
+
+
+@query("stream_state", SNAPSHOT, "log", "storm", "class_fold")
+def stream_state(spark, sf):
+    """The stream's own state after its last micro-batch, read as a table: equal to the batch snapshot."""
+    path, _, progress = _gated(spark, _segments(spark, tb.gate_input(spark, sf), "received_us", "gate-input"))
+    now_us = tb.log_events(spark, sf).agg(F.max("received_us")).first()[0]
+    return state.gate_state(spark, progress, audit_store.read_audit(spark, path), now_us)
+
+
+HELD = "id % 7 = 3"
+
+O.cte("arrived", ["log"], f"""
+SELECT id, received_us, message, CAST(least(parts - 1, (received_us - {tb.START_US} + CASE WHEN {HELD} THEN {SPAN} // parts ELSE 0 END) * parts // {SPAN}) AS BIGINT) AS segment
+FROM log, (SELECT greatest({SEGMENTS}, (count(*) + {SEGMENT_ROWS - 1}) // {SEGMENT_ROWS}) AS parts FROM log)""")
+
+
+@query(
+    "stream_late_rows",
+    f"""SELECT id, late, CASE WHEN late THEN message END AS body FROM (
+      SELECT a.id, a.message, coalesce(k.exit_status IS NULL AND a.received_us < t.top // 1000 * 1000 - 600000000, false) AS late
+      FROM arrived a JOIN keyed k ON k.id = a.id LEFT JOIN (
+        SELECT segment, max(top) OVER (ORDER BY segment ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top
+        FROM (SELECT segment, max(received_us) AS top FROM arrived GROUP BY segment)) t ON t.segment = a.segment)""",
+    "arrived", "keyed",
+)
+def stream_late_rows(spark, sf):
+    """Some rows come a segment too late: judged and late rows together are all rows, late ones with their body."""
+    rows = tb.gate_input(spark, sf)
+    stream = _segments(spark, rows, "received_us", "gate-input", F.expr(HELD))
+    path, late, _ = _gated(spark, stream)
+    judged = audit_store.read_audit(spark, path).select("id", F.lit(False).alias("late"), F.lit(None).cast("string").alias("body"))
+    return judged.unionByName(spark.read.parquet(late).select("id", F.lit(True).alias("late"), "body"))
+
+
 @query("stream_throttle", "SELECT id, accepted, acc_id AS accepted_id FROM gateway_fold", "gateway_fold")
 def stream_throttle(spark, sf):
     stream = _segments(spark, tb.raw_bodies(spark, sf), "received_us", "bodies")
-    return run_to_end(SG.stream_throttle(gateway.receive(stream, tb.allowlist(spark, sf))), "throttled")
+    return run_to_end(SG.stream_throttle(gateway.receive(stream, tb.allowlist(spark, sf))), "throttled").drop("late")
 
 
 _VALID = "signature_ok AND fresh_ok AND payload_ok"

@@ -14,7 +14,8 @@ from pyspark.sql import types as T
 from emberlog import fixed_values as V
 from emberlog.functions.clock import SECOND, utc_date, utc_timestamp
 from emberlog.operators import audit as audit_ops
-from emberlog.operators import digest, review
+from emberlog.operators import digest, partials, review
+from emberlog.sources import partial_store
 
 
 ENGINE_ERRORS = (PySparkException, Py4JJavaError)
@@ -47,6 +48,21 @@ def write_batch(audit: DataFrame, batch_id: int, path: str) -> None:
     rows.write.mode("overwrite").partitionBy("received_date").parquet(f"{path}/batch_id={batch_id}")
 
 
+def write_judged(rows: DataFrame, batch_id: int, path: str, late_path: str) -> None:
+    """Sink of one micro-batch of the streaming gate: verdicts to the audit table, late rows to quarantine with their whole body.
+
+    A repeated batch replaces its own folders in both.  The batch is judged once: both writes read the held rows.
+    """
+    rows = rows.persist()
+    try:
+        write_batch(rows.filter(~F.col("late")).drop("late"), batch_id, path)
+        kept = rows.filter("late").select("*", F.concat(F.lit("behind the watermark: "), F.col("id").cast("string")).alias("reason"))
+        behind = quarantine(kept, "late", F.col("reason"), F.col("message"), "id")
+        behind.write.mode("overwrite").parquet(f"{late_path}/batch_id={batch_id}")
+    finally:
+        rows.unpersist()
+
+
 def compact(spark: SparkSession, path: str, out: str, before_us: int) -> None:
     """Append the finished days of a table of micro-batches to a table by day."""
     done = read_audit(spark, path).filter(F.col("received_date") < utc_date(F.lit(before_us)))
@@ -89,8 +105,8 @@ def delete_expired(spark: SparkSession, path: str, now_us: int) -> list[str]:
     return sorted(gone)
 
 
-def quarantine(rows: DataFrame, stage: str, reason, body=None) -> DataFrame:
-    """Rows that cannot be judged: time, the breadcrumb line with at most 400 characters, and the whole body."""
+def quarantine(rows: DataFrame, stage: str, reason, body=None, *more: str) -> DataFrame:
+    """Rows that cannot be judged: time, the breadcrumb line with at most 400 characters, the whole body, and ``more`` columns."""
     text = F.replace(F.substring(reason, 1, 400), F.lit("\n"), F.lit(" "))
     return rows.select(
         F.col("received_us"),
@@ -98,6 +114,7 @@ def quarantine(rows: DataFrame, stage: str, reason, body=None) -> DataFrame:
             "\t", F.round(F.col("received_us") / SECOND).cast("bigint").cast("string"), F.lit(stage), text
         ).alias("value"),
         (reason if body is None else body).alias("body"),
+        *more,
     )
 
 
@@ -162,10 +179,13 @@ def _write_lines(spark: SparkSession, lines: list[str], path: str, mode: str = "
 def run_digest(
     spark: SparkSession, audit_path: str, mark_path: str, now_us: int, out_path: str,
     usage: DataFrame | None = None, breadcrumbs: DataFrame | None = None, title: str = "DAILY_DIGEST",
-    exclusive_since: bool = False,
+    exclusive_since: bool = False, partial_path: str | None = None,
 ) -> bool:
     """Incremental digest from the last mark to now.  Returns whether the mark moved.
 
+    With ``partial_path``, finished days that lie wholly in the window are read from their partials (``partial_store``)
+    and not from their rows.
+
     Each source fails alone.  An audit table that cannot be read gives the fixed watchdog lines and leaves the
     mark; usage that cannot be read leaves its lines out; breadcrumbs that cannot be read are a failure
     line themselves; a mark that cannot be written adds a line.
@@ -184,9 +204,13 @@ def run_digest(
             failures = digest.unreadable_breadcrumbs(spark, error_text(problem))
     try:
         audit = read_audit(spark, audit_path)
-        lines = digest.report_lines(audit, since_us, now_us, cost, failures, title, exclusive_since)
+        figures = None
+        if partial_path is not None:
+            figures = partials.figures(partial_store.window(spark, audit, partial_path, since_us, exclusive_since))
+        lines = digest.report_lines(audit, since_us, now_us, cost, failures, title, exclusive_since, figures)
         lines.orderBy("line_no").select("text").coalesce(1).write.mode("overwrite").text(out_path)
-        mark_us = digest.next_mark(audit, since_us, now_us).first()["mark_us"]
+        mark = digest.next_mark(audit, since_us, now_us) if figures is None else digest.mark_after(figures[0], since_us, now_us)
+        mark_us = mark.first()["mark_us"]
     except ENGINE_ERRORS as problem:
         _write_lines(spark, digest.unreadable_report(error_text(problem), title), out_path)
         return False

@@ -4,6 +4,9 @@ State is forgotten on event time, so a replay of the same rows gives the same ve
 compares times itself, and a timer on the watermark only frees the state of quiet keys.  State and rows go by
 buckets of keys, judged by the array operations of the batch form; bound the micro-batch by bytes or files.
 The state store has to be RocksDB, as ``build_session`` sets it.
+
+No row is lost behind the watermark: the marked time column does not go into the operator, so Spark has nothing to
+drop by, and the rule itself tells late rows, which come out with ``late`` set and without a verdict.
 """
 
 from __future__ import annotations
@@ -38,12 +41,15 @@ class BucketRule(StatefulProcessor):
 
     The state of a bucket is one value: its keys' bytes, and a row of numbers for each key.  A micro-batch reads it once, judges
     all rows of the bucket by array operations, and writes it once.  One timer per bucket is due when its quietest key
-    is to be forgotten.  Rows of a lane (a bucket below 0) do not reach the rule: no state, no order."""
+    is to be forgotten.  Rows of a lane (a bucket below 0) do not reach the rule: no state, no order.
+
+    Where ``tells_late`` is set, rows behind the watermark of the micro-batch come out first, marked as late; they change no state."""
 
     key = ""
     fields: list[str] = []     # of a key's state; the first is the time that forgetting goes by
     added: list[str] = []
     forget_us = FORGET
+    tells_late = False
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -52,9 +58,16 @@ class BucketRule(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         if key[0] < 0:
             for frame in rows:
-                yield frame.assign(**{c: None for c in self.added})
+                yield self.unjudged(frame, False)
             return
         frame = pd.concat(list(rows), ignore_index=True)
+        if self.tells_late:
+            late = frame["us"].to_numpy(np.int64) < timerValues.getCurrentWatermarkInMs() * 1000
+            if late.any():
+                yield self.unjudged(frame[late], True)
+                frame = frame[~late].reset_index(drop=True)
+            if frame.empty:
+                return
         code, names = pd.factorize(frame[self.key])
         order = np.lexsort((frame["id"].to_numpy(), frame["us"].to_numpy(), code))
         frame, code = frame.iloc[order].reset_index(drop=True), code[order]
@@ -65,11 +78,19 @@ class BucketRule(StatefulProcessor):
         before[place >= 0] = numbers[place[place >= 0]]
         starts = np.append(True, code[1:] != code[:-1])
         columns, after = self.judge(frame, starts, before)
+        if self.tells_late:
+            frame = frame.assign(late=False)
         yield frame.assign(**dict(zip(self.added, columns)))
         numbers[place[place >= 0]] = after[place >= 0]
         new = np.flatnonzero(place < 0)
         self.keep(known + [names[i] for i in new], np.concatenate([numbers, after[new]]), timerValues, due)
 
+    def unjudged(self, frame: pd.DataFrame, late: bool) -> pd.DataFrame:
+        """Rows as they came, with nothing in the added columns."""
+        if self.tells_late:
+            frame = frame.assign(late=late)
+        return frame.assign(**{c: None for c in self.added})
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         known, numbers, due = unpack(self.state.get(), len(self.fields))
         if due <= expiredTimerInfo.getExpiryTimeInMs():
@@ -141,28 +162,31 @@ def _accept(us, cooldown, forced, inert, starts, last) -> np.ndarray:
 
 class StormRule(BucketRule):
     key = "fingerprint"
-    fields = ["seen", "count", "sent"]
+    fields = ["seen", "count", "sent", "opened", "sample_id"]
     added = ["storm_count", "storm_status", "survives"]
+    tells_late = True
 
     def judge(self, frame, starts, before):
-        us, (seen, count0, sent0) = frame["us"].to_numpy(np.int64), before.T
+        us, ids, (seen, count0, sent0, opened0, sample0) = frame["us"].to_numpy(np.int64), frame["id"].to_numpy(np.int64), before.T
         gap, fresh = _since(us, starts, seen)
-        count = _counted(fresh | (gap > V.STORM_GAP_S * SECOND), starts, count0)
+        opens = fresh | (gap > V.STORM_GAP_S * SECOND)
+        count = _counted(opens, starts, count0)
         storm = count >= V.STORM_THRESHOLD
         cooldown = np.where(storm, V.STORM_SUMMARY_S, V.REPEAT_SUMMARY_S) * SECOND
         send = _accept(us, cooldown, fresh | (count == V.STORM_THRESHOLD), np.zeros(len(us), bool), starts, sent0)
         status = np.where(fresh, V.FIRST_SEEN, np.where(storm, np.where(send, V.STORM, V.STORM_HELD), np.where(send, V.REPEAT, V.DUPLICATE)))
         ends = np.append(np.flatnonzero(starts)[1:], len(us)) - 1
-        return [count, status, send], np.stack([us, count, _last(us, send, starts, sent0)], 1)[ends]
+        after = [us, count, _last(us, send, starts, sent0), _last(us, opens, starts, opened0), _last(ids, opens, starts, sample0)]
+        return [count, status, send], np.stack(after, 1)[ends]
 
 
 class ClassRule(BucketRule):
     key = "class_key"
-    fields = ["seen", "window", "count", "total", "sent", "storm"]
+    fields = ["seen", "window", "count", "total", "sent", "storm", "sample_id"]
     added = ["note", "paged"]
 
     def judge(self, frame, starts, before):
-        us, (seen, window0, count0, total0, sent0, storm0) = frame["us"].to_numpy(np.int64), before.T
+        us, (seen, window0, count0, total0, sent0, storm0, _) = frame["us"].to_numpy(np.int64), before.T
         none = np.zeros(len(us), bool)
         _, fresh = _since(us, starts, seen)
         opens = _accept(us, V.CLASS_STORM_WINDOW_S * SECOND + 1, fresh, none, starts, window0)
@@ -172,7 +196,7 @@ class ClassRule(BucketRule):
         note = np.where(fresh, "class_new", np.where(burst, "class_storm_summary", np.where(paged, "class_cooldown_expired", "class_cooldown")))
         ends = np.append(np.flatnonzero(starts)[1:], len(us)) - 1
         storm = np.where(_last(us, burst | fresh, starts, storm0) == _last(us, burst, starts, storm0), _last(us, burst, starts, storm0), NONE)
-        after = [us, _last(us, opens, starts, window0), count, _counted(fresh, starts, total0), _last(us, paged, starts, sent0), storm]
+        after = [us, _last(us, opens, starts, window0), count, _counted(fresh, starts, total0), _last(us, paged, starts, sent0), storm, frame["id"].to_numpy(np.int64)]
         return [note, paged], np.stack(after, 1)[ends]
 
 
@@ -181,6 +205,7 @@ class ThrottleRule(BucketRule):
     fields = ["us", "id"]
     forget_us = V.GATEWAY_RETENTION_S * 1_000_000
     added = ["accepted", "accepted_id"]
+    tells_late = True
 
     def judge(self, frame, starts, before):
         us, ids, none = frame["us"].to_numpy(np.int64), frame["id"].to_numpy(np.int64), np.zeros(len(frame), bool)
@@ -194,9 +219,9 @@ class ThrottleRule(BucketRule):
 ROWS = (
     "id bigint, received_us bigint, incident_id string, host string, source string, severity string, timestamp string, message string, "
     "us bigint, fingerprint binary, class_key binary, collect_only boolean, effective string, exit string, exit_reason string, "
-    "received_at timestamp, bucket int"
+    "bucket int"
 )
-STORM_OUT = ROWS + ", storm_count bigint, storm_status string, survives boolean"
+STORM_OUT = ROWS + ", late boolean, storm_count bigint, storm_status string, survives boolean"
 
 
 def _bucketed(rows: DataFrame, reaches, key, buckets: int) -> DataFrame:
@@ -206,24 +231,30 @@ def _bucketed(rows: DataFrame, reaches, key, buckets: int) -> DataFrame:
     return rows.withColumn("bucket", bucket.cast("int"))
 
 
+def _clocked(rows: DataFrame, delay: str) -> DataFrame:
+    """Rows whose times move the watermark; without the marked column, so that late ones are not dropped."""
+    return rows.withColumn("__at", utc_timestamp(F.col("us"))).withWatermark("__at", delay).drop("__at")
+
+
 def stream_storms(events: DataFrame, delay: str = "10 minutes", rules: gate.GateRules = gate.GateRules(), buckets: int = BUCKETS) -> DataFrame:
     """Fingerprint layer on a stream of gate input, text included; rows with an early exit pass without a verdict.
 
-    ``delay`` must cover the disorder of the source: rows older than the watermark are dropped, and a
-    ``FailureBreadcrumbs`` listener leaves a line with their number.
+    ``delay`` should cover the disorder of the source: rows behind the watermark come out as ``late``, without a verdict.
     """
-    rows = gate.judged_rows(events, rules).withColumn("received_at", utc_timestamp(F.col("us"))).withWatermark("received_at", delay)
+    rows = _clocked(gate.judged_rows(events, rules), delay)
     return _bucketed(rows, F.col("exit").isNull(), "fingerprint", buckets).groupBy("bucket").transformWithStateInPandas(
         statefulProcessor=StormRule(),
         outputStructType=STORM_OUT,
         outputMode="Append",
         timeMode="EventTime",
-        eventTimeColumnName="received_at",
     )
 
 
 def stream_gate(events: DataFrame, delay: str = "10 minutes", rules: gate.GateRules = gate.GateRules(), buckets: int = BUCKETS) -> DataFrame:
-    """The audit rows of a stream of gate input, those of early exits included."""
+    """The audit rows of a stream of gate input, those of early exits included, and ``late``.
+
+    A late row has no verdict: it is for quarantine and not for the audit table, as ``audit_store.write_judged`` stores them.
+    """
     storm = stream_storms(events, delay, rules, buckets)
     reaches = F.col("survives") & ~F.col("collect_only") & F.col("class_key").isNotNull()
     layered = _bucketed(storm, F.coalesce(reaches, F.lit(False)), "class_key", buckets).groupBy("bucket").transformWithStateInPandas(
@@ -231,7 +262,6 @@ def stream_gate(events: DataFrame, delay: str = "10 minutes", rules: gate.GateRu
         outputStructType=STORM_OUT + ", note string, paged boolean",
         outputMode="Append",
         timeMode="EventTime",
-        eventTimeColumnName="received_at",
     )
     dispatched, effective, reason = gate.outcome()
     early = F.col("exit").isNotNull()
@@ -241,27 +271,26 @@ def stream_gate(events: DataFrame, delay: str = "10 minutes", rules: gate.GateRu
         F.coalesce("storm_count", F.lit(1)).cast("bigint").alias("storm_count"),
         F.lit(V.STORM_GAP_S).alias("storm_window_seconds"),
         F.coalesce("storm_status", "exit").alias("storm_status"),
-        F.when(early, 0).otherwise(dispatched).alias("llm_dispatched"),
-        effective, F.when(early, F.col("exit_reason")).otherwise(reason).alias("suppression_reason"),
+        F.when(early | F.col("late"), 0).otherwise(dispatched).alias("llm_dispatched"),
+        effective, F.when(early, F.col("exit_reason")).otherwise(reason).alias("suppression_reason"), "late",
     )
 
 
 def stream_throttle(received: DataFrame, delay: str = "10 minutes", buckets: int = BUCKETS) -> DataFrame:
-    """Gateway throttle on a stream of received bodies: id, accepted, accepted_id."""
-    rows = (
+    """Gateway throttle on a stream of received bodies: id, accepted, accepted_id; both null and ``late`` set behind the watermark."""
+    rows = _clocked(
         received.filter(F.col("ok") & F.col("enabled"))
         .select("id", "us", "fingerprint", gateway.cooldown_us(F.col("severity")).alias("cooldown"),
-                utc_timestamp(F.col("us")).alias("received_at"),
-                F.pmod(F.xxhash64("fingerprint"), F.lit(buckets)).cast("int").alias("bucket"))
-        .withWatermark("received_at", delay)
+                F.pmod(F.xxhash64("fingerprint"), F.lit(buckets)).cast("int").alias("bucket")),
+        delay,
     )
     judged = rows.groupBy("bucket").transformWithStateInPandas(
         statefulProcessor=ThrottleRule(),
-        outputStructType="id bigint, us bigint, fingerprint string, cooldown bigint, received_at timestamp, bucket int, accepted boolean, accepted_id bigint",
+        outputStructType="id bigint, us bigint, fingerprint string, cooldown bigint, bucket int, late boolean, accepted boolean, accepted_id bigint",
         outputMode="Append",
         timeMode="EventTime",
     )
-    return judged.select("id", "accepted", "accepted_id")
+    return judged.select("id", "accepted", "accepted_id", "late")
 
 
 def stream_dedupe(signed: DataFrame, horizon: str = "24 hours") -> DataFrame:

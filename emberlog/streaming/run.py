@@ -47,11 +47,11 @@ def run_to_end(stream: DataFrame, name: str, checkpoint: str | None = None, out:
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def run_batches(stream: DataFrame, handle: Callable[[DataFrame, int], None], name: str) -> None:
+def run_batches(stream: DataFrame, handle: Callable[[DataFrame, int], None], name: str, checkpoint: str | None = None) -> None:
     """Process everything that is there, one call per micro-batch."""
     query = (
         stream.writeStream.foreachBatch(handle)
-        .option("checkpointLocation", work_path(stream.sparkSession, name + "-progress"))
+        .option("checkpointLocation", checkpoint or work_path(stream.sparkSession, name + "-progress"))
         .trigger(availableNow=True)
         .start()
     )

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from emberlog import fixed_values as V
 from emberlog.operators import audit as A
-from emberlog.operators import digest, gate, review
+from emberlog.operators import digest, gate, partials, review
 from emberlog.session import work_path
-from emberlog.sources import audit_store, files
+from emberlog.sources import audit_store, files, partial_store
 from tests.events import SECOND, START
 
 SCHEMA = (
@@ -227,3 +227,54 @@ def test_batches_are_compacted_by_day(spark):
     audit_store.compact(spark, path, out, START + 86_400 * SECOND)
     table = audit_store.read_audit(spark, out)
     assert table.count() == 3 and len(table.inputFiles()) == 1
+
+
+def _partial_setup(spark, days=4):
+    rows = []
+    for day in range(days):
+        for k in range(6):
+            at = day * 86_400 + 3600 * k
+            rows += [(at, SOURCE.format("AB"[k % 2], 1 + day), "warning", f"slow {k} ms" if k else " \n"), (at, "bare", "error", "gone"),
+                     (at + 1, "s", "info", "fine")]
+    rows += [(86_400 * 2, SOURCE.format("B", 3), "Warning", "only here")]
+    audit = audit_rows(spark, rows)
+    path = work_path(spark, "audit")
+    audit_store.write_audit(audit, path)
+    return audit, path
+
+
+@pytest.mark.parametrize("since_s,exclusive", [(0, False), (0, True), (5 * 3600, False), (86_400, False), (86_400, True), (3 * 86_400 + 7200, False)])
+def test_digest_from_partials(spark, since_s, exclusive):
+    """Whatever the mark, the digest read from finished days' partials is the digest of the rows."""
+    audit, path = _partial_setup(spark)
+    stored, now = work_path(spark, "partials"), START + 4 * 86_400 * SECOND
+    new = partial_store.finish_days(spark, audit_store.read_audit(spark, path), stored, START + (3 * 86_400 + 5) * SECOND)
+    assert [str(d) for d in new] == ["2024-01-01", "2024-01-02", "2024-01-03"]
+    since = START + since_s * SECOND
+    figures = partials.figures(partial_store.window(spark, audit_store.read_audit(spark, path), stored, since, exclusive))
+    lines = lambda **more: [r.text for r in digest.report_lines(audit, since, now, exclusive_since=exclusive, **more).orderBy("line_no").collect()]
+    assert lines(figures=figures) == lines()
+    assert digest.mark_after(figures[0], since, now).first() == digest.next_mark(audit, since, now).first()
+
+
+def test_partials_are_made_once_and_finished_days_are_not_scanned(spark):
+    audit, path = _partial_setup(spark)
+    stored = work_path(spark, "partials")
+    read = audit_store.read_audit(spark, path)
+    end = START + 3 * 86_400 * SECOND
+    assert partial_store.finished_days(spark, stored) == []
+    assert len(partial_store.finish_days(spark, read, stored, START + 86_400 * SECOND)) == 1
+    assert len(partial_store.finish_days(spark, read, stored, end)) == 2
+    assert partial_store.finish_days(spark, read, stored, end) == []
+    before = [spark.read.parquet(f"{stored}/{n}").count() for n in partials.NAMES]
+    assert len(partial_store.finish_days(spark, read, stored, end, again=True)) == 3
+    assert [spark.read.parquet(f"{stored}/{n}").count() for n in partials.NAMES] == before
+    path, outs = work_path(spark, "open-day"), [work_path(spark, "out") for _ in range(2)]
+    audit_store.write_audit(audit.filter(F.col("received_us") >= end), path)      # finished days' rows are not even there
+    whole = work_path(spark, "whole")
+    audit_store.write_audit(audit, whole)
+    for source, out, more in ((path, outs[0], {"partial_path": stored}), (whole, outs[1], {})):
+        mark = work_path(spark, "mark")
+        audit_store.write_mark(spark, mark, START)
+        assert audit_store.run_digest(spark, source, mark, START + 4 * 86_400 * SECOND, out, **more)
+    assert [r.value for r in spark.read.text(outs[0]).collect()] == [r.value for r in spark.read.text(outs[1]).collect()]

@@ -91,3 +91,43 @@ def test_a_failed_stream_leaves_a_breadcrumb(spark):
     finally:
         spark.streams.removeListener(listener)
     assert len(got) == 1 and got[0].stage == "state-store" and got[0].fields >= 3 and len(got[0].detail) <= 400
+
+
+def test_late_rows_come_out_whole_and_change_no_state(spark):
+    """Rows two hours behind an earlier segment go to quarantine; the verdicts of the others are as if they had not come."""
+    from emberlog.sources import audit_store
+    from emberlog.streaming.run import run_batches
+
+    first = [(t, "error", "broken") for t in (0, 1, 7200, 7201)]
+    second = [(t, "error", "broken " + "x" * 3000) for t in (2, 7100)] + [(7202, "error", "broken"), (3, "error", "[INFO] started")]
+    rows = gate_rows(spark, first + second)
+    path, audit, late = (work_path(spark, n) for n in ("in", "audit", "late"))
+    for low, high in ((0, 4), (4, 8)):
+        rows.filter(F.col("id").between(low, high - 1)).coalesce(1).write.mode("append").parquet(path)
+    stream = SG.stream_gate(read_segments(spark, path, rows.schema))
+
+    def twice(batch, batch_id):
+        for _ in range(2):      # a repeated batch replaces what it wrote
+            audit_store.write_judged(batch, batch_id, audit, late)
+
+    run_batches(stream, twice, "gate")
+    behind = {r.id: r for r in spark.read.parquet(late).collect()}
+    judged = {r.id: (r.storm_status, r.storm_count, r.llm_dispatched) for r in audit_store.read_audit(spark, audit).collect()}
+    assert sorted(behind) == [4] and behind[4].body == "broken " + "x" * 3000 and behind[4].received_us == START + 2 * SECOND
+    assert behind[4].value.split("\t")[1:] == ["late", "behind the watermark: 4"]
+    assert sorted([*judged, *behind]) == list(range(8))
+    want = {r.id: (r.storm_status, r.storm_count, r.llm_dispatched) for r in gate.decide(rows.filter("id <> 4")).collect()}
+    assert judged == want
+
+
+def test_state_as_a_table(spark):
+    """What a stream holds of each key after its last micro-batch."""
+    from emberlog.streaming.state import keys_of
+
+    rows = gate_rows(spark, [(t, "error", "broken") for t in (0, 30, 100)])
+    path, progress = work_path(spark, "in"), work_path(spark, "progress")
+    rows.coalesce(1).write.parquet(path)
+    run_to_end(SG.stream_storms(read_segments(spark, path, rows.schema)).select("id"), "storms", progress)
+    got = keys_of(spark, progress, SG.StormRule, 0).collect()
+    assert [(r.seen, r["count"], r.opened, r.sample_id) for r in got] == [(START + 100 * SECOND, 1, START + 100 * SECOND, 2)]
+    assert len(got[0].fingerprint) == 32
