@@ -85,11 +85,21 @@ NARROW = ["id", "us", "fingerprint", "class_key", "collect_only", "effective", "
 
 def judged_rows(events: DataFrame, rules: GateRules = GateRules()) -> DataFrame:
     """Normalised events with what the gate needs of them: keys as 32 bytes, severity, and the early exit."""
+    return classed(fingerprinted(events, rules), rules).select(
+        *AUDIT_INPUT,
+        F.col("received_us").alias("us"),
+        F.unhex("fingerprint").alias("fingerprint"),
+        F.unhex("class_key").alias("class_key"),
+        *_graded(),
+    )
+
+
+def classed(rows: DataFrame, rules: GateRules = GateRules()) -> DataFrame:
+    """Graded rows with the key of their class, if the class layer is for them."""
     in_class_layer = (
         F.col("exit").isNull() & ~F.col("collect_only") & F.col("effective").isin(V.CLASS_LAYER_SEVERITIES)
     )
-    label = F.when(F.col("label") == "", "unknown").otherwise(F.col("label"))
-    rows = fingerprinted(events, rules).withColumn(
+    return rows.withColumn(
         "head", F.when(in_class_layer, class_head(F.col("message"), rules.collapse_iso_t))
     ).withColumn(
         "class_key",
@@ -98,11 +108,12 @@ def judged_rows(events: DataFrame, rules: GateRules = GateRules()) -> DataFrame:
             class_key(F.col("host"), F.col("stable"), F.col("effective"), F.col("message"), F.col("head")),
         ),
     )
-    return rows.select(
-        *AUDIT_INPUT,
-        F.col("received_us").alias("us"),
-        F.unhex("fingerprint").alias("fingerprint"),
-        F.unhex("class_key").alias("class_key"),
+
+
+def _graded() -> list:
+    """What grading found, as the layers want it."""
+    label = F.when(F.col("label") == "", "unknown").otherwise(F.col("label"))
+    return [
         "collect_only",
         F.when(F.col("exit") == V.COUNTER_EXIT, "warning").otherwise(F.col("effective")).alias("effective"),
         "exit",
@@ -112,7 +123,7 @@ def judged_rows(events: DataFrame, rules: GateRules = GateRules()) -> DataFrame:
         )
         .when(F.col("exit").isNotNull(), V.COUNTER_REASON)
         .alias("exit_reason"),
-    )
+    ]
 
 
 def verdict_rows(events: DataFrame, rules: GateRules = GateRules()) -> DataFrame:
@@ -130,10 +141,11 @@ def laid_out(verdicts: DataFrame, heat: Heat = Heat()) -> Laid:
     return stored(mark_gaps(lay_out(rows, "fingerprint", heat), V.STORM_GAP_S * SECOND))
 
 
-def early_exits(verdicts: DataFrame) -> DataFrame:
+def early_exits(verdicts: DataFrame, *more: str) -> DataFrame:
     """Rows that touch no state: the line's own level or a zero counter says it is no fault."""
     return verdicts.filter(F.col("exit").isNotNull()).select(
         "id",
+        *more,
         F.lower(F.hex("fingerprint")).alias("fingerprint"),
         F.lit(1).cast("bigint").alias("storm_count"),
         F.col("exit").alias("storm_status"),
@@ -262,6 +274,35 @@ def decide(events: DataFrame, rules: GateRules = GateRules()) -> DataFrame:
     )
 
 
+def replay(events: DataFrame, variants: dict[str, GateRules], heat: Heat = Heat()) -> DataFrame:
+    """The same events under several sets of rules, in one pass: one row (variant, id, fingerprint, storm_count, storm_status,
+    llm_dispatched, effective_severity, suppression_reason) per event and variant.
+
+    Every event is read and graded once and becomes one narrow row per variant, whose keys begin with the variant's
+    number; so all variants share one layout, one shuffle and one run of each layer.
+    """
+    names = list(variants)
+    rows = graded_events(events).withColumn("stable", stable_source(F.col("source")))
+    keys = []
+    for number, rules in enumerate(variants.values()):
+        print_of = gate_fingerprint(F.col("host"), F.col("stable"), F.col("effective"), F.col("message"), rules.collapse_iso_t)
+        rows = classed(rows, rules).drop("head").withColumnRenamed("class_key", f"__class{number}").withColumn(f"__print{number}", print_of)
+        mark = F.lit(bytearray([number]))
+        coarse = F.concat(mark, F.unhex(f"__class{number}")) if rules.class_layer else F.lit(None).cast("binary")
+        keys.append(F.struct(F.concat(mark, F.unhex(f"__print{number}")).alias("fingerprint"), coarse.alias("class_key")))
+    graded = rows.select("id", F.col("received_us").alias("us"), F.explode(F.array(*keys)).alias("key"), *_graded())
+    verdicts = cut(graded.select("id", "us", "key.fingerprint", "key.class_key", "collect_only", "effective", "exit", "exit_reason"))
+    storm, classes = gate_layers(laid_out(verdicts, heat), GateRules(heat=heat))
+    number = lambda key: F.conv(F.hex(F.substring(key, 1, 1)), 16, 10).cast("int").alias("variant")
+    bare = lambda key: F.substring(key, 2, 32).alias(key)
+    layered = storm.select("*", number("fingerprint")).join(classes.select("id", number("class_key"), "note", "paged"), ["id", "variant"], "left")
+    layered = layered.withColumns({"fingerprint": bare("fingerprint"), "class_key": bare("class_key")})
+    stateful = layered.select("id", "variant", F.lower(F.hex("fingerprint")).alias("fingerprint"), "storm_count", "storm_status", *outcome())
+    early = verdicts.withColumn("variant", number("fingerprint")).withColumn("fingerprint", bare("fingerprint"))
+    both = stateful.unionByName(early_exits(early, "variant"))
+    return both.withColumn("variant", F.element_at(F.array(*[F.lit(n) for n in names]), F.col("variant") + 1))
+
+
 def _sample(events: DataFrame, state: DataFrame) -> DataFrame:
     """The forwarded part of each state's sample message: only these events are read for their text."""
     text = events.select(F.col("id").alias("sample_id"), cut_text(F.col("message"), V.MAX_FORWARDED_MESSAGE).alias("sample_message"))

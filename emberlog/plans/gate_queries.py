@@ -132,6 +132,20 @@ def replay_regression(spark, sf):
     )
 
 
+@query(
+    "replay_variants",
+    """SELECT a.id, 'classes' AS variant, a.storm_status, a.llm_dispatched, a.suppression_reason FROM audit a
+    UNION ALL SELECT a.id, 'older', a.storm_status, CAST(coalesce(s.send AND NOT k.collect_only, false) AS INTEGER),
+      CASE WHEN k.exit_status IS NULL AND NOT k.collect_only THEN '' ELSE a.suppression_reason END
+    FROM audit a JOIN keyed k ON k.id = a.id LEFT JOIN storm s ON s.id = a.id""",
+    "audit", "keyed", "storm",
+)
+def replay_variants(spark, sf):
+    """The gate with and without its class layer over the same events, from one layout."""
+    rows = gate.replay(tb.gate_input(spark, sf), {"classes": gate.GateRules(), "older": gate.GateRules(class_layer=False)})
+    return rows.select("id", "variant", "storm_status", "llm_dispatched", "suppression_reason")
+
+
 @query(
     "emit_enriched_payload",
     """SELECT a.id, CAST(json_object('incident_id', l.incident_id, 'host', l.host, 'source', l.source, 'severity', l.severity, 'timestamp', l.timestamp,

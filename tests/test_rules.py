@@ -361,3 +361,17 @@ def test_one_json_object(spark, body, want):
     from emberlog.functions.text import is_json_object
 
     assert spark.createDataFrame([(body,)], "b string").select(is_json_object(F.col("b"))).first()[0] is want
+
+
+def test_replay_of_several_rule_sets(spark):
+    """One pass over all variants gives what each gives alone, times with a T collapsed or not, hot keys split or not."""
+    from emberlog.operators.slices import Heat
+
+    says = ["at 2024-01-02T03:04:05Z broken", "at 2024-01-02T03:04:06Z broken", "[INFO] started", "broken"]
+    rows = gate_rows(spark, [(t * 37 % 4000, ("error", "warning")[t % 3 == 0], says[t * 7 % 4]) for t in range(60)])
+    rules = {"now": gate.GateRules(), "older": gate.GateRules(class_layer=False), "iso": gate.GateRules(collapse_iso_t=True)}
+    columns = ["id", "fingerprint", "storm_count", "storm_status", "llm_dispatched", "effective_severity", "suppression_reason"]
+    for heat in (Heat(), Heat(5)):
+        got = gate.replay(rows, rules, heat)
+        for name, one in rules.items():
+            assert sorted(got.filter(F.col("variant") == name).select(columns).collect()) == sorted(gate.decide(rows, one).select(columns).collect())
