@@ -132,6 +132,25 @@ def replay_regression(spark, sf):
     )
 
 
+@query(
+    "custom_gate",
+    f"""SELECT {", ".join(c for c in gate.AUDIT_COLUMNS if c not in ("llm_dispatched", "suppression_reason"))},
+      CASE WHEN quiet THEN 0 ELSE llm_dispatched END AS llm_dispatched, CASE WHEN quiet THEN 'own_gate' ELSE suppression_reason END AS suppression_reason
+    FROM (SELECT *, llm_dispatched = 1 AND source = 'host-logs' AS quiet FROM audit)""", "audit",
+)
+def custom_gate(spark, sf):
+    """A caller's own gate after the built-in one: a function from a frame to a frame, put in by ``transform``."""
+
+    def quiet_hosts(audit):
+        quiet = (F.col("llm_dispatched") == 1) & (F.col("source") == "host-logs")
+        return audit.withColumns({
+            "llm_dispatched": F.when(quiet, 0).otherwise(F.col("llm_dispatched")),
+            "suppression_reason": F.when(quiet, "own_gate").otherwise(F.col("suppression_reason")),
+        })
+
+    return tb.gate_input(spark, sf).transform(gate.decide).transform(quiet_hosts)
+
+
 @query(
     "replay_variants",
     """SELECT a.id, 'classes' AS variant, a.storm_status, a.llm_dispatched, a.suppression_reason FROM audit a

@@ -15,6 +15,7 @@ from emberlog import fixed_values as V
 from emberlog.functions.clock import SECOND, utc_date, utc_timestamp
 from emberlog.operators import audit as audit_ops
 from emberlog.operators import digest, partials, review
+from emberlog.session import cut
 from emberlog.sources import partial_store
 
 
@@ -42,6 +43,24 @@ def write_audit(audit: DataFrame, path: str, mode: str = "append") -> None:
     rows.write.mode(mode).partitionBy("received_date").option("maxRecordsPerFile", 5_000_000).parquet(path)
 
 
+def append_once(audit: DataFrame, path: str) -> None:
+    """Append the audit rows whose ids their day does not hold yet, so a batch that is repeated, whole or after a failure
+    half way, doubles nothing.
+
+    The rows are computed once.  Of the table only the ids of the same days are read.
+    """
+    spark, rows = audit.sparkSession, cut(dated(audit))
+    days = [r["received_date"] for r in rows.select("received_date").distinct().collect()]      # bounded by the calendar
+    try:
+        known = spark.read.schema("id bigint, received_date date").parquet(path)
+    except AnalysisException:      # no table yet
+        known = None
+    if known is not None:
+        held = known.filter(F.col("received_date").isin(days)).select("received_date", "id").distinct()
+        rows = rows.join(held, ["received_date", "id"], "left_anti")
+    write_audit(rows.drop("received_date"), path)
+
+
 def write_batch(audit: DataFrame, batch_id: int, path: str) -> None:
     """Sink of one micro-batch: a repeated batch replaces its own folder, so nothing is doubled."""
     rows = dated(audit).hint("rebalance", "received_date")
@@ -125,9 +144,10 @@ def leave_breadcrumb(spark: SparkSession, path: str, stage: str, problem: BaseEx
 
 
 def run_gate(spark: SparkSession, decide: Callable[[], DataFrame], path: str, breadcrumbs: str, stage: str = "state-store") -> bool:
-    """Judge a batch and store its audit rows.  A failure leaves a breadcrumb, nothing is sent and nothing raises."""
+    """Judge a batch and store its audit rows, each once however often the batch is run.  A failure leaves a breadcrumb, nothing
+    is sent and nothing raises."""
     try:
-        write_audit(decide(), path)
+        append_once(decide(), path)
     except ENGINE_ERRORS as problem:
         leave_breadcrumb(spark, breadcrumbs, stage, problem)
         return False

@@ -278,3 +278,15 @@ def test_partials_are_made_once_and_finished_days_are_not_scanned(spark):
         audit_store.write_mark(spark, mark, START)
         assert audit_store.run_digest(spark, source, mark, START + 4 * 86_400 * SECOND, out, **more)
     assert [r.value for r in spark.read.text(outs[0]).collect()] == [r.value for r in spark.read.text(outs[1]).collect()]
+
+
+def test_a_repeated_append_doubles_nothing(spark):
+    """The same batch again, a batch that overlaps, and one whose first half is already there."""
+    path, crumbs = work_path(spark, "audit"), work_path(spark, "crumbs")
+    rows = audit_rows(spark, [(d * 40_000, "s", "warning", f"m{d}") for d in range(6)])
+    for part in ("id < 3", "id < 3", "id between 2 and 4", "true", "id < 0"):
+        assert audit_store.run_gate(spark, lambda: rows.filter(part), path, crumbs)
+        wanted = {"id < 3": 3, "id between 2 and 4": 5}.get(part, 6)
+        assert audit_store.read_audit(spark, path).count() == wanted
+    got = audit_store.read_audit(spark, path).select("id", "message", "received_date").orderBy("id").collect()
+    assert [(r.id, r.message) for r in got] == [(i, f"m{i}") for i in range(6)] and len({r.received_date for r in got}) == 3
