@@ -40,12 +40,20 @@ def fan_out(routed: DataFrame) -> DataFrame:
     return routed.withColumn("router", F.explode("routers")).drop("routers")
 
 
+def once(**columns: Column) -> Column:
+    """A struct of columns that are worked out once a row, whatever is asked of them later."""
+    return F.explode(F.array(F.struct(*[c.alias(name) for name, c in columns.items()])))
+
+
 def parse_envelope(raw: DataFrame) -> DataFrame:
     """Add source and message: a JSON envelope where it parses, else the body is the message.
 
     Names match without regard to case, and of several values for a field the last counts.  JSON null leaves a field
     empty.  A field that is no string makes the whole body the message, but a source that could be read stays; so does any
     other JSON value that is not an object, without a source.
+
+    The two columns pass a generator of one row, over which no filter or join condition is pushed: it would take the whole
+    parse with it, several times a row.
     """
     is_null = F.coalesce(strip(F.col("raw")) == "null", F.lit(False))
 
@@ -64,11 +72,13 @@ def parse_envelope(raw: DataFrame) -> DataFrame:
         return F.forall(values(name), lambda v: kind(v).isin("STRING", "VOID"))
 
     good = F.col("fields").isNotNull() & readable("source") & readable("message")
+    source = F.when(F.col("fields").isNotNull(), strip(text("source"))).otherwise("")
+    message = strip(F.when(good, text("message")).when(is_null, "").otherwise(F.col("raw")))
     return (
         raw.withColumn("fields", F.when(is_json_object(F.col("raw")), F.from_json("raw", "map<string, variant>")))
-        .withColumn("source", F.when(F.col("fields").isNotNull(), strip(text("source"))).otherwise(""))
-        .withColumn("message", strip(F.when(good, text("message")).when(is_null, "").otherwise(F.col("raw"))))
-        .drop("fields")
+        .withColumn("parsed", once(source=source, message=message))
+        .withColumns({"source": F.col("parsed.source"), "message": F.col("parsed.message")})
+        .drop("fields", "parsed")
     )
 
 

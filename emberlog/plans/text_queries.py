@@ -16,7 +16,7 @@ def _texts(spark, sf):
     """Every log message and every document, whole.
 
     The documents are laid out once: however few splits a given file has, the expressions run in all tasks."""
-    docs = tb.stored(spark, sf, "documents", lambda: tb.table(spark, sf, "documents").select(
+    docs = tb.stored(spark, sf, "documents", lambda: tb.spread(spark, sf, "documents").select(
         (F.col("doc_id") + 10**12).alias("id"), F.col("text").alias("message")
     ))
     return tb.log_events(spark, sf).select("id", "message").unionByName(docs)
