@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from emberlog.session import work_path
 from emberlog.sources.audit_store import quarantine
@@ -16,14 +17,14 @@ from emberlog.sources.audit_store import quarantine
 def write_in_order(rows: DataFrame, time: str, bounds: list[int], path: str, files: int = 1) -> None:
     """Store rows as segments in time order, one write per segment, as rolled log files arrive.
 
-    A segment is dealt evenly over ``files`` files, written in parallel; a stream that takes so many at once gets whole segments."""
-    for low, high in zip([None, *bounds], [*bounds, None]):
-        part = rows
-        if low is not None:
-            part = part.filter(F.col(time) >= low)
-        if high is not None:
-            part = part.filter(F.col(time) < high)
-        part.repartition(files).write.mode("append").parquet(path)
+    One pass deals all rows to their segments; then every segment is read alone and dealt evenly over ``files`` files, written in
+    parallel.  A stream that takes so many at once gets whole segments.  Where there are bounds, rows without a time are in no segment."""
+    dealt = work_path(rows.sparkSession, "dealt")
+    number = F.lit(sum((F.col(time) >= bound).cast("int") for bound in bounds))
+    rows.withColumn("__segment", number).filter(F.col("__segment").isNotNull()).write.partitionBy("__segment").parquet(dealt)
+    stored = rows.sparkSession.read.schema(StructType([*rows.schema, StructField("__segment", IntegerType())])).parquet(dealt)
+    for k in range(len(bounds) + 1):
+        stored.filter(F.col("__segment") == k).drop("__segment").repartition(files).write.mode("append").parquet(path)
 
 
 def read_segments(spark: SparkSession, path: str, schema, files_per_batch: int = 1, bytes_per_batch: int | None = None) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from emberlog.operators import gateway
 from emberlog.plans import testbed as tb
 from emberlog.session import work_path
+from emberlog.streaming.run import write_in_order
 
 
 def given_events(spark, rows):
@@ -34,3 +35,21 @@ def test_events_are_derived_in_many_tasks(spark, monkeypatch):
     log = tb.derive_log_events(spark, given_events(spark, 300))
     sizes = [r["count"] for r in log.groupBy(F.spark_partition_id()).count().collect()]
     assert len(sizes) >= 25 and sum(sizes) == 300 and max(sizes) <= 40
+
+
+def test_segments_are_dealt_in_one_pass(spark):
+    """Every segment was filtered out of all rows again, so that the rows were worked out once for each."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def at(number):
+        seen.add(1)
+        return None if number == 7 else number
+
+    rows = spark.range(100).select("id", F.udf(at, "long").asNondeterministic()("id").alias("at"))
+    path = work_path(spark, "in-order")
+    write_in_order(rows, "at", [25, 50, 75], path, 2)
+    assert seen.value == 100
+    stored = spark.read.parquet(path)
+    assert sorted(r.id for r in stored.collect()) == [i for i in range(100) if i != 7]
+    spans = stored.groupBy(F.input_file_name().alias("file")).agg(F.min(F.floor(F.col("at") / 25)).alias("a"), F.max(F.floor(F.col("at") / 25)).alias("b")).collect()
+    assert len(spans) == 8 and all(r.a == r.b for r in spans)
