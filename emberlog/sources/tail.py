@@ -13,6 +13,7 @@ from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPart
 
 SCHEMA = "value string, path string, at long"
 SPLIT = 8 << 20          # bytes that one task reads, about
+OPENING = 1 << 18        # bytes that opening one file counts as
 _LOOK = 1 << 16          # bytes that are looked through at once for the end of a line
 
 
@@ -22,7 +23,7 @@ def _address(path: str) -> str:
 
 
 @dataclass
-class Stretch(InputPartition):
+class Stretch:
     """Lines of a file that begin in ``low`` to ``high``; ``inside``: the byte before ``low`` may be in the middle of one."""
 
     path: str
@@ -31,6 +32,13 @@ class Stretch(InputPartition):
     inside: bool
 
 
+@dataclass
+class Share(InputPartition):
+    """What one task reads: a long stretch, or several short ones."""
+
+    stretches: list[Stretch]
+
+
 class TailReader(DataSourceStreamReader):
     """Offsets are {path: bytes taken}; what is taken ends with a line's end, so a line that is still written waits.
 
@@ -124,12 +132,20 @@ class TailReader(DataSourceStreamReader):
         return at if at <= size else 0
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        """Short stretches go together, so that a micro-batch has tasks by its bytes and not one for every file."""
         self.taken = dict(end)
-        parts = []
+        shares, room = [], 0
         for path, high in end.items():
             low = self._at(start, path, high)
-            parts += [Stretch(path, at, min(high, at + SPLIT), at > low) for at in range(low, high, SPLIT)]
-        return parts
+            for at in range(low, high, SPLIT):
+                stretch = Stretch(path, at, min(high, at + SPLIT), at > low)
+                cost = stretch.high - at + OPENING
+                if cost > room:
+                    shares.append(Share([]))
+                    room = SPLIT + OPENING
+                shares[-1].stretches.append(stretch)
+                room -= cost
+        return shares
 
     def commit(self, end: dict) -> None:
         if self.progress:
@@ -137,7 +153,11 @@ class TailReader(DataSourceStreamReader):
             with self.keeper.open_output_stream(self.progress) as file:
                 file.write(json.dumps(end).encode())
 
-    def read(self, part: Stretch) -> Iterator[pa.RecordBatch]:
+    def read(self, part: Share) -> Iterator[pa.RecordBatch]:
+        for stretch in part.stretches:
+            yield from self._lines(stretch)
+
+    def _lines(self, part: Stretch) -> Iterator[pa.RecordBatch]:
         with self.files.open_input_file(part.path) as file:
             at = part.low
             if part.inside:                             # the line that crosses into this stretch is the one before's

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from emberlog.operators import gateway
 from emberlog.plans import testbed as tb
 from emberlog.session import work_path
+from emberlog.sources import tail
 from emberlog.streaming.run import write_in_order
 
 
@@ -53,3 +54,14 @@ def test_segments_are_dealt_in_one_pass(spark):
     assert sorted(r.id for r in stored.collect()) == [i for i in range(100) if i != 7]
     spans = stored.groupBy(F.input_file_name().alias("file")).agg(F.min(F.floor(F.col("at") / 25)).alias("a"), F.max(F.floor(F.col("at") / 25)).alias("b")).collect()
     assert len(spans) == 8 and all(r.a == r.b for r in spans)
+
+
+def test_short_stretches_share_a_task(spark, tmp_path):
+    """Every file of a micro-batch had a task of its own, however little was taken from it."""
+    for k in range(40):
+        (tmp_path / f"{k:02}.log").write_bytes(b"line %d\n" % k * (k + 1))
+    reader = tail.TailReader({"root": str(tmp_path), "fromend": "false"})
+    shares = reader.partitions({}, reader.latestOffset())
+    assert 1 < len(shares) < 5
+    lines = [line for share in shares for batch in reader.read(share) for line in batch.column(0).to_pylist()]
+    assert sorted(lines) == sorted(f"line {k}" for k in range(40) for _ in range(k + 1))
