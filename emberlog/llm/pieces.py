@@ -72,14 +72,20 @@ class ByteSuffixes:
         run = self.eight
         gap = 8
         while True:
-            key, rank = np.unique(run, return_inverse=True)
-            self.keys.append(key)
-            self.ranks.append(rank.astype(np.int32))
+            # as np.unique with its inverse; the last sort's order is kept
+            order = np.argsort(run)
+            ordered = run[order]
+            new = np.append(True, ordered[1:] != ordered[:-1])
+            rank = np.empty(size, np.int32)
+            rank[order] = np.cumsum(new, dtype=np.int32) - 1
+            self.keys.append(ordered[new])
+            self.ranks.append(rank)
             if gap >= depth:
                 break
             run = self._pair(rank, gap)
             gap *= 2
-        self.order = np.argsort(self.ranks[-1], kind="stable").astype(np.int32)
+        self.order = order.astype(np.int32)
+        self.sorted = self.eight[order]
 
     @staticmethod
     def _pair(rank: np.ndarray, gap: int) -> np.ndarray:
@@ -95,7 +101,7 @@ class ByteSuffixes:
             for k in range(n):
                 want |= texts[:, k].astype(np.uint64) << np.uint64(56 - 8 * k)
             shift = np.uint64(64 - 8 * n)
-            here, want = self.eight[self.order] >> shift, want >> shift
+            here, want = self.sorted >> shift, want >> shift
         else:
             # equal runs of n bytes: equal first and last 8 * 2**k bytes
             k = (n // 8).bit_length() - 1
@@ -127,6 +133,10 @@ class Encoder:
         lengths = np.diff(v.first)[v.merges]
         self.by_length = {int(n): np.flatnonzero(lengths == n) for n in np.unique(lengths)}
         self.rows = {n: np.stack([v.data[v.first[i]:v.first[i] + n] for i in v.merges[at]]) for n, at in self.by_length.items()}
+        # only pieces that end as they begin can overlap themselves
+        self.overlaps = np.zeros(len(v.merges), bool)
+        for n, rows in self.rows.items():
+            self.overlaps[self.by_length[n]] = np.any([(rows[:, k:] == rows[:, :n - k]).all(1) for k in range(1, n)], axis=0)
         self.depth = max([8, *self.by_length])
         ascii_ids = np.full(128, -1)
         for text, i in v.single.items():
@@ -172,7 +182,7 @@ class Encoder:
             if not len(ok):
                 continue
             at, middle, stop = at[ok], middle[ok], stop[ok]
-            if len(at) > 1:
+            if len(at) > 1 and self.overlaps[k]:
                 sort = np.argsort(at)
                 at, middle, stop = at[sort], middle[sort], stop[sort]
                 chained = np.flatnonzero(at[1:] == middle[:-1])

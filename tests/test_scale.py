@@ -2,8 +2,11 @@
 
 import datetime
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from emberlog.llm import pieces
+from emberlog.llm.common import utf8
 from emberlog.operators import gateway
 from emberlog.plans import testbed as tb
 from emberlog.session import work_path
@@ -65,3 +68,17 @@ def test_short_stretches_share_a_task(spark, tmp_path):
     assert 1 < len(shares) < 5
     lines = [line for share in shares for batch in reader.read(share) for line in batch.column(0).to_pylist()]
     assert sorted(lines) == sorted(f"line {k}" for k in range(40) for _ in range(k + 1))
+
+
+def test_only_pieces_that_overlap_themselves_are_sorted():
+    """The places of every piece were sorted in every batch; only a piece that ends as it begins needs that."""
+    from sentencepiece import SentencePieceProcessor
+
+    vocabulary = pieces.Vocabulary.load()
+    encoder = pieces.Encoder(vocabulary)
+    texts = [vocabulary.data[vocabulary.first[i]:vocabulary.first[i + 1]].tobytes() for i in vocabulary.merges]
+    assert encoder.overlaps.tolist() == [any(t[k:] == t[:-k] for k in range(1, len(t))) for t in texts]
+    assert 0 < encoder.overlaps.sum() < len(texts) // 10
+    lines = ["a" * 23, "=" * 41 + " " + "=" * 7, "-=-=-=-=-", "0" * 9 + "1" + "0" * 8, "ananananas lalalala", "hahaha " * 5, " " * 17 + "x", "......,,,,,,......"]
+    ids, first = encoder.texts(*utf8(pa.array(lines)))
+    assert [ids[a:b].tolist() for a, b in zip(first, first[1:])] == SentencePieceProcessor(model_file=pieces.MODEL).encode(lines)
