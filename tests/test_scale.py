@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from emberlog.llm import pieces
 from emberlog.llm.common import utf8
-from emberlog.operators import gateway
+from emberlog.operators import gate, gateway
 from emberlog.plans import testbed as tb
-from emberlog.session import work_path
+from emberlog.session import COMPILED_BYTES, METHOD_LIMIT, cut, work_path
 from emberlog.sources import tail
 from emberlog.streaming.run import write_in_order
 
@@ -82,3 +82,18 @@ def test_only_pieces_that_overlap_themselves_are_sorted():
     lines = ["a" * 23, "=" * 41 + " " + "=" * 7, "-=-=-=-=-", "0" * 9 + "1" + "0" * 8, "ananananas lalalala", "hahaha " * 5, " " * 17 + "x", "......,,,,,,......"]
     ids, first = encoder.texts(*utf8(pa.array(lines)))
     assert [ids[a:b].tolist() for a, b in zip(first, first[1:])] == SentencePieceProcessor(model_file=pieces.MODEL).encode(lines)
+
+
+def test_verdicts_run_as_compiled_code(spark, monkeypatch):
+    """The gate's verdicts were one generated method, too long for the JVM to compile, so every row went through its interpreter."""
+    rows = gate.verdict_rows(tb.gate_input(spark, given_events(spark, 40)))
+    limits, checkpoint = [], type(rows).checkpoint
+
+    def watched(df, *args, **kwargs):
+        limits.append(int(spark.conf.get(METHOD_LIMIT)))
+        return checkpoint(df, *args, **kwargs)
+
+    monkeypatch.setattr(type(rows), "checkpoint", watched)
+    before = spark.conf.get(METHOD_LIMIT)
+    assert cut(rows).count() == 40
+    assert limits == [COMPILED_BYTES] and spark.conf.get(METHOD_LIMIT) == before
