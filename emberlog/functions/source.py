@@ -58,19 +58,26 @@ def clean_path(path: Column) -> Column:
             p == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))
         ).otherwise(F.concat(done, F.array(p))),
     )
-    untidy = path.rlike(r"//|/\.{1,2}(?:/|\z)|/\z")
+    untidy = F.lit(False)
+    for part in ("//", "/./", "/../"):
+        untidy = untidy | path.contains(part)
+    for end in ("/", "/.", "/.."):
+        untidy = untidy | path.endswith(end)
     return F.when(untidy, F.concat(F.lit("/"), F.array_join(resolved, "/"))).otherwise(path)
 
 
 def program_from_source(path: Column) -> Column:
-    """First directory under /logs; 'unknown' for anything else."""
-    name = F.regexp_extract(clean_path(path), r"(?s)\A/logs/([^/]+)/", 1)
-    return F.when(path.startswith("/") & (name != ""), name).otherwise("unknown")
+    """First directory under /logs; 'unknown' for anything else.
+
+    The name is asked for once: in a condition and again as its result, the path would be resolved twice.
+    """
+    names = F.regexp_extract_all(clean_path(path), F.lit(r"(?s)\A/logs/([^/]+)/"), F.lit(1))
+    return F.coalesce(F.when(path.startswith("/"), F.get(names, F.lit(0))), F.lit("unknown"))
 
 
 def detect_dll(message: Column) -> Column:
-    """First name ending in .dll, '' if there is none."""
-    return F.regexp_extract(message, "(?i)" + V.DLL_NAME, 0)
+    """First name ending in .dll, '' if there is none; only a message with such an end is searched for whole names."""
+    return F.when(~message.rlike(r"(?i)\.dll\b"), "").otherwise(F.regexp_extract(message, "(?i)" + V.DLL_NAME, 0))
 
 
 def component_of(message: Column) -> Column:

@@ -14,6 +14,7 @@ from emberlog import fixed_values as V
 UNI = "(?U)"
 UNI_I = "(?iU)"
 SPACES = r"[\s\x1c-\x1f]+"
+SPACE_CHARACTERS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def cut(col: Column, n: int) -> Column:
@@ -29,8 +30,10 @@ def cut_bytes(col: Column, n: int) -> Column:
 
 
 def strip(col: Column) -> Column:
-    """Trim every kind of white space at both ends (Spark's trim takes spaces only)."""
-    return F.regexp_replace(col, UNI + r"\A" + SPACES + "|" + SPACES + r"\z", "")
+    """Trim every kind of white space at both ends, the characters of ``SPACES`` (Spark's trim takes spaces only).
+
+    Bytes that are no UTF-8 become replacement marks, as in the patterns' results."""
+    return F.btrim(F.make_valid_utf8(col), F.lit(SPACE_CHARACTERS))
 
 
 def collapse_spaces(col: Column) -> Column:

@@ -5,6 +5,8 @@ import datetime
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from emberlog.functions.source import detect_dll, program_from_source
+from emberlog.functions.text import SPACES, UNI, strip
 from emberlog.llm import pieces
 from emberlog.llm.common import utf8
 from emberlog.operators import gate, gateway
@@ -97,3 +99,20 @@ def test_verdicts_run_as_compiled_code(spark, monkeypatch):
     before = spark.conf.get(METHOD_LIMIT)
     assert cut(rows).count() == 40
     assert limits == [COMPILED_BYTES] and spark.conf.get(METHOD_LIMIT) == before
+
+
+def test_places_and_names_are_looked_for_once(spark):
+    """A path was resolved in a condition and again for its result; every message was searched for whole library names, every text for
+    white space at all its positions."""
+    marks = [chr(c) for c in range(1, 0x11000) if not 0xD800 <= c < 0xE000]
+    rows = spark.createDataFrame([(c + "a" + c + "b" + c,) for c in marks] + [(None,), (" 　\t",)], "t string")
+    by_pattern = F.regexp_replace("t", UNI + r"\A" + SPACES + "|" + SPACES + r"\z", "")
+    assert rows.filter(~strip(F.col("t")).eqNullSafe(by_pattern)).count() == 0
+    data = [("/logs/A/x", "in q.DLL"), ("/x/../logs//B/./y/", "a.dllx b"), ("logs/A/x", "c.dll_"), (None, None), ("/logs/A/..", ".dll"), ("/logs/..", "é.dll")]
+    given = spark.createDataFrame(data, "p string, m string")
+    found = given.select(program_from_source(F.col("p")).alias("p"), detect_dll(F.col("m")).alias("m"))
+    assert [tuple(r) for r in found.collect()] == [
+        ("A", "q.DLL"), ("B", ""), ("unknown", ""), ("unknown", None), ("unknown", ""), ("unknown", ""),
+    ]
+    plan = given.select(program_from_source(F.col("p")).alias("a"), strip(F.col("p")).alias("b"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract") == 1 and "regexp_replace" not in plan
