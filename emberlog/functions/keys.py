@@ -6,6 +6,8 @@ pattern has capitals of its own.
 
 from __future__ import annotations
 
+from string import ascii_lowercase, digits
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +15,9 @@ from emberlog import fixed_values as V
 from emberlog.functions.source import class_component
 from emberlog.functions.text import UNI, UNI_I, collapse_spaces, cut, rewrite
 
+# The same characters, listed one by one: Java keeps listed ones in one bit set, but asks range after range.
+_SKELETON_OTHER = V.SKELETON_OTHER.replace("a-z", ascii_lowercase).replace("0-9", digits)
+
 
 def _timestamp(collapse_iso_t: bool) -> str:
     """'T' and 'Z' match lower-cased text only where case is ignored."""
@@ -64,7 +69,7 @@ def class_head(message: Column, collapse_iso_t: bool = False) -> Column:
                 (UNI + V.HEX, "<hex>"),
                 (UNI + V.URL, "<url>"),
                 (UNI + V.LONG_DIGITS, "<n>"),
-                (V.SKELETON_OTHER, " "),
+                (_SKELETON_OTHER, " "),
             ],
         )
     )

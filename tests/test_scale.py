@@ -5,8 +5,11 @@ import datetime
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from emberlog import fixed_values as V
+from emberlog.functions import keys
+from emberlog.functions.severity import fault_word
 from emberlog.functions.source import detect_dll, program_from_source
-from emberlog.functions.text import SPACES, UNI, strip
+from emberlog.functions.text import SPACES, UNI, UNI_I, strip
 from emberlog.llm import pieces
 from emberlog.llm.common import utf8
 from emberlog.operators import gate, gateway
@@ -116,3 +119,14 @@ def test_places_and_names_are_looked_for_once(spark):
     ]
     plan = given.select(program_from_source(F.col("p")).alias("a"), strip(F.col("p")).alias("b"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract") == 1 and "regexp_replace" not in plan
+
+
+def test_symbols_are_listed(spark):
+    """The set of symbols that a class's words are cleaned of was written in ranges, which Java asks one after the other."""
+    assert "a-z" not in keys._SKELETON_OTHER and "0-9" not in keys._SKELETON_OTHER
+    marks = spark.createDataFrame([(chr(c),) for c in range(1, 0x11000) if not 0xD800 <= c < 0xE000], "t string")
+    listed, ranges = (F.regexp_replace("t", p, "#") for p in (keys._SKELETON_OTHER, V.SKELETON_OTHER))
+    assert marks.filter(listed != ranges).count() == 0
+    lines = ["it Failed", "timed out", "refusedx", "x-crashed.", "TRACEBACK", "Unhealthy", "ok", "", "denied_", "exception", "panic!", "fatal"]
+    got = spark.createDataFrame([(x,) for x in lines], "t string").select(fault_word(F.col("t")), F.col("t").rlike(UNI_I + V.FAULT_WORD))
+    assert all(a == b for a, b in got.collect())
